@@ -226,3 +226,39 @@ select s.*, coalesce(l.top_up_genes, '') as top_up_genes, coalesce(l.top_down_ge
        coalesce(replace(c.cell_type_phrase, ', ', '|'), '') as cell_types
 from summary s left join lists l on s.perturbation = l.perturbation
 left join cells c on s.perturbation = c.perturbation"""
+
+
+# ---------------------------------------------------------------- profiles
+
+PROFILE = f"""{EFFECTS},
+profile as (select perturbation, effect_gene, avg(log2fc) as value from effects
+            where padj < 0.05 and perturbation is not null and effect_gene is not null group by all),
+norms as (select perturbation, sqrt(sum(value * value)) as norm from profile group by all),
+unit as (select p.perturbation, p.effect_gene, p.value / greatest(n.norm, 1e-8) as value
+         from profile p join norms n on p.perturbation = n.perturbation),
+npert as (select count(distinct perturbation) as n from unit),
+importance as (select effect_gene, sum(abs(value)) / (select n from npert) as importance from unit group by all),
+kept as (select effect_gene, importance,
+                cast(row_number() over (order by effect_gene) - 1 as bigint) as gene_index from (
+           select * from importance order by round(importance, 10) desc, effect_gene asc limit 32) t)"""
+
+ORACLE["profile_long"] = f"with {PROFILE} select perturbation, effect_gene, round(value, 6) as value from profile"
+ORACLE["profile_unit"] = f"with {PROFILE} select perturbation, effect_gene, round(value, 6) as value from unit"
+ORACLE["gene_importance"] = f"with {PROFILE} select effect_gene, round(importance, 6) as importance from importance"
+ORACLE["top_genes"] = f"with {PROFILE} select effect_gene, gene_index, round(importance, 6) as importance from kept"
+ORACLE["catalog_genes"] = f"""with {PROFILE}
+select g.effect_gene, k.effect_gene is not null as kept
+from (select distinct effect_gene from profile) g left join kept k on g.effect_gene = k.effect_gene"""
+ORACLE["catalog_counts"] = f"""with {PROFILE}
+select cast(count(distinct effect_gene) as bigint) as n_genes, cast(count(distinct perturbation) as bigint) as n_perturbations
+from profile"""
+ORACLE["profile_wide"] = f"""with {PROFILE}
+select p.perturbation, k.effect_gene, round(coalesce(u.value, 0.0), 6) as value
+from (select distinct perturbation from unit) p cross join kept k
+left join unit u on u.perturbation = p.perturbation and u.effect_gene = k.effect_gene"""
+ORACLE["holdout_split"] = f"""with {PROFILE},
+r as (select perturbation, row_number() over (order by md5('42:' || perturbation), perturbation) as rn,
+             count(*) over () as n
+      from (select distinct perturbation from profile) k)
+select perturbation, unnest(case when n < 10 then ['train', 'val'] when rn <= ceil(n * 0.2) then ['val'] else ['train'] end) as split
+from r"""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertlake.operators import effects as eff
+from pertlake.operators import profiles as prof
 from pertlake.operators import summaries as summ
 from pertlake.plans import adapters as ad
 
@@ -140,3 +141,61 @@ def q_document_metadata(spark, sf):
 def q_documents_sparse(spark, sf):
     e = eff.clean_effects(ad.effects_sparse(spark, sf))
     return summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK).select("perturbation", "text")
+
+
+# ---------------------------------------------------------------- profiles
+
+GENES_KEPT = 32  # top-K genes for the selection queries (the default cap, 2048, keeps all)
+
+
+def _unit(spark, sf):
+    return prof.profile_unit(prof.profile_long(_effects(spark, sf)))
+
+
+def _kept(unit):
+    return prof.top_genes(prof.gene_importance(unit), GENES_KEPT)
+
+
+@register("profile_long")
+def q_profile_long(spark, sf):
+    p = prof.profile_long(_effects(spark, sf))
+    return p.select("perturbation", "effect_gene", F.round("value", 6).alias("value"))
+
+
+@register("profile_unit")
+def q_profile_unit(spark, sf):
+    return _unit(spark, sf).select("perturbation", "effect_gene", F.round("value", 6).alias("value"))
+
+
+@register("gene_importance")
+def q_gene_importance(spark, sf):
+    imp = prof.gene_importance(_unit(spark, sf))
+    return imp.select("effect_gene", F.round("importance", 6).alias("importance"))
+
+
+@register("top_genes")
+def q_top_genes(spark, sf):
+    return _kept(_unit(spark, sf)).select("effect_gene", "gene_index", F.round("importance", 6).alias("importance"))
+
+
+@register("catalog_genes")
+def q_catalog_genes(spark, sf):
+    unit = _unit(spark, sf)
+    return prof.catalog_genes(unit, _kept(unit))
+
+
+@register("catalog_counts")
+def q_catalog_counts(spark, sf):
+    return prof.catalog_counts(prof.profile_long(_effects(spark, sf)))
+
+
+@register("profile_wide")
+def q_profile_wide(spark, sf):
+    unit = _unit(spark, sf)
+    melted = prof.melt_wide(prof.profile_wide(unit, _kept(unit)))
+    return melted.select("perturbation", "effect_gene", F.round("value", 6).alias("value"))
+
+
+@register("holdout_split")
+def q_holdout_split(spark, sf):
+    return prof.holdout_split(prof.profile_long(_effects(spark, sf)))
