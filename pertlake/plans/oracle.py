@@ -262,3 +262,72 @@ r as (select perturbation, row_number() over (order by md5('42:' || perturbation
       from (select distinct perturbation from profile) k)
 select perturbation, unnest(case when n < 10 then ['train', 'val'] when rn <= ceil(n * 0.2) then ['val'] else ['train'] end) as split
 from r"""
+
+
+# ---------------------------------------------------------------- index
+
+VEC = """vecs as (
+  select vec_id, label, embedding,
+         sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm
+  from embeddings),
+aligned as (select v.*, d.lang, d.n_chars from vecs v join documents d on v.vec_id = d.doc_id),
+xs as (select vec_id as id,
+              list_transform(embedding, lambda x: cast(x as double) / (case when norm < 1e-8 then 1.0 else norm end)) as xv
+       from aligned),
+qs as (select vec_id as query_id,
+              case when norm > 1e-8 then list_transform(embedding, lambda x: cast(x as double) / norm)
+                   else list_transform(embedding, lambda x: cast(x as double)) end as qv
+       from vecs)"""
+
+ORACLE["embedding_centroid"] = """select cast(i - 1 as bigint) as dim, round(avg(cast(embedding[i] as double)), 6) as value
+from (select embedding, generate_subscripts(embedding, 1) as i from embeddings) t group by i"""
+ORACLE["embedding_unit"] = f"""with {VEC}
+select vec_id, cast(i - 1 as bigint) as dim,
+       round(cast(embedding[i] as double) / (case when norm < 1e-8 then 1.0 else norm end), 6) as value
+from (select vec_id, embedding, norm, generate_subscripts(embedding, 1) as i from vecs) t"""
+ORACLE["align_index"] = f"with {VEC} select vec_id, label, lang, n_chars from aligned"
+ORACLE["align_missing"] = """select vec_id as id, 'no_document' as side from embeddings where vec_id not in (select doc_id from documents)
+union all
+select doc_id as id, 'no_embedding' as side from documents where doc_id not in (select vec_id from embeddings)"""
+ORACLE["index_quality"] = f"""with {VEC},
+m as (select (select count(*) from embeddings where vec_id not in (select doc_id from documents)) as nmd,
+             (select count(*) from documents where doc_id not in (select vec_id from embeddings)) as nme)
+select cast(count(*) as bigint) as n_embeddings,
+       (select cast(count(*) as bigint) from documents) as n_documents,
+       cast(count(*) - count(distinct vec_id) as bigint) as n_duplicate_embedding_keys,
+       (select cast(count(*) - count(distinct doc_id) as bigint) from documents) as n_duplicate_document_keys,
+       cast((select nmd from m) as bigint) as n_missing_document,
+       cast((select nme from m) as bigint) as n_missing_embedding,
+       cast(count_if(norm < 1e-8) as bigint) as n_zero_norm,
+       cast(count_if(list_bool_or(list_transform(embedding, lambda x: isnan(x) or isinf(x)))) as bigint) as n_nonfinite,
+       cast(min(len(embedding)) as bigint) as min_dim,
+       cast(max(len(embedding)) as bigint) as max_dim,
+       (select nmd from m) = 0 and (select nme from m) = 0 and count(*) = count(distinct vec_id)
+         and (select count(*) - count(distinct doc_id) from documents) = 0 as aligned
+from vecs"""
+KNN = f"""{VEC},
+scored as (select query_id, id, list_inner_product(qv, xv) as score from qs, xs),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, id) as bigint) as rank from scored)"""
+ORACLE["knn_cosine"] = f"with {KNN} select query_id, rank, id, round(score, 6) as score from ranked where rank <= 3"
+ORACLE["self_retrieval"] = f"""with {VEC},
+q1 as (select vec_id as query_id,
+              case when norm > 1e-8 then list_transform(embedding, lambda x: cast(x as double) / norm)
+                   else list_transform(embedding, lambda x: cast(x as double)) end as qv
+       from aligned),
+scored as (select query_id, id, list_inner_product(qv, xv) as score from q1, xs),
+top1 as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rn from scored) t where rn = 1),
+selfs as (select q1.query_id, list_inner_product(q1.qv, xs.xv) as self_score from q1 join xs on q1.query_id = xs.id)
+select cast(count(*) as bigint) as n_queries,
+       cast(count_if(top1.id = top1.query_id or top1.score <= selfs.self_score + 1e-6) as bigint) as n_self_first
+from top1 join selfs on top1.query_id = selfs.query_id"""
+ORACLE["catalog_labels"] = f"with {VEC} select vec_id, (select cast(count(*) as bigint) from aligned) as n_documents from aligned"
+VSUM = """select vec_id, cast(len(embedding) as bigint) as n_dims,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as norm
+from embeddings"""
+ORACLE["embedding_rows"] = VSUM
+ORACLE["embedding_roundtrip"] = VSUM
+ORACLE["index_manifest"] = f"""with {VEC} select cast(max(len(embedding)) as bigint) as embed_dim, cast(count(*) as bigint) as n_documents from aligned"""
+ORACLE["index_roundtrip"] = f"""with {VEC}
+select vec_id, label,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: power(cast(x as double) / (case when norm < 1e-8 then 1.0 else norm end), 2)))), 6) as unit_norm
+from aligned"""

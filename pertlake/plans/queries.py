@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertlake.operators import effects as eff
+from pertlake.operators import index as idx
 from pertlake.operators import profiles as prof
 from pertlake.operators import summaries as summ
 from pertlake.plans import adapters as ad
+from pertlake.session import scratch_path
+from pertlake.sources import store
+from pertlake.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -199,3 +203,107 @@ def q_profile_wide(spark, sf):
 @register("holdout_split")
 def q_holdout_split(spark, sf):
     return prof.holdout_split(prof.profile_long(_effects(spark, sf)))
+
+
+# ---------------------------------------------------------------- index
+
+
+def _emb(spark, sf):
+    return read_table(spark, sf, "embeddings")
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents")
+
+
+def _aligned(spark, sf):
+    return idx.align_index(_emb(spark, sf), _docs(spark, sf).select("doc_id", "lang", "n_chars"))
+
+
+def _vec_summary(df, id_col="vec_id", vec="embedding"):
+    from pertlake.functions.columns import array_l2_norm
+
+    return df.select(
+        F.col(id_col).cast("long").alias("vec_id"),
+        F.size(vec).cast("long").alias("n_dims"),
+        F.round(array_l2_norm(F.col(vec)), 6).alias("norm"),
+    )
+
+
+@register("embedding_centroid")
+def q_centroid(spark, sf):
+    c = idx.embedding_centroid(_emb(spark, sf))
+    return c.select("dim", F.round("value", 6).alias("value"))
+
+
+@register("embedding_unit")
+def q_embedding_unit(spark, sf):
+    u = idx.embedding_unit(_emb(spark, sf))
+    return u.select("vec_id", F.posexplode("unit_embedding").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")
+    )
+
+
+@register("align_index")
+def q_align_index(spark, sf):
+    return _aligned(spark, sf).select("vec_id", "label", "lang", "n_chars")
+
+
+@register("align_missing")
+def q_align_missing(spark, sf):
+    return idx.align_missing(_emb(spark, sf), _docs(spark, sf))
+
+
+@register("index_quality")
+def q_index_quality(spark, sf):
+    return idx.index_quality(_emb(spark, sf), _docs(spark, sf))
+
+
+@register("knn_cosine")
+def q_knn(spark, sf):
+    hits = idx.knn_cosine(_emb(spark, sf), _aligned(spark, sf), 3, query_id="vec_id")
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("self_retrieval")
+def q_self_retrieval(spark, sf):
+    return idx.self_retrieval(_aligned(spark, sf))
+
+
+@register("catalog_labels")
+def q_catalog_labels(spark, sf):
+    a = _aligned(spark, sf)
+    n = a.agg(F.count(F.lit(1)).cast("long")).scalar()
+    return a.select("vec_id", n.alias("n_documents"))
+
+
+@register("embedding_rows")
+def q_embedding_rows(spark, sf):
+    path = scratch_path(spark, "embedding_map")
+    store.write_embedding_map(_emb(spark, sf), path, label="vec_id")
+    back = store.read_embedding_map(spark, path)
+    return _vec_summary(back, id_col="label")
+
+
+@register("embedding_roundtrip")
+def q_embedding_roundtrip(spark, sf):
+    path = scratch_path(spark, "embeddings")
+    store.write_embeddings(_emb(spark, sf), path)
+    return _vec_summary(spark.read.parquet(path))
+
+
+@register("index_manifest")
+def q_index_manifest(spark, sf):
+    path = scratch_path(spark, "index")
+    store.save_index(_aligned(spark, sf), path)
+    return store.load_index(spark, path)[1]
+
+
+@register("index_roundtrip")
+def q_index_roundtrip(spark, sf):
+    from pertlake.functions.columns import array_l2_norm
+
+    path = scratch_path(spark, "index")
+    store.save_index(_aligned(spark, sf), path)
+    index, _ = store.load_index(spark, path)
+    return index.select("vec_id", "label", F.round(array_l2_norm(F.col("unit_embedding")), 6).alias("unit_norm"))
