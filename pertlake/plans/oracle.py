@@ -331,3 +331,162 @@ ORACLE["index_roundtrip"] = f"""with {VEC}
 select vec_id, label,
        round(sqrt(list_sum(list_transform(embedding, lambda x: power(cast(x as double) / (case when norm < 1e-8 then 1.0 else norm end), 2)))), 6) as unit_norm
 from aligned"""
+
+
+# ---------------------------------------------------------------- retrieval
+
+CATALOG = r"""catalog as (
+  select label, cast(row_number() over (order by label) - 1 as bigint) as vec_id
+  from (select distinct upper(lang) as label from documents) t),
+idx as (select c.label, c.vec_id, e.embedding from catalog c join embeddings e on e.vec_id = c.vec_id),
+catfirst as (select upper(label) as name_key, arg_min(label, vec_id) as label, min(vec_id) as vec_id
+             from idx group by 1),
+ldocs as (
+  select upper(lang) as label, count(*) as n_documents, cast(sum(n_chars) as bigint) as total_chars,
+         'Collection ' || upper(lang) || ': ' || printf('%,d', count(*)) || ' documents, '
+           || printf('%,d', sum(n_chars)) || ' characters. Sources: '
+           || array_to_string(list_sort(list_distinct(list(source))), ', ') || '.' as text
+  from documents group by 1),
+cen as (select list(v order by i) as c from (
+          select i, avg(cast(embedding[i] as double)) as v
+          from (select embedding, generate_subscripts(embedding, 1) as i from idx) t group by i) s),
+cen_n as (select c, sqrt(list_sum(list_transform(c, lambda x: x * x))) as n from cen),
+cq as (select case when n > 1e-8 then list_transform(c, lambda x: x / n) else c end as qv from cen_n),
+idx_n as (select label, vec_id, embedding,
+                 sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from idx),
+fb as (select * from (
+         select label, vec_id, score, cast(row_number() over (order by score desc, vec_id) as bigint) as rank from (
+           select i.label, i.vec_id,
+                  list_inner_product(cq.qv, list_transform(i.embedding, lambda x: cast(x as double) / (case when i.n < 1e-8 then 1.0 else i.n end))) as score
+           from idx_n i, cq) s) r
+       where rank <= 3)"""
+
+
+def _mentions(source: str) -> str:
+    """``source`` yields (query_id, question)."""
+    return rf"""q as ({source}),
+words as (select query_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as pos
+          from (select query_id, regexp_split_to_array(question, '[^\pL\pN_]+') as ws from q) t),
+mentions as (select query_id, cast(pos as bigint) as pos, w as mention from words
+             where regexp_full_match(w, '[A-Z][A-Z0-9]{{1,9}}'))"""
+
+
+HITS = """named as (
+  select m.query_id, cast(row_number() over (partition by m.query_id order by m.pos) as bigint) as rank,
+         c.label, c.vec_id, cast(null as double) as score, 'name' as source_kind
+  from mentions m join catfirst c on m.mention = c.name_key),
+hits as (
+  select * from named
+  union all
+  select q.query_id, fb.rank, fb.label, fb.vec_id, fb.score, 'similarity' as source_kind
+  from q, fb where q.query_id not in (select query_id from named))"""
+
+PROMPT = """ctx as (
+  select query_id, string_agg('### Data for ' || h.label || ' ###' || chr(10) || d.text, chr(10) || chr(10) order by h.rank) as context
+  from hits h join ldocs d on h.label = d.label where h.rank <= 3 group by query_id),
+src as (select query_id, string_agg(label, ', ' order by rank) as sources from hits group by query_id),
+prompts as (
+  select q.query_id, q.question,
+         'Context retrieved for this question:' || chr(10) || coalesce(ctx.context, '')
+         || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question:' || chr(10) || q.question
+         || chr(10) || chr(10) || 'Answer from the data above; cite genes and statistics where they help. Sources: '
+         || case when length(coalesce(src.sources, '')) > 0 then src.sources else 'general retrieval' end as prompt,
+         case when length(coalesce(src.sources, '')) > 0 then src.sources else 'general retrieval' end as sources
+  from q left join ctx on q.query_id = ctx.query_id left join src on q.query_id = src.query_id)"""
+
+QUESTIONS = "select doc_id as query_id, text as question from documents"
+
+ORACLE["entity_mentions"] = f"with {_mentions(QUESTIONS)} select * from mentions"
+ORACLE["known_entities"] = f"with {CATALOG}, {_mentions(QUESTIONS)} select * from mentions where mention in (select upper(label) from catalog)"
+ORACLE["retrieve_context"] = f"""with {CATALOG}, {_mentions(QUESTIONS)}, {HITS}
+select query_id, rank, label, vec_id, round(score, 6) as score, source_kind from hits"""
+ORACLE["context_block"] = f"with {CATALOG}, {_mentions(QUESTIONS)}, {HITS}, {PROMPT} select query_id, context from ctx"
+ORACLE["augmented_prompt"] = f"with {CATALOG}, {_mentions(QUESTIONS)}, {HITS}, {PROMPT} select query_id, prompt, sources from prompts"
+
+SYSTEM = """sys as (
+  select 'You help interpret perturbation screens: how knocking out a gene changes the expression of others.' || chr(10)
+         || 'The data cover ' || cast(count(*) as varchar) || ' perturbations: ' || string_agg(label, ', ' order by label) || '.' || chr(10)
+         || 'Rely on the retrieved data, quote genes and fold changes from it, and say so when a perturbation is not in the data.' as system_text
+  from catalog)"""
+ORACLE["system_text"] = f"with {CATALOG}, {SYSTEM} select system_text from sys"
+
+REQUESTS = """requests as (
+  select cast(row_number() over (order by p, t) as bigint) as request_id, p as perturbation, t as question_type
+  from (select label as p from catalog union all select lower(label) from catalog union all select 'ZZ') a
+  cross join (select 'top_effects' as t union all select 'mechanism' union all select 'other') b),
+rq as (
+  select *, replace(case question_type
+      when 'top_effects' then 'Which expression changes are strongest after knocking out {p}?'
+      when 'upregulated' then 'Which genes go up most when {p} is knocked out, and what might that mean biologically?'
+      when 'downregulated' then 'Which genes go down most when {p} is knocked out?'
+      when 'mechanism' then 'From the perturbation data, what biological role does {p} most likely play?'
+      when 'comparison' then 'How does the knockout of {p} compare with the other perturbations in the data?'
+      else 'Describe what happens when {p} is knocked out.' end, '{p}', perturbation) as question
+  from requests)"""
+
+ORACLE["question_templates"] = f"with {CATALOG}, {REQUESTS} select request_id, question from rq"
+ORACLE["lookup_by_name"] = f"""with {CATALOG}, {REQUESTS}
+select r.request_id, r.perturbation as name, c.label, c.vec_id
+from requests r left join catfirst c on upper(r.perturbation) = c.name_key"""
+
+STRUCT = f"""{CATALOG}, {REQUESTS}, {_mentions("select request_id as query_id, question from rq")}, {HITS}, {PROMPT},
+meta as (select upper(label) as name_key, arg_min(label, 0) as label, arg_min(n_documents, 0) as n_documents,
+                arg_min(total_chars, 0) as total_chars from ldocs group by 1)"""
+ORACLE["structured_requests"] = f"""with {STRUCT}
+select r.request_id, r.perturbation, r.question_type, r.question, p.prompt, p.sources, m.label as matched_label,
+       cast(2 as bigint) as n_messages, cast(null as varchar) as answer
+from rq r left join prompts p on r.request_id = p.query_id left join meta m on upper(r.perturbation) = m.name_key"""
+ORACLE["structured_metadata"] = f"""with {STRUCT}
+select r.request_id, m.label as matched_label, m.n_documents, m.total_chars
+from rq r left join meta m on upper(r.perturbation) = m.name_key"""
+
+
+# ---------------------------------------------------------------- dialogue
+
+MESSAGES = """messages as (
+  select conv_id, turn, role, text,
+         case when role = 'user' and length(text) % 7 = 0 then 1 else 0 end as reset_flag from conversations),
+turns as (select *, cast(sum(reset_flag) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as segment_id
+          from messages where role <> 'system'),
+hist as (select *, list({'role': role, 'content': text}) over (partition by conv_id, segment_id order by turn
+                                                               rows between 6 preceding and 1 preceding) as history
+         from turns)"""
+
+ORACLE["chat_segments"] = """select conv_id, turn,
+  cast(sum(case when role = 'user' and length(text) % 7 = 0 then 1 else 0 end)
+       over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as segment_id
+from conversations"""
+ORACLE["chat_history"] = f"""with {MESSAGES}
+select conv_id, turn, cast(coalesce(len(history), 0) as bigint) as n_history,
+       coalesce(array_to_string(list_transform(history, lambda x: x.role), ','), '') as history_roles,
+       coalesce(array_to_string(list_transform(history, lambda x: x.content), chr(10)), '') as history_text
+from hist"""
+ORACLE["turn_pairs"] = """select conv_id, turn, question, answer from (
+  select conv_id, turn, role, text as question,
+         case when lead(role) over w = 'assistant' then lead(text) over w end as answer
+  from conversations where role <> 'system' window w as (partition by conv_id order by turn)) t
+where role = 'user'"""
+ORACLE["role_split"] = """select conv_id, arg_max(text, turn) filter (where role = 'system') as system_text,
+       cast(count_if(role <> 'system') as bigint) as n_turns
+from conversations group by conv_id"""
+ORACLE["message_list"] = f"""with {CATALOG}, {MESSAGES}, {SYSTEM},
+{_mentions("select {'conv_id': conv_id, 'turn': turn} as query_id, text as question from conversations where role = 'user'")},
+{HITS}, {PROMPT}
+select h.conv_id, h.turn, cast(coalesce(len(h.history), 0) + 2 as bigint) as n_messages,
+       'system' || case when coalesce(len(h.history), 0) > 0 then ',' || array_to_string(list_transform(h.history, lambda x: x.role), ',') else '' end || ',user' as roles,
+       p.prompt as user_prompt
+from hist h join prompts p on p.query_id.conv_id = h.conv_id and p.query_id.turn = h.turn
+where h.role = 'user'"""
+ORACLE["best_checkpoint"] = """select run_id, epoch, val_loss,
+       val_loss is not null and (prev is null or val_loss < prev) as is_best from (
+  select user_id as run_id, event_id as epoch, value as val_loss,
+         min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as prev
+  from events) t"""
+ORACLE["best_epoch"] = """with f as (
+  select user_id as run_id, event_id as epoch, value as val_loss,
+         min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as prev
+  from events)
+select run_id, arg_min(epoch, {'l': val_loss, 'e': epoch}) filter (where val_loss is not null) as best_epoch,
+       min(val_loss) as best_loss,
+       cast(count_if(val_loss is not null and (prev is null or val_loss < prev)) as bigint) as n_improvements
+from f group by run_id"""

@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pertlake.operators import dialogue as dlg
 from pertlake.operators import effects as eff
 from pertlake.operators import index as idx
 from pertlake.operators import profiles as prof
+from pertlake.operators import retrieval as ret
 from pertlake.operators import summaries as summ
 from pertlake.plans import adapters as ad
 from pertlake.session import scratch_path
@@ -307,3 +309,145 @@ def q_index_roundtrip(spark, sf):
     store.save_index(_aligned(spark, sf), path)
     index, _ = store.load_index(spark, path)
     return index.select("vec_id", "label", F.round(array_l2_norm(F.col("unit_embedding")), 6).alias("unit_norm"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _index(spark, sf):
+    """Collection catalogue joined with its vectors (label, vec_id, embedding)."""
+    cat = ad.catalog(spark, sf)
+    return cat.join(_emb(spark, sf).select("vec_id", "embedding"), "vec_id")
+
+
+def _ldocs(spark, sf):
+    return ret.label_documents(_docs(spark, sf))
+
+
+def _hits(spark, sf):
+    return ret.retrieve_context(ad.questions(spark, sf), _index(spark, sf))
+
+
+@register("entity_mentions")
+def q_entity_mentions(spark, sf):
+    return ret.entity_mentions(ad.questions(spark, sf))
+
+
+@register("known_entities")
+def q_known_entities(spark, sf):
+    return ret.known_entities(ret.entity_mentions(ad.questions(spark, sf)), ad.catalog(spark, sf))
+
+
+@register("lookup_by_name")
+def q_lookup_by_name(spark, sf):
+    names = ad.requests(spark, sf).select("request_id", F.col("perturbation").alias("name"))
+    return ret.lookup_by_name(names, ad.catalog(spark, sf)).select("request_id", "name", "label", "vec_id")
+
+
+@register("retrieve_context")
+def q_retrieve_context(spark, sf):
+    h = _hits(spark, sf)
+    return h.select("query_id", "rank", "label", "vec_id", F.round("score", 6).alias("score"), "source_kind")
+
+
+@register("context_block")
+def q_context_block(spark, sf):
+    return ret.context_block(_hits(spark, sf), _ldocs(spark, sf))
+
+
+@register("augmented_prompt")
+def q_augmented_prompt(spark, sf):
+    p = ret.augmented_prompt(ad.questions(spark, sf), _hits(spark, sf), _ldocs(spark, sf))
+    return p.select("query_id", "prompt", "sources")
+
+
+@register("system_text")
+def q_system_text(spark, sf):
+    return ret.system_text(ad.catalog(spark, sf))
+
+
+@register("question_templates")
+def q_question_templates(spark, sf):
+    r = ad.requests(spark, sf)
+    return r.select("request_id", ret.question_from_template(r).alias("question"))
+
+
+def _structured(spark, sf):
+    return ret.structured_requests(ad.requests(spark, sf), _index(spark, sf), _ldocs(spark, sf), ret.system_text(ad.catalog(spark, sf)))
+
+
+@register("structured_requests")
+def q_structured_requests(spark, sf):
+    s = _structured(spark, sf)
+    return s.select(
+        "request_id", "perturbation", "question_type", "question", "prompt", "sources", "matched_label",
+        F.size("messages").cast("long").alias("n_messages"), "answer",
+    )
+
+
+@register("structured_metadata")
+def q_structured_metadata(spark, sf):
+    s = _structured(spark, sf)
+    return s.select(
+        "request_id", "matched_label",
+        F.col("metadata.n_documents").alias("n_documents"), F.col("metadata.total_chars").alias("total_chars"),
+    )
+
+
+# ---------------------------------------------------------------- dialogue
+
+
+@register("chat_segments")
+def q_chat_segments(spark, sf):
+    return dlg.chat_segments(ad.messages(spark, sf)).select("conv_id", "turn", "segment_id")
+
+
+@register("chat_history")
+def q_chat_history(spark, sf):
+    h = dlg.chat_history(ad.messages(spark, sf))
+    return h.select(
+        "conv_id", "turn",
+        F.size("history").cast("long").alias("n_history"),
+        F.array_join(F.transform("history", lambda x: x["role"]), ",").alias("history_roles"),
+        F.array_join(F.transform("history", lambda x: x["content"]), "\n").alias("history_text"),
+    )
+
+
+@register("turn_pairs")
+def q_turn_pairs(spark, sf):
+    return dlg.turn_pairs(ad.messages(spark, sf))
+
+
+@register("role_split")
+def q_role_split(spark, sf):
+    return dlg.role_split(ad.messages(spark, sf))
+
+
+@register("message_list")
+def q_message_list(spark, sf):
+    msgs = ad.messages(spark, sf)
+    users = msgs.filter(F.col("role") == "user").select(
+        F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("question")
+    )
+    hits = ret.retrieve_context(users, _index(spark, sf))
+    prompts = ret.augmented_prompt(users, hits, _ldocs(spark, sf)).select(
+        F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"), "prompt"
+    )
+    sys_txt = ret.system_text(ad.catalog(spark, sf)).select("system_text").scalar()
+    ml = dlg.message_list(dlg.chat_history(msgs), sys_txt, prompts)
+    return ml.select(
+        "conv_id", "turn",
+        F.size("messages").cast("long").alias("n_messages"),
+        F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+        F.element_at("messages", -1)["content"].alias("user_prompt"),
+    )
+
+
+@register("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    return dlg.best_checkpoint(ad.metrics(spark, sf)).select("run_id", "epoch", "val_loss", "is_best")
+
+
+@register("best_epoch")
+def q_best_epoch(spark, sf):
+    return dlg.best_epoch(ad.metrics(spark, sf))
