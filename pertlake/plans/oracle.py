@@ -490,3 +490,52 @@ select run_id, arg_min(epoch, {'l': val_loss, 'e': epoch}) filter (where val_los
        min(val_loss) as best_loss,
        cast(count_if(val_loss is not null and (prev is null or val_loss < prev)) as bigint) as n_improvements
 from f group by run_id"""
+
+
+# ---------------------------------------------------------------- extensions and streams
+
+ORACLE["guide_to_gene"] = f"""with {EFFECTS}
+select perturbation, effect_gene, round(avg(log2fc), 6) as log2fc, min(coalesce(padj, 1.0)) as padj,
+       round(avg(score), 6) as score, cast(count(*) as bigint) as n_guides
+from effects group by perturbation, effect_gene"""
+
+
+def _grouped_summary(effects_cte: str, keys: list[str], order: str) -> str:
+    k = ", ".join(keys)
+    on = " and ".join(f"agg.{c} is not distinct from best.{c}" for c in keys)
+    return f"""with {effects_cte},
+s as (select *, coalesce(padj, 1.0) < 0.05 as sig from effects),
+agg as (
+  select {k},
+         cast(count_if(sig) as bigint) as n_significant,
+         cast(count_if(sig and log2fc > 0) as bigint) as n_upregulated,
+         cast(count_if(sig and log2fc < 0) as bigint) as n_downregulated,
+         coalesce(max(case when sig then log2fc end), cast(0.0 as double)) as max_log2fc,
+         coalesce(min(case when sig then log2fc end), cast(0.0 as double)) as min_log2fc
+  from s group by {k}),
+best as (
+  select {k}, effect_gene as strongest_gene, log2fc as strongest_log2fc from (
+    select *, row_number() over (partition by {k} order by {order}) as rn from s where sig) t
+  where rn = 1)
+select {", ".join("agg." + c for c in keys)}, n_significant, n_upregulated, n_downregulated,
+       cast(least(n_upregulated, 20) as bigint) as n_up_shown,
+       cast(least(n_downregulated, 20) as bigint) as n_down_shown,
+       max_log2fc, min_log2fc, strongest_gene, strongest_log2fc
+from agg left join best on {on}"""
+
+
+ORACLE["summary_by_variant"] = _grouped_summary(EFFECTS, ["perturbation", "cell_type"], ORDER)
+ORACLE["multi_dataset_summary"] = _grouped_summary(
+    """e1 as (""" + EFFECTS[len("effects as ("):] + """,
+e2 as (""" + EFFECTS_SPARSE[len("effects as ("):] + """,
+effects as (
+  select 'suppliers' as dataset, perturbation, effect_gene, log2fc, padj, score, cell_type,
+         l_orderkey, l_linenumber, l_partkey, cast(null as bigint) as l_suppkey from e1
+  union all
+  select 'orders' as dataset, perturbation, effect_gene, log2fc, padj, score, cast(null as varchar) as cell_type,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey from e2)""",
+    ["dataset", "perturbation"],
+    ORDER_SPARSE + " nulls last",
+)
+ORACLE["incremental_refresh"] = ORACLE["documents_text"]
+ORACLE["stream_history"] = ORACLE["chat_history"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pertlake.operators import dialogue as dlg
 from pertlake.operators import effects as eff
+from pertlake.operators import embedding as emb
 from pertlake.operators import index as idx
 from pertlake.operators import profiles as prof
 from pertlake.operators import retrieval as ret
@@ -451,3 +452,84 @@ def q_best_checkpoint(spark, sf):
 @register("best_epoch")
 def q_best_epoch(spark, sf):
     return dlg.best_epoch(ad.metrics(spark, sf))
+
+
+# ---------------------------------------------------------------- embedding (O52-O54): rows-only checks
+
+
+def _unit_all_kept(spark, sf):
+    unit = _unit(spark, sf)
+    return unit, prof.top_genes(prof.gene_importance(unit), prof.DEFAULT_MAX_GENES)
+
+
+@register("profile_embedding")
+def q_profile_embedding(spark, sf):
+    unit, kept = _unit_all_kept(spark, sf)
+    return emb.profile_embedding(unit, kept)
+
+
+@register("reconstruction_mse")
+def q_reconstruction_mse(spark, sf):
+    unit, kept = _unit_all_kept(spark, sf)
+    return emb.reconstruction_mse(unit, kept, 16)
+
+
+@register("embedding_sweep")
+def q_embedding_sweep(spark, sf):
+    unit, kept = _unit_all_kept(spark, sf)
+    return emb.reconstruction_sweep(unit, kept)
+
+
+# ---------------------------------------------------------------- extensions (X1-X3) and streams
+
+
+@register("guide_to_gene")
+def q_guide_to_gene(spark, sf):
+    g = summ.guide_to_gene(_effects(spark, sf))
+    return g.select(
+        "perturbation", "effect_gene", F.round("log2fc", 6).alias("log2fc"), "padj",
+        F.round("score", 6).alias("score"), "n_guides",
+    )
+
+
+@register("summary_by_variant")
+def q_summary_by_variant(spark, sf):
+    return summ.perturbation_summary(_effects(spark, sf), group_cols=("perturbation", "cell_type"), tiebreak=T)
+
+
+@register("multi_dataset_summary")
+def q_multi_dataset_summary(spark, sf):
+    both = summ.union_datasets(
+        {"suppliers": _effects(spark, sf), "orders": eff.clean_effects(ad.effects_sparse(spark, sf))}
+    )
+    return summ.perturbation_summary(both, group_cols=("dataset", "perturbation"), tiebreak=ad.SPARSE_TIEBREAK)
+
+
+@register("incremental_refresh")
+def q_incremental_refresh(spark, sf):
+    from pertlake.streaming import refresh
+
+    e = _effects(spark, sf)
+    base = scratch_path(spark, "refresh")
+    src = f"{base}/source"
+    arrival = F.pmod(F.xxhash64("l_orderkey"), F.lit(3))  # every row arrives in one of three waves
+    for wave in range(3):
+        e.filter(arrival == wave).write.mode("append").parquet(src)
+    docs = refresh.incremental_refresh(
+        spark, src, e.schema, f"{base}/effects", f"{base}/documents", f"{base}/_checkpoint", tiebreak=T
+    )
+    return docs.select("perturbation", "text")
+
+
+@register("stream_history")
+def q_stream_history(spark, sf):
+    from pertlake.streaming import history
+
+    m = ad.messages(spark, sf)
+    base = scratch_path(spark, "history")
+    src = f"{base}/source"
+    waves = [F.col("turn") < 2, (F.col("turn") >= 2) & (F.col("turn") < 4), F.col("turn") >= 4]
+    for cond in waves:  # later turns arrive in later waves
+        m.filter(cond).write.mode("append").parquet(src)
+    out = history.stream_history(spark, src, m.schema, f"{base}/out", f"{base}/_checkpoint")
+    return out.select("conv_id", "turn", "n_history", "history_roles", "history_text")
