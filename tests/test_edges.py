@@ -184,3 +184,21 @@ def test_split_sizes(spark):
     for n in (15, 37):  # validation size is ceil(0.2 * n), as in the source split
         val = math.ceil(0.2 * n)
         assert sizes(n) == {"train": n - val, "val": val}
+
+
+def test_chunked_dialogue_windows_equal_single_chunk(spark):
+    rows = []
+    for conv, n in ((1, 23), (2, 9), (3, 2)):
+        for t in range(n):
+            role = "system" if t == 0 else ("user" if t % 2 == 1 else "assistant")
+            rows.append((conv, t * (1 + conv % 2), role, f"c{conv}t{t}", 1 if (t % 7 == 3 and role == "user") else 0))
+    msgs = spark.createDataFrame(rows, MSG)
+
+    def run(chunk):
+        seg = sorted(map(tuple, dlg.chat_segments(msgs, chunk=chunk).select("conv_id", "turn", "segment_id").collect()))
+        hist = sorted((r["conv_id"], r["turn"], tuple((m["role"], m["content"]) for m in r["history"]))
+                      for r in dlg.chat_history(msgs, chunk=chunk).collect())
+        pairs = sorted(map(tuple, dlg.turn_pairs(msgs, chunk=chunk).collect()))
+        return seg, hist, pairs
+
+    assert run(2) == run(3) == run(4096)
