@@ -171,6 +171,23 @@ def knn_cosine(
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def knn_single(query: Column, index: DataFrame, k: int = DEFAULT_K, index_id: str = "vec_id",
+               index_vec: str = "embedding") -> DataFrame:
+    """O25 for one query vector (an array-valued column, e.g. a scalar subquery).
+
+    One scan of the index computing the cosine in the JVM, then a global top-k
+    (TakeOrderedAndProject: each task keeps k rows). Returns ``(rank, id, score)``.
+    """
+    x = index.select(
+        F.col(index_id).cast("long").alias("id"),
+        array_unit(F.col(index_vec), "identity").alias("v"),
+        query.alias("_q"),  # projected first: lambdas may not hold a subquery
+    ).select("id", "v", query_unit(F.col("_q")).alias("_q"))
+    scored = x.select("id", F.aggregate(F.zip_with("v", "_q", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v).alias("score"))
+    top = scored.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("id").asc())).cast("long").alias("rank"), "id", "score")
+
+
 def self_retrieval(index: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Does every indexed vector find itself first (or an equally close twin)?
 

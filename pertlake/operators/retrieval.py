@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pertlake.functions.columns import entity_words, is_entity, thousands
-from pertlake.operators.index import centroid_vector, knn_cosine
+from pertlake.operators.index import centroid_vector, knn_single
 
 DEFAULT_K = 3
 
@@ -69,8 +69,8 @@ def fallback_hits(index: DataFrame, k: int = DEFAULT_K, id_col: str = "vec_id",
 
     One query (the centroid); the result has at most k rows.
     """
-    centroid = centroid_vector(index, vec).select(F.lit(-1).cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
-    hits = knn_cosine(centroid, index, k, query_id="query_id", query_vec="embedding", index_id=id_col, index_vec=vec)
+    centroid = centroid_vector(index, vec).select("centroid").scalar()
+    hits = knn_single(centroid, index, k, index_id=id_col, index_vec=vec)
     labels = index.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"))
     return hits.join(labels, "id").select("rank", F.col("id").alias("vec_id"), "label", "score")
 

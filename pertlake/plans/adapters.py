@@ -86,8 +86,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat = catalog(spark, sf_dir)
+def requests(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None) -> DataFrame:
+    cat = catalog(spark, sf_dir) if cat is None else cat
     names = (
         cat.select(F.col("label").alias("p"))
         .unionByName(cat.select(F.lower("label").alias("p")))

@@ -315,9 +315,9 @@ def q_index_roundtrip(spark, sf):
 # ---------------------------------------------------------------- retrieval
 
 
-def _index(spark, sf):
+def _index(spark, sf, cat=None):
     """Collection catalogue joined with its vectors (label, vec_id, embedding)."""
-    cat = ad.catalog(spark, sf)
+    cat = ad.catalog(spark, sf) if cat is None else cat
     return cat.join(_emb(spark, sf).select("vec_id", "embedding"), "vec_id")
 
 
@@ -341,8 +341,9 @@ def q_known_entities(spark, sf):
 
 @register("lookup_by_name")
 def q_lookup_by_name(spark, sf):
-    names = ad.requests(spark, sf).select("request_id", F.col("perturbation").alias("name"))
-    return ret.lookup_by_name(names, ad.catalog(spark, sf)).select("request_id", "name", "label", "vec_id")
+    cat = ad.catalog(spark, sf)
+    names = ad.requests(spark, sf, cat).select("request_id", F.col("perturbation").alias("name"))
+    return ret.lookup_by_name(names, cat).select("request_id", "name", "label", "vec_id")
 
 
 @register("retrieve_context")
@@ -374,7 +375,8 @@ def q_question_templates(spark, sf):
 
 
 def _structured(spark, sf):
-    return ret.structured_requests(ad.requests(spark, sf), _index(spark, sf), _ldocs(spark, sf), ret.system_text(ad.catalog(spark, sf)))
+    cat = ad.catalog(spark, sf)
+    return ret.structured_requests(ad.requests(spark, sf, cat), _index(spark, sf, cat), _ldocs(spark, sf), ret.system_text(cat))
 
 
 @register("structured_requests")
@@ -430,11 +432,12 @@ def q_message_list(spark, sf):
     users = msgs.filter(F.col("role") == "user").select(
         F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("question")
     )
-    hits = ret.retrieve_context(users, _index(spark, sf))
+    cat = ad.catalog(spark, sf)
+    hits = ret.retrieve_context(users, _index(spark, sf, cat))
     prompts = ret.augmented_prompt(users, hits, _ldocs(spark, sf)).select(
         F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"), "prompt"
     )
-    sys_txt = ret.system_text(ad.catalog(spark, sf)).select("system_text").scalar()
+    sys_txt = ret.system_text(cat).select("system_text").scalar()
     ml = dlg.message_list(dlg.chat_history(msgs), sys_txt, prompts)
     return ml.select(
         "conv_id", "turn",
