@@ -1,12 +1,13 @@
 """Per-perturbation summaries, rankings and documents.
 
-Shuffle plan: the summary is one hash aggregate on the group key (partial
-aggregation before the shuffle, so a hot perturbation costs one partial row per
-map task). The top-N ranking is a window with ``row_number() <= N``, which Spark
-plans as a partial ``WindowGroupLimit`` before the shuffle, so at most N rows per
-group and map task cross the network. Cell types pre-aggregate on
-(group, cell type). The document is three joins of per-group tables that are all
-hash-partitioned on the group key.
+Shuffle plan: the counts are one hash aggregate on the group key over fixed-width
+buffers (partial aggregation before the shuffle, so a hot perturbation costs one
+partial row per map task, and no sort). Rankings are windows with
+``row_number() <= N`` over the significant rows only, which Spark plans as a
+partial ``WindowGroupLimit`` before the shuffle, so at most N rows per group,
+direction and map task cross the network; the strongest effect is taken from the
+rank-1 rows. Cell types pre-aggregate on (group, cell type). The document joins
+per-group tables that are all hash-partitioned on the group key.
 """
 
 from __future__ import annotations
@@ -30,37 +31,59 @@ from pertlake.functions.columns import (
 from pertlake.operators.effects import significant_effects
 
 GROUP = ("perturbation",)
+# Group keys that cleaning guarantees to be non-NULL.
+NON_NULL_KEYS = ("perturbation", "dataset")
 
 
 def _sig(threshold: float) -> Column:
     return F.col("padj") < F.lit(float(threshold))
 
 
-def perturbation_summary(
+def _ranked(
     effects: DataFrame,
-    threshold: float = DEFAULT_THRESHOLD,
-    top_n: int = DEFAULT_TOP_N,
-    group_cols: Sequence[str] = GROUP,
-    tiebreak: tuple[str, ...] = (),
+    top_n: int,
+    threshold: float,
+    group_cols: Sequence[str],
+    tiebreak: tuple[str, ...],
 ) -> DataFrame:
-    """O13 + O17: one row per group, **including groups without a significant row**.
+    """Significant rows ranked by |score| within (group, direction), first ``top_n`` kept.
 
-    Conditional aggregates (never filter-then-group): n_significant, n_upregulated,
-    n_downregulated, the shown counts (capped at ``top_n``), max/min log2fc over
-    significant rows (0.0 when none) and the strongest effect by |score|.
+    Direction is 'up', 'down' or 'zero' (log2fc = 0, significant but in neither
+    list). ``row_number() <= top_n`` is planned with a partial WindowGroupLimit
+    before the shuffle; only significant rows are sorted.
     """
+    sig = significant_effects(effects, threshold).withColumn(
+        "direction", F.coalesce(direction(F.col("log2fc")), F.lit("zero"))
+    )
+    w = Window.partitionBy(*group_cols, "direction").orderBy(*effect_order(tiebreak))
+    ranked = sig.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
+
+
+def _strongest(ranked: DataFrame, group_cols: Sequence[str], tiebreak: tuple[str, ...]) -> DataFrame:
+    """O17 from the rank-1 rows of each direction (at most three rows per group)."""
+    return (
+        ranked.filter(F.col("rank") == 1)
+        .groupBy(*group_cols)
+        .agg(
+            F.min_by(
+                F.struct(F.col("effect_gene").alias("gene"), F.col("log2fc").alias("log2fc")),
+                effect_order_struct(tiebreak),
+            ).alias("_s")
+        )
+        .select(*group_cols, F.col("_s.gene").alias("strongest_gene"), F.col("_s.log2fc").alias("strongest_log2fc"))
+    )
+
+
+def _counts(effects: DataFrame, threshold: float, top_n: int, group_cols: Sequence[str]) -> DataFrame:
+    """Fixed-width conditional aggregates: a hash aggregate with partial aggregation."""
     sig = _sig(threshold)
-    order = effect_order_struct(tiebreak)
     agg = effects.groupBy(*group_cols).agg(
         F.count_if(sig).cast("long").alias("n_significant"),
         F.count_if(sig & (F.col("log2fc") > 0)).cast("long").alias("n_upregulated"),
         F.count_if(sig & (F.col("log2fc") < 0)).cast("long").alias("n_downregulated"),
         F.coalesce(F.max(F.when(sig, F.col("log2fc"))), F.lit(0.0)).alias("max_log2fc"),
         F.coalesce(F.min(F.when(sig, F.col("log2fc"))), F.lit(0.0)).alias("min_log2fc"),
-        F.min_by(
-            F.struct(F.col("effect_gene").alias("gene"), F.col("log2fc").alias("log2fc")),
-            F.when(sig, order),
-        ).alias("_strongest"),
     )
     return agg.select(
         *group_cols,
@@ -71,11 +94,43 @@ def perturbation_summary(
         F.least(F.col("n_downregulated"), F.lit(top_n).cast("long")).alias("n_down_shown"),
         "max_log2fc",
         "min_log2fc",
-        F.col("_strongest.gene").alias("strongest_gene"),
-        F.col("_strongest.log2fc").alias("strongest_log2fc"),
     )
 
 
+def _join_keys(left: DataFrame, right: DataFrame, group_cols: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on the group keys; NULL keys (e.g. a missing cell type) match each other.
+
+    Keys that are never NULL (``perturbation`` after cleaning, ``dataset``) use plain
+    equality, so the join reuses the hash partitioning of the aggregates.
+    """
+    r = right
+    for c in group_cols:
+        r = r.withColumnRenamed(c, f"_rk_{c}")
+    cond = [
+        (F.col(c) == F.col(f"_rk_{c}")) if c in NON_NULL_KEYS else F.col(c).eqNullSafe(F.col(f"_rk_{c}"))
+        for c in group_cols
+    ]
+    return left.join(r, cond, how).drop(*[f"_rk_{c}" for c in group_cols])
+
+
+def perturbation_summary(
+    effects: DataFrame,
+    threshold: float = DEFAULT_THRESHOLD,
+    top_n: int = DEFAULT_TOP_N,
+    group_cols: Sequence[str] = GROUP,
+    tiebreak: tuple[str, ...] = (),
+) -> DataFrame:
+    """O13 + O17: one row per group, **including groups without a significant row**.
+
+    Conditional aggregates (never filter-then-group): n_significant, n_upregulated,
+    n_downregulated, the shown counts (capped at ``top_n``), max/min log2fc over
+    significant rows (0.0 when none), plus the strongest effect by |score|.
+    """
+    counts = _counts(effects, threshold, top_n, group_cols)
+    best = _strongest(_ranked(effects, 1, threshold, group_cols, tiebreak), group_cols, tiebreak)
+    return _join_keys(counts, best, group_cols)
+
+
 def strongest_effect(
     effects: DataFrame,
     threshold: float = DEFAULT_THRESHOLD,
@@ -84,12 +139,9 @@ def strongest_effect(
 ) -> DataFrame:
     """The rank-1 significant row per group by |score| (groups with hits only)."""
     sig = significant_effects(effects, threshold)
-    best = sig.groupBy(*group_cols).agg(
-        F.min_by(
-            F.struct("effect_gene", "log2fc", "padj", "score"), effect_order_struct(tiebreak)
-        ).alias("_b")
-    )
-    return best.select(*group_cols, "_b.effect_gene", "_b.log2fc", "_b.padj", "_b.score")
+    w = Window.partitionBy(*group_cols).orderBy(*effect_order(tiebreak))
+    best = sig.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    return best.select(*group_cols, "effect_gene", "log2fc", "padj", "score")
 
 
 def top_effects(
@@ -100,11 +152,7 @@ def top_effects(
     tiebreak: tuple[str, ...] = (),
 ) -> DataFrame:
     """Top-N up and top-N down significant effects per group by |score|."""
-    sig = significant_effects(effects, threshold).withColumn("direction", direction(F.col("log2fc")))
-    sig = sig.filter(F.col("direction").isNotNull())
-    w = Window.partitionBy(*group_cols, "direction").orderBy(*effect_order(tiebreak))
-    ranked = sig.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-    return ranked.withColumn("rank", F.col("rank").cast("long"))
+    return _ranked(effects, top_n, threshold, group_cols, tiebreak).filter(F.col("direction") != "zero")
 
 
 def gene_lines(top: DataFrame) -> DataFrame:
@@ -171,12 +219,12 @@ def documents(
     Every group gets a document, also one with no significant row (its lists read
     "(none)" and its strongest effect is "none").
     """
-    keys = list(group_cols)
-    summary = perturbation_summary(effects, threshold, top_n, group_cols, tiebreak)
-    lists = top_gene_lists(top_effects(effects, top_n, threshold, group_cols, tiebreak), group_cols)
-    d = summary.join(lists, keys, "left")
+    ranked = _ranked(effects, top_n, threshold, group_cols, tiebreak)
+    summary = _join_keys(_counts(effects, threshold, top_n, group_cols), _strongest(ranked, group_cols, tiebreak), group_cols)
+    lists = top_gene_lists(ranked.filter(F.col("direction") != "zero"), group_cols)
+    d = _join_keys(summary, lists, group_cols)
     if "cell_type" in effects.columns:
-        d = d.join(cell_type_phrase(effects, threshold, group_cols, tiebreak), keys, "left")
+        d = _join_keys(d, cell_type_phrase(effects, threshold, group_cols, tiebreak), group_cols)
     else:
         d = d.withColumn("cell_types", F.lit(None).cast("array<string>")).withColumn(
             "cell_type_phrase", F.lit(None).cast("string")
