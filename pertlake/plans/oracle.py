@@ -539,3 +539,15 @@ effects as (
 )
 ORACLE["incremental_refresh"] = ORACLE["documents_text"]
 ORACLE["stream_history"] = ORACLE["chat_history"]
+
+
+# ---------------------------------------------------------------- sources round trips
+
+ORACLE["read_effects"] = f"""with {EFFECTS}
+select perturbation, effect_gene, log2fc, coalesce(padj, 1.0) as padj, score, cell_type,
+       cast(l_orderkey as bigint) as l_orderkey, cast(l_linenumber as bigint) as l_linenumber,
+       cast(l_partkey as bigint) as l_partkey
+from effects"""
+ORACLE["documents_json"] = f"""with q as ({ORACLE["document_metadata"]})
+select perturbation, n_significant, n_upregulated, n_downregulated, top_up_genes, top_down_genes,
+       max_log2fc, min_log2fc from q"""

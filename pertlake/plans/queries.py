@@ -193,7 +193,45 @@ def q_catalog_genes(spark, sf):
 
 @register("catalog_counts")
 def q_catalog_counts(spark, sf):
-    return prof.catalog_counts(prof.profile_long(_effects(spark, sf)))
+    # The catalogue is written as tables and the counts are read back
+    profile = prof.profile_long(_effects(spark, sf))
+    path = scratch_path(spark, "catalog")
+    store.save_catalog(
+        profile.select("effect_gene").distinct(), profile.select("perturbation").distinct(),
+        prof.catalog_counts(profile), path,
+    )
+    return spark.read.parquet(f"{path}/counts")
+
+
+@register("read_effects")
+def q_read_effects(spark, sf):
+    # Effects written as CSV with the source's header names, read back as text, cleaned
+    path = scratch_path(spark, "effects_csv")
+    store.write_effects_csv(ad.effects(spark, sf), path)
+    back = eff.clean_effects(store.read_effects_csv(spark, path))
+    return back.select(
+        "perturbation", "effect_gene", "log2fc", "padj", "score", "cell_type",
+        *[F.col(c).cast("long").alias(c) for c in T],
+    )
+
+
+@register("documents_json")
+def q_documents_json(spark, sf):
+    # Documents written as JSON lines and read back with the nested schema
+    path = scratch_path(spark, "documents_json")
+    store.write_documents_json(summ.documents(_effects(spark, sf), tiebreak=T), path)
+    d = store.read_documents_json(spark, path)
+    m = "metadata."
+    return d.select(
+        "perturbation",
+        F.col(m + "n_significant").alias("n_significant"),
+        F.col(m + "n_upregulated").alias("n_upregulated"),
+        F.col(m + "n_downregulated").alias("n_downregulated"),
+        F.array_join(m + "top_up_genes", "|").alias("top_up_genes"),
+        F.array_join(m + "top_down_genes", "|").alias("top_down_genes"),
+        F.col(m + "max_log2fc").alias("max_log2fc"),
+        F.col(m + "min_log2fc").alias("min_log2fc"),
+    )
 
 
 @register("profile_wide")
