@@ -46,10 +46,10 @@ def entity_mentions(questions: DataFrame, id_col: str = "query_id", text_col: st
 
 def catalog_by_name(catalog: DataFrame, label: str = "label", order: str = "vec_id") -> DataFrame:
     """One catalogue row per upper-cased name: the first in catalogue order wins."""
-    first = catalog.groupBy(F.upper(label).alias("name_key")).agg(
-        F.min_by(F.struct(*[F.col(c) for c in catalog.columns]), F.col(order)).alias("_r")
-    )
-    return first.select("name_key", "_r.*")
+    w = Window.partitionBy("name_key").orderBy(F.col(order).asc())
+    keyed = catalog.withColumn("name_key", F.upper(label))
+    first = keyed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    return first.select("name_key", *catalog.columns)
 
 
 def known_entities(mentions: DataFrame, catalog: DataFrame, label: str = "label") -> DataFrame:
