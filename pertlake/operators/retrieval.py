@@ -153,13 +153,26 @@ def source_list(hits: DataFrame) -> DataFrame:
     )
 
 
+def _context_and_sources(hits: DataFrame, index_docs: DataFrame, k: int) -> DataFrame:
+    """O41 + O42 in one aggregation over the hits (the retrieval plan runs once)."""
+    j = hits.join(index_docs.select("label", "text"), "label", "left")
+    part = F.concat(F.lit("### Data for "), F.col("label"), F.lit(" ###\n"), F.col("text"))
+    g = j.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when((F.col("rank") <= k) & F.col("text").isNotNull(), F.struct("rank", part.alias("p"))))).alias("_ctx"),
+        F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("_src"),
+    )
+    return g.select(
+        "query_id",
+        F.when(F.size("_ctx") > 0, F.array_join(F.transform("_ctx", lambda x: x["p"]), "\n\n")).alias("context"),
+        F.array_join(F.transform("_src", lambda x: x["label"]), ", ").alias("sources"),
+    )
+
+
 def augmented_prompt(questions: DataFrame, hits: DataFrame, index_docs: DataFrame, k: int = DEFAULT_K,
                      id_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """The user message sent with retrieved context."""
-    ctx = context_block(hits, index_docs, k)
-    src = source_list(hits)
     q = questions.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("question"))
-    j = q.join(ctx, "query_id", "left").join(src, "query_id", "left")
+    j = q.join(_context_and_sources(hits, index_docs, k), "query_id", "left")
     sources = F.when(F.coalesce(F.length("sources"), F.lit(0)) > 0, F.col("sources")).otherwise(F.lit(NO_SOURCES))
     prompt = F.concat(
         F.lit("Context retrieved for this question:\n"), F.coalesce(F.col("context"), F.lit("")),
