@@ -117,3 +117,15 @@ def test_same_result_under_1_and_8_partitions(spark, key):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
 
     assert run(1) == run(8)
+
+
+def test_refresh_batch_replay_is_idempotent(spark):
+    e = _effects(spark)
+    base = scratch_path(spark, "test-replay")
+    batch = e.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 0)
+    for _ in range(2):  # the same batch id twice, as after a failure between write and commit
+        refresh.refresh_batch(batch, 7, f"{base}/eff", f"{base}/docs", n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
+    assert spark.read.parquet(f"{base}/eff").count() == batch.count()
+    want = summ.documents(batch, tiebreak=ad.EFFECT_TIEBREAK).select("perturbation", "text")
+    got = spark.read.parquet(f"{base}/docs").select("perturbation", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
