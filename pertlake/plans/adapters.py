@@ -37,9 +37,11 @@ def _score():
     return (F.col("l_quantity") - F.lit(25.0)) * (F.lit(1) + F.col("l_linenumber")) / F.lit(4.0)
 
 
-def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def effects(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``extra`` lineitem columns are carried through unchanged (e.g. the ship date
+    used as arrival time by the refresh stream)."""
     li = _li(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", *extra
     )
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
@@ -56,6 +58,7 @@ def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
+        *extra,
     )
 
 

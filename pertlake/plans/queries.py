@@ -550,12 +550,14 @@ def q_multi_dataset_summary(spark, sf):
 def q_incremental_refresh(spark, sf):
     from pertlake.streaming import refresh
 
-    e = _effects(spark, sf)
+    e = eff.clean_effects(ad.effects(spark, sf, extra=("l_shipdate",)))
     base = scratch_path(spark, "refresh")
     src = f"{base}/source"
-    arrival = F.pmod(F.xxhash64("l_orderkey"), F.lit(3))  # every row arrives in one of three waves
-    for wave in range(3):
-        e.filter(arrival == wave).write.mode("append").parquet(src)
+    # rows arrive by ship date in three waves that together hold every row
+    year = F.year("l_shipdate")
+    waves = [year < 1995, (year >= 1995) & (year < 1997), (year >= 1997) | year.isNull()]
+    for wave in waves:
+        e.filter(wave).write.mode("append").parquet(src)
     docs = refresh.incremental_refresh(
         spark, src, e.schema, f"{base}/effects", f"{base}/documents", f"{base}/_checkpoint", tiebreak=T
     )
