@@ -229,7 +229,18 @@ def documents(
         d = d.withColumn("cell_types", F.lit(None).cast("array<string>")).withColumn(
             "cell_type_phrase", F.lit(None).cast("string")
         )
+    return render_documents(d, threshold, group_cols)
 
+
+def render_documents(d: DataFrame, threshold: float = DEFAULT_THRESHOLD, group_cols: Sequence[str] = GROUP) -> DataFrame:
+    """Text and metadata of O38/O39 from the per-group inputs.
+
+    ``d`` holds the counts (n_significant, n_upregulated, n_downregulated,
+    n_up_shown, n_down_shown, max_log2fc, min_log2fc), the strongest effect
+    (strongest_gene, strongest_log2fc), the ranked lists ``up``/``down`` (arrays
+    of structs with effect_gene, log2fc, padj, score, strongest first), the name
+    lists top_up_genes/top_down_genes and cell_types/cell_type_phrase.
+    """
     label = F.concat_ws(" / ", *[F.col(c).cast("string") for c in group_cols])
     has_up = F.coalesce(F.size("up"), F.lit(0)) > 0
     has_down = F.coalesce(F.size("down"), F.lit(0)) > 0
@@ -288,6 +299,134 @@ def documents(
     return d.select(*group_cols, text.alias("text"), metadata.alias("metadata"))
 
 
+# ---------------------------------------------------------------------------
+# Mergeable document state (used by the refresh stream, S1)
+#
+# Every input of a document is a mergeable aggregate: counts add up, max/min
+# combine, the top-N of a union is the top-N of the parts' top-N lists (the order
+# is total), and a cell type's first appearance is the minimum of the parts'. So a
+# document can be refreshed from its old state and the state of the new rows
+# alone, without re-reading the rows it was built from. The state has one row per
+# group of bounded width (at most 2 x top_n + 1 effects plus the distinct cell types).
+# ---------------------------------------------------------------------------
+
+_ENTRY_FIELDS = ("effect_gene", "log2fc", "padj", "score")
+
+
+def _entry(tiebreak: tuple[str, ...]) -> Column:
+    return F.struct(effect_order_struct(tiebreak).alias("o"), *[F.col(c) for c in _ENTRY_FIELDS])
+
+
+def document_state(
+    effects: DataFrame,
+    top_n: int = DEFAULT_TOP_N,
+    threshold: float = DEFAULT_THRESHOLD,
+    group_cols: Sequence[str] = GROUP,
+    tiebreak: tuple[str, ...] = (),
+) -> DataFrame:
+    """Mergeable per-group state of the documents of ``effects``.
+
+    Columns: group keys, n_significant, n_upregulated, n_downregulated (BIGINT),
+    max_sig/min_sig (NULL without significant rows), ``up``/``down``/``zero``
+    (arrays of struct(o, effect_gene, log2fc, padj, score), ascending ``o`` =
+    strongest first, at most top_n / top_n / 1 entries) and ``cells`` (array of
+    struct(o, cell_type): first appearance of each cell type). Same plan shape as
+    the batch documents: a hash aggregate and partial-limited windows.
+    """
+    if "cell_type" not in effects.columns:
+        effects = effects.withColumn("cell_type", F.lit(None).cast("string"))
+    sig = _sig(threshold)
+    counts = effects.groupBy(*group_cols).agg(
+        F.count_if(sig).cast("long").alias("n_significant"),
+        F.count_if(sig & (F.col("log2fc") > 0)).cast("long").alias("n_upregulated"),
+        F.count_if(sig & (F.col("log2fc") < 0)).cast("long").alias("n_downregulated"),
+        F.max(F.when(sig, F.col("log2fc"))).alias("max_sig"),
+        F.min(F.when(sig, F.col("log2fc"))).alias("min_sig"),
+    )
+    ranked = _ranked(effects, top_n, threshold, group_cols, tiebreak)
+    entry = _entry(tiebreak)
+    lists = ranked.groupBy(*group_cols).agg(
+        *[
+            F.array_sort(F.collect_list(F.when((F.col("direction") == d) & (F.col("rank") <= n), entry))).alias(d)
+            for d, n in (("up", top_n), ("down", top_n), ("zero", 1))
+        ]
+    )
+    first = (
+        significant_effects(effects, threshold)
+        .filter(F.col("cell_type").isNotNull())
+        .groupBy(*group_cols, "cell_type")
+        .agg(F.min(effect_order_struct(tiebreak)).alias("o"))
+    )
+    cells = first.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct("o", "cell_type"))).alias("cells"))
+    st = _join_keys(_join_keys(counts, lists, group_cols), cells, group_cols)
+    empty = F.array()
+    return st.select(
+        *group_cols, "n_significant", "n_upregulated", "n_downregulated", "max_sig", "min_sig",
+        *[F.coalesce(F.col(c), empty.cast(st.schema[c].dataType)).alias(c) for c in ("up", "down", "zero", "cells")],
+    )
+
+
+def _first_per_cell(arr: Column) -> Column:
+    """Keep the first entry of each cell type in an array sorted by ``o``."""
+    return F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, 1, i), lambda y: y["cell_type"] == x["cell_type"]))
+
+
+def merge_document_state(states: DataFrame, top_n: int = DEFAULT_TOP_N, group_cols: Sequence[str] = GROUP) -> DataFrame:
+    """Combine several state rows per group into one (exact: the merge of top-N lists
+    under a total order is the top-N of the union). A group has one row per part
+    (old state, new rows), so the groups are small whatever the data size."""
+    g = states.groupBy(*group_cols).agg(
+        F.sum("n_significant").cast("long").alias("n_significant"),
+        F.sum("n_upregulated").cast("long").alias("n_upregulated"),
+        F.sum("n_downregulated").cast("long").alias("n_downregulated"),
+        F.max("max_sig").alias("max_sig"),
+        F.min("min_sig").alias("min_sig"),
+        *[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("up", "down", "zero", "cells")],
+    )
+    return g.select(
+        *group_cols, "n_significant", "n_upregulated", "n_downregulated", "max_sig", "min_sig",
+        F.slice("up", 1, top_n).alias("up"),
+        F.slice("down", 1, top_n).alias("down"),
+        F.slice("zero", 1, 1).alias("zero"),
+        _first_per_cell(F.col("cells")).alias("cells"),
+    )
+
+
+def documents_from_state(
+    state: DataFrame,
+    top_n: int = DEFAULT_TOP_N,
+    threshold: float = DEFAULT_THRESHOLD,
+    group_cols: Sequence[str] = GROUP,
+) -> DataFrame:
+    """O38/O39 documents rendered from the mergeable state (same text and metadata
+    as :func:`documents` over the rows the state summarises)."""
+    heads = F.filter(
+        F.array(*[F.get(F.col(c), 0) for c in ("up", "down", "zero")]), lambda x: x.isNotNull()
+    )
+    strongest = F.array_min(heads)
+    has_cells = F.size("cells") > 0
+    cell_names = F.transform("cells", lambda x: x["cell_type"])
+    d = state.select(
+        *group_cols,
+        "n_significant",
+        "n_upregulated",
+        "n_downregulated",
+        F.least(F.col("n_upregulated"), F.lit(top_n).cast("long")).alias("n_up_shown"),
+        F.least(F.col("n_downregulated"), F.lit(top_n).cast("long")).alias("n_down_shown"),
+        F.coalesce(F.col("max_sig"), F.lit(0.0)).alias("max_log2fc"),
+        F.coalesce(F.col("min_sig"), F.lit(0.0)).alias("min_log2fc"),
+        strongest["effect_gene"].alias("strongest_gene"),
+        strongest["log2fc"].alias("strongest_log2fc"),
+        "up",
+        "down",
+        F.slice(F.transform("up", lambda x: x["effect_gene"]), 1, METADATA_NAMES).alias("top_up_genes"),
+        F.slice(F.transform("down", lambda x: x["effect_gene"]), 1, METADATA_NAMES).alias("top_down_genes"),
+        F.when(has_cells, cell_names).alias("cell_types"),
+        F.when(has_cells, F.array_join(cell_names, ", ")).alias("cell_type_phrase"),
+    )
+    return render_documents(d, threshold, group_cols)
+
+
 def flatten_metadata(docs: DataFrame, group_cols: Sequence[str] = GROUP, sep: str = "|") -> DataFrame:
     """Flat view of O39's metadata (lists joined with ``sep``) for comparison/export."""
     m = "metadata."

@@ -499,7 +499,10 @@ def q_best_epoch(spark, sf):
 
 
 def _unit_all_kept(spark, sf):
-    unit = _unit(spark, sf)
+    # The embedding fits read the profile several times (gene ranking, vectors,
+    # split): write it once to the shared checkpoint folder instead of re-running
+    # the effects joins for every read.
+    unit = prof.materialize(_unit(spark, sf))
     return unit, prof.top_genes(prof.gene_importance(unit), prof.DEFAULT_MAX_GENES)
 
 

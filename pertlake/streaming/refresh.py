@@ -6,33 +6,76 @@ New effect rows arrive as files. Each micro-batch (``foreachBatch``):
    ``bucket = pmod(xxhash64(perturbation), n_buckets)``. The write overwrites only
    the partitions of this batch id, so a replayed batch replaces its own rows
    instead of duplicating them;
-2. finds the buckets it touched (at most ``n_buckets`` values);
-3. rebuilds the documents of every perturbation in those buckets from the effects
-   table (partition pruning reads only the touched buckets) and replaces exactly
-   those bucket partitions of the documents table (dynamic partition overwrite).
+2. summarises its own rows into the mergeable document state (one row per
+   perturbation: counts, max/min, top-N lists, first cell types — see
+   :func:`pertlake.operators.summaries.document_state`). This is a distributed
+   aggregate with partial aggregation and partial top-N, so a perturbation that
+   holds a third of the batch costs one partial row per map task;
+3. merges it with the previous state snapshot of each touched bucket (one row
+   per perturbation on each side) and writes the new snapshot under
+   ``state/data/batch_id=<id>/bucket=<b>``;
+4. renders the documents of the touched buckets from that snapshot and replaces
+   exactly those bucket partitions of the documents table (dynamic partition
+   overwrite); the documents table is never read while it is written;
+5. records ``(bucket, batch_id)`` for the touched buckets in a small manifest
+   (at most ``n_buckets`` rows per batch).
 
+The cost of a batch grows with its own rows and with the state of the buckets
+it touches (bounded by the number of perturbations there x (2 top_n + 1)), never
+with the effect rows seen before. A replayed batch id reads only snapshots of
+earlier batch ids and overwrites its own partitions, so replays are idempotent.
 After any sequence of batches the documents table equals a batch rebuild over
-all rows. Checkpoint and tables live under the shared checkpoint folder unless
-paths are given.
+all rows. Old snapshots can be deleted by a retention job once a later snapshot
+of the same bucket is listed in the manifest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertlake.functions.columns import DEFAULT_THRESHOLD, DEFAULT_TOP_N
-from pertlake.operators.summaries import documents
+from pertlake.operators.summaries import document_state, documents_from_state, merge_document_state
 
-DEFAULT_BUCKETS = 16
+DEFAULT_BUCKETS = 64
 
 
 def _bucket(n: int):
     return F.pmod(F.xxhash64(F.col("perturbation")), F.lit(n)).cast("int")
 
 
+def _overwrite(df: DataFrame, path: str, *partition_cols: str) -> None:
+    """Replace the written partitions only. ``rebalance`` on the partition columns
+    gives about one file per partition; AQE splits a hot partition into several
+    files and merges small ones, so no task writes a file per bucket."""
+    (
+        df.hint("rebalance", *partition_cols)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_cols)
+        .parquet(path)
+    )
+
+
+def _previous_snapshots(spark: SparkSession, manifest: str, batch_id: int, touched: list[int]) -> list[tuple[int, int]]:
+    """(bucket, batch_id) of the latest snapshot before ``batch_id`` of each touched
+    bucket; at most ``n_buckets`` rows reach the driver."""
+    try:
+        m = spark.read.parquet(manifest)
+    except AnalysisException:  # no manifest yet: first batch
+        return []
+    latest = (
+        m.filter((F.col("batch_id") < F.lit(batch_id)) & F.col("bucket").isin(touched))
+        .groupBy("bucket")
+        .agg(F.max("batch_id").alias("v"))
+    )
+    return [(int(r["bucket"]), int(r["v"])) for r in latest.collect()]
+
+
 def refresh_batch(
     batch: DataFrame,
     batch_id: int,
@@ -42,29 +85,39 @@ def refresh_batch(
     top_n: int = DEFAULT_TOP_N,
     threshold: float = DEFAULT_THRESHOLD,
     tiebreak: tuple[str, ...] = (),
+    state_path: str | None = None,
 ) -> None:
     spark = batch.sparkSession
-    (
-        batch.withColumn("bucket", _bucket(n_buckets))
-        .withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket", "batch_id")
-        .parquet(effects_path)
-    )
-    # At most n_buckets values: a bounded collect.
-    touched = [r[0] for r in batch.select(_bucket(n_buckets).alias("b")).distinct().collect()]
-    if not touched:
-        return
-    eff = spark.read.parquet(effects_path).filter(F.col("bucket").isin(touched)).drop("batch_id")
-    docs = documents(eff, top_n, threshold, ("perturbation",), tiebreak)
-    (
-        docs.withColumn("bucket", _bucket(n_buckets))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(documents_path)
-    )
+    state_path = (state_path or documents_path.rstrip("/") + "_state").rstrip("/")
+    data, manifest = f"{state_path}/data", f"{state_path}/_manifest"
+    bid = int(batch_id)
+
+    rows = batch.withColumn("bucket", _bucket(n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _overwrite(rows.withColumn("batch_id", F.lit(bid).cast("long")), effects_path, "bucket", "batch_id")
+        # At most n_buckets values: a bounded collect.
+        touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
+        if not touched:
+            return
+
+        new = document_state(rows.drop("bucket"), top_n, threshold, ("perturbation",), tiebreak)
+        prev = _previous_snapshots(spark, manifest, bid, touched)
+        if prev:
+            paths = [f"{data}/batch_id={v}/bucket={b}" for b, v in prev]
+            old = spark.read.option("basePath", data).parquet(*paths).drop("batch_id", "bucket")
+            new = merge_document_state(old.unionByName(new), top_n)
+        snap = new.withColumn("bucket", _bucket(n_buckets)).withColumn("batch_id", F.lit(bid).cast("long"))
+        _overwrite(snap, data, "batch_id", "bucket")
+
+        # Render from the snapshot just written (no second evaluation of the merge).
+        written = spark.read.option("basePath", data).parquet(*[f"{data}/batch_id={bid}/bucket={b}" for b in touched])
+        docs = documents_from_state(written.drop("batch_id", "bucket"), top_n, threshold)
+        _overwrite(docs.withColumn("bucket", _bucket(n_buckets)), documents_path, "bucket")
+
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int").withColumn("batch_id", F.lit(bid).cast("long"))
+        _overwrite(marks, manifest, "batch_id")
+    finally:
+        rows.unpersist()
 
 
 def incremental_refresh(
@@ -77,12 +130,15 @@ def incremental_refresh(
     n_buckets: int = DEFAULT_BUCKETS,
     max_files_per_trigger: int = 4,
     tiebreak: Sequence[str] = (),
+    state_path: str | None = None,
 ) -> DataFrame:
     """Run the refresh stream over all files available now; return the documents table."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     q = (
         stream.writeStream.foreachBatch(
-            lambda df, bid: refresh_batch(df, bid, effects_path, documents_path, n_buckets, tiebreak=tuple(tiebreak))
+            lambda df, bid: refresh_batch(
+                df, bid, effects_path, documents_path, n_buckets, tiebreak=tuple(tiebreak), state_path=state_path
+            )
         )
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
