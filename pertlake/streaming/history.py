@@ -1,53 +1,101 @@
-"""Per-conversation bounded chat history as streaming state.
+"""Per-conversation bounded chat history with Structured Streaming.
 
-``applyInPandasWithState`` keyed by ``conv_id``; the state is the last N
-non-system messages of the current segment. Each micro-batch's rows of a
-conversation are sorted by turn inside the state function (state functions get
-no order). Turns of a conversation must not arrive in a batch after later turns
-of the same conversation. Output equals the batch operator ``chat_history``.
+Messages arrive as files. Each micro-batch (``foreachBatch``) runs the batch
+operator :func:`pertlake.operators.dialogue.chat_history` over its own messages
+plus a *carry* table: for every conversation seen before, the last ``n``
+non-system messages of its current segment (at most ``n`` rows per
+conversation). History rows are emitted for the batch's messages only, and the
+carry of the batch's conversations is replaced by their new tails.
+
+``chat_history`` splits a long conversation into turn ranges, so a conversation
+holding a third of a batch is spread over many tasks; the carry is taken with a
+partial-limited window (at most ``n`` rows per conversation and map task cross
+the shuffle). State lives in per-bucket snapshots (see
+:mod:`pertlake.streaming.snapshots`), output partitions are keyed by batch id, so a
+replayed batch gives the same rows. Turns of a conversation must not arrive in
+a batch after later turns of the same conversation. Output equals the batch
+operator over all messages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pertlake.operators.dialogue import HISTORY_MESSAGES, chat_history
+from pertlake.streaming import snapshots as snap
 
-from pertlake.operators.dialogue import HISTORY_MESSAGES
+DEFAULT_BUCKETS = 64
+MESSAGE_COLUMNS = ("conv_id", "turn", "role", "text")
 
-OUTPUT_SCHEMA = "conv_id long, turn long, role string, n_history long, history_roles string, history_text string"
-STATE_SCHEMA = "roles array<string>, texts array<string>"
 
+def history_rows(hist: DataFrame) -> DataFrame:
+    """Flat view of the history arrays (count, roles, texts)."""
+    return hist.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.size("history").cast("long").alias("n_history"),
+        F.array_join(F.transform("history", lambda x: x["role"]), ",").alias("history_roles"),
+        F.array_join(F.transform("history", lambda x: x["content"]), "\n").alias("history_text"),
+    )
 
-def _history_state(n: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        roles, texts = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        batch = batch[batch["role"] != "system"].sort_values("turn", kind="stable")
-        out = {k: [] for k in ("conv_id", "turn", "role", "n_history", "history_roles", "history_text")}
-        for turn, role, text, reset in zip(batch["turn"], batch["role"], batch["text"], batch["reset_flag"]):
-            if reset == 1:
-                roles, texts = [], []
-            out["conv_id"].append(int(key[0]))
-            out["turn"].append(int(turn))
-            out["role"].append(role)
-            out["n_history"].append(len(roles))
-            out["history_roles"].append(",".join(roles))
-            out["history_text"].append("\n".join(texts))
-            roles, texts = (roles + [role])[-n:], (texts + [text])[-n:]
-        state.update((roles, texts))
-        yield pd.DataFrame(out, columns=list(out))
 
-    return fn
+def history_batch(
+    batch: DataFrame,
+    batch_id: int,
+    output_path: str,
+    state_path: str,
+    n: int = HISTORY_MESSAGES,
+    n_buckets: int = DEFAULT_BUCKETS,
+) -> None:
+    spark = batch.sparkSession
+    bid = int(batch_id)
+    reset = F.coalesce(F.col("reset_flag"), F.lit(0)) if "reset_flag" in batch.columns else F.lit(0)
+    rows = (
+        batch.filter(F.col("role") != "system")
+        .select(*MESSAGE_COLUMNS, reset.cast("int").alias("reset_flag"), F.lit(False).alias("_carried"))
+        .withColumn("bucket", snap.bucket_of("conv_id", n_buckets))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    hist = None
+    try:
+        touched = snap.touched_buckets(rows)
+        if not touched:
+            return
+        msgs = rows.drop("bucket")
+        convs = msgs.select("conv_id").distinct()
+        old = snap.read_previous(spark, state_path, bid, touched)
+        if old is not None:
+            # The carried messages all belong to the current segment: no reset among them.
+            carried = old.join(convs, "conv_id", "left_semi").select(
+                *MESSAGE_COLUMNS, F.lit(0).alias("reset_flag"), F.lit(True).alias("_carried")
+            )
+            msgs = carried.unionByName(msgs)
+        hist = chat_history(msgs, n).persist(StorageLevel.MEMORY_AND_DISK)
 
+        out = history_rows(hist.filter(~F.col("_carried"))).withColumn("batch_id", F.lit(bid).cast("long"))
+        snap.overwrite(out, output_path, "batch_id", rebalance=False)
 
-def history_stream(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
-    """Streaming (or batch) DataFrame of messages -> history rows per non-system message."""
-    return messages.groupBy("conv_id").applyInPandasWithState(
-        _history_state(n), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+        # New carry: the last n messages of each batch conversation's last segment.
+        last_seg = hist.groupBy("conv_id").agg(F.max("segment_id").alias("_last_seg"))
+        w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+        tail = (
+            hist.join(last_seg, "conv_id")
+            .filter(F.col("segment_id") == F.col("_last_seg"))
+            .withColumn("_r", F.row_number().over(w))
+            .filter(F.col("_r") <= n)
+            .select(*MESSAGE_COLUMNS)
+        )
+        if old is not None:  # conversations of the touched buckets without new messages keep their carry
+            tail = old.join(convs, "conv_id", "left_anti").select(*MESSAGE_COLUMNS).unionByName(tail)
+        snap.write_snapshot(tail, state_path, bid, "conv_id", n_buckets)
+        snap.commit(spark, state_path, bid, touched)
+    finally:
+        if hist is not None:
+            hist.unpersist()
+        rows.unpersist()
 
 
 def stream_history(
@@ -58,15 +106,15 @@ def stream_history(
     checkpoint_path: str,
     n: int = HISTORY_MESSAGES,
     max_files_per_trigger: int = 4,
+    n_buckets: int = DEFAULT_BUCKETS,
+    state_path: str | None = None,
 ) -> DataFrame:
     """Run the history stream over all files available now; return its output table."""
+    state = (state_path or output_path.rstrip("/") + "_state").rstrip("/")
     msgs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     q = (
-        history_stream(msgs, n)
-        .writeStream.format("parquet")
-        .option("path", output_path)
+        msgs.writeStream.foreachBatch(lambda df, bid: history_batch(df, bid, output_path, state, n, n_buckets))
         .option("checkpointLocation", checkpoint_path)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

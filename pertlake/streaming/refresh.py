@@ -2,16 +2,16 @@
 
 New effect rows arrive as files. Each micro-batch (``foreachBatch``):
 
-1. appends its rows to the effects table, partitioned by (bucket, batch_id) where
-   ``bucket = pmod(xxhash64(perturbation), n_buckets)``. The write overwrites only
-   the partitions of this batch id, so a replayed batch replaces its own rows
-   instead of duplicating them;
+1. appends its rows to the effects log, partitioned by batch_id. The write
+   overwrites only the partition of this batch id, so a replayed batch replaces
+   its own rows instead of duplicating them;
 2. summarises its own rows into the mergeable document state (one row per
    perturbation: counts, max/min, top-N lists, first cell types — see
    :func:`pertlake.operators.summaries.document_state`). This is a distributed
    aggregate with partial aggregation and partial top-N, so a perturbation that
    holds a third of the batch costs one partial row per map task;
-3. merges it with the previous state snapshot of each touched bucket (one row
+3. merges it with the previous state snapshot of each touched bucket
+   (``bucket = pmod(xxhash64(perturbation), n_buckets)``; one row
    per perturbation on each side) and writes the new snapshot under
    ``state/data/batch_id=<id>/bucket=<b>``;
 4. renders the documents of the touched buckets from that snapshot and replaces
@@ -34,48 +34,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertlake.functions.columns import DEFAULT_THRESHOLD, DEFAULT_TOP_N
 from pertlake.operators.summaries import document_state, documents_from_state, merge_document_state
+from pertlake.streaming import snapshots as snap
 
 DEFAULT_BUCKETS = 64
 
 
-def _bucket(n: int):
-    return F.pmod(F.xxhash64(F.col("perturbation")), F.lit(n)).cast("int")
-
-
-def _overwrite(df: DataFrame, path: str, *partition_cols: str) -> None:
-    """Replace the written partitions only. ``rebalance`` on the partition columns
-    gives about one file per partition; AQE splits a hot partition into several
-    files and merges small ones, so no task writes a file per bucket."""
-    (
-        df.hint("rebalance", *partition_cols)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_cols)
-        .parquet(path)
-    )
-
-
-def _previous_snapshots(spark: SparkSession, manifest: str, batch_id: int, touched: list[int]) -> list[tuple[int, int]]:
-    """(bucket, batch_id) of the latest snapshot before ``batch_id`` of each touched
-    bucket; at most ``n_buckets`` rows reach the driver."""
-    try:
-        m = spark.read.parquet(manifest)
-    except AnalysisException:  # no manifest yet: first batch
-        return []
-    latest = (
-        m.filter((F.col("batch_id") < F.lit(batch_id)) & F.col("bucket").isin(touched))
-        .groupBy("bucket")
-        .agg(F.max("batch_id").alias("v"))
-    )
-    return [(int(r["bucket"]), int(r["v"])) for r in latest.collect()]
-
-
 def refresh_batch(
     batch: DataFrame,
     batch_id: int,
@@ -89,33 +57,27 @@ def refresh_batch(
 ) -> None:
     spark = batch.sparkSession
     state_path = (state_path or documents_path.rstrip("/") + "_state").rstrip("/")
-    data, manifest = f"{state_path}/data", f"{state_path}/_manifest"
     bid = int(batch_id)
 
-    rows = batch.withColumn("bucket", _bucket(n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = batch.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _overwrite(rows.withColumn("batch_id", F.lit(bid).cast("long")), effects_path, "bucket", "batch_id")
-        # At most n_buckets values: a bounded collect.
-        touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
+        # The effect log is only appended to (documents never re-read it): one file per
+        # task under this batch id, no shuffle.
+        snap.overwrite(rows.drop("bucket").withColumn("batch_id", F.lit(bid).cast("long")), effects_path, "batch_id",
+                       rebalance=False)
+        touched = snap.touched_buckets(rows)
         if not touched:
             return
-
         new = document_state(rows.drop("bucket"), top_n, threshold, ("perturbation",), tiebreak)
-        prev = _previous_snapshots(spark, manifest, bid, touched)
-        if prev:
-            paths = [f"{data}/batch_id={v}/bucket={b}" for b, v in prev]
-            old = spark.read.option("basePath", data).parquet(*paths).drop("batch_id", "bucket")
+        old = snap.read_previous(spark, state_path, bid, touched)
+        if old is not None:
             new = merge_document_state(old.unionByName(new), top_n)
-        snap = new.withColumn("bucket", _bucket(n_buckets)).withColumn("batch_id", F.lit(bid).cast("long"))
-        _overwrite(snap, data, "batch_id", "bucket")
-
+        snap.write_snapshot(new, state_path, bid, "perturbation", n_buckets)
         # Render from the snapshot just written (no second evaluation of the merge).
-        written = spark.read.option("basePath", data).parquet(*[f"{data}/batch_id={bid}/bucket={b}" for b in touched])
-        docs = documents_from_state(written.drop("batch_id", "bucket"), top_n, threshold)
-        _overwrite(docs.withColumn("bucket", _bucket(n_buckets)), documents_path, "bucket")
-
-        marks = spark.createDataFrame([(b,) for b in touched], "bucket int").withColumn("batch_id", F.lit(bid).cast("long"))
-        _overwrite(marks, manifest, "batch_id")
+        written = snap.read_snapshot(spark, state_path, [(b, bid) for b in touched])
+        docs = documents_from_state(written, top_n, threshold)
+        snap.overwrite(docs.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)), documents_path, "bucket")
+        snap.commit(spark, state_path, bid, touched)
     finally:
         rows.unpersist()
 

@@ -164,3 +164,24 @@ def test_refresh_replay_after_merge_is_idempotent(spark):
     got = spark.read.parquet(f"{base}/docs")
     assert _doc_rows(got) == _doc_rows(want)
     assert spark.read.parquet(f"{base}/eff").count() == e.count()
+
+
+def _flat_history(rows):
+    return sorted((r["conv_id"], r["turn"], r["n_history"], r["history_roles"], r["history_text"]) for r in rows)
+
+
+def test_history_stream_turn_by_turn_with_replay(spark):
+    from pertlake.operators.dialogue import chat_history
+
+    m = ad.messages(spark, SF_SMALL)
+    base = scratch_path(spark, "test-history-waves")
+    out, state = f"{base}/out", f"{base}/state"
+    max_turn = m.agg(F.max("turn")).first()[0]
+    for t in range(max_turn + 1):  # one batch per turn: every message gets its history from the carry
+        batch = m.filter(F.col("turn") == t)
+        hist.history_batch(batch, t, out, state, n_buckets=4)
+        if t == 3:  # a replayed batch id must not change anything
+            hist.history_batch(batch, t, out, state, n_buckets=4)
+    got = _flat_history(spark.read.parquet(out).collect())
+    want = _flat_history(hist.history_rows(chat_history(m)).collect())
+    assert got == want
