@@ -185,3 +185,17 @@ def test_history_stream_turn_by_turn_with_replay(spark):
     got = _flat_history(spark.read.parquet(out).collect())
     want = _flat_history(hist.history_rows(chat_history(m)).collect())
     assert got == want
+
+
+def test_refresh_sparse_batches_equal_batch_rebuild(spark):
+    # many small perturbations, some without a significant row, arriving in three batches
+    from pertlake.operators.effects import clean_effects
+
+    e = clean_effects(ad.effects_sparse(spark, SF_SMALL))
+    base = scratch_path(spark, "test-refresh-sparse")
+    part = F.pmod(F.col("l_linenumber"), F.lit(3))
+    for b in range(3):
+        refresh.refresh_batch(e.filter(part == b), b, f"{base}/eff", f"{base}/docs", n_buckets=8,
+                              tiebreak=ad.SPARSE_TIEBREAK)
+    want = summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK)
+    assert _doc_rows(spark.read.parquet(f"{base}/docs")) == _doc_rows(want)
