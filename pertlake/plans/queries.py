@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -556,11 +557,16 @@ def q_incremental_refresh(spark, sf):
     e = eff.clean_effects(ad.effects(spark, sf, extra=("l_shipdate",)))
     base = scratch_path(spark, "refresh")
     src = f"{base}/source"
-    # rows arrive by ship date in three waves that together hold every row
+    # rows arrive by ship date in three waves that together hold every row; the
+    # joined rows are kept (memory, then disk) while the three waves are written
     year = F.year("l_shipdate")
     waves = [year < 1995, (year >= 1995) & (year < 1997), (year >= 1997) | year.isNull()]
-    for wave in waves:
-        e.filter(wave).write.mode("append").parquet(src)
+    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for wave in waves:
+            e.filter(wave).write.mode("append").parquet(src)
+    finally:
+        e.unpersist()
     docs = refresh.incremental_refresh(
         spark, src, e.schema, f"{base}/effects", f"{base}/documents", f"{base}/_checkpoint", tiebreak=T
     )

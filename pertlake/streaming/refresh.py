@@ -12,8 +12,8 @@ New effect rows arrive as files. Each micro-batch (``foreachBatch``):
    holds a third of the batch costs one partial row per map task;
 3. merges it with the previous state snapshot of each touched bucket
    (``bucket = pmod(xxhash64(perturbation), n_buckets)``; one row
-   per perturbation on each side) and writes the new snapshot under
-   ``state/data/batch_id=<id>/bucket=<b>``;
+   per perturbation on each side; one exchange on the bucket) and writes the new
+   snapshot under ``state/data/batch_id=<id>/bucket=<b>``;
 4. renders the documents of the touched buckets from that snapshot and replaces
    exactly those bucket partitions of the documents table (dynamic partition
    overwrite); the documents table is never read while it is written;
@@ -70,13 +70,19 @@ def refresh_batch(
             return
         new = document_state(rows.drop("bucket"), top_n, threshold, ("perturbation",), tiebreak)
         old = snap.read_previous(spark, state_path, bid, touched)
-        if old is not None:
-            new = merge_document_state(old.unionByName(new), top_n)
-        snap.write_snapshot(new, state_path, bid, "perturbation", n_buckets)
+        parts = new if old is None else old.unionByName(new)
+        # One exchange on the bucket serves both the merge (grouping by bucket and
+        # perturbation) and the write: each bucket's rows sit in one task, so one
+        # file per bucket. A state row is one perturbation, so buckets stay even.
+        parts = parts.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)).repartition("bucket")
+        merged = merge_document_state(parts, top_n, ("bucket", "perturbation"))
+        snap.write_snapshot(merged, state_path, bid, "perturbation", n_buckets, rebalance=False)
         # Render from the snapshot just written (no second evaluation of the merge).
+        # Rendering is per row and every snapshot file holds one bucket: no shuffle.
         written = snap.read_snapshot(spark, state_path, [(b, bid) for b in touched])
         docs = documents_from_state(written, top_n, threshold)
-        snap.overwrite(docs.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)), documents_path, "bucket")
+        snap.overwrite(docs.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)), documents_path, "bucket",
+                       rebalance=False)
         snap.commit(spark, state_path, bid, touched)
     finally:
         rows.unpersist()

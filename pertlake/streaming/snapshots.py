@@ -66,10 +66,15 @@ def read_snapshot(spark: SparkSession, state_path: str, pairs: list[tuple[int, i
     return spark.read.option("basePath", data).parquet(*paths).drop("batch_id", "bucket")
 
 
-def write_snapshot(state: DataFrame, state_path: str, batch_id: int, key: str, n_buckets: int) -> None:
-    """Write ``state`` as this batch's snapshot of the buckets its keys fall in."""
-    snap = state.withColumn("bucket", bucket_of(key, n_buckets)).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    overwrite(snap, f"{state_path}/data", "batch_id", "bucket")
+def write_snapshot(state: DataFrame, state_path: str, batch_id: int, key: str, n_buckets: int,
+                   rebalance: bool = True) -> None:
+    """Write ``state`` as this batch's snapshot of the buckets its keys fall in.
+
+    ``rebalance=False`` when ``state`` is already hash-partitioned by bucket."""
+    if "bucket" not in state.columns:
+        state = state.withColumn("bucket", bucket_of(key, n_buckets))
+    snap = state.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+    overwrite(snap, f"{state_path}/data", "batch_id", "bucket", rebalance=rebalance)
 
 
 def commit(spark: SparkSession, state_path: str, batch_id: int, touched: list[int]) -> None:
