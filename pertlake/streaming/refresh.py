@@ -74,9 +74,9 @@ def refresh_batch(
         # One exchange on the bucket serves both the merge (grouping by bucket and
         # perturbation) and the write: each bucket's rows sit in one task, so one
         # file per bucket. A state row is one perturbation, so buckets stay even.
-        parts = parts.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)).repartition("bucket")
+        parts = snap.by_bucket(parts, "perturbation", n_buckets)
         merged = merge_document_state(parts, top_n, ("bucket", "perturbation"))
-        snap.write_snapshot(merged, state_path, bid, "perturbation", n_buckets, rebalance=False)
+        snap.write_snapshot(merged, state_path, bid, "perturbation", n_buckets, partitioned=True)
         # Render from the snapshot just written (no second evaluation of the merge).
         # Rendering is per row and every snapshot file holds one bucket: no shuffle.
         written = snap.read_snapshot(spark, state_path, [(b, bid) for b in touched])

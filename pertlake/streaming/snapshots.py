@@ -66,15 +66,26 @@ def read_snapshot(spark: SparkSession, state_path: str, pairs: list[tuple[int, i
     return spark.read.option("basePath", data).parquet(*paths).drop("batch_id", "bucket")
 
 
+def by_bucket(df: DataFrame, key: str, n_buckets: int) -> DataFrame:
+    """Hash-partition state rows on their bucket into ``n_buckets`` partitions.
+
+    The explicit count keeps AQE from coalescing the exchange into one task at
+    small sizes: buckets are written in parallel, one file each. A state row is
+    one entity (bounded width), so buckets hold about the same number of rows."""
+    if "bucket" not in df.columns:
+        df = df.withColumn("bucket", bucket_of(key, n_buckets))
+    return df.repartition(n_buckets, "bucket")
+
+
 def write_snapshot(state: DataFrame, state_path: str, batch_id: int, key: str, n_buckets: int,
-                   rebalance: bool = True) -> None:
+                   partitioned: bool = False) -> None:
     """Write ``state`` as this batch's snapshot of the buckets its keys fall in.
 
-    ``rebalance=False`` when ``state`` is already hash-partitioned by bucket."""
-    if "bucket" not in state.columns:
-        state = state.withColumn("bucket", bucket_of(key, n_buckets))
+    ``partitioned=True`` when ``state`` already comes from :func:`by_bucket`."""
+    if not partitioned:
+        state = by_bucket(state, key, n_buckets)
     snap = state.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    overwrite(snap, f"{state_path}/data", "batch_id", "bucket", rebalance=rebalance)
+    overwrite(snap, f"{state_path}/data", "batch_id", "bucket", rebalance=False)
 
 
 def commit(spark: SparkSession, state_path: str, batch_id: int, touched: list[int]) -> None:
