@@ -79,13 +79,14 @@ def history_batch(
         snap.overwrite(out, output_path, "batch_id", rebalance=False)
 
         # New carry: the last n messages of each batch conversation's last segment.
-        last_seg = hist.groupBy("conv_id").agg(F.max("segment_id").alias("_last_seg"))
+        # They are among the conversation's last n messages (partial-limited window:
+        # at most n rows per conversation and task cross the shuffle); the last
+        # segment is the largest segment id among those n.
         w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+        last_n = hist.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
         tail = (
-            hist.join(last_seg, "conv_id")
+            last_n.withColumn("_last_seg", F.max("segment_id").over(Window.partitionBy("conv_id")))
             .filter(F.col("segment_id") == F.col("_last_seg"))
-            .withColumn("_r", F.row_number().over(w))
-            .filter(F.col("_r") <= n)
             .select(*MESSAGE_COLUMNS)
         )
         if old is not None:  # conversations of the touched buckets without new messages keep their carry
