@@ -199,3 +199,26 @@ def test_refresh_sparse_batches_equal_batch_rebuild(spark):
                               tiebreak=ad.SPARSE_TIEBREAK)
     want = summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK)
     assert _doc_rows(spark.read.parquet(f"{base}/docs")) == _doc_rows(want)
+
+
+def test_refresh_failure_before_commit_then_replay(spark, monkeypatch):
+    # batch 1 writes its state snapshot and documents, then fails before the manifest
+    # lists it; the replay must read batch 0's snapshot again and give the same documents
+    from pertlake.streaming import snapshots
+
+    e = _effects(spark)
+    base = scratch_path(spark, "test-refresh-fail")
+    half = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(2))
+    first, second = e.filter(half == 0), e.filter(half == 1)
+    args = (f"{base}/eff", f"{base}/docs")
+    refresh.refresh_batch(first, 0, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
+
+    def lost(*_a, **_k):
+        raise RuntimeError("driver lost before commit")
+
+    monkeypatch.setattr(snapshots, "commit", lost)
+    with pytest.raises(RuntimeError):
+        refresh.refresh_batch(second, 1, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
+    monkeypatch.undo()
+    refresh.refresh_batch(second, 1, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
+    assert _doc_rows(spark.read.parquet(f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.EFFECT_TIEBREAK))
