@@ -222,3 +222,25 @@ def test_refresh_failure_before_commit_then_replay(spark, monkeypatch):
     monkeypatch.undo()
     refresh.refresh_batch(second, 1, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
     assert _doc_rows(spark.read.parquet(f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.EFFECT_TIEBREAK))
+
+
+def test_history_failure_before_commit_then_replay(spark, monkeypatch):
+    from pertlake.operators.dialogue import chat_history
+    from pertlake.streaming import snapshots
+
+    m = ad.messages(spark, SF_SMALL)
+    base = scratch_path(spark, "test-history-fail")
+    out, state = f"{base}/out", f"{base}/state"
+    early, late = m.filter(F.col("turn") < 3), m.filter(F.col("turn") >= 3)
+    hist.history_batch(early, 0, out, state, n_buckets=4)
+
+    def lost(*_a, **_k):
+        raise RuntimeError("driver lost before commit")
+
+    monkeypatch.setattr(snapshots, "commit", lost)
+    with pytest.raises(RuntimeError):
+        hist.history_batch(late, 1, out, state, n_buckets=4)
+    monkeypatch.undo()
+    hist.history_batch(late, 1, out, state, n_buckets=4)
+    got = _flat_history(spark.read.parquet(out).collect())
+    assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
