@@ -81,11 +81,13 @@ def write_snapshot(state: DataFrame, state_path: str, batch_id: int, key: str, n
                    partitioned: bool = False) -> None:
     """Write ``state`` as this batch's snapshot of the buckets its keys fall in.
 
-    ``partitioned=True`` when ``state`` already comes from :func:`by_bucket`."""
-    if not partitioned:
-        state = by_bucket(state, key, n_buckets)
+    ``partitioned=True`` when ``state`` already comes from :func:`by_bucket`;
+    otherwise a ``rebalance`` on the bucket lets AQE size the files (large buckets
+    are split, small ones merged), so the write scales with the state."""
+    if "bucket" not in state.columns:
+        state = state.withColumn("bucket", bucket_of(key, n_buckets))
     snap = state.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    overwrite(snap, f"{state_path}/data", "batch_id", "bucket", rebalance=False)
+    overwrite(snap, f"{state_path}/data", "batch_id", "bucket", rebalance=not partitioned)
 
 
 def commit(spark: SparkSession, state_path: str, batch_id: int, touched: list[int]) -> None:
