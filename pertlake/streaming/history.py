@@ -62,11 +62,13 @@ def history_batch(
     hist = None
     try:
         touched = snap.touched_buckets(rows)
+        prev = snap.previous_map(spark, state_path, bid)
         if not touched:
+            snap.commit(spark, state_path, bid, prev, [])
             return
         msgs = rows.drop("bucket")
         convs = msgs.select("conv_id").distinct()
-        old = snap.read_previous(spark, state_path, bid, touched)
+        old = snap.read_previous(spark, state_path, prev, touched)
         if old is not None:
             # The carried messages all belong to the current segment: no reset among them.
             carried = old.join(convs, "conv_id", "left_semi").select(
@@ -92,7 +94,7 @@ def history_batch(
         if old is not None:  # conversations of the touched buckets without new messages keep their carry
             tail = old.join(convs, "conv_id", "left_anti").select(*MESSAGE_COLUMNS).unionByName(tail)
         snap.write_snapshot(tail, state_path, bid, "conv_id", n_buckets)
-        snap.commit(spark, state_path, bid, touched)
+        snap.commit(spark, state_path, bid, prev, touched)
     finally:
         if hist is not None:
             hist.unpersist()

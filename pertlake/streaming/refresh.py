@@ -17,8 +17,8 @@ New effect rows arrive as files. Each micro-batch (``foreachBatch``):
 4. renders the documents of the touched buckets from that snapshot and replaces
    exactly those bucket partitions of the documents table (dynamic partition
    overwrite); the documents table is never read while it is written;
-5. records ``(bucket, batch_id)`` for the touched buckets in a small manifest
-   (at most ``n_buckets`` rows per batch).
+5. commits the manifest: the full map bucket -> latest snapshot (at most
+   ``n_buckets`` rows), read by the next batch.
 
 The cost of a batch grows with its own rows and with the state of the buckets
 it touches (bounded by the number of perturbations there x (2 top_n + 1)), never
@@ -66,10 +66,12 @@ def refresh_batch(
         snap.overwrite(rows.drop("bucket").withColumn("batch_id", F.lit(bid).cast("long")), effects_path, "batch_id",
                        rebalance=False)
         touched = snap.touched_buckets(rows)
+        prev = snap.previous_map(spark, state_path, bid)
         if not touched:
+            snap.commit(spark, state_path, bid, prev, [])
             return
         new = document_state(rows.drop("bucket"), top_n, threshold, ("perturbation",), tiebreak)
-        old = snap.read_previous(spark, state_path, bid, touched)
+        old = snap.read_previous(spark, state_path, prev, touched)
         parts = new if old is None else old.unionByName(new)
         # One exchange on the bucket serves both the merge (grouping by bucket and
         # perturbation) and the write: each bucket's rows sit in one task, so one
@@ -83,7 +85,7 @@ def refresh_batch(
         docs = documents_from_state(written, top_n, threshold)
         snap.overwrite(docs.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)), documents_path, "bucket",
                        rebalance=False)
-        snap.commit(spark, state_path, bid, touched)
+        snap.commit(spark, state_path, bid, prev, touched)
     finally:
         rows.unpersist()
 

@@ -2,12 +2,13 @@
 
 A stream keeps a small state table keyed by entity (perturbation, conversation)
 and hashed into ``n_buckets`` buckets. Batch ``b`` writes the new state of the
-buckets it touched under ``data/batch_id=b/bucket=k`` and then lists them in a
-manifest (``_manifest/batch_id=b``, at most ``n_buckets`` rows). The current state
-of a bucket is its snapshot with the highest batch id. A batch reads only
-snapshots of *earlier* batch ids and overwrites only its own partitions, so
+buckets it touched under ``data/batch_id=b/bucket=k`` and then commits a manifest
+``_manifest/batch_id=b``: the full map bucket -> batch id of its current snapshot
+(at most ``n_buckets`` rows). Batch ``b`` reads only the map of batch ``b - 1``, so
+the bookkeeping per batch does not grow with the number of batches. A batch reads
+only snapshots of *earlier* batch ids and overwrites only its own partitions, so
 replaying a batch id after a failure gives the same result; old snapshots are
-never modified (a retention job may delete superseded ones).
+never modified (a retention job may delete those no map points to any more).
 """
 
 from __future__ import annotations
@@ -42,21 +43,34 @@ def touched_buckets(rows: DataFrame, col: str = "bucket") -> list[int]:
     return sorted(int(r[0]) for r in rows.select(col).distinct().collect())
 
 
-def read_previous(spark: SparkSession, state_path: str, batch_id: int, touched: list[int]) -> DataFrame | None:
-    """The latest snapshot before ``batch_id`` of each touched bucket, or None."""
+def _map_rows(df: DataFrame) -> dict[int, int]:
+    return {int(r["bucket"]): int(r["v"]) for r in df.select("bucket", "v").collect()}  # at most n_buckets rows
+
+
+def previous_map(spark: SparkSession, state_path: str, batch_id: int) -> dict[int, int]:
+    """Bucket -> batch id of its latest snapshot, as committed by the batch before
+    ``batch_id`` (at most ``n_buckets`` entries).
+
+    Every batch commits the full map, so normally only batch ``batch_id - 1``'s
+    manifest is read (constant work per batch). The first batch of a query, or a
+    gap in batch ids, falls back to the latest manifest before ``batch_id``."""
+    manifest = f"{state_path}/_manifest"
+    try:
+        return _map_rows(spark.read.parquet(f"{manifest}/batch_id={int(batch_id) - 1}"))
+    except AnalysisException:
+        pass
     try:
-        m = spark.read.parquet(f"{state_path}/_manifest")
+        m = spark.read.parquet(manifest)
     except AnalysisException:  # no manifest yet: first batch
-        return None
-    latest = (
-        m.filter((F.col("batch_id") < F.lit(int(batch_id))) & F.col("bucket").isin(touched))
-        .groupBy("bucket")
-        .agg(F.max("batch_id").alias("v"))
-    )
-    pairs = [(int(r["bucket"]), int(r["v"])) for r in latest.collect()]  # at most n_buckets rows
-    if not pairs:
-        return None
-    return read_snapshot(spark, state_path, pairs)
+        return {}
+    last = m.filter(F.col("batch_id") < F.lit(int(batch_id))).agg(F.max("batch_id")).first()[0]
+    return {} if last is None else _map_rows(m.filter(F.col("batch_id") == F.lit(int(last))))
+
+
+def read_previous(spark: SparkSession, state_path: str, prev: dict[int, int], touched: list[int]) -> DataFrame | None:
+    """The latest earlier snapshot of each touched bucket, or None."""
+    pairs = [(b, prev[b]) for b in touched if b in prev]
+    return read_snapshot(spark, state_path, pairs) if pairs else None
 
 
 def read_snapshot(spark: SparkSession, state_path: str, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -90,9 +104,12 @@ def write_snapshot(state: DataFrame, state_path: str, batch_id: int, key: str, n
     overwrite(snap, f"{state_path}/data", "batch_id", "bucket", rebalance=not partitioned)
 
 
-def commit(spark: SparkSession, state_path: str, batch_id: int, touched: list[int]) -> None:
-    """List this batch's snapshots in the manifest (last step of a batch)."""
-    marks = spark.createDataFrame([(b,) for b in touched], "bucket int").withColumn(
+def commit(spark: SparkSession, state_path: str, batch_id: int, prev: dict[int, int], touched: list[int]) -> None:
+    """Write this batch's full bucket -> snapshot map (last step of a batch; also for
+    a batch that touched nothing, so the next batch finds the map at ``batch_id``)."""
+    current = dict(prev)
+    current.update({b: int(batch_id) for b in touched})
+    marks = spark.createDataFrame(sorted(current.items()), "bucket int, v long").withColumn(
         "batch_id", F.lit(int(batch_id)).cast("long")
     )
     overwrite(marks, f"{state_path}/_manifest", "batch_id", rebalance=False)

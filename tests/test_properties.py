@@ -244,3 +244,19 @@ def test_history_failure_before_commit_then_replay(spark, monkeypatch):
     hist.history_batch(late, 1, out, state, n_buckets=4)
     got = _flat_history(spark.read.parquet(out).collect())
     assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
+
+
+def test_history_batch_without_turns_carries_the_map(spark):
+    # batch 1 holds only system messages: it touches no bucket but must pass the
+    # bucket -> snapshot map on, so batch 2 still finds batch 0's carry
+    from pertlake.operators.dialogue import chat_history
+
+    m = ad.messages(spark, SF_SMALL)
+    base = scratch_path(spark, "test-history-empty")
+    out, state = f"{base}/out", f"{base}/state"
+    system = F.col("role") == "system"
+    hist.history_batch(m.filter(~system & (F.col("turn") < 3)), 0, out, state, n_buckets=4)
+    hist.history_batch(m.filter(system), 1, out, state, n_buckets=4)
+    hist.history_batch(m.filter(~system & (F.col("turn") >= 3)), 2, out, state, n_buckets=4)
+    got = _flat_history(spark.read.parquet(out).collect())
+    assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
