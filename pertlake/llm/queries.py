@@ -10,7 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pertlake.llm import exact_dedup, packing, token_output
+from pertlake.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    ngram_join,
+    packing,
+    quality,
+    substring_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+)
 from pertlake.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,16 +39,51 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_substring_dedup")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 @query("op2_token_output")
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(spark, read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_url_filter")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query("op4_decontamination")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_toxicity")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op6_quality_classifier")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op7_best_fit_packing")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"))
 
 
+@query("op8_chat_formatting")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op9_ngram_join")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
