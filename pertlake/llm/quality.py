@@ -133,7 +133,7 @@ def grow_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = D
     """Second-order boosting of the logistic loss with level-wise histogram splits; classes weigh alike."""
     n, k = x.shape
     positive = float(y.mean()) if n else 0.5
-    if not 0 < positive < 1:
+    if not n or not 0 < positive < 1:
         empty = np.zeros((0, 0))
         return Forest(empty.astype(np.int64), empty, empty, 0.0 if not n else 30.0 * (1 if positive else -1))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pertlake.llm import (
     chat,
     decontamination,
@@ -102,3 +103,8 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.annotate(read_table(spark, sf_dir, "documents"))
     return marks.withColumnRenamed("digest", "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
