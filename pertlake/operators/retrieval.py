@@ -11,24 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pertlake.functions.columns import entity_words, is_entity, thousands
+from pertlake.functions.columns import entity_words, is_entity
+from pertlake.functions.ranking import global_row_number
 from pertlake.operators.index import centroid_vector, knn_single
 
 DEFAULT_K = 3
 
-# ---------------------------------------------------------------------------
-# Question types of the structured request API (names must match
-# the source's five types); the wording is ours.
-# ---------------------------------------------------------------------------
+# The five request types of the API. The wording asks for what an index
+# document holds (ranked genes, counts, extremes).
 QUESTION_TEMPLATES = {
-    "top_effects": "Which expression changes are strongest after knocking out {p}?",
-    "upregulated": "Which genes go up most when {p} is knocked out, and what might that mean biologically?",
-    "downregulated": "Which genes go down most when {p} is knocked out?",
-    "mechanism": "From the perturbation data, what biological role does {p} most likely play?",
-    "comparison": "How does the knockout of {p} compare with the other perturbations in the data?",
+    "comparison": "Set {p} beside the other labels of the index: which genes respond in both, and in the same direction?",
+    "downregulated": "List the genes with negative log2FC for {p}, lowest first, each with its padj.",
+    "mechanism": "Which shared process do the responding genes of {p} suggest, and which rows support it?",
+    "top_effects": "List the rows of {p} with the largest absolute score.",
+    "upregulated": "List the genes with positive log2FC for {p}, highest first, each with its padj.",
 }
-DEFAULT_TEMPLATE = "Describe what happens when {p} is knocked out."
-NO_SOURCES = "general retrieval"
+DEFAULT_TEMPLATE = "Summarise the index document of {p}."
+NO_SOURCES = "(none)"
+LABELS_PER_PART = 1000
 
 
 def entity_mentions(questions: DataFrame, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
@@ -81,6 +81,7 @@ def retrieve_context(
     k: int = DEFAULT_K,
     id_col: str = "query_id",
     text_col: str = "question",
+    with_text: bool = False,
 ) -> DataFrame:
     """Retrieval slots per question.
 
@@ -89,115 +90,97 @@ def retrieve_context(
     the index centroid. Columns: query_id, rank, label, vec_id, score (NULL for
     name hits), source_kind ('name' | 'similarity'). ``index`` needs label,
     vec_id and embedding.
+
+    ``with_text`` adds the document text of the first k slots (``index.text``): name
+    hits join it on ``vec_id``; the k fallback texts ride along in the scalar, so the
+    many questions without a name hit do not meet on k hot keys.
     """
     mentions = entity_mentions(questions, id_col, text_col)
     cat = catalog_by_name(index.select("label", "vec_id"))
-    named = mentions.join(cat, mentions["mention"] == cat["name_key"]).select("query_id", "pos", "label", "vec_id")
     w = Window.partitionBy("query_id").orderBy("pos")
-    named = named.select(
-        "query_id",
-        F.row_number().over(w).cast("long").alias("rank"),
-        "label",
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.lit(None).cast("double").alias("score"),
-        F.lit("name").alias("source_kind"),
+    named = mentions.join(cat, mentions["mention"] == cat["name_key"]).select(
+        "query_id", F.row_number().over(w).cast("long").alias("rank"), "label", F.col("vec_id").cast("long").alias("vec_id")
     )
-    qids = questions.select(F.col(id_col).alias("query_id"))
-    unmatched = qids.join(named.select("query_id").distinct(), "query_id", "left_anti")
     fb = fallback_hits(index, k)
+    if with_text:
+        texts = index.select(F.col("vec_id").cast("long").alias("vec_id"), "text")
+        named = named.join(
+            texts.select(F.col("vec_id").alias("_v"), "text"), (F.col("vec_id") == F.col("_v")) & (F.col("rank") <= k), "left"
+        ).drop("_v")
+        fb = fb.join(texts, "vec_id")
+    extra = ["text"] if with_text else []
     # The fallback has at most k rows: it rides along as one scalar array.
-    fb_arr = fb.agg(F.array_sort(F.collect_list(F.struct("rank", "label", "vec_id", "score"))).alias("a")).scalar()
-    sim = unmatched.select("query_id", F.explode(fb_arr).alias("h")).select(
-        "query_id",
-        F.col("h.rank").cast("long").alias("rank"),
-        F.col("h.label").alias("label"),
-        F.col("h.vec_id").alias("vec_id"),
-        F.col("h.score").alias("score"),
-        F.lit("similarity").alias("source_kind"),
+    fields = F.struct(
+        F.col("rank").cast("long").alias("rank"), "label", "vec_id", "score", F.lit("similarity").alias("source_kind"), *extra
     )
-    return named.unionByName(sim)
+    fallback = fb.agg(F.array_sort(F.collect_list(fields)).alias("a")).scalar()
+    slot = F.struct("rank", "label", "vec_id", F.lit(None).cast("double").alias("score"), F.lit("name").alias("source_kind"), *extra)
+    joined = questions.select(F.col(id_col).alias("query_id")).join(named, "query_id", "left")
+    slots = joined.select("query_id", F.explode(F.when(F.col("rank").isNull(), fallback).otherwise(F.array(slot))).alias("h"))
+    return slots.select("query_id", "h.*")
 
 
-def label_documents(docs: DataFrame) -> DataFrame:
-    """Index documents for the collection catalogue: one text per upper-cased language.
-
-    Partial aggregation by language; the list of distinct sources per language is
-    a category list.
-    """
-    g = docs.groupBy(F.upper("lang").alias("label")).agg(
-        F.count(F.lit(1)).cast("long").alias("n_documents"),
-        F.sum("n_chars").cast("long").alias("total_chars"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
-    )
-    text = F.concat(
-        F.lit("Collection "), F.col("label"), F.lit(": "), thousands(F.col("n_documents")),
-        F.lit(" documents, "), thousands(F.col("total_chars")), F.lit(" characters. Sources: "),
-        F.array_join("sources", ", "), F.lit("."),
-    )
-    return g.select("label", text.alias("text"), F.struct("n_documents", "total_chars").alias("metadata"))
+def _part(label: str = "label", text: str = "text") -> Column:
+    return F.concat(F.lit("["), F.col(label), F.lit("]\n"), F.col(text))
 
 
-def context_block(hits: DataFrame, index_docs: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """The first k retrieved documents per question, each under a header, joined."""
-    top = hits.filter(F.col("rank") <= k).join(index_docs.select("label", "text"), "label")
-    part = F.concat(F.lit("### Data for "), F.col("label"), F.lit(" ###\n"), F.col("text"))
+def context_block(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """The first k retrieved documents per question, each under its label (``hits`` with text)."""
+    top = hits.filter((F.col("rank") <= k) & F.col("text").isNotNull())
     return top.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("context")
-    )
-
-
-def source_list(hits: DataFrame) -> DataFrame:
-    """All retrieved labels per question in slot order (not cut to k)."""
-    return hits.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]), ", ").alias("sources")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", _part().alias("p")))), lambda x: x["p"]), "\n\n").alias("context")
     )
 
 
-def _context_and_sources(hits: DataFrame, index_docs: DataFrame, k: int) -> DataFrame:
-    """O41 + O42 in one aggregation over the hits (the retrieval plan runs once)."""
-    j = hits.join(index_docs.select("label", "text"), "label", "left")
-    part = F.concat(F.lit("### Data for "), F.col("label"), F.lit(" ###\n"), F.col("text"))
-    g = j.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.when((F.col("rank") <= k) & F.col("text").isNotNull(), F.struct("rank", part.alias("p"))))).alias("_ctx"),
+def _context_and_sources(hits: DataFrame, k: int) -> DataFrame:
+    """O41 + O42 (all labels in slot order, not cut to k) in one aggregation over the hits."""
+    shown = (F.col("rank") <= k) & F.col("text").isNotNull()
+    g = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(shown, F.struct("rank", _part().alias("p"))))).alias("_ctx"),
         F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("_src"),
     )
     return g.select(
         "query_id",
+        F.size("_ctx").alias("n_shown"),
         F.when(F.size("_ctx") > 0, F.array_join(F.transform("_ctx", lambda x: x["p"]), "\n\n")).alias("context"),
         F.array_join(F.transform("_src", lambda x: x["label"]), ", ").alias("sources"),
     )
 
 
-def augmented_prompt(questions: DataFrame, hits: DataFrame, index_docs: DataFrame, k: int = DEFAULT_K,
+def augmented_prompt(questions: DataFrame, hits: DataFrame, k: int = DEFAULT_K,
                      id_col: str = "query_id", text_col: str = "question") -> DataFrame:
-    """The user message sent with retrieved context."""
+    """The user message: the question, then the retrieved documents and their labels (``hits`` with text)."""
     q = questions.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("question"))
-    j = q.join(_context_and_sources(hits, index_docs, k), "query_id", "left")
+    j = q.join(_context_and_sources(hits, k), "query_id", "left")
     sources = F.when(F.coalesce(F.length("sources"), F.lit(0)) > 0, F.col("sources")).otherwise(F.lit(NO_SOURCES))
     prompt = F.concat(
-        F.lit("Context retrieved for this question:\n"), F.coalesce(F.col("context"), F.lit("")),
-        F.lit("\n\n---\n\nQuestion:\n"), F.col("question"),
-        F.lit("\n\nAnswer from the data above; cite genes and statistics where they help. Sources: "), sources,
+        F.lit("QUESTION\n"), F.col("question"),
+        F.lit("\n\nINDEX DOCUMENTS ("), F.coalesce(F.col("n_shown"), F.lit(0)).cast("string"), F.lit(")\n"), F.coalesce(F.col("context"), F.lit("")),
+        F.lit("\n\nLABELS\n"), sources,
     )
     return j.select("query_id", "question", prompt.alias("prompt"), sources.alias("sources"))
 
 
-def system_text(catalog: DataFrame, label: str = "label") -> DataFrame:
-    """One-row system message naming the catalogue size and its labels.
+def system_text(catalog: DataFrame, label: str = "label", per_part: int = LABELS_PER_PART) -> DataFrame:
+    """The system message as numbered parts: part 0 states the size of the index, the
+    others list its distinct labels in order, ``per_part`` to a part.
 
-    The label list is one value by design (the source lists every entry); its size
-    is bounded by the catalogue, not by the effect data.
+    Every label is listed, but no row holds more than ``per_part`` of them, so the message
+    is a table that requests refer to instead of one value that grows with the index.
     """
-    agg = catalog.agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
-        F.array_join(F.array_sort(F.collect_list(F.col(label))), ", ").alias("labels"),
+    labels = catalog.select(F.col(label).alias("label")).distinct()
+    numbered = global_row_number(labels, [F.col("label").asc_nulls_first()], "_rn")
+    listed = numbered.groupBy((F.floor((F.col("_rn") - 1) / per_part) + 1).cast("long").alias("part")).agg(
+        F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("system_text")
     )
-    txt = F.concat(
-        F.lit("You help interpret perturbation screens: how knocking out a gene changes the expression of others.\n"),
-        F.lit("The data cover "), F.col("n").cast("string"), F.lit(" perturbations: "), F.col("labels"), F.lit(".\n"),
-        F.lit("Rely on the retrieved data, quote genes and fold changes from it, and say so when a perturbation is not in the data."),
+    head = labels.agg(F.count(F.lit(1)).cast("string").alias("n")).select(
+        F.lit(0).cast("long").alias("part"),
+        F.concat(
+            F.lit("You answer from an index of "), F.col("n"),
+            F.lit(" labelled documents about gene perturbations. Name the label behind each statement; if no document covers the question, say that."),
+        ).alias("system_text"),
     )
-    return agg.select(txt.alias("system_text"))
+    return head.unionByName(listed)
 
 
 def question_from_template(requests: DataFrame, name_col: str = "perturbation", type_col: str = "question_type") -> Column:
@@ -207,31 +190,27 @@ def question_from_template(requests: DataFrame, name_col: str = "perturbation",
     return F.replace(chosen, F.lit("{p}"), F.col(name_col))
 
 
-def structured_requests(requests: DataFrame, index: DataFrame, index_docs: DataFrame, system: DataFrame,
-                        k: int = DEFAULT_K, completions: DataFrame | None = None) -> DataFrame:
+def structured_requests(requests: DataFrame, index: DataFrame, k: int = DEFAULT_K, completions: DataFrame | None = None) -> DataFrame:
     """O48 (+O30, O45): template -> retrieval -> prompt -> message list -> metadata.
 
-    ``completions`` (request_id, answer) is optional; the answer is NULL without it.
+    ``index`` needs label, vec_id, embedding, text and metadata. The system message is
+    referred to (its content is the table of :func:`system_text`), not copied into every
+    row. ``completions`` (request_id, answer) is optional; the answer is NULL without it.
     Metadata comes from a case-insensitive lookup of the requested name; no match
     gives an empty metadata struct (all fields NULL).
     """
     req = requests.withColumn("question", question_from_template(requests))
     qs = req.select(F.col("request_id").alias("query_id"), "question")
-    hits = retrieve_context(qs, index, k)
-    prompts = augmented_prompt(qs, hits, index_docs, k)
-    sys_txt = system.select("system_text").scalar()
+    prompts = augmented_prompt(qs, retrieve_context(qs, index, k, with_text=True), k)
     msgs = F.array(
-        F.struct(F.lit("system").alias("role"), sys_txt.alias("content")),
+        F.struct(F.lit("system").alias("role"), F.lit(None).cast("string").alias("content")),
         F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
     )
     out = req.join(prompts.select(F.col("query_id").alias("request_id"), "prompt", "sources"), "request_id", "left")
     meta = lookup_by_name(
-        out.select("request_id", F.col("perturbation").alias("name")),
-        index_docs.select("label", "metadata", F.lit(0).alias("vec_id")),
+        req.select("request_id", F.col("perturbation").alias("name")), index.select("label", "metadata", "vec_id")
     ).select("request_id", F.col("label").alias("matched_label"), "metadata")
     out = out.join(meta, "request_id", "left").withColumn("messages", msgs)
     if completions is not None:
-        out = out.join(completions.select("request_id", "answer"), "request_id", "left")
-    else:
-        out = out.withColumn("answer", F.lit(None).cast("string"))
-    return out
+        return out.join(completions.select("request_id", "answer"), "request_id", "left")
+    return out.withColumn("answer", F.lit(None).cast("string"))

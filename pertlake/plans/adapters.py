@@ -2,9 +2,9 @@
 
 * ``effects``        — perturbation x effect gene rows (lineitem joined to supplier and part)
 * ``effects_sparse`` — many small perturbations (one per order), some with no significant row
-* ``catalog``        — index labels (upper-cased document languages) with a dense ``vec_id``
+* ``index``          — every document that has a vector: label (its first entity mention, else D<doc_id>), text, metadata, vector
 * ``questions``      — free-text questions (documents)
-* ``requests``       — structured requests (labels in upper/lower case and an unknown one x types)
+* ``requests``       — structured requests (every label as written and in lower case, and an unknown one, x all types and an unknown one)
 * ``messages``       — chat messages with a reset flag (conversations)
 * ``metrics``        — loss series per run (events)
 
@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pertlake.functions.columns import entity_words, is_entity
 from pertlake.functions.ranking import global_row_number
+from pertlake.operators.retrieval import QUESTION_TEMPLATES
 from pertlake.sources.tables import read_table
 
 # Row-key columns that make the effect order total within a perturbation.
@@ -37,10 +39,14 @@ def _score():
     return (F.col("l_quantity") - F.lit(25.0)) * (F.lit(1) + F.col("l_linenumber")) / F.lit(4.0)
 
 
-def effects(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def effects(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (), below: float | None = None) -> DataFrame:
     """``extra`` lineitem columns are carried through unchanged (e.g. the ship date
-    used as arrival time by the refresh stream)."""
-    li = _li(spark, sf_dir).select(
+    used as arrival time by the refresh stream). ``below`` keeps only rows with
+    padj < ``below``: the test is on the stored columns, so it reaches the scan."""
+    li = _li(spark, sf_dir)
+    if below is not None:
+        li = li.filter((F.col("l_linenumber") != 7) & (F.col("l_discount") < below))
+    li = li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", *extra
     )
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -77,10 +83,17 @@ def effects_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read_table(spark, sf_dir, "documents").select(F.upper("lang").alias("label")).distinct()
-    numbered = global_row_number(labels, [F.col("label").asc_nulls_first()], "_rn")
-    return numbered.select("label", (F.col("_rn") - 1).cast("long").alias("vec_id"))
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label, embedding, text, metadata of every aligned vector."""
+    docs = read_table(spark, sf_dir, "documents")
+    first = F.get(F.filter(entity_words(F.col("text")), is_entity), F.lit(0))
+    labelled = docs.select(
+        F.col("doc_id").alias("vec_id"),
+        F.coalesce(first, F.concat(F.lit("D"), F.col("doc_id").cast("string"))).alias("label"),
+        "text",
+        F.struct("lang", "source", "n_chars").alias("metadata"),
+    )
+    return labelled.join(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +102,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str, cat: DataFrame | None = None) -> DataFrame:
-    cat = catalog(spark, sf_dir) if cat is None else cat
+REQUEST_TYPES = (*QUESTION_TEMPLATES, "other")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = index(spark, sf_dir).select("label")
     names = (
-        cat.select(F.col("label").alias("p"))
-        .unionByName(cat.select(F.lower("label").alias("p")))
+        labels.select(F.explode(F.array(F.col("label"), F.lower("label"))).alias("p"))
         .unionByName(spark.range(1).select(F.lit("ZZ").alias("p")))
+        .distinct()
     )
-    req = names.withColumn("t", F.explode(F.array(F.lit("top_effects"), F.lit("mechanism"), F.lit("other"))))
+    req = names.withColumn("t", F.explode(F.array(*[F.lit(t) for t in REQUEST_TYPES])))
     numbered = global_row_number(req, [F.col("p").asc_nulls_first(), F.col("t").asc_nulls_first()], "request_id")
     return numbered.select("request_id", F.col("p").alias("perturbation"), F.col("t").alias("question_type"))
 
@@ -108,7 +124,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "turn",
         "role",
         "text",
-        F.when((F.col("role") == "user") & (F.length("text") % 7 == 0), F.lit(1)).otherwise(F.lit(0)).alias("reset_flag"),
+        F.when(F.col("role").isin("user", "system") & (F.length("text") % 7 == 0), F.lit(1)).otherwise(F.lit(0)).alias("reset_flag"),
     )
 
 

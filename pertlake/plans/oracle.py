@@ -7,6 +7,7 @@ written out as CTEs; each statement is independent.
 from __future__ import annotations
 
 from pertlake.functions.columns import MISSING_TOKENS
+from pertlake.operators.retrieval import DEFAULT_TEMPLATE, QUESTION_TEMPLATES
 
 ORACLE: dict[str, str] = {}
 
@@ -252,15 +253,15 @@ from (select distinct effect_gene from profile) g left join kept k on g.effect_g
 ORACLE["catalog_counts"] = f"""with {PROFILE}
 select cast(count(distinct effect_gene) as bigint) as n_genes, cast(count(distinct perturbation) as bigint) as n_perturbations
 from profile"""
-ORACLE["profile_wide"] = f"""with {PROFILE}
-select p.perturbation, k.effect_gene, round(coalesce(u.value, 0.0), 6) as value
-from (select distinct perturbation from unit) p cross join kept k
-left join unit u on u.perturbation = p.perturbation and u.effect_gene = k.effect_gene"""
+ORACLE["profile_wide"] = f"""with {PROFILE},
+places as (select effect_gene, row_number() over (order by effect_gene) - 1 as place from (select distinct effect_gene from unit) g)
+select u.perturbation, (select cast(count(*) as bigint) from places) as n_genes, cast(p.place as bigint) as place, round(u.value, 6) as value
+from unit u join places p on u.effect_gene = p.effect_gene where u.value <> 0"""
 ORACLE["holdout_split"] = f"""with {PROFILE},
 r as (select perturbation, row_number() over (order by md5('42:' || perturbation), perturbation) as rn,
              count(*) over () as n
       from (select distinct perturbation from profile) k)
-select perturbation, unnest(case when n < 10 then ['train', 'val'] when rn <= ceil(n * 0.2) then ['val'] else ['train'] end) as split
+select perturbation, case when rn <= ceil(n * 0.2) then 'val' else 'train' end as split
 from r"""
 
 
@@ -335,18 +336,14 @@ from aligned"""
 
 # ---------------------------------------------------------------- retrieval
 
-CATALOG = r"""catalog as (
-  select label, cast(row_number() over (order by label) - 1 as bigint) as vec_id
-  from (select distinct upper(lang) as label from documents) t),
-idx as (select c.label, c.vec_id, e.embedding from catalog c join embeddings e on e.vec_id = c.vec_id),
+CATALOG = r"""idx as materialized (
+  select d.doc_id as vec_id,
+         coalesce(list_filter(regexp_split_to_array(d.text, '[^\pL\pN_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Z0-9]{1,9}'))[1],
+                  'D' || cast(d.doc_id as varchar)) as label,
+         d.text, d.lang, d.source, d.n_chars, e.embedding
+  from documents d join embeddings e on e.vec_id = d.doc_id),
 catfirst as (select upper(label) as name_key, arg_min(label, vec_id) as label, min(vec_id) as vec_id
              from idx group by 1),
-ldocs as (
-  select upper(lang) as label, count(*) as n_documents, cast(sum(n_chars) as bigint) as total_chars,
-         'Collection ' || upper(lang) || ': ' || printf('%,d', count(*)) || ' documents, '
-           || printf('%,d', sum(n_chars)) || ' characters. Sources: '
-           || array_to_string(list_sort(list_distinct(list(source))), ', ') || '.' as text
-  from documents group by 1),
 cen as (select list(v order by i) as c from (
           select i, avg(cast(embedding[i] as double)) as v
           from (select embedding, generate_subscripts(embedding, 1) as i from idx) t group by i) s),
@@ -382,46 +379,42 @@ hits as (
   from q, fb where q.query_id not in (select query_id from named))"""
 
 PROMPT = """ctx as (
-  select query_id, string_agg('### Data for ' || h.label || ' ###' || chr(10) || d.text, chr(10) || chr(10) order by h.rank) as context
-  from hits h join ldocs d on h.label = d.label where h.rank <= 3 group by query_id),
+  select query_id, string_agg('[' || h.label || ']' || chr(10) || d.text, chr(10) || chr(10) order by h.rank) as context, count(*) as n_shown
+  from hits h join idx d on h.vec_id = d.vec_id where h.rank <= 3 group by query_id),
 src as (select query_id, string_agg(label, ', ' order by rank) as sources from hits group by query_id),
 prompts as (
   select q.query_id, q.question,
-         'Context retrieved for this question:' || chr(10) || coalesce(ctx.context, '')
-         || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question:' || chr(10) || q.question
-         || chr(10) || chr(10) || 'Answer from the data above; cite genes and statistics where they help. Sources: '
-         || case when length(coalesce(src.sources, '')) > 0 then src.sources else 'general retrieval' end as prompt,
-         case when length(coalesce(src.sources, '')) > 0 then src.sources else 'general retrieval' end as sources
+         'QUESTION' || chr(10) || q.question || chr(10) || chr(10)
+         || 'INDEX DOCUMENTS (' || cast(coalesce(ctx.n_shown, 0) as varchar) || ')' || chr(10) || coalesce(ctx.context, '')
+         || chr(10) || chr(10) || 'LABELS' || chr(10) || case when length(coalesce(src.sources, '')) > 0 then src.sources else '(none)' end as prompt,
+         case when length(coalesce(src.sources, '')) > 0 then src.sources else '(none)' end as sources
   from q left join ctx on q.query_id = ctx.query_id left join src on q.query_id = src.query_id)"""
 
 QUESTIONS = "select doc_id as query_id, text as question from documents"
 
 ORACLE["entity_mentions"] = f"with {_mentions(QUESTIONS)} select * from mentions"
-ORACLE["known_entities"] = f"with {CATALOG}, {_mentions(QUESTIONS)} select * from mentions where mention in (select upper(label) from catalog)"
+ORACLE["known_entities"] = f"with {CATALOG}, {_mentions(QUESTIONS)} select * from mentions where mention in (select upper(label) from idx)"
 ORACLE["retrieve_context"] = f"""with {CATALOG}, {_mentions(QUESTIONS)}, {HITS}
 select query_id, rank, label, vec_id, round(score, 6) as score, source_kind from hits"""
 ORACLE["context_block"] = f"with {CATALOG}, {_mentions(QUESTIONS)}, {HITS}, {PROMPT} select query_id, context from ctx"
 ORACLE["augmented_prompt"] = f"with {CATALOG}, {_mentions(QUESTIONS)}, {HITS}, {PROMPT} select query_id, prompt, sources from prompts"
 
-SYSTEM = """sys as (
-  select 'You help interpret perturbation screens: how knocking out a gene changes the expression of others.' || chr(10)
-         || 'The data cover ' || cast(count(*) as varchar) || ' perturbations: ' || string_agg(label, ', ' order by label) || '.' || chr(10)
-         || 'Rely on the retrieved data, quote genes and fold changes from it, and say so when a perturbation is not in the data.' as system_text
-  from catalog)"""
-ORACLE["system_text"] = f"with {CATALOG}, {SYSTEM} select system_text from sys"
+ORACLE["system_text"] = f"""with {CATALOG},
+n as (select label, row_number() over (order by label) as rn from (select distinct label from idx) t)
+select cast(0 as bigint) as part, 'You answer from an index of ' || cast(count(*) as varchar)
+       || ' labelled documents about gene perturbations. Name the label behind each statement; if no document covers the question, say that.' as system_text
+from n
+union all
+select cast((rn - 1) // 1000 + 1 as bigint) as part, string_agg(label, ', ' order by label) as system_text from n group by 1"""
 
-REQUESTS = """requests as (
+_TYPES = " union all ".join(f"select '{t}' as t" for t in (*QUESTION_TEMPLATES, "other"))
+_WORDING = " ".join(f"when '{t}' then '{w}'" for t, w in QUESTION_TEMPLATES.items())
+REQUESTS = f"""requests as (
   select cast(row_number() over (order by p, t) as bigint) as request_id, p as perturbation, t as question_type
-  from (select label as p from catalog union all select lower(label) from catalog union all select 'ZZ') a
-  cross join (select 'top_effects' as t union all select 'mechanism' union all select 'other') b),
+  from (select label as p from idx union select lower(label) from idx union select 'ZZ') a
+  cross join ({_TYPES}) b),
 rq as (
-  select *, replace(case question_type
-      when 'top_effects' then 'Which expression changes are strongest after knocking out {p}?'
-      when 'upregulated' then 'Which genes go up most when {p} is knocked out, and what might that mean biologically?'
-      when 'downregulated' then 'Which genes go down most when {p} is knocked out?'
-      when 'mechanism' then 'From the perturbation data, what biological role does {p} most likely play?'
-      when 'comparison' then 'How does the knockout of {p} compare with the other perturbations in the data?'
-      else 'Describe what happens when {p} is knocked out.' end, '{p}', perturbation) as question
+  select *, replace(case question_type {_WORDING} else '{DEFAULT_TEMPLATE}' end, '{{p}}', perturbation) as question
   from requests)"""
 
 ORACLE["question_templates"] = f"with {CATALOG}, {REQUESTS} select request_id, question from rq"
@@ -430,30 +423,32 @@ select r.request_id, r.perturbation as name, c.label, c.vec_id
 from requests r left join catfirst c on upper(r.perturbation) = c.name_key"""
 
 STRUCT = f"""{CATALOG}, {REQUESTS}, {_mentions("select request_id as query_id, question from rq")}, {HITS}, {PROMPT},
-meta as (select upper(label) as name_key, arg_min(label, 0) as label, arg_min(n_documents, 0) as n_documents,
-                arg_min(total_chars, 0) as total_chars from ldocs group by 1)"""
+answers as (select cast(row_number() over (order by conv_id, turn) as bigint) as request_id, text as answer
+            from conversations where role = 'assistant')"""
 ORACLE["structured_requests"] = f"""with {STRUCT}
 select r.request_id, r.perturbation, r.question_type, r.question, p.prompt, p.sources, m.label as matched_label,
-       cast(2 as bigint) as n_messages, cast(null as varchar) as answer
-from rq r left join prompts p on r.request_id = p.query_id left join meta m on upper(r.perturbation) = m.name_key"""
-ORACLE["structured_metadata"] = f"""with {STRUCT}
-select r.request_id, m.label as matched_label, m.n_documents, m.total_chars
-from rq r left join meta m on upper(r.perturbation) = m.name_key"""
+       'system,user' as roles, p.prompt as user_content, a.answer
+from rq r left join prompts p on r.request_id = p.query_id left join catfirst m on upper(r.perturbation) = m.name_key
+left join answers a on a.request_id = r.request_id"""
+ORACLE["structured_metadata"] = f"""with {CATALOG}, {REQUESTS}
+select r.request_id, m.label as matched_label, i.lang, i.source, i.n_chars
+from rq r left join catfirst m on upper(r.perturbation) = m.name_key left join idx i on i.vec_id = m.vec_id"""
 
 
 # ---------------------------------------------------------------- dialogue
 
 MESSAGES = """messages as (
   select conv_id, turn, role, text,
-         case when role = 'user' and length(text) % 7 = 0 then 1 else 0 end as reset_flag from conversations),
-turns as (select *, cast(sum(reset_flag) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as segment_id
-          from messages where role <> 'system'),
+         case when role in ('user', 'system') and length(text) % 7 = 0 then 1 else 0 end as reset_flag from conversations),
+segments as (select *, cast(sum(reset_flag) over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as segment_id
+             from messages),
+turns as (select * from segments where role <> 'system'),
 hist as (select *, list({'role': role, 'content': text}) over (partition by conv_id, segment_id order by turn
                                                                rows between 6 preceding and 1 preceding) as history
          from turns)"""
 
 ORACLE["chat_segments"] = """select conv_id, turn,
-  cast(sum(case when role = 'user' and length(text) % 7 = 0 then 1 else 0 end)
+  cast(sum(case when role in ('user', 'system') and length(text) % 7 = 0 then 1 else 0 end)
        over (partition by conv_id order by turn rows between unbounded preceding and current row) as bigint) as segment_id
 from conversations"""
 ORACLE["chat_history"] = f"""with {MESSAGES}
@@ -469,12 +464,12 @@ where role = 'user'"""
 ORACLE["role_split"] = """select conv_id, arg_max(text, turn) filter (where role = 'system') as system_text,
        cast(count_if(role <> 'system') as bigint) as n_turns
 from conversations group by conv_id"""
-ORACLE["message_list"] = f"""with {CATALOG}, {MESSAGES}, {SYSTEM},
+ORACLE["message_list"] = f"""with {CATALOG}, {MESSAGES},
 {_mentions("select {'conv_id': conv_id, 'turn': turn} as query_id, text as question from conversations where role = 'user'")},
 {HITS}, {PROMPT}
 select h.conv_id, h.turn, cast(coalesce(len(h.history), 0) + 2 as bigint) as n_messages,
        'system' || case when coalesce(len(h.history), 0) > 0 then ',' || array_to_string(list_transform(h.history, lambda x: x.role), ',') else '' end || ',user' as roles,
-       p.prompt as user_prompt
+       case when coalesce(len(h.history), 0) > 0 then array_to_string(list_transform(h.history, lambda x: x.content), chr(10)) || chr(10) else '' end || p.prompt as contents
 from hist h join prompts p on p.query_id.conv_id = h.conv_id and p.query_id.turn = h.turn
 where h.role = 'user'"""
 ORACLE["best_checkpoint"] = """select run_id, epoch, val_loss,
@@ -548,6 +543,7 @@ select perturbation, effect_gene, log2fc, coalesce(padj, 1.0) as padj, score, ce
        cast(l_orderkey as bigint) as l_orderkey, cast(l_linenumber as bigint) as l_linenumber,
        cast(l_partkey as bigint) as l_partkey
 from effects"""
-ORACLE["documents_json"] = f"""with q as ({ORACLE["document_metadata"]})
-select perturbation, n_significant, n_upregulated, n_downregulated, top_up_genes, top_down_genes,
-       max_log2fc, min_log2fc from q"""
+ORACLE["documents_json"] = f"""with m as ({ORACLE["document_metadata"]}), d as ({ORACLE["documents_text"]})
+select m.perturbation, d.text, n_significant, n_upregulated, n_downregulated, n_up_shown, n_down_shown,
+       top_up_genes, top_down_genes, cell_types, max_log2fc, min_log2fc, strongest_gene, strongest_log2fc
+from m join d on m.perturbation = d.perturbation"""

@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pertlake.functions.columns import DEFAULT_THRESHOLD
+from pertlake.functions.ranking import global_row_number
 from pertlake.operators import dialogue as dlg
 from pertlake.operators import effects as eff
 from pertlake.operators import embedding as emb
@@ -41,6 +43,11 @@ def _effects(spark, sf):
     return eff.clean_effects(ad.effects(spark, sf))
 
 
+def _significant(spark, sf):
+    """The significant rows only, for operators that use no others: tested at the scan."""
+    return eff.clean_effects(ad.effects(spark, sf, below=DEFAULT_THRESHOLD))
+
+
 T = ad.EFFECT_TIEBREAK
 
 # ---------------------------------------------------------------- filters
@@ -75,14 +82,14 @@ def q_coerce_numeric(spark, sf):
 
 @register("significant_effects")
 def q_significant(spark, sf):
-    return eff.significant_effects(_effects(spark, sf)).select(
+    return eff.significant_effects(_significant(spark, sf)).select(
         "perturbation", "effect_gene", "log2fc", "padj", "score", *T
     )
 
 
 @register("direction_split")
 def q_direction(spark, sf):
-    d = eff.direction_split(eff.significant_effects(_effects(spark, sf)))
+    d = eff.direction_split(eff.significant_effects(_significant(spark, sf)))
     return d.groupBy("perturbation", "direction").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("log2fc").alias("sum_log2fc")
     )
@@ -109,20 +116,20 @@ def q_strongest(spark, sf):
 
 @register("top_effects")
 def q_top_effects(spark, sf):
-    return summ.top_effects(_effects(spark, sf), tiebreak=T).select(
+    return summ.top_effects(_significant(spark, sf), tiebreak=T).select(
         "perturbation", "direction", "rank", "effect_gene", "log2fc", "padj", "score"
     )
 
 
 @register("gene_lines")
 def q_gene_lines(spark, sf):
-    top = summ.top_effects(_effects(spark, sf), tiebreak=T)
+    top = summ.top_effects(_significant(spark, sf), tiebreak=T)
     return summ.gene_lines(top).select("perturbation", "direction", "rank", "line")
 
 
 @register("top_gene_lists")
 def q_top_gene_lists(spark, sf):
-    lists = summ.top_gene_lists(summ.top_effects(_effects(spark, sf), tiebreak=T))
+    lists = summ.top_gene_lists(summ.top_effects(_significant(spark, sf), tiebreak=T))
     return lists.select(
         "perturbation",
         F.array_join("top_up_genes", "|").alias("top_up_genes"),
@@ -132,7 +139,7 @@ def q_top_gene_lists(spark, sf):
 
 @register("cell_type_phrase")
 def q_cell_type_phrase(spark, sf):
-    return summ.cell_type_phrase(_effects(spark, sf), tiebreak=T).select("perturbation", "cell_type_phrase")
+    return summ.cell_type_phrase(_significant(spark, sf), tiebreak=T).select("perturbation", "cell_type_phrase")
 
 
 @register("documents_text")
@@ -157,7 +164,7 @@ GENES_KEPT = 32  # top-K genes for the selection queries (the default cap, 2048,
 
 
 def _unit(spark, sf):
-    return prof.profile_unit(prof.profile_long(_effects(spark, sf)))
+    return prof.profile_unit(prof.profile_long(_significant(spark, sf)))
 
 
 def _kept(unit):
@@ -166,7 +173,7 @@ def _kept(unit):
 
 @register("profile_long")
 def q_profile_long(spark, sf):
-    p = prof.profile_long(_effects(spark, sf))
+    p = prof.profile_long(_significant(spark, sf))
     return p.select("perturbation", "effect_gene", F.round("value", 6).alias("value"))
 
 
@@ -195,7 +202,7 @@ def q_catalog_genes(spark, sf):
 @register("catalog_counts")
 def q_catalog_counts(spark, sf):
     # The catalogue is written as tables and the counts are read back
-    profile = prof.profile_long(_effects(spark, sf))
+    profile = prof.profile_long(_significant(spark, sf))
     path = scratch_path(spark, "catalog")
     store.save_catalog(
         profile.select("effect_gene").distinct(), profile.select("perturbation").distinct(),
@@ -224,27 +231,26 @@ def q_documents_json(spark, sf):
     d = store.read_documents_json(spark, path)
     m = "metadata."
     return d.select(
-        "perturbation",
-        F.col(m + "n_significant").alias("n_significant"),
-        F.col(m + "n_upregulated").alias("n_upregulated"),
-        F.col(m + "n_downregulated").alias("n_downregulated"),
-        F.array_join(m + "top_up_genes", "|").alias("top_up_genes"),
-        F.array_join(m + "top_down_genes", "|").alias("top_down_genes"),
-        F.col(m + "max_log2fc").alias("max_log2fc"),
-        F.col(m + "min_log2fc").alias("min_log2fc"),
+        "perturbation", "text",
+        *[F.col(m + c).alias(c) for c in ("n_significant", "n_upregulated", "n_downregulated", "n_up_shown", "n_down_shown")],
+        *[F.array_join(m + c, "|").alias(c) for c in ("top_up_genes", "top_down_genes", "cell_types")],
+        *[F.col(m + c).alias(c) for c in ("max_log2fc", "min_log2fc", "strongest_gene", "strongest_log2fc")],
     )
 
 
 @register("profile_wide")
 def q_profile_wide(spark, sf):
-    unit = _unit(spark, sf)
-    melted = prof.melt_wide(prof.profile_wide(unit, _kept(unit)))
-    return melted.select("perturbation", "effect_gene", F.round("value", 6).alias("value"))
+    wide = prof.profile_wide(_unit(spark, sf))
+    # the array holds every gene; its zeros are checked by their number
+    entries = wide.select("perturbation", F.size("values").cast("long").alias("n_genes"), F.posexplode("values").alias("place", "value"))
+    return entries.filter("value != 0").select(
+        "perturbation", "n_genes", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value")
+    )
 
 
 @register("holdout_split")
 def q_holdout_split(spark, sf):
-    return prof.holdout_split(prof.profile_long(_effects(spark, sf)))
+    return prof.holdout_split(prof.profile_long(_significant(spark, sf)))
 
 
 # ---------------------------------------------------------------- index
@@ -354,18 +360,8 @@ def q_index_roundtrip(spark, sf):
 # ---------------------------------------------------------------- retrieval
 
 
-def _index(spark, sf, cat=None):
-    """Collection catalogue joined with its vectors (label, vec_id, embedding)."""
-    cat = ad.catalog(spark, sf) if cat is None else cat
-    return cat.join(_emb(spark, sf).select("vec_id", "embedding"), "vec_id")
-
-
-def _ldocs(spark, sf):
-    return ret.label_documents(_docs(spark, sf))
-
-
-def _hits(spark, sf):
-    return ret.retrieve_context(ad.questions(spark, sf), _index(spark, sf))
+def _hits(spark, sf, with_text=False):
+    return ret.retrieve_context(ad.questions(spark, sf), ad.index(spark, sf), with_text=with_text)
 
 
 @register("entity_mentions")
@@ -375,13 +371,13 @@ def q_entity_mentions(spark, sf):
 
 @register("known_entities")
 def q_known_entities(spark, sf):
-    return ret.known_entities(ret.entity_mentions(ad.questions(spark, sf)), ad.catalog(spark, sf))
+    return ret.known_entities(ret.entity_mentions(ad.questions(spark, sf)), ad.index(spark, sf))
 
 
 @register("lookup_by_name")
 def q_lookup_by_name(spark, sf):
-    cat = ad.catalog(spark, sf)
-    names = ad.requests(spark, sf, cat).select("request_id", F.col("perturbation").alias("name"))
+    names = ad.requests(spark, sf).select("request_id", F.col("perturbation").alias("name"))
+    cat = ad.index(spark, sf).select("label", "vec_id")
     return ret.lookup_by_name(names, cat).select("request_id", "name", "label", "vec_id")
 
 
@@ -393,18 +389,18 @@ def q_retrieve_context(spark, sf):
 
 @register("context_block")
 def q_context_block(spark, sf):
-    return ret.context_block(_hits(spark, sf), _ldocs(spark, sf))
+    return ret.context_block(_hits(spark, sf, with_text=True))
 
 
 @register("augmented_prompt")
 def q_augmented_prompt(spark, sf):
-    p = ret.augmented_prompt(ad.questions(spark, sf), _hits(spark, sf), _ldocs(spark, sf))
+    p = ret.augmented_prompt(ad.questions(spark, sf), _hits(spark, sf, with_text=True))
     return p.select("query_id", "prompt", "sources")
 
 
 @register("system_text")
 def q_system_text(spark, sf):
-    return ret.system_text(ad.catalog(spark, sf))
+    return ret.system_text(ad.index(spark, sf))
 
 
 @register("question_templates")
@@ -413,9 +409,17 @@ def q_question_templates(spark, sf):
     return r.select("request_id", ret.question_from_template(r).alias("question"))
 
 
+def _completions(spark, sf):
+    """Answers of a model: the assistant turns, numbered in (conv_id, turn) order."""
+    turns = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    numbered = global_row_number(turns, [F.col("conv_id").asc(), F.col("turn").asc()], "request_id")
+    return numbered.select("request_id", F.col("text").alias("answer"))
+
+
 def _structured(spark, sf):
-    cat = ad.catalog(spark, sf)
-    return ret.structured_requests(ad.requests(spark, sf, cat), _index(spark, sf, cat), _ldocs(spark, sf), ret.system_text(cat))
+    # requests and index are written once: both feed several branches of the plan
+    index = prof.materialize(ad.index(spark, sf))
+    return ret.structured_requests(prof.materialize(ad.requests(spark, sf)), index, completions=_completions(spark, sf))
 
 
 @register("structured_requests")
@@ -423,16 +427,18 @@ def q_structured_requests(spark, sf):
     s = _structured(spark, sf)
     return s.select(
         "request_id", "perturbation", "question_type", "question", "prompt", "sources", "matched_label",
-        F.size("messages").cast("long").alias("n_messages"), "answer",
+        F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+        F.element_at("messages", -1)["content"].alias("user_content"), "answer",
     )
 
 
 @register("structured_metadata")
 def q_structured_metadata(spark, sf):
-    s = _structured(spark, sf)
+    requests = ad.requests(spark, sf).select("request_id", F.col("perturbation").alias("name"))
+    s = ret.lookup_by_name(requests, ad.index(spark, sf).select("label", "metadata", "vec_id"))
+    m = F.col("metadata")
     return s.select(
-        "request_id", "matched_label",
-        F.col("metadata.n_documents").alias("n_documents"), F.col("metadata.total_chars").alias("total_chars"),
+        "request_id", F.col("label").alias("matched_label"), m["lang"].alias("lang"), m["source"].alias("source"), m["n_chars"].alias("n_chars")
     )
 
 
@@ -471,18 +477,16 @@ def q_message_list(spark, sf):
     users = msgs.filter(F.col("role") == "user").select(
         F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("question")
     )
-    cat = ad.catalog(spark, sf)
-    hits = ret.retrieve_context(users, _index(spark, sf, cat))
-    prompts = ret.augmented_prompt(users, hits, _ldocs(spark, sf)).select(
+    hits = ret.retrieve_context(users, ad.index(spark, sf), with_text=True)
+    prompts = ret.augmented_prompt(users, hits).select(
         F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"), "prompt"
     )
-    sys_txt = ret.system_text(cat).select("system_text").scalar()
-    ml = dlg.message_list(dlg.chat_history(msgs), sys_txt, prompts)
+    ml = dlg.message_list(dlg.chat_history(msgs), prompts)
     return ml.select(
         "conv_id", "turn",
         F.size("messages").cast("long").alias("n_messages"),
         F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
-        F.element_at("messages", -1)["content"].alias("user_prompt"),
+        F.array_join(F.transform("messages", lambda x: x["content"]), "\n").alias("contents"),
     )
 
 

@@ -8,6 +8,8 @@ map labels to vectors (any number of entries per line).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +38,15 @@ DOCUMENT_SCHEMA = T.StructType(
                     T.StructField("n_significant", T.LongType()),
                     T.StructField("n_upregulated", T.LongType()),
                     T.StructField("n_downregulated", T.LongType()),
+                    T.StructField("n_up_shown", T.LongType()),
+                    T.StructField("n_down_shown", T.LongType()),
                     T.StructField("top_up_genes", T.ArrayType(T.StringType())),
                     T.StructField("top_down_genes", T.ArrayType(T.StringType())),
                     T.StructField("max_log2fc", T.DoubleType()),
                     T.StructField("min_log2fc", T.DoubleType()),
+                    T.StructField("strongest_gene", T.StringType()),
+                    T.StructField("strongest_log2fc", T.DoubleType()),
+                    T.StructField("cell_types", T.ArrayType(T.StringType())),
                 ]
             ),
         ),
@@ -53,21 +60,39 @@ def read_effects_csv(spark: SparkSession, path: str) -> DataFrame:
     Header names of the source are renamed to snake_case; unknown columns are kept.
     Cleaning and coercion follow in ``operators.effects.clean_effects``.
     """
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    # keep empty strings as "" so the missing-token mapping (O02) decides
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", None)
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    for src, dst in CSV_COLUMNS.items():
-        if src in df.columns:
-            df = df.withColumnRenamed(src, dst)
-    return df
+    # files may differ in header order or columns: files with the same header are read
+    # together, and the groups are united by column name
+    groups: dict[str, list[str]] = {}
+    for row in _csv_headers(spark, path):
+        groups.setdefault(row["header"], []).append(row["file"])
+    parts = []
+    for files in groups.values():
+        names = spark.read.option("header", True).option("inferSchema", False).csv(files[0]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        # keep empty strings as "" so the missing-token mapping (O02) decides
+        df = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("nullValue", None)
+            .option("emptyValue", "")
+            .option("mode", "PERMISSIVE")
+            .csv(files)
+        )
+        for src, dst in CSV_COLUMNS.items():
+            if src in df.columns:
+                df = df.withColumnRenamed(src, dst)
+        parts.append(df)
+    if not parts:
+        raise FileNotFoundError(f"no CSV file with a header at {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _csv_headers(spark: SparkSession, path: str) -> list:
+    """(file, header line) of every file: one row per file, found without reading the files whole."""
+    lines = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # the first line of the block at byte 0 of each file
+    first = lines.filter("at = 0").withColumn("_n", F.monotonically_increasing_id())
+    return first.groupBy("file").agg(F.min_by("value", "_n").alias("header")).collect()
 
 
 def write_effects_csv(df: DataFrame, path: str) -> None:

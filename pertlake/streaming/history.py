@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pertlake.operators.dialogue import HISTORY_MESSAGES, chat_history
+from pertlake.operators.dialogue import HISTORY_MESSAGES, chat_history, chat_segments
 from pertlake.streaming import snapshots as snap
 
 DEFAULT_BUCKETS = 64
@@ -54,8 +54,7 @@ def history_batch(
     bid = int(batch_id)
     reset = F.coalesce(F.col("reset_flag"), F.lit(0)) if "reset_flag" in batch.columns else F.lit(0)
     rows = (
-        batch.filter(F.col("role") != "system")
-        .select(*MESSAGE_COLUMNS, reset.cast("int").alias("reset_flag"), F.lit(False).alias("_carried"))
+        batch.select(*MESSAGE_COLUMNS, reset.cast("int").alias("reset_flag"), F.lit(False).alias("_carried"))
         .withColumn("bucket", snap.bucket_of("conv_id", n_buckets))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -82,12 +81,13 @@ def history_batch(
 
         # New carry: the last n messages of each batch conversation's last segment.
         # They are among the conversation's last n messages (partial-limited window:
-        # at most n rows per conversation and task cross the shuffle); the last
-        # segment is the largest segment id among those n.
+        # at most n rows per conversation and task cross the shuffle).
         w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
         last_n = hist.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+        # a system message may reset too, so the last segment is taken over all messages
+        last_segment = chat_segments(msgs).groupBy("conv_id").agg(F.max("segment_id").alias("_last_seg"))
         tail = (
-            last_n.withColumn("_last_seg", F.max("segment_id").over(Window.partitionBy("conv_id")))
+            last_n.join(last_segment, "conv_id")
             .filter(F.col("segment_id") == F.col("_last_seg"))
             .select(*MESSAGE_COLUMNS)
         )

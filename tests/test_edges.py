@@ -133,10 +133,11 @@ def test_retrieval_names_first_then_fallback(spark):
     for q in (2, 3):
         fb = [r for r in hits if r["query_id"] == q]
         assert len(fb) == 3 and {r["source_kind"] for r in fb} == {"similarity"}
-    docs = index.select("label", F.concat(F.lit("doc of "), F.col("label")).alias("text"))
-    ctx = by(ret.context_block(spark.createDataFrame(hits), docs, k=3).collect(), "query_id")
+    index = index.withColumn("text", F.concat(F.lit("doc of "), F.col("label")))
+    full = ret.retrieve_context(qs, index, k=3, with_text=True)
+    ctx = by(ret.context_block(full, k=3).collect(), "query_id")
     assert "doc of EF" in ctx[1]["context"] and "doc of GH" not in ctx[1]["context"]
-    prompt = by(ret.augmented_prompt(qs, spark.createDataFrame(hits), docs, k=3).collect(), "query_id")
+    prompt = by(ret.augmented_prompt(qs, full, k=3).collect(), "query_id")
     assert prompt[1]["sources"] == "AB, CD, EF, GH"  # sources are not cut to k
 
 
@@ -202,3 +203,40 @@ def test_chunked_dialogue_windows_equal_single_chunk(spark):
         return seg, hist, pairs
 
     assert run(2) == run(3) == run(4096)
+
+
+def test_csv_files_with_another_header_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Perturbation Gene,Effect Gene,Log2FC,Padj,Score Value\nP1,G1,1.5,0.01,2\n")
+    (tmp_path / "b.csv").write_text("Effect Gene,Perturbation Gene,Padj,Log2FC,Cell Type\nG2,P2,0.02,-1.5,T\n")
+    (tmp_path / "c.csv").write_text("")
+    from pertlake.sources import store
+
+    rows = {r["perturbation"]: r.asDict() for r in store.read_effects_csv(spark, str(tmp_path)).collect()}
+    assert rows["P1"] == {"perturbation": "P1", "effect_gene": "G1", "log2fc": "1.5", "padj": "0.01", "score": "2", "cell_type": None}
+    assert rows["P2"] == {"perturbation": "P2", "effect_gene": "G2", "log2fc": "-1.5", "padj": "0.02", "score": None, "cell_type": "T"}
+
+
+def test_reset_on_a_system_message_counts(spark):
+    rows = [(1, 0, "user", "a", 0), (1, 1, "assistant", "b", 0), (1, 2, "system", "s", 1), (1, 3, "user", "c", 0), (1, 4, None, "d", 0)]
+    msgs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, reset_flag int")
+    from pertlake.operators.dialogue import chat_history
+
+    got = {r["turn"]: [h["content"] for h in r["history"]] for r in chat_history(msgs).collect()}
+    assert got == {0: [], 1: ["a"], 3: [], 4: ["c"]}
+
+
+def test_split_has_no_switch_by_size(spark):
+    from pertlake.operators import profiles as prof
+
+    keys = spark.createDataFrame([(f"P{i}",) for i in range(5)], "perturbation string")
+    assert sorted(r["split"] for r in prof.holdout_split(keys).collect()) == ["train"] * 4 + ["val"]
+    assert prof.holdout_split(keys, demo_mode=True).count() == 10
+
+
+def test_system_text_lists_every_label_in_bounded_parts(spark):
+    from pertlake.operators import retrieval as ret
+
+    cat = spark.createDataFrame([(f"L{i:04d}",) for i in range(25)] * 2, "label string")
+    parts = {r["part"]: r["system_text"] for r in ret.system_text(cat, per_part=10).collect()}
+    assert sorted(parts) == [0, 1, 2, 3]
+    assert ", ".join(parts[p] for p in (1, 2, 3)).split(", ") == [f"L{i:04d}" for i in range(25)]

@@ -49,12 +49,14 @@ def test_block_knn_equals_single_block(spark):
     ]
 
 
-def test_pivot_melts_back_to_long_form(spark):
+def test_wide_rows_hold_every_gene_and_value(spark):
     unit = prof.profile_unit(prof.profile_long(_effects(spark)))
-    kept = prof.top_genes(prof.gene_importance(unit), 16)
-    melted = prof.melt_wide(prof.profile_wide(unit, kept)).filter(F.col("value") != 0)
-    long = prof.kept_profile(unit, kept).select("perturbation", "effect_gene", "value")
-    assert sorted(map(tuple, melted.collect())) == sorted(map(tuple, long.filter(F.col("value") != 0).collect()))
+    genes = sorted({r["effect_gene"] for r in unit.select("effect_gene").distinct().collect()})
+    wide = {r["perturbation"]: r["values"] for r in prof.profile_wide(unit).collect()}
+    long = {(r["perturbation"], r["effect_gene"]): r["value"] for r in unit.collect()}
+    assert set(wide) == {p for p, _ in long}
+    for p, values in wide.items():
+        assert values == [long.get((p, g), 0.0) for g in genes]
 
 
 def test_pca_error_non_increasing_in_k(spark):
@@ -260,3 +262,10 @@ def test_history_batch_without_turns_carries_the_map(spark):
     hist.history_batch(m.filter(~system & (F.col("turn") >= 3)), 2, out, state, n_buckets=4)
     got = _flat_history(spark.read.parquet(out).collect())
     assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
+
+
+@pytest.mark.parametrize("key", ["significant_effects", "top_effects", "profile_long"])
+def test_significance_reaches_the_scan(spark, key):
+    plan = REGISTRY[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line and "l_discount" in line]
+    assert pushed and all("LessThan(l_discount" in line for line in pushed)
