@@ -265,7 +265,9 @@ def test_history_batch_without_turns_carries_the_map(spark):
 
 
 @pytest.mark.parametrize("key", ["significant_effects", "top_effects", "profile_long"])
-def test_significance_reaches_the_scan(spark, key):
-    plan = REGISTRY[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+def test_significance_reaches_the_scan(spark, key, capsys):
+    df = REGISTRY[key](spark, SF_SMALL)
+    df.explain("formatted")
+    plan = capsys.readouterr().out
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line and "l_discount" in line]
     assert pushed and all("LessThan(l_discount" in line for line in pushed)
