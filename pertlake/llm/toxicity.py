@@ -6,11 +6,12 @@ insult with a character put in, or letters spread by dots, still shares most sub
 The kernel is normalised to 1 for equal words. A start mark is a character of its own.
 
 Training, on the sentences of a bounded sample of labelled documents (``PER_CLASS``):
-words that occur nearly only in sentences of toxic documents are positive, words of other
-documents negative. Landmarks are chosen from both; words become their kernel values with
+words that occur nearly only in sentences of toxic documents are positive (weighing as many
+as the documents that hold them), words of other documents negative. Landmarks are chosen
+from both, the positive ones each as unlike the earlier ones as can be; words become their kernel values with
 the landmarks times the inverse square root of the landmark kernel (Nyström); a linear SVM
 with squared hinge loss is solved there, then again after adding the words of other documents it got
-wrong (``ROUNDS`` times, at most ``NEGATIVE_WORDS`` each). The result folds into one weight per subsequence, so a word's margin is a sum of
+wrong, with landmarks among them (``ROUNDS`` times, at most ``NEGATIVE_WORDS`` each). The result folds into one weight per subsequence, so a word's margin is a sum of
 table look-ups. A document's score is a logistic function of its largest word margin and
 its numbers of words beyond two margins, fitted on the sample's documents.
 
@@ -37,10 +38,12 @@ from pertlake.llm.text_hash import Words, doc_buffers, doc_chunks
 from pertlake.llm.training_rows import labelled_sample, remainder
 
 PER_CLASS = 4_000
-POSITIVE_WORDS, NEGATIVE_WORDS, LANDMARKS, ROUNDS = 1_500, 5_000, 192, 3
+POSITIVE_WORDS, NEGATIVE_WORDS, LANDMARKS, ROUNDS = 1_500, 5_000, 512, 3
 MARGINS = (0.0, 0.5)
 LEAST_SUPPORT, LEAST_NEGATIVE = 3, 0.02
-SPAN, DECAY, WIDTH, OVERLAP = 5, 0.6, 24, 6
+SPAN, DECAY, WIDTH, OVERLAP = 5, 0.5, 24, 6
+HARD_WORDS = 1_500  # that landmarks are chosen from
+COST = 20_000.0  # of all positive, and of all negative, words together
 SYMBOLS = 64
 CODES = SYMBOLS**3
 
@@ -168,25 +171,55 @@ def _spread(words: list[str], n: int) -> list[str]:
     return words if len(words) <= n else [words[i * len(words) // n] for i in range(n)]
 
 
+def _unlike(words: list[str], n: int) -> list[str]:
+    """Up to ``n`` words, each with the largest part outside the span of the earlier ones (pivoted Cholesky)."""
+    codes, weights = _kernel_rows(words)
+    left = np.ones(len(words))
+    basis = np.zeros((len(words), 0))
+    chosen: list[str] = []
+    for _ in range(min(n, len(words))):
+        i = int(left.argmax())
+        if left[i] < 1e-3:
+            break
+        dense = np.zeros(CODES)
+        np.add.at(dense, codes[i], weights[i])
+        column = (dense[codes] * weights).sum(1)
+        new = (column - basis @ basis[i]) / np.sqrt(left[i])
+        basis = np.column_stack([basis, new])
+        left = np.maximum(left - new**2, 0)
+        left[i] = 0
+        chosen.append(words[i])
+    return chosen
+
+
 class WordMachine:
     """The Nyström SVM over words; ``solve`` may be called again with more negatives."""
 
-    def __init__(self, positive: list[str], negative: list[str]):
-        self.positive, self.negative = positive, negative
-        landmarks = _spread(positive, 2 * LANDMARKS // 3) + _spread(negative, LANDMARKS // 3)
+    def __init__(self, positive: dict[str, int], negative: list[str], hard: list[str]):
+        """``positive`` words with the number of documents that hold them; ``hard`` are negatives near the boundary."""
+        self.positive, self.negative = sorted(positive), negative
+        support = np.array([positive[w] for w in self.positive], float)
+        self._share = support / support.sum()
+        landmarks = _unlike(self.positive, LANDMARKS // 2)
+        landmarks += _unlike(hard[:HARD_WORDS], 3 * LANDMARKS // 8) + _spread(negative, LANDMARKS // 8)
         codes, weights = _kernel_rows(landmarks)
-        self._table = np.zeros((len(landmarks), CODES), np.float32)
+        # the landmarks' subsequences are few: one column each, column 0 for all others
+        self._known = np.unique(codes[weights > 0])
+        self._column = np.zeros(CODES, np.int32)
+        self._column[self._known] = np.arange(1, len(self._known) + 1)
+        self._table = np.zeros((len(landmarks), len(self._known) + 1), np.float32)
         for i in range(len(landmarks)):
-            np.add.at(self._table[i], codes[i], weights[i])
+            np.add.at(self._table[i], self._column[codes[i]], weights[i])
+        self._table[:, 0] = 0
         values, vectors = np.linalg.eigh(self._against_landmarks(landmarks))
         good = values > 1e-4
         self._root = vectors[:, good] / np.sqrt(values[good])
 
     def _against_landmarks(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self._table)))
-        for a in range(0, len(words), 256):
-            c, w = _kernel_rows(words[a : a + 256])
-            out[a : a + 256] = np.einsum("lnk,nk->nl", self._table[:, c], w, optimize=False)
+        for a in range(0, len(words), 64):
+            c, w = _kernel_rows(words[a : a + 64])
+            out[a : a + 64] = np.einsum("lnk,nk->nl", self._table[:, self._column[c]], w.astype(np.float32), optimize=False)
         return out
 
     def solve(self) -> tuple[np.ndarray, float]:
@@ -195,7 +228,7 @@ class WordMachine:
         z = np.column_stack([z, np.ones(len(z))])
         n_pos, n_neg = len(self.positive), len(self.negative)
         y = np.r_[np.ones(n_pos), -np.ones(n_neg)]
-        cost = np.where(y > 0, 1 / max(n_pos, 1), 1 / max(n_neg, 1)) * 20_000
+        cost = np.r_[self._share, np.full(n_neg, 1 / max(n_neg, 1))] * COST
         beta = np.zeros(z.shape[1])
         ridge = np.ones(z.shape[1])
         ridge[-1] = 1e-3
@@ -206,18 +239,19 @@ class WordMachine:
             if np.allclose(new, beta, atol=1e-8):
                 break
             beta = new
-        return ((self._root @ beta[:-1]) @ self._table).astype(np.float32), float(beta[-1])
+        weight = np.zeros(CODES, np.float32)
+        weight[self._known] = (self._root @ beta[:-1]) @ self._table[:, 1:]
+        return weight, float(beta[-1])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, classes weighing alike."""
+    """Ridge logistic regression by Newton steps."""
     z = np.column_stack([np.ones(len(x)), x])
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     beta = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        gradient = z.T @ (weight * (y - p)) - 1e-2 * beta
-        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(beta))
+        gradient = z.T @ (y - p) - 1e-2 * beta
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max() < 1e-6:
@@ -262,17 +296,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic"
     others = table.filter((F.col("neg") > 0) & (F.col("neg") * n_pos >= F.col("pos") * n_neg * 0.5))
     frequent = others.orderBy(F.desc("neg"), "word").limit(NEGATIVE_WORDS // 2).collect()
     rare = others.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE_WORDS // 2).collect()
-    positive = sorted(r["word"] for r in chosen)
+    positive = {r["word"]: r["pos"] for r in chosen}
     if not positive:
         return Model(nothing, 0.0, (float(np.log(n_pos / n_neg)), *[0.0] * (1 + len(MARGINS))))
-    machine = WordMachine(positive, sorted({r["word"] for r in frequent} | {r["word"] for r in rare}))
+    negative, hard = sorted({r["word"] for r in frequent} | {r["word"] for r in rare}), []
     for _ in range(ROUNDS):
-        weight, bias = machine.solve()
-        model = Model(weight, bias, ())
-        margin = _word_margin(model)(F.col("word"))
+        weight, bias = WordMachine(positive, negative, hard).solve()
+        margin = _word_margin(Model(weight, bias, ()))(F.col("word"))
         wrong = others.select("word", margin.alias("margin")).filter("margin > -0.7").orderBy(F.desc("margin"), "word").limit(NEGATIVE_WORDS).collect()
-        machine.negative = sorted({*machine.negative, *(r["word"] for r in wrong)})
-    weight, bias = machine.solve()
+        hard = [r["word"] for r in wrong]
+        negative = sorted({*negative, *hard})
+    weight, bias = WordMachine(positive, negative, hard).solve()
     model = Model(weight, bias, ())
 
     def describe(batches):
