@@ -11,17 +11,21 @@ shards that each hold everything their documents' windows have to be compared wi
    windows have equal minimizers, so windows whose minimizer occurs once are settled.
    Minimizers are counted by a partial aggregate.
 2. Segments: the windows of a document that follow each other and have the same repeated
-   minimizer, as one run of words.
+   minimizer, as one run of words. Equal segments are one content with a number of places.
 3. References: windows counted by hash (a partial aggregate, so that a passage that a third
-   of the corpus shares costs a row per task); of each repeated window one segment is the
+   of the corpus shares costs a row per task); of each repeated window one content is the
    witness, and the words of the witnessed windows are the reference passages.
-4. Shards: references and segments are dealt by minimizer. The references of a shard go to
-   each of its parts (a broadcast within the shard, bounded by the shard) and segments of
+4. Shards: references and contents are dealt by minimizer. The references of a shard go to
+   each of its parts (a broadcast within the shard, bounded by the shard) and contents of
    frequent minimizers are spread over many parts. A part builds one generalised suffix
-   automaton of its references and streams its segments' words through it: the matching
+   automaton of its references and streams its contents' words through it: the matching
    statistic at a word is the longest run ending there that occurs in a reference. Where it
    reaches ``WINDOW``, the maximal span is removed.
-5. The spans are joined to the texts by row.
+5. The spans go back to the contents' places and are joined to the texts by row.
+
+The repeated minimizers reach step 2 as a broadcast if they are counted and few
+(``BROADCAST_SEEDS``), else by a join with the documents that hold them; the same holds for
+the joins marked by ``checked_broadcast``. The result doesn't depend on it.
 
 Defined results: words are runs of characters other than space and 0x09-0x0D, unchanged; a
 null text has no words; documents shorter than the window keep all words; rows that repeat a
@@ -36,15 +40,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pertlake.llm.common import materialize
+from pertlake.llm.common import checked_broadcast, materialize
 from pertlake.llm.text_hash import Words, iter_documents, window_hashes
 
 WINDOW = 35
 SEED = 12
-PART_SEGMENTS = 4_000  # segments of one part of a shard, on average
+PART_SEGMENTS = 4_000  # contents of one part of a shard, on average
+BROADCAST_SEEDS = 4_000_000  # 32 MB
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -107,41 +113,66 @@ def document_minimizers(texts: DataFrame, window: int, seed: int) -> DataFrame:
     )
 
 
-def segments(flagged_texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """row_key, minimizer, first, words, hashes: runs of windows with one repeated minimizer.
+def segments(texts: DataFrame, window: int, seed: int, seeds: Broadcast | None) -> DataFrame:
+    """row_key, first, minimizer, content, words: runs of windows with one repeated minimizer.
 
-    ``flagged_texts`` has row_key, text and the document's repeated minimizers.
+    ``texts`` has row_key, text and, where ``seeds`` (a sorted array) is not given, the
+    document's repeated minimizers.
     """
 
     def rows_of(batches):
         for rows, words, body, _ in iter_documents(batches, lower=False):
-            at, flags = words.doc_words, rows.column(2).combine_chunks() if isinstance(rows.column(2), pa.ChunkedArray) else rows.column(2)
+            at = words.doc_words
             keys = rows.column(0).to_numpy(zero_copy_only=False)
-            out_key, out_min, out_first, out_words, out_hashes = [], [], [], [], []
+            out_key, out_first, out_min, out_content, out_words = [], [], [], [], []
             for i in range(rows.num_rows):
                 own = words.hashes[at[i] : at[i + 1]]
                 least = minimizers(own, window, seed)
                 if not len(least):
                     continue
-                wanted = flags[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                hit = np.isin(least, wanted)
-                edge = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (hit[1:] != hit[:-1])])
+                if seeds is None:
+                    wanted = np.sort(rows.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                else:
+                    wanted = seeds.value
+                if not len(wanted):
+                    break
+                edge = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                 ends = np.r_[edge[1:], len(least)]
-                full = window_hashes(own, window).view(np.int64)
-                for a, b in zip(edge[hit[edge]].tolist(), ends[hit[edge]].tolist(), strict=True):
+                value = least[edge]
+                hit = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value
+                for a, b in zip(edge[hit].tolist(), ends[hit].tolist(), strict=True):
                     lo, hi = words.starts[at[i] + a : at[i] + b + window - 1], words.ends[at[i] + a : at[i] + b + window - 1]
+                    run = b"\n".join([body[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
                     out_key.append(keys[i])
-                    out_min.append(least[a])
                     out_first.append(a)
-                    out_words.append(b"\n".join(body[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)))
-                    out_hashes.append(full[a:b])
+                    out_min.append(least[a])
+                    out_content.append(int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little", signed=True))
+                    out_words.append(run)
             yield pa.record_batch(
-                [pa.array(out_key, pa.int64()), pa.array(np.array(out_min, np.uint64).view(np.int64)), pa.array(out_first, pa.int64()),
-                 pa.array(out_words, pa.binary()), _lists(out_hashes, pa.int64())],
-                names=["row_key", "minimizer", "first", "words", "hashes"],
+                [pa.array(out_key, pa.int64()), pa.array(out_first, pa.int64()), pa.array(np.array(out_min, np.uint64).view(np.int64)),
+                 pa.array(out_content, pa.int64()), pa.array(out_words, pa.binary())],
+                names=["row_key", "first", "minimizer", "content", "words"],
             )
 
-    return flagged_texts.mapInArrow(rows_of, "row_key long, minimizer long, first long, words binary, hashes array<long>")
+    return texts.mapInArrow(rows_of, "row_key long, first long, minimizer long, content long, words binary")
+
+
+def _run_windows(words: bytes, window: int) -> np.ndarray:
+    """Hashes of the windows of a segment's words."""
+    body = np.frombuffer(words, np.uint8)
+    return window_hashes(Words(body, np.array([0, len(body)]), False).hashes, window)
+
+
+def content_windows(contents: DataFrame, window: int) -> DataFrame:
+    """content, n, window: the hash of every window of every content."""
+
+    def rows_of(batches):
+        for batch in batches:
+            hashes = [_run_windows(w, window).view(np.int64) for w in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), _lists(hashes, pa.int64())], names=["content", "n", "windows"])
+
+    rows = contents.select("content", "n", "words").mapInArrow(rows_of, "content long, n long, windows array<long>")
+    return rows.select("content", "n", F.explode("windows").alias("window"))
 
 
 class SuffixAutomaton:
@@ -220,39 +251,35 @@ def maximal_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def matched_spans(parts: DataFrame, references: DataFrame, window: int) -> DataFrame:
-    """row_key, start, stop of the spans found in each part; both sides have columns shard and part."""
+    """content, start, stop of the spans found in each part; both sides have columns shard and part."""
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = SuffixAutomaton()
         for words in sorted(set(right.column("words").to_pylist())):
             automaton.add(words.split(b"\n"))
-        seen: dict[bytes, list[tuple[int, int]]] = {}
         keys, starts, stops = [], [], []
-        for key, first, words in zip(left.column("row_key").to_pylist(), left.column("first").to_pylist(), left.column("words").to_pylist(), strict=True):
-            spans = seen.get(words)
-            if spans is None:
-                spans = seen[words] = maximal_spans(automaton.matching_statistics(words.split(b"\n")), window)
-            for a, b in spans:
+        for key, words in zip(left.column("content").to_pylist(), left.column("words").to_pylist(), strict=True):
+            for a, b in maximal_spans(automaton.matching_statistics(words.split(b"\n")), window):
                 keys.append(key)
-                starts.append(first + a)
-                stops.append(first + b)
-        return pa.table({"row_key": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "stop": pa.array(stops, pa.int64())})
+                starts.append(a)
+                stops.append(b)
+        return pa.table({"content": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "stop": pa.array(stops, pa.int64())})
 
     return (
         parts.groupBy("shard", "part").cogroup(references.groupBy("shard", "part"))
-        .applyInArrow(match, "row_key long, start long, stop long")
+        .applyInArrow(match, "content long, start long, stop long")
     )
 
 
 def reference_runs(witnesses: DataFrame, window: int) -> DataFrame:
-    """minimizer, words of the runs of witnessed windows of each segment."""
+    """minimizer, words of the runs of witnessed windows of each content."""
 
     def cut(batches):
         for batch in batches:
             out_min, out_words = [], []
             for i, (key, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                hashes, windows = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
-                split, at = words.split(b"\n"), np.flatnonzero(np.isin(hashes, windows)).tolist()
+                own = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                split, at = words.split(b"\n"), np.flatnonzero(np.isin(_run_windows(words, window), own)).tolist()
                 first = previous = at[0]
                 for p in [*at[1:], None]:
                     if p != previous + 1:
@@ -265,38 +292,54 @@ def reference_runs(witnesses: DataFrame, window: int) -> DataFrame:
     return witnesses.mapInArrow(cut, "minimizer long, words binary")
 
 
-def removed_spans(texts: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """row_key, start, stop: spans of words to remove (they may overlap each other)."""
+def repeated_segments(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    """The segments of all documents whose minimizer occurs at two places or more."""
     found = document_minimizers(texts, window, seed)
-    repeated = found.groupBy("minimizer").agg(F.sum("places").alias("places")).filter("places > 1").select("minimizer")
+    repeated = materialize(
+        found.groupBy("minimizer").agg(F.sum("places").alias("places")).filter("places > 1").select("minimizer"), "op1-seeds"
+    )
+    if repeated.count() <= BROADCAST_SEEDS:
+        values = np.sort(np.array([r[0] for r in repeated.toLocalIterator()], np.int64).view(np.uint64))
+        return segments(texts.select("row_key", "text"), window, seed, texts.sparkSession.sparkContext.broadcast(values))
     flags = found.select("row_key", "minimizer").join(repeated, "minimizer").groupBy("row_key").agg(F.collect_set("minimizer").alias("minimizers"))
-    flagged = texts.select("row_key", "text").join(flags, "row_key").select("row_key", "text", "minimizers")
-    runs = materialize(segments(flagged, window, seed), "op1-segments")
-    # a segment's number: rows that repeat a doc_id and text share it, and are as good a witness
-    number = F.xxhash64("row_key", "first")
-    windows = runs.select("minimizer", number.alias("segment"), F.explode("hashes").alias("window"))
-    witness = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("segment").alias("segment")).filter("n > 1")
-    kept = witness.groupBy("segment").agg(F.collect_set("window").alias("windows"))
-    witnesses = (
-        runs.withColumn("segment", number).dropDuplicates(["segment"]).join(kept, "segment")
-        .select("minimizer", "words", "hashes", "windows")
+    return segments(texts.select("row_key", "text").join(flags, "row_key").select("row_key", "text", "minimizers"), window, seed, None)
+
+
+def removed_spans(texts: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """row_key, start, stop: spans of words to remove (they may overlap each other)."""
+    runs = materialize(repeated_segments(texts, window, seed), "op1-segments")
+    places = runs.select("row_key", "first", "content")
+    place = F.xxhash64("row_key", "first")
+    # one place of each content, whose words are kept (rows that repeat a doc_id and text share a place)
+    chosen = materialize(
+        places.groupBy("content").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).select("place", "n"), "op1-contents"
     )
+    side = checked_broadcast(chosen, chosen.count())
+    contents = materialize(
+        runs.withColumn("place", place).join(side, "place").select("content", "minimizer", "n", "words"), "op1-words"
+    )
+    witness = content_windows(contents, window).groupBy("window").agg(F.sum("n").alias("n"), F.min("content").alias("content")).filter("n > 1")
+    kept = witness.groupBy("content").agg(F.collect_set("window").alias("windows"))
+    witnesses = contents.join(kept, "content").select("minimizer", "words", "windows")
     references = materialize(reference_runs(witnesses, window).distinct(), "op1-references")
 
-    counts = runs.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
-    shards = max(1, -(-runs.count() // PART_SEGMENTS))
+    counts = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
+    shards = max(1, -(-contents.count() // PART_SEGMENTS))
     of_shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
     n_parts = (F.floor((F.col("n") - 1) / PART_SEGMENTS) + 1).cast("int")
+    # at most one row per PART_SEGMENTS contents
     wide = materialize(counts.filter(F.col("n") > PART_SEGMENTS).select("minimizer", n_parts.alias("parts")), "op1-frequent")
-    # at most one row per PART_SEGMENTS segments
-    parts = runs.join(wide, "minimizer", "left").select(
-        of_shard, F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row_key", "first"), F.col("parts"))).cast("int").alias("part"),
-        "row_key", "first", "words",
+    parts = contents.join(wide, "minimizer", "left").select(
+        of_shard, F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("content"), F.col("parts"))).cast("int").alias("part"),
+        "content", "words",
     )
     dealt = references.join(wide, "minimizer", "left").select(
         of_shard, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"), "words"
     )
-    return matched_spans(parts, dealt, window)
+    spans = materialize(matched_spans(parts, dealt, window), "op1-matches")
+    return places.join(spans, "content").select(
+        "row_key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")
+    )
 
 
 def _finished(rows: pa.RecordBatch, words: Words, body: np.ndarray, with_text: bool) -> pa.RecordBatch:
@@ -341,6 +384,7 @@ def remove_repeats(
             yield _finished(rows, words, body, with_text)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    side = checked_broadcast(spans, spans.select(F.sum(F.size("starts"))).first()[0] or 0)
     return (
-        texts.join(spans, "row_key", "left").select("row_key", "text", "doc_id", "starts", "stops").mapInArrow(finish, schema)
+        texts.join(side, "row_key", "left").select("row_key", "text", "doc_id", "starts", "stops").mapInArrow(finish, schema)
     )
