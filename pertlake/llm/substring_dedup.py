@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pertlake.llm.common import checked_broadcast, materialize
-from pertlake.llm.text_hash import Words, iter_documents, window_hashes
+from pertlake.llm.text_hash import Words, doc_buffers, doc_chunks, iter_documents, mix, window_hashes
 
 WINDOW = 35
 SEED = 12
@@ -116,6 +116,7 @@ def document_minimizers(texts: DataFrame, window: int, seed: int) -> DataFrame:
 def segments(texts: DataFrame, window: int, seed: int, seeds: Broadcast | None) -> DataFrame:
     """row_key, first, minimizer, content, words: runs of windows with one repeated minimizer.
 
+    ``words`` is the run as it stands in the text.
     ``texts`` has row_key, text and, where ``seeds`` (a sorted array) is not given, the
     document's repeated minimizers.
     """
@@ -141,8 +142,7 @@ def segments(texts: DataFrame, window: int, seed: int, seeds: Broadcast | None)
                 value = least[edge]
                 hit = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value
                 for a, b in zip(edge[hit].tolist(), ends[hit].tolist(), strict=True):
-                    lo, hi = words.starts[at[i] + a : at[i] + b + window - 1], words.ends[at[i] + a : at[i] + b + window - 1]
-                    run = b"\n".join([body[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
+                    run = body[words.starts[at[i] + a] : words.ends[at[i] + b + window - 2]].tobytes()
                     out_key.append(keys[i])
                     out_first.append(a)
                     out_min.append(least[a])
@@ -157,10 +157,16 @@ def segments(texts: DataFrame, window: int, seed: int, seeds: Broadcast | None)
     return texts.mapInArrow(rows_of, "row_key long, first long, minimizer long, content long, words binary")
 
 
-def _run_windows(words: bytes, window: int) -> np.ndarray:
-    """Hashes of the windows of a segment's words."""
-    body = np.frombuffer(words, np.uint8)
-    return window_hashes(Words(body, np.array([0, len(body)]), False).hashes, window)
+def _batch_windows(column: pa.Array, window: int) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, past row, words, window hashes, number of windows of each row, bytes) for bounded runs of rows."""
+    np.seterr(over="ignore")
+    body, offsets = doc_buffers(column)
+    for a, b in doc_chunks(offsets):
+        part = body[offsets[a] : offsets[b]]
+        words = Words(part, offsets[a : b + 1] - offsets[a], False)
+        count = np.maximum(np.diff(words.doc_words) - window + 1, 0)
+        own = np.repeat(words.doc_words[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        yield a, b, words, window_hashes(words.hashes, window)[own], count, part
 
 
 def content_windows(contents: DataFrame, window: int) -> DataFrame:
@@ -168,8 +174,12 @@ def content_windows(contents: DataFrame, window: int) -> DataFrame:
 
     def rows_of(batches):
         for batch in batches:
-            hashes = [_run_windows(w, window).view(np.int64) for w in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), _lists(hashes, pa.int64())], names=["content", "n", "windows"])
+            for a, b, _, hashes, count, _ in _batch_windows(batch.column(2), window):
+                ends = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+                part = batch.slice(a, b - a)
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], names=["content", "n", "windows"]
+                )
 
     rows = contents.select("content", "n", "words").mapInArrow(rows_of, "content long, n long, windows array<long>")
     return rows.select("content", "n", F.explode("windows").alias("window"))
@@ -256,10 +266,10 @@ def matched_spans(parts: DataFrame, references: DataFrame, window: int) -> DataF
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = SuffixAutomaton()
         for words in sorted(set(right.column("words").to_pylist())):
-            automaton.add(words.split(b"\n"))
+            automaton.add(words.split())
         keys, starts, stops = [], [], []
         for key, words in zip(left.column("content").to_pylist(), left.column("words").to_pylist(), strict=True):
-            for a, b in maximal_spans(automaton.matching_statistics(words.split(b"\n")), window):
+            for a, b in maximal_spans(automaton.matching_statistics(words.split()), window):
                 keys.append(key)
                 starts.append(a)
                 stops.append(b)
@@ -275,19 +285,25 @@ def reference_runs(witnesses: DataFrame, window: int) -> DataFrame:
     """minimizer, words of the runs of witnessed windows of each content."""
 
     def cut(batches):
+        salt = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            out_min, out_words = [], []
-            for i, (key, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                own = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                split, at = words.split(b"\n"), np.flatnonzero(np.isin(_run_windows(words, window), own)).tolist()
-                first = previous = at[0]
-                for p in [*at[1:], None]:
-                    if p != previous + 1:
-                        out_min.append(key)
-                        out_words.append(b"\n".join(split[first : previous + window]))
-                        first = p
-                    previous = p
-            yield pa.record_batch([pa.array(out_min, pa.int64()), pa.array(out_words, pa.binary())], names=["minimizer", "words"])
+            lists = batch.column(2)
+            for a, b, words, hashes, count, body in _batch_windows(batch.column(1), window):
+                part = lists.slice(a, b - a)
+                row = np.repeat(np.arange(b - a, dtype=np.uint64), count)
+                sizes = part.value_lengths().to_numpy(zero_copy_only=False)
+                wanted = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), sizes) * salt)
+                hit = np.isin(hashes ^ mix(row * salt), wanted)
+                # runs of witnessed windows that follow each other in one row
+                first = np.flatnonzero(hit & ~np.r_[False, hit[:-1] & (row[1:] == row[:-1])])
+                last = np.flatnonzero(hit & ~np.r_[hit[1:] & (row[1:] == row[:-1]), False])
+                base = words.doc_words[row[first].astype(np.int64)] - (np.cumsum(count) - count)[row[first].astype(np.int64)]
+                starts, ends = words.starts[base + first], words.ends[base + last + window - 1]
+                yield pa.record_batch(
+                    [batch.column(0).slice(a, b - a).take(pa.array(row[first].astype(np.int64))),
+                     pa.array([body[x:y].tobytes() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
+                    names=["minimizer", "words"],
+                )
 
     return witnesses.mapInArrow(cut, "minimizer long, words binary")
 
@@ -342,6 +358,24 @@ def removed_spans(texts: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     )
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """row_key, starts, stops with overlapping and touching spans of a row united."""
+
+    def merge(batches):
+        for batch in batches:
+            starts, stops = [], []
+            for a, b in zip(batch.column(1), batch.column(2), strict=True):
+                x, y = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
+                order = np.argsort(x, kind="stable")
+                x, reach = x[order], np.maximum.accumulate(y[order])
+                head = np.r_[True, x[1:] > reach[:-1]]
+                starts.append(x[head])
+                stops.append(reach[np.r_[head[1:], True]])
+            yield pa.record_batch([batch.column(0), _lists(starts, pa.int64()), _lists(stops, pa.int64())], names=["row_key", "starts", "stops"])
+
+    return spans.mapInArrow(merge, "row_key long, starts array<long>, stops array<long>")
+
+
 def _finished(rows: pa.RecordBatch, words: Words, body: np.ndarray, with_text: bool) -> pa.RecordBatch:
     """doc_id, n_words, n_removed, kept_sha256 (and kept) of rows (row_key, text, doc_id, starts, stops)."""
     at = words.doc_words
@@ -378,6 +412,7 @@ def remove_repeats(
         .select("row_key", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")),
         "op1-spans",
     )
+    spans = materialize(merged_spans(spans), "op1-merged")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words, body, _ in iter_documents(batches, lower=False):
