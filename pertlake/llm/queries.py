@@ -25,6 +25,13 @@ from pertlake.llm import (
 )
 from pertlake.sources.tables import read_table
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -40,7 +47,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@query("op1_substring_dedup")
+@query(
+    "op1_substring_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+    runs AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS run
+             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) t),
+    often AS (SELECT run FROM runs GROUP BY run HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS place FROM runs SEMI JOIN often USING (run)),
+    word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body
+             FROM word ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -75,18 +96,43 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, read_table(spark, sf_dir, "documents"))
 
 
-@query("op8_chat_formatting")
+@query(
+    "op8_chat_formatting",
+    """
+    WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+    p AS (SELECT conv_id, role, text, count(*) OVER (PARTITION BY conv_id) AS turns,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS position FROM t),
+    h AS (SELECT *, md5(string_agg(md5(role) || md5(text), '') OVER (
+                     PARTITION BY conv_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS prefix FROM p),
+    whole AS (SELECT turns, prefix, min(conv_id) AS conv_id, count(*) AS copies FROM h WHERE position = turns GROUP BY ALL),
+    maximal AS (SELECT w.* FROM whole w ANTI JOIN (SELECT position AS turns, prefix FROM h WHERE position < turns) s USING (turns, prefix))
+    SELECT p.conv_id, p.position, m.turns, m.copies, p.role,
+           '<|' || p.role || '|>' || chr(10) || p.text || chr(10) || '<|end|>' || chr(10) AS rendered
+    FROM p JOIN maximal m USING (conv_id)
+    """,
+)
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read_table(spark, sf_dir, "conversations"))
 
 
-@query("op9_ngram_join")
+@query(
+    "op9_ngram_join",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOWERED)} AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+    e AS (SELECT doc_id, len(g) AS n, md5_number_lower(unnest(g)) AS shingle FROM s),
+    links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+    reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+    SELECT s.doc_id, len(g) AS n_shingles, component_id
+    FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
+)
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 
 @query(
     "op10_exact_dedup",
