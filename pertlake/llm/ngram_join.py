@@ -14,9 +14,13 @@ Classes. Documents with equal sets form a class; all further work is on classes.
 Candidates. Under one order, two sets that link share a shingle among the first
 ``n - ceil(0.75 n) + 1`` of each. Classes meet in the bucket of each such shingle (buckets of
 hot shingles are dealt to ``SALTS`` parts). Instead of all pairs of a bucket, a band of
-leaders (the first class, then the next 15, the next 240, ...) is compared with the members
+leaders (the first 2 classes, the next 30, the next 480, ...) is compared with the members
 that are not yet in the leader's component: pairs inside a component need no comparison,
 and the bands go on until every bucket has no pair left that could link two components.
+Members are numbered by how few of their prefix shingles are theirs alone, so that the text
+that the others were copied from leads its bucket and most of the group joins it at once.
+A pair is dropped early only if it cannot link: its prefixes share m shingles, all of which
+lie in buckets, so its overlap is at most m plus what is behind the longer prefix.
 
 Vertical partitioning. The global order is cut into ``FRAGMENTS``; a set becomes one sorted
 array per fragment. Each (pair, fragment) counts its partial overlap on its own, and the
@@ -48,27 +52,27 @@ HOT_SHINGLES = 1 << 17
 HOT_LEAST = 32  # documents
 SALTS = 16
 
-_SECOND = np.uint64(0xA0761D6478BD642F)
-
-
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingle hashes of one document's word hashes."""
-    return np.unique(window_hashes(words, min(SHINGLE, len(words)))) if len(words) else words
+FIRST_BAND, BAND_GROWTH = 2, 16
 
 
 def prefix_length(n: int) -> int:
     return n - (n * PERCENT + 99) // 100 + 1
 
 
-def fingerprint(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """Two 64-bit sums that identify the set."""
-    return mix(shingles).sum(dtype=np.uint64), mix(shingles ^ _SECOND).sum(dtype=np.uint64)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The sorted distinct shingle hashes of every document."""
     for rows, words, _, _ in iter_documents(batches, lower=True):
-        at = words.doc_words
-        yield rows, [shingle_set(words.hashes[at[i] : at[i + 1]]) for i in range(rows.num_rows)]
+        at, all_runs, out = words.doc_words.tolist(), window_hashes(words.hashes, SHINGLE), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if b - a >= SHINGLE:
+                found = np.sort(all_runs[a : b - SHINGLE + 1])
+                keep = np.empty(len(found), bool)
+                keep[0] = True
+                np.not_equal(found[1:], found[:-1], out=keep[1:])
+                out.append(found[keep])
+            else:  # the whole sequence as one shingle
+                out.append(window_hashes(words.hashes[a:b], b - a) if b > a else words.hashes[:0])
+        yield rows, out
 
 
 def _long(values) -> pa.Array:
@@ -81,8 +85,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _class_key(f1, f2):
-    return np.asarray(f1, np.uint64) ^ mix(np.asarray(f2, np.uint64))
+def class_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit key of each set: the mixed sum of its mixed hashes and its size."""
+    sums = np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64)
+    return mix(sums)
 
 
 def describe(texts: DataFrame) -> DataFrame:
@@ -91,8 +97,7 @@ def describe(texts: DataFrame) -> DataFrame:
     def rows_of(batches):
         for rows, sets in _sets(batches):
             n = np.array([len(s) for s in sets], np.int64)
-            prints = [fingerprint(s) for s in sets]
-            key = _class_key([p[0] for p in prints], [p[1] for p in prints])
+            key = class_keys(sets)
             yield pa.record_batch(
                 [rows.column(0), rows.column(2), pa.array(n), pa.array(key.view(np.int64), mask=n == 0)], names=["doc_id", "row_key", "n", "class"]
             )
@@ -103,14 +108,11 @@ def describe(texts: DataFrame) -> DataFrame:
 def _first_of_class(sets: list[np.ndarray], seen: set[int]) -> tuple[list[int], list[int]]:
     """Places and class keys of the non-empty sets that this task has not met before."""
     places, keys = [], []
-    for i, s in enumerate(sets):
-        if len(s):
-            f1, f2 = fingerprint(s)
-            key = int(_class_key(f1, f2))
-            if key not in seen:
-                seen.add(key)
-                places.append(i)
-                keys.append(key)
+    for i, key in enumerate(class_keys(sets).tolist()):
+        if len(sets[i]) and key not in seen:
+            seen.add(key)
+            places.append(i)
+            keys.append(key)
     return places, keys
 
 
@@ -146,10 +148,7 @@ def _ranks(hot: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """bucket, salt, hot, class, n, nth, size: the members of every bucket with two classes or more.
-
-    Buckets with the same members count once. ``nth`` numbers the members of a part by class.
-    """
+    """shingle, salt, hot, class, n: the members of every bucket with two classes or more."""
 
     def prefixes(batches):
         rank, seen = _ranks(hot), set()
@@ -174,16 +173,21 @@ def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
         is_hot.alias("hot"), "class", "n",
     )
     part = Window.partitionBy("shingle", "salt")
-    met = members.select(
-        "*", F.min("class").over(part).alias("low"), F.max("class").over(part).alias("high"),
-        F.dense_rank().over(part.orderBy("class")).alias("nth"),
-    ).filter("hot or low != high")
+    met = members.select("*", F.min("class").over(part).alias("low"), F.max("class").over(part).alias("high"))
     # of a class, every input task may have sent one row
-    signed = met.distinct()
-    whole = Window.partitionBy("shingle", "salt")
-    return signed.select(
-        F.when(F.col("hot"), F.col("shingle")).otherwise(F.bit_xor(F.xxhash64("class")).over(whole)).alias("bucket"),
-        "salt", "hot", "class", "n", "nth", F.max("nth").over(whole).alias("size"),
+    return met.filter("hot or low != high").drop("low", "high").distinct()
+
+
+def numbered(members: DataFrame, shared_prefix: DataFrame) -> DataFrame:
+    """bucket, salt, hot, class, n, own, nth, size: buckets with the same members count once.
+
+    ``nth`` numbers the members of a bucket's part, fewest prefix shingles of their own first.
+    """
+    own = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")
+    part = Window.partitionBy("shingle", "salt")
+    return members.join(shared_prefix.select("class", F.size("shingles").alias("shared")), "class").withColumn("own", own).select(
+        F.when(F.col("hot"), F.col("shingle")).otherwise(F.bit_xor(F.xxhash64("class")).over(part)).alias("bucket"),
+        "salt", "hot", "class", "n", "own", F.row_number().over(part.orderBy("own", "class")).alias("nth"), F.count(F.lit(1)).over(part).alias("size"),
     ).distinct()
 
 
@@ -228,11 +232,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _band_pairs(members: DataFrame, first: int, last: int) -> DataFrame:
-    """Pairs of a leader (nth in first..last) and a later member of the bucket in another component.
+    """Pairs of a leader (place first..last in its bucket) and a member of the bucket in another component.
 
-    Leaders of a hot bucket are sent to all its parts.
+    The first ``last`` members of a bucket are among the first ``last`` of its parts, so the
+    leaders' places are found on at most ``SALTS * last`` rows; those of a hot bucket are
+    sent to all its parts.
     """
-    leaders = members.filter(F.col("nth").between(first, last)).select(
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "class"))
+    leaders = members.filter(F.col("nth") <= last).withColumn("place", place).filter(F.col("place").between(first, last)).select(
         "bucket", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array("salt"))).alias("salt"),
         F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"),
     )
@@ -249,31 +256,49 @@ def _band_pairs(members: DataFrame, first: int, last: int) -> DataFrame:
     )
 
 
+def _possible(pairs: DataFrame, shared_prefix: DataFrame) -> DataFrame:
+    """The pairs whose overlap can reach the threshold, by the shingles that their prefixes share."""
+    behind = lambda n: F.ceil(F.col(n) * PERCENT / 100) - 1
+    left = shared_prefix.select(F.col("class").alias("a"), F.col("shingles").alias("of_a"))
+    right = shared_prefix.select(F.col("class").alias("b"), F.col("shingles").alias("of_b"))
+    most = F.size(F.array_intersect("of_a", "of_b")) + F.greatest(behind("n_a"), behind("n_b"))
+    return pairs.join(left, "a").join(right, "b").filter(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b", "n_a", "n_b")
+
+
 def linked_classes(texts: DataFrame, hot_least: int = HOT_LEAST, hot_most: int = HOT_SHINGLES) -> DataFrame:
     """(node, component) of the classes that have a link."""
     hot = hot_shingles(texts, hot_least, hot_most)
-    members = materialize(buckets(texts, hot), "op9-buckets")
-    wanted = members.select("class").distinct()
-    sets = materialize(fragments(texts, hot, wanted, wanted.count()), "op9-sets")
-    largest = members.agg(F.max("size")).first()[0] or 0
-    links, labels, tested = None, None, None
-    first, last = 1, 1
+    met = materialize(buckets(texts, hot), "op9-met")
+    shared_prefix = materialize(met.groupBy("class").agg(F.collect_set("shingle").alias("shingles")), "op9-prefixes")
+    members = materialize(numbered(met, shared_prefix), "op9-buckets")
+    largest = members.agg(F.max(F.col("size") * F.when(F.col("hot"), SALTS).otherwise(1))).first()[0] or 0
+    sets = links = labels = tested = None
+    first, last = 1, FIRST_BAND
     while first <= largest:
         rest = members.filter((F.col("size") > first) | F.col("hot"))
         if labels is None:
             rest = rest.withColumn("component", F.col("class"))
         else:
             rest = rest.join(labels, rest["class"] == labels["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-        pairs = _band_pairs(rest, first, last)
+        pairs = _possible(_band_pairs(rest, first, last), shared_prefix)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "op9-pairs")
-        new = materialize(verified(pairs, sets), "op9-links")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("class"), "class", "left_anti")
+        wanted = materialize(wanted, "op9-wanted")
+        n_wanted = wanted.count()
+        if n_wanted:
+            more = materialize(fragments(texts, hot, wanted, n_wanted), "op9-sets")
+            sets = more if sets is None else sets.unionByName(more)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = materialize(components(links), "op9-labels")
-        first, last = last + 1, 16 * last
+        if sets is not None:
+            new = materialize(verified(pairs, sets), "op9-links")
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                labels = materialize(components(links), "op9-labels")
+        first, last = last + 1, BAND_GROWTH * last
     if labels is None:
         return members.sparkSession.createDataFrame([], "node long, component long")
     return labels
