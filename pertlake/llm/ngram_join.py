@@ -310,14 +310,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **order) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id of every row."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, **order) -> DataFrame:
+    """doc_id, row_key, n_shingles, component (null without shingles) of every row."""
     texts = _texts(docs, id_col, text_col)
     rows = materialize(describe(texts), "op9-rows")
     labels = linked_classes(texts, **order)
-    placed = rows.join(labels, rows["class"] == labels["node"], "left").select(
+    return rows.join(labels, rows["class"] == labels["node"], "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component")
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **order) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id of every row."""
+    placed = _placed(docs, id_col, text_col, **order)
     lowest = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return placed.join(lowest, "component", "left").select(
         "doc_id", "row_key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
@@ -325,11 +330,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id, with all columns."""
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = materialize(
-        groups.filter("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("row_key").alias("__gone")).distinct(),
+    """The rows of ``docs`` that stay, with all columns: of each component one, with the smallest doc_id (null last), then row_key."""
+    placed = _placed(docs, id_col, text_col).filter("component is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")
+    stays = placed.groupBy("component").agg(F.min(rank).alias("first")).select("component", F.col("first.row_key").alias("stays"))
+    counted = placed.groupBy("component", "row_key").agg(F.count(F.lit(1)).alias("rows"))
+    odd = materialize(
+        counted.join(stays, "component").filter("row_key != stays or rows > 1")
+        .select(F.col("row_key").alias("__odd"), (F.col("row_key") == F.col("stays")).alias("__stays")),
         "op9-gone",
     )
-    side = checked_broadcast(gone, gone.count())
-    return docs.join(side, F.xxhash64(docs[id_col], docs[text_col]) == side["__gone"], "left_anti")
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    side = checked_broadcast(odd, odd.count())
+    out = docs.join(side, key == side["__odd"], "left_anti")
+    twice = side.filter("__stays")  # rows of one id and text: one of them stays
+    if twice.isEmpty():
+        return out
+    again = docs.withColumn("__key", key).join(twice, F.col("__key") == twice["__odd"], "left_semi")
+    return out.unionByName(again.dropDuplicates(["__key"]).drop("__key"))

@@ -93,6 +93,15 @@ def test_one_of_each_keeps_whole_rows(docs_of):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_one_of_each_keeps_one_row_where_ids_are_odd(docs_of):
+    base = [f"o{i}" for i in range(80)]
+    near = lambda k, tag: " ".join(f"{tag}{w}" for w in base[:-k])
+    rows = [(None, near(k, "a")) for k in (1, 2, 3)] + [(7, near(k, "b")) for k in (1, 2, 3)] + [(8, near(4, "b"))]
+    rows += [(None, near(1, "c")), (9, near(2, "c")), (9, near(2, "c")), (None, None), (None, ""), (10, "")]
+    out = [r["doc_id"] for r in ngram_join.one_of_each(docs_of(rows)).collect()]
+    assert sorted(out, key=str) == sorted([None, 7, 9, None, None, 10], key=str)
+
+
 def test_query_on_the_given_table(spark, sf_docs):
     check(queries.REGISTRY["op9_ngram_join"](spark, SF), list(sf_docs.items()))
 
