@@ -5,16 +5,22 @@ least ``SIMILARITY`` of the item's weighted five-word shingles.
 
 1. Windows: a window that can reach the similarity shares a shingle with the item, and the
    two places say where the item would start in the document. So only windows of the item's
-   length at those starts are cut (for all occurrences in all documents; nothing is sampled).
+   length at those starts are cut (for all occurrences in all documents; nothing is sampled),
+   and, where the shared shingles give an item more than one start, those that begin with a
+   shared shingle: any window can be moved there without losing one. Documents that hold
+   less than ``SIMILARITY`` of the item's weight in all their words have no such window.
 2. Fingerprints: a 64-bit SimHash of every window and item, shingles weighted by their
    rarity in the benchmark.
 3. Candidates: fingerprints are cut into ``RADIUS + 1`` blocks; two that differ in at most
    ``RADIUS`` bits agree in a block, so the equality join on (item length, block number,
    block value) finds all pairs within the radius.
-4. Verification: the exact weighted share of the item's shingles in the window.
+4. Verification: the exact weighted share of the item's shingles in the window, for the
+   candidates and for every window that step 1 cut for the item itself.
 
-The radius is wide because a share of 0.75 is an angle of about 41 degrees, that is 15 of
-64 bits on average (standard deviation 3.4).
+With equal weights and distinct shingles a share of 0.75 is an angle of about 41 degrees,
+that is 15 of 64 bits on average (standard deviation 3.4). Unequal weights and repeated
+shingles make it wider without a bound (shares add weights, angles go by their squares), so
+the radius alone would lose windows: ``distance`` is reported, and decides no leak.
 
 The benchmark is the bounded side: its shingles are counted, and broadcast only if few.
 Defined results: words are runs of letters and digits, compared after lower-casing (so
@@ -114,19 +120,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # a document's key: rows that repeat an id and text are one document
     keyed = texts.withColumn("doc", F.xxhash64("doc_id", "text")).withColumn("words", words_of(F.col("text")))
 
+    item_rows = items.select("item", "item_id", "width", F.explode("shingles").alias("hash")).join(checked_broadcast(weights, n_seeds), "hash")
+    item_counts = item_rows.groupBy("item", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
+    item_total = item_rows.groupBy("item", "item_id").agg(F.sum("weight").alias("total"))
+
     def cut(size: int) -> DataFrame:
-        """Starts where an item with shingles of ``size`` words may lie."""
+        """Shingles of ``size`` words shared with an item, and where the item would start."""
         own = seeds.filter(F.col("size") == size)
         hashes = shingles_of(F.col("words"), size)
         return (
             keyed.select("doc", F.posexplode(hashes).alias("at", "hash"))
             .join(checked_broadcast(own, n_seeds), "hash")
-            .select("doc", "item", "width", "size", (F.col("at") - F.col("place")).alias("start"))
+            .select("doc", "item", "width", "size", "hash", "at", (F.col("at") - F.col("place")).alias("start"))
         )
 
     sizes = [r["size"] for r in seeds.select("size").distinct().collect()]  # 1 to 5
     found = [cut(s) for s in sizes] or [cut(SHINGLE)]
-    starts = materialize(reduce(DataFrame.unionByName, found).distinct(), "op4-starts")
+    met = materialize(reduce(DataFrame.unionByName, found), "op4-met")
+    # what the whole document holds of the item: no window holds more
+    held = (
+        met.groupBy("doc", "item", "hash").agg(F.count_distinct("at").alias("m"), F.min("start").alias("low"), F.max("start").alias("high"))
+        .join(checked_broadcast(item_counts, n_seeds), ["item", "hash"])
+        .groupBy("doc", "item").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("most"), (F.min("low") < F.max("high")).alias("shifted"))
+        .join(checked_broadcast(item_total, n_items), "item")
+        .filter(F.col("most") / F.col("total") >= SIMILARITY - 1e-9)
+        .select("doc", "item", "shifted")
+    )
+    begins = F.explode(F.when(F.col("shifted"), F.array("start", "at")).otherwise(F.array("start"))).alias("start")
+    starts = materialize(met.join(held, ["doc", "item"]).select("doc", "item", "width", "size", begins).distinct(), "op4-starts")
     spans = starts.select("doc", "width", "size", "start").distinct().groupBy("doc").agg(
         F.collect_set(F.struct("start", "width", "size")).alias("spans")
     )
@@ -146,7 +167,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     side = checked_broadcast(weights, n_seeds)
     weight = F.coalesce(F.col("weight"), unseen)
     window_rows = shingled.select("doc_id", "doc", "start", "width", "size", F.explode("shingles").alias("hash")).join(side, "hash", "left").withColumn("weight", weight)
-    item_rows = items.select("item", "item_id", "width", F.explode("shingles").alias("hash")).join(side, "hash", "left").withColumn("weight", weight)
     blocks = RADIUS + 1
     window_prints = fingerprints(window_rows, ["doc", "start", "width"])
     item_prints = fingerprints(item_rows, ["item", "width"])
@@ -154,22 +174,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item_blocks = item_prints.select("item", "width", F.col("fingerprint").alias("item_print"), F.inline(_blocks(F.col("fingerprint"), blocks)))
     near = (
         window_blocks.join(checked_broadcast(item_blocks, n_items * blocks), ["width", "block", "value"])
-        .withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
-        .filter(F.col("distance") <= RADIUS)
-        .select("doc", "start", "width", "item", "distance").distinct()
+        .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+        .select("doc", "start", "width", "item")
     )
+    tested = near.unionByName(starts.select("doc", "start", "width", "item")).distinct()
     # exact similarity: shared weight, counted with multiplicity, over the item's weight
-    item_counts = item_rows.groupBy("item", "hash").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("weight"))
-    item_total = item_rows.groupBy("item", "item_id").agg(F.sum("weight").alias("total"))
     window_counts = window_rows.groupBy("doc_id", "doc", "start", "width", "hash").agg(F.count(F.lit(1)).alias("m"))
     shared = (
-        near.join(window_counts, ["doc", "start", "width"])
+        tested.join(window_counts, ["doc", "start", "width"])
         .join(checked_broadcast(item_counts, n_seeds), ["item", "hash"])
-        .groupBy("doc_id", "doc", "start", "item", "distance")
+        .groupBy("doc_id", "doc", "start", "width", "item")
         .agg(F.sum(F.least("n", "m") * F.col("weight")).alias("shared"))
         .join(checked_broadcast(item_total, n_items), "item")
         .withColumn("similarity", F.col("shared") / F.col("total"))
         .filter(F.col("similarity") >= SIMILARITY - 1e-9)
+        .join(window_prints, ["doc", "start", "width"])
+        .join(checked_broadcast(item_prints.select("item", F.col("fingerprint").alias("item_print")), n_items), "item")
+        .withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))))
     )
     best = F.struct(F.col("similarity"), (-F.col("distance")).alias("near"), (-F.col("start")).alias("early"))
     return (

@@ -1,6 +1,7 @@
 """URL filter, decontamination and chat formatting against brute force."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -169,6 +170,29 @@ def test_leaks_equal_brute_force(spark, docs_of):
     assert decontamination.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_leaks_beyond_the_radius_and_between_the_starts(spark, docs_of):
+    rnd = random.Random(11)
+    fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    hot, rare = fresh(16), [fresh(24) for _ in range(12)]
+    # one item copied to most of the benchmark
+    items = [(i, " ".join(hot if i % 5 else rare[i // 2])) for i in range(24)]
+    rows = []
+    for i, text in items[:9]:
+        w = text.split()
+        for cut in (3, 4, 5):
+            rows.append((100 * i + cut, " ".join(w[:-cut] + ["same"] * (cut + 9))))  # the end is one repeated word
+            rows.append((100 * i + 10 + cut, " ".join(fresh(5) + w[:-cut] + fresh(cut + 3))))
+        # the head replaced and words put in: the best window begins between the two starts
+        rows.append((100 * i + 30, " ".join(fresh(3) + w[3:13] + fresh(4) + w[13:] + fresh(9))))
+        rows.append((100 * i + 31, " ".join(fresh(2) + w[2:9] + ["in"] * 2 + w[9:] + fresh(9))))
+    bench = spark.createDataFrame([(i, t, 0, "h") for i, t in items], "item_id long, text string, item int, hash string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(docs_of(rows), bench).collect()}
+    want = brute_leaks(rows, items)
+    assert set(got) == set(want)
+    assert all(got[k]["similarity"] == pytest.approx(want[k], abs=1e-5) for k in want)
+    assert max(r["distance"] for r in got.values()) > decontamination.RADIUS
+
+
 def test_leak_query_on_the_given_table(spark, sf_docs):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
     shingles = {s for _, t in items for s in runs(words(t), 5)}
