@@ -15,9 +15,12 @@ shards that each hold everything their documents' windows have to be compared wi
 3. References: windows counted by hash (a partial aggregate, so that a passage that a third
    of the corpus shares costs a row per task); of each repeated window one content is the
    witness, and the words of the witnessed windows are the reference passages.
-4. Shards: references and contents are dealt by minimizer. The references of a shard go to
-   each of its parts (a broadcast within the shard, bounded by the shard) and contents of
-   frequent minimizers are spread over many parts. A part builds one generalised suffix
+4. Shards: references and contents are dealt by minimizer; those of a frequent minimizer
+   (more than ``PART_SEGMENTS`` contents) are first cut again, into runs of windows with the
+   same second key: the smallest of the window's seeds, those that more than
+   ``PART_SEGMENTS`` contents hold last. Equal windows have equal second keys, and contents of
+   one key are few unless all seeds of its windows are that frequent (a window within the
+   boilerplate itself). Only such references go to each of several parts. A part builds one generalised suffix
    automaton of its references and streams its contents' words through it: the matching
    statistic at a word is the longest run ending there that occurs in a reference. Where it
    reaches ``WINDOW``, the maximal span is removed.
@@ -261,18 +264,18 @@ def maximal_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def matched_spans(parts: DataFrame, references: DataFrame, window: int) -> DataFrame:
-    """content, start, stop of the spans found in each part; both sides have columns shard and part."""
+    """content, start, stop of the spans found in each part; both sides have columns shard and part, ``parts`` also its place in the content."""
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = SuffixAutomaton()
         for words in sorted(set(right.column("words").to_pylist())):
             automaton.add(words.split())
         keys, starts, stops = [], [], []
-        for key, words in zip(left.column("content").to_pylist(), left.column("words").to_pylist(), strict=True):
+        for key, at, words in zip(*(left.column(c).to_pylist() for c in ("content", "offset", "words")), strict=True):
             for a, b in maximal_spans(automaton.matching_statistics(words.split()), window):
                 keys.append(key)
-                starts.append(a)
-                stops.append(b)
+                starts.append(at + a)
+                stops.append(at + b)
         return pa.table({"content": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "stop": pa.array(stops, pa.int64())})
 
     return (
@@ -308,6 +311,76 @@ def reference_runs(witnesses: DataFrame, window: int) -> DataFrame:
     return witnesses.mapInArrow(cut, "minimizer long, words binary")
 
 
+def content_seeds(contents: DataFrame, seed: int) -> DataFrame:
+    """seed: the distinct seeds of every content."""
+
+    def rows_of(batches):
+        for rows, words, _, _ in iter_documents(batches, lower=False):
+            at = words.doc_words
+            found = [np.unique(window_hashes(words.hashes[at[i] : at[i + 1]], seed)) for i in range(rows.num_rows)]
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["seed"])
+
+    return contents.select("content", "words").mapInArrow(rows_of, "seed long")
+
+
+def pieces(runs: DataFrame, window: int, seed: int, common: Broadcast) -> DataFrame:
+    """content, offset, key, words: runs of windows with one second key, from rows (content, words).
+
+    ``common`` is a sorted array of the seeds that come last.
+    """
+
+    def rows_of(batches):
+        for rows, words, body, _ in iter_documents(batches, lower=False):
+            at = words.doc_words
+            late = common.value
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            out_id, out_offset, out_key, out_words = [], [], [], []
+            for i in range(rows.num_rows):
+                own = window_hashes(words.hashes[at[i] : at[i + 1]], seed)
+                if len(own) < window - seed + 1:
+                    continue
+                last = np.zeros(len(own), np.uint64)
+                if len(late):
+                    last[late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own] = 1
+                key = _sliding((own >> np.uint64(1)) | (last << np.uint64(63)), window - seed + 1, np.minimum)
+                edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                for a, b in zip(edge.tolist(), np.r_[edge[1:], len(key)].tolist(), strict=True):
+                    out_id.append(ids[i])
+                    out_offset.append(a)
+                    out_key.append(key[a])
+                    out_words.append(body[words.starts[at[i] + a] : words.ends[at[i] + b + window - 2]].tobytes())
+            yield pa.record_batch(
+                [pa.array(out_id, pa.int64()), pa.array(out_offset, pa.int64()), pa.array(np.array(out_key, np.uint64).view(np.int64)), pa.array(out_words, pa.binary())],
+                names=["content", "offset", "key", "words"],
+            )
+
+    return runs.mapInArrow(rows_of, "content long, offset long, key long, words binary")
+
+
+def keyed(contents: DataFrame, references: DataFrame, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(content, offset, key, words of the contents, key, words of the references): equal windows have equal keys."""
+    counts = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
+    # at most one row per PART_SEGMENTS contents
+    frequent = materialize(counts.filter(F.col("n") > PART_SEGMENTS).select("minimizer"), "op1-frequent")
+    whole = contents.select("content", F.lit(0).cast("long").alias("offset"), F.col("minimizer").alias("key"), "words", "minimizer")
+    known = references.select(F.col("minimizer").alias("key"), "words", "minimizer")
+    n_frequent = frequent.count()
+    if not n_frequent:
+        return whole.drop("minimizer"), known.drop("minimizer")
+    side = checked_broadcast(frequent, n_frequent)
+    many = contents.join(side, "minimizer", "left_semi")
+    # at most one row per PART_SEGMENTS seeds of those contents
+    common = content_seeds(many, seed).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_SEGMENTS).select("seed")
+    values = np.sort(np.array([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
+    late = contents.sparkSession.sparkContext.broadcast(values)
+    cut = pieces(many.select("content", "words"), window, seed, late)
+    known_cut = pieces(references.join(side, "minimizer", "left_semi").select("minimizer", "words"), window, seed, late)
+    return (
+        materialize(whole.join(side, "minimizer", "left_anti").drop("minimizer").unionByName(cut), "op1-pieces"),
+        materialize(known.join(side, "minimizer", "left_anti").drop("minimizer").unionByName(known_cut.select("key", "words").distinct()), "op1-dealt"),
+    )
+
+
 def repeated_segments(texts: DataFrame, window: int, seed: int) -> DataFrame:
     """The segments of all documents whose minimizer occurs at two places or more."""
     found = document_minimizers(texts, window, seed)
@@ -339,17 +412,17 @@ def removed_spans(texts: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     witnesses = contents.join(kept, "content").select("minimizer", "words", "windows")
     references = materialize(reference_runs(witnesses, window).distinct(), "op1-references")
 
-    counts = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"))
-    shards = max(1, -(-contents.count() // PART_SEGMENTS))
-    of_shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
+    runs_of, known = keyed(contents, references, window, seed)
+    shards = max(1, -(-runs_of.count() // PART_SEGMENTS))
+    of_shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     n_parts = (F.floor((F.col("n") - 1) / PART_SEGMENTS) + 1).cast("int")
-    # at most one row per PART_SEGMENTS contents
-    wide = materialize(counts.filter(F.col("n") > PART_SEGMENTS).select("minimizer", n_parts.alias("parts")), "op1-frequent")
-    parts = contents.join(wide, "minimizer", "left").select(
+    counts = runs_of.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    wide = materialize(counts.filter(F.col("n") > PART_SEGMENTS).select("key", n_parts.alias("parts")), "op1-wide")
+    parts = runs_of.join(wide, "key", "left").select(
         of_shard, F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("content"), F.col("parts"))).cast("int").alias("part"),
-        "content", "words",
+        "content", "offset", "words",
     )
-    dealt = references.join(wide, "minimizer", "left").select(
+    dealt = known.join(wide, "key", "left").select(
         of_shard, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"), "words"
     )
     spans = materialize(matched_spans(parts, dealt, window), "op1-matches")

@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pertlake.llm import queries, substring_dedup
+from pertlake.llm.text_hash import Words, window_hashes
 
 from .conftest import ODD_TEXTS, SF
 
@@ -67,6 +69,32 @@ def test_frequent_minimizers_are_spread_over_parts(docs_of, monkeypatch):
     check(substring_dedup.remove_repeats(docs_of(rows)), rows)
 
 
+def test_references_of_a_frequent_minimizer_are_split(docs_of, monkeypatch):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+
+    def rank(w):
+        body = np.frombuffer(" ".join(w).encode(), np.uint8)
+        return int(window_hashes(Words(body, np.array([0, len(body)]), False).hashes, substring_dedup.SEED)[0])
+
+    # a run of SEED words that is the minimizer of nearly every window that holds it
+    line = next(w for w in iter(lambda: fresh(substring_dedup.SEED), None) if rank(w) < 2**64 // 500)
+    rows = []
+    for i in range(40):
+        text = " ".join(fresh(40) + line + fresh(40))
+        rows += [(2 * i, text), (2 * i + 1, "other " + text)]
+    dealt, match = [], substring_dedup.matched_spans
+
+    def seen(parts, references, window):
+        dealt.extend(r["count"] for r in references.distinct().groupBy("shard", "part").count().collect())
+        return match(parts, references, window)
+
+    monkeypatch.setattr(substring_dedup, "matched_spans", seen)
+    monkeypatch.setattr(substring_dedup, "PART_SEGMENTS", 5)
+    check(substring_dedup.remove_repeats(docs_of(rows)), rows)
+    assert max(dealt) < 40
+
+
 def test_beyond_the_broadcast_limits(docs_of, monkeypatch):
     from pertlake.llm import common
 
