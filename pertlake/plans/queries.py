@@ -268,6 +268,12 @@ def _aligned(spark, sf):
     return idx.align_index(_emb(spark, sf), _docs(spark, sf).select("doc_id", "lang", "n_chars"))
 
 
+def _indexed(spark, sf):
+    # the index that is written and read back: vector, label, document text and metadata
+    docs = _docs(spark, sf).select("doc_id", "text", F.struct("lang", "source", "n_chars").alias("metadata"))
+    return idx.align_index(_emb(spark, sf), docs)
+
+
 def _vec_summary(df, id_col="vec_id", vec="embedding"):
     from pertlake.functions.columns import array_l2_norm
 
@@ -343,7 +349,7 @@ def q_embedding_roundtrip(spark, sf):
 @register("index_manifest")
 def q_index_manifest(spark, sf):
     path = scratch_path(spark, "index")
-    store.save_index(_aligned(spark, sf), path)
+    store.save_index(_indexed(spark, sf), path)
     return store.load_index(spark, path)[1]
 
 
@@ -352,7 +358,7 @@ def q_index_roundtrip(spark, sf):
     from pertlake.functions.columns import array_l2_norm
 
     path = scratch_path(spark, "index")
-    store.save_index(_aligned(spark, sf), path)
+    store.save_index(_indexed(spark, sf), path)
     index, _ = store.load_index(spark, path)
     return index.select("vec_id", "label", F.round(array_l2_norm(F.col("unit_embedding")), 6).alias("unit_norm"))
 

@@ -239,3 +239,26 @@ def test_system_text_lists_every_label_in_bounded_parts(spark):
     parts = {r["part"]: r["system_text"] for r in ret.system_text(cat, per_part=10).collect()}
     assert sorted(parts) == [0, 1, 2, 3]
     assert ", ".join(parts[p] for p in (1, 2, 3)).split(", ") == [f"L{i:04d}" for i in range(25)]
+
+
+def test_written_index_holds_text_and_metadata(spark, monkeypatch):
+    from pertlake.plans import queries
+    from pertlake.sources import store
+
+    small = "/root/testdata/sf0.001"
+    read, load = [], store.load_index
+
+    def seen(spark, path):
+        read.append(load(spark, path))
+        return read[-1]
+
+    monkeypatch.setattr(store, "load_index", seen)
+    assert queries.q_index_roundtrip(spark, small).columns == ["vec_id", "label", "unit_norm"]
+    queries.q_index_manifest(spark, small)
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for index, _ in read:
+        rows = index.select("vec_id", "text", "metadata").collect()
+        assert rows
+        for r in rows:
+            d = docs[r["vec_id"]]
+            assert (r["text"], *r["metadata"]) == (d["text"], d["lang"], d["source"], d["n_chars"])
