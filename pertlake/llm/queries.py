@@ -15,6 +15,7 @@ from pertlake.llm import (
     chat,
     decontamination,
     exact_dedup,
+    line_dedup,
     ngram_join,
     packing,
     quality,
@@ -150,6 +151,23 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.annotate(read_table(spark, sf_dir, "documents"))
     return marks.withColumnRenamed("digest", "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
+@query(
+    "op11_line_dedup",
+    r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS place FROM documents),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    often AS (SELECT key, min(doc_id) AS lowest FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+    m AS (SELECT k.*, lowest IS NOT NULL AND lowest <> doc_id AS gone FROM k LEFT JOIN often USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY doc_id
+    """,
+)
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_lines(read_table(spark, sf_dir, "documents"), with_text=False)
+
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
