@@ -23,6 +23,7 @@ from pertlake.llm import (
     token_output,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from pertlake.sources.tables import read_table
 
@@ -169,6 +170,36 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def _code_sql(rounds: int = 6) -> str:
+    """Assignment and means as one pair of relations per round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT vec_id, part, entry, sum((x - c) * (x - c)) AS d FROM p JOIN b{i} USING (part, pos) GROUP BY ALL),
+    a{i} AS (SELECT vec_id, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM d{i} GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT part, entry, pos, floor(sum(x) / count(*))::BIGINT AS m FROM p JOIN a{i} USING (vec_id, part) GROUP BY ALL),
+    b{i + 1} AS (SELECT part, entry, pos, coalesce(m, c) AS c FROM b{i} LEFT JOIN s{i} USING (part, entry, pos))""")
+    return f"""
+    WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT vec_id, (i - 1) * 8 // len(v) AS part, (i - 1) % (len(v) // 8) AS pos, v[i] AS x
+          FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM kept) t),
+    f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16),
+    b0 AS (SELECT part, entry, pos, x AS c FROM p JOIN f USING (vec_id)),
+    {", ".join(steps)},
+    coded AS (SELECT vec_id, string_agg('0' || substr('0123456789abcdef', (entry + 1)::INT, 1), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+              FROM a{rounds} GROUP BY vec_id),
+    books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN kept USING (vec_id) CROSS JOIN books
+    """
+
+
+@query("op12_vector_codes", _code_sql())
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
