@@ -6,6 +6,7 @@ DuckDB SQL for those that SQL can express.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pertlake.llm import (
     line_dedup,
     ngram_join,
     packing,
+    periodic_runs,
     quality,
     substring_dedup,
     token_output,
@@ -200,6 +202,20 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def repeated_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Every tenth document's words from ``first`` on repeat with a period (fixed by the query's contract)."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    first = h // 10 % n
+    return first, 1 + (n - first) // (3 + h // 10 % 8)
+
+
+@query("op13_periodic_runs")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapse(read_table(spark, sf_dir, "documents"), tiling=repeated_tail, with_text=False)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

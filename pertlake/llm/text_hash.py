@@ -79,16 +79,27 @@ class Words:
     """The words of a run of documents: byte spans, owning document and hash."""
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray, lower: bool):
-        """``offsets`` start at 0 and end at ``len(body)``."""
-        spans = [self._part(body, offsets, a, b, lower) for a, b in _byte_segments(body)]
-        self.starts, self.ends, self.hashes = (
-            spans[0] if len(spans) == 1 else [np.concatenate(x) for x in zip(*spans, strict=True)]
-        )
+        """``offsets`` start at 0 and end at ``len(body)``. Bytes are hashed in pieces, whatever the length of a word."""
+        parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]]
+        for a in range(0, len(body), CHUNK_BYTES):
+            starts, ends, sums = self._part(body, offsets, a, min(a + CHUNK_BYTES, len(body)), lower)
+            if len(starts) and starts[0] == a and a and not _SEPARATOR[body[a - 1]] and offsets[np.searchsorted(offsets, a)] != a:
+                # the first piece goes on with the last word
+                last = max(i for i, x in enumerate(parts[0]) if len(x))
+                power = np.uint64(pow(int(_PLACE), a - int(parts[0][last][-1]), 2**64))
+                parts[1][last][-1] = ends[0]
+                parts[2][last][-1] += sums[0] * power
+                starts, ends, sums = starts[1:], ends[1:], sums[1:]
+            for whole, x in zip(parts, (starts, ends, sums), strict=True):
+                whole.append(x)
+        self.starts, self.ends, sums = (np.concatenate(x) for x in parts)
+        self.hashes = mix(sums + (self.ends - self.starts).astype(np.uint64))
         # doc_words[d] .. doc_words[d + 1] are the words of document d
         self.doc_words = np.searchsorted(self.starts, offsets, side="left")
 
     @staticmethod
     def _part(body: np.ndarray, offsets: np.ndarray, a: int, b: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and byte sums of the pieces of words in ``body[a:b]``."""
         text = _LOWERED[body[a:b]] if lower else body[a:b]
         inside = ~_SEPARATOR[text]
         starts, ends = inside.copy(), inside.copy()
@@ -107,25 +118,7 @@ class Words:
         place = np.arange(len(flat), dtype=np.int32)
         place -= np.repeat(first.astype(np.int32), lens)
         terms = _BYTE[flat] * _place_powers(int(lens.max()))[place]
-        return first_byte + a, past_byte + a, mix(np.add.reduceat(terms, first) + lens.astype(np.uint64))
-
-
-def _byte_segments(body: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of about CHUNK_BYTES that end after a separator, so that no word is cut."""
-    out, a, n = [], 0, len(body)
-    while n - a > 2 * CHUNK_BYTES:
-        b, step = a + CHUNK_BYTES, 1 << 16
-        while b < n:
-            cut = np.flatnonzero(_SEPARATOR[body[b : b + step]])
-            if len(cut):
-                b += int(cut[0]) + 1
-                break
-            b += step
-        out.append((a, min(b, n)))
-        a = min(b, n)
-    if a < n or not out:
-        out.append((a, n))
-    return out
+        return first_byte + a, past_byte + a, np.add.reduceat(terms, first)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
