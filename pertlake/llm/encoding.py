@@ -9,6 +9,8 @@ used here (tested against encoding the whole text):
   characters that are not white space; a text with any other white space is encoded whole;
 * ``keep_space=False`` (vocabularies that drop white space): at any ASCII white space;
 * after a run of letters that a comma or full stop follows.
+
+A text that holds the string of an added token of the vocabulary is encoded whole.
 """
 
 from __future__ import annotations
@@ -58,7 +60,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts that hold the string of such a token are encoded whole, as the library does by default
+        self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._model = self._tokenizer.model
         self._bytes = _byte_letters()
         self._keep_space = keep_space
@@ -137,12 +140,17 @@ class ChunkEncoder:
             odd[full] |= ends[last[full]] != offsets[1:][full]
             odd[~full] = np.diff(offsets)[~full] > 0
             odd[np.searchsorted(offsets, _wide_space(body), side="right") - 1] = True
+        raw = body.tobytes()
+        for token in self._special:
+            at = raw.find(token)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = raw.find(token, at + 1)
         use = ~odd[owner]
         keys, some, inverse = np.unique(
             mix(words.hashes[use] + kinds[use] * _TYPE), return_index=True, return_inverse=True
         )
         at = np.flatnonzero(use)[some]
-        raw = body.tobytes() if len(keys) else b""
         row = self._table(keys, lambda i: raw[starts[at[i]] : ends[at[i]]].decode(errors="replace"), kinds[at])[inverse]
         count, begin = self._count[row] if len(row) else row, self._start[row] if len(row) else row
         first = np.cumsum(count) - count

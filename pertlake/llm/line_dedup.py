@@ -267,8 +267,9 @@ def _probes(texts: DataFrame, hot, n_shards: int, min_chars: int) -> DataFrame:
             hit, lowest = known.found(key, fingerprint)
             lost = hit & (lowest != ids)
             send = lost | ~hit if n_shards else lost
-            # answered rows need no shard: they are spread by their text
-            shard = np.where(hit, -1 - (a & 1023), _shard_of(key, max(1, n_shards)))
+            # answered rows need no shard: they are spread by their document
+            spread = (mix((ids + doc).view(np.uint64)) & np.uint64(1023)).astype(np.int64)
+            shard = np.where(hit, -1 - spread, _shard_of(key, max(1, n_shards)))
             yield pa.record_batch(
                 [pa.array(shard[send]), pa.array(ids[send]), pa.array(a[send]), pa.array(b[send]), _words(key[send]), _words(fingerprint[send]), pa.array(lost[send])],
                 names=["shard", "id", "text_a", "text_b", "key", "fingerprint", "lost"],

@@ -11,20 +11,30 @@ parameter.
 
 Classes. Documents with equal sets form a class; all further work is on classes.
 
-Candidates. Under one order, two sets that link share a shingle among the first
-``n - ceil(0.75 n) + 1`` of each. Classes meet in the bucket of each such shingle (buckets of
-hot shingles are dealt to ``SALTS`` parts). Instead of all pairs of a bucket, a band of
-leaders (the first 2 classes, the next 30, the next 480, ...) is compared with the members
-that are not yet in the leader's component: pairs inside a component need no comparison,
-and the bands go on until every bucket has no pair left that could link two components.
-Members are numbered by how few of their prefix shingles are theirs alone, so that the text
-that the others were copied from leads its bucket and most of the group joins it at once.
-A pair is dropped early only if it cannot link: its prefixes share m shingles, all of which
-lie in buckets, so its overlap is at most m plus what is behind the longer prefix.
+Candidates. Under one order, two sets that link share a shingle in a short prefix of each, and
+the first shingle they share has at least ``share = 75 / 175`` of both sizes summed at or behind
+it in each set. So the smaller set has it in an even shorter prefix (it is ``short`` there). A
+bucket holds the classes with a shingle in their prefix; buckets of a single class, or without a
+short member, make no link. Buckets with the same members count once.
+
+Rounds. All pairs of a bucket aren't needed, only its components. In a round every class is
+compared with one leader (later with 4, 16, ...): the first in leader order among the first
+short members of its buckets that lie in another component, fit its size and weren't compared
+with it. Linked components are contracted, and buckets within one component go. When no class
+has a candidate, more members of each bucket may lead, until all may. So every pair that could
+link two components is compared in the end, and a group of copies costs about one pair each.
+Leader order puts texts first of whose prefix the fewest shingles are theirs alone: the text
+that others were copied from. Leaders and members meet by bucket and size band; bands differ by
+one at most where the sizes allow a link.
 
 Vertical partitioning. The global order is cut into ``FRAGMENTS``; a set becomes one sorted
-array per fragment. Each (pair, fragment) counts its partial overlap on its own, and the
-partial counts are summed per pair and compared with the threshold exactly.
+array per fragment, written once for the classes of the buckets. Each (pair, fragment) counts its
+partial overlap on its own, and the partial counts are summed per pair and compared with the
+threshold exactly. A leader's fragments are sent once per ``LEADER_CHUNK`` of its classes.
+
+Skew. The bucket of a hot shingle is spread by class (``SALTS``) and its leaders are broadcast (at
+most HOT_SHINGLES buckets exist); any other bucket holds fewer rows than each hot one. Joins on a
+class or component go through ``skew_safe_join``.
 
 Defined results: a document without words (null, empty, white space) has no shingles and is
 alone; one with fewer than five words has its whole word sequence as one shingle; rows with
@@ -34,14 +44,15 @@ repeated rows are in one class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pertlake.llm.common import checked_broadcast, materialize
+from pertlake.llm.common import checked_broadcast, materialize, skew_safe_join
 from pertlake.llm.graph import components
 from pertlake.llm.text_hash import iter_documents, mix, window_hashes
 
@@ -52,7 +63,9 @@ HOT_SHINGLES = 1 << 17
 HOT_LEAST = 32  # documents
 SALTS = 16
 
-FIRST_BAND, BAND_GROWTH = 2, 16
+FIRST_LEADERS, MORE_LEADERS = 2, 8  # of a bucket
+MORE_PAIRS = 4  # per class, from one round to the next
+LEADER_CHUNK = 256
 
 
 def prefix_length(n: int) -> int:
@@ -147,8 +160,8 @@ def _ranks(hot: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return rank
 
 
-def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """shingle, salt, hot, class, n: the members of every bucket with two classes or more."""
+def _members(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """shingle, hot, class, n, rest (shingles at or behind it): the prefixes of the classes of every task."""
 
     def prefixes(batches):
         rank, seen = _ranks(hot), set()
@@ -162,44 +175,56 @@ def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 out.append(ordered[: prefix_length(len(ordered))])
                 cold.append(int((~is_hot).sum()))
             yield pa.record_batch(
-                [_long(keys), pa.array([len(sets[i]) for i in places], pa.int64()), pa.array(cold, pa.int64()), _lists(out)],
+                [_long(keys), pa.array([len(sets[i]) for i in places], pa.int32()), pa.array(cold, pa.int32()), _lists(out)],
                 names=["class", "n", "cold", "shingles"],
             )
 
-    rows = texts.mapInArrow(prefixes, "class long, n long, cold long, shingles array<long>")
-    is_hot = F.col("place") >= F.col("cold")
-    members = rows.select("class", "n", "cold", F.posexplode("shingles").alias("place", "shingle")).select(
-        "shingle", F.when(is_hot, F.pmod(F.col("class"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"),
-        is_hot.alias("hot"), "class", "n",
+    rows = texts.mapInArrow(prefixes, "class long, n int, cold int, shingles array<long>")
+    return rows.select("class", "n", "cold", F.posexplode("shingles").alias("place", "shingle")).select(
+        "shingle", (F.col("place") >= F.col("cold")).alias("hot"), "class", "n", (F.col("n") - F.col("place")).alias("rest")
     )
-    part = Window.partitionBy("shingle", "salt")
-    met = members.select("*", F.min("class").over(part).alias("low"), F.max("class").over(part).alias("high"))
-    # of a class, every input task may have sent one row
-    return met.filter("hot or low != high").drop("low", "high").distinct()
 
 
-def numbered(members: DataFrame, shared_prefix: DataFrame) -> DataFrame:
-    """bucket, salt, hot, class, n, own, nth, size: buckets with the same members count once.
+def _is_short(n: str, rest: str) -> Column:
+    return F.col(rest).cast("long") * (100 + PERCENT) >= F.col(n).cast("long") * (2 * PERCENT)
+
+
+def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """bucket, hot, class, n, rest, own: the members of the buckets that can make a link.
 
-    ``nth`` numbers the members of a bucket's part, fewest prefix shingles of their own first.
+    ``rest`` belongs to the first shingle of a bucket; ``own`` counts the prefix shingles that no
+    bucket holds.
     """
-    own = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")
+    members = _members(texts, hot).withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("class"), F.lit(SALTS))).otherwise(0).cast("int"))
     part = Window.partitionBy("shingle", "salt")
-    return members.join(shared_prefix.select("class", F.size("shingles").alias("shared")), "class").withColumn("own", own).select(
-        F.when(F.col("hot"), F.col("shingle")).otherwise(F.bit_xor(F.xxhash64("class")).over(part)).alias("bucket"),
-        "salt", "hot", "class", "n", "own", F.row_number().over(part.orderBy("own", "class")).alias("nth"), F.count(F.lit(1)).over(part).alias("size"),
-    ).distinct()
+    met = members.withColumn("low", F.min("class").over(part)).withColumn("high", F.max("class").over(part)).withColumn(
+        "able", F.max(_is_short("n", "rest")).over(part)
+    )
+    # of a class, every input task may have sent one row
+    met = materialize(met.filter("hot or (low != high and able)").drop("low", "high", "able").distinct(), "op9-met")
+    # hot ones, at most HOT_SHINGLES, over all their salts
+    able = (
+        met.filter("hot").groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(_is_short("n", "rest")).alias("able"))
+        .filter("low != high and able").select("shingle")
+    )
+    same = F.concat_ws(",", *[F.bit_xor(F.xxhash64(F.lit(seed), "class")).over(part) for seed in (1, 2)])
+    cold = met.filter("not hot").select(same.alias("bucket"), "hot", "class", "n", "rest")
+    kept = cold.unionByName(met.filter("hot").join(F.broadcast(able), "shingle", "left_semi").select(F.col("shingle").cast("string").alias("bucket"), "hot", "class", "n", "rest"))
+    kept = kept.groupBy("bucket", "hot", "class", "n").agg(F.max("rest").alias("rest"), F.count(F.lit(1)).alias("shingles"))
+    kept = materialize(kept, "op9-buckets")
+    shared = kept.groupBy("class").agg(F.sum("shingles").alias("shared"))
+    own = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")
+    return kept.drop("shingles").join(shared, "class").withColumn("own", own.cast("int")).drop("shared")
 
 
 def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """class, fragment, shingles (sorted array) of the wanted classes."""
+    """class, fragment, shingles (sorted array) of the wanted classes, each from its ``row_key``."""
 
     def cut(batches):
-        rank, seen = _ranks(hot), set()
+        rank = _ranks(hot)
         width = np.uint64((2**64 - 1) // (FRAGMENTS - 1) + 1)
-        for _, sets in _sets(batches):
-            places, keys = _first_of_class(sets, seen)
-            out = []
+        for rows, sets in _sets(batches):
+            places, keys, out = [i for i, s in enumerate(sets) if len(s)], class_keys(sets), []
             for i in places:
                 s = sets[i]
                 is_hot = rank(s) >= 0
@@ -209,99 +234,131 @@ def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: in
             for a in range(0, len(places), 256):
                 flat = [x for parts in out[a : a + 256] for x in parts]
                 offsets = pa.array(np.arange(0, len(flat) + 1, FRAGMENTS, dtype=np.int32))
-                yield pa.record_batch([_long(keys[a : a + 256]), pa.ListArray.from_arrays(offsets, _lists(flat))], names=["class", "parts"])
+                key = rows.column(2).take(pa.array(places[a : a + 256], pa.int64()))
+                yield pa.record_batch([_long(keys[places[a : a + 256]]), key, pa.ListArray.from_arrays(offsets, _lists(flat))], names=["class", "row_key", "parts"])
 
-    rows = texts.mapInArrow(cut, "class long, parts array<array<long>>")
-    kept = rows.join(checked_broadcast(wanted, n_wanted), "class", "left_semi")
+    rows = texts.mapInArrow(cut, "class long, row_key long, parts array<array<long>>")
+    kept = rows.join(checked_broadcast(wanted, n_wanted), ["class", "row_key"], "left_semi")
     return kept.select("class", F.posexplode("parts").alias("fragment", "shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose summed partial overlaps reach the threshold."""
-    spread = pairs.select("a", "b", "n_a", "n_b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    left = sets.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("of_b"))
-    partial = (
-        spread.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-        .select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("part"))
-        # a class may have come from several tasks: the same partial count, to be taken once
-        .groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("part").alias("part"))
+def overlaps(pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
+    """``pairs`` (class, leader, ...) with ``shared``, their summed partial overlaps."""
+    # few leaders have more classes than a chunk: at most n_pairs / LEADER_CHUNK
+    many = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > LEADER_CHUNK)
+    parts = F.floor((F.col("classes") - 1) / LEADER_CHUNK) + 1
+    dealt = pairs.join(checked_broadcast(many, n_pairs // LEADER_CHUNK), "leader", "left").withColumn(
+        "chunk", F.coalesce(F.pmod(F.xxhash64("class"), parts), F.lit(0))
+    ).drop("classes")
+    side = checked_broadcast(dealt.select("class", "leader", "chunk"), n_pairs)
+    of_class = sets.join(side, "class").select("leader", "chunk", "fragment", "class", F.col("shingles").alias("of_class"))
+    led = dealt.select("leader", "chunk").distinct()
+    of_leader = sets.withColumnRenamed("class", "leader").join(checked_broadcast(led, n_pairs), "leader").select(
+        "leader", "chunk", "fragment", F.col("shingles").alias("of_leader")
     )
-    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
-    return total.filter(F.col("shared") * 100 >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
-
-
-def _band_pairs(members: DataFrame, first: int, last: int) -> DataFrame:
-    """Pairs of a leader (place first..last in its bucket) and a member of the bucket in another component.
-
-    The first ``last`` members of a bucket are among the first ``last`` of its parts, so the
-    leaders' places are found on at most ``SALTS * last`` rows; those of a hot bucket are
-    sent to all its parts.
-    """
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "class"))
-    leaders = members.filter(F.col("nth") <= last).withColumn("place", place).filter(F.col("place").between(first, last)).select(
-        "bucket", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array("salt"))).alias("salt"),
-        F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"),
-    )
-    return (
-        members.join(leaders, ["bucket", "salt"])
-        .filter((F.col("class") != F.col("b")) & (F.col("component") != F.col("component_b")))
-        .filter(F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * PERCENT)
-        .select(
-            F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"),
-            F.when(F.col("class") < F.col("b"), F.col("n")).otherwise(F.col("n_b")).alias("n_a"),
-            F.when(F.col("class") < F.col("b"), F.col("n_b")).otherwise(F.col("n")).alias("n_b"),
-        )
-        .distinct()
+    partial = of_class.join(of_leader, ["leader", "chunk", "fragment"]).select(
+        "class", "leader", "fragment", F.size(F.array_intersect("of_class", "of_leader")).cast("long").alias("part")
     )
+    # a class may be there twice (repeated rows): the same partial count, to be taken once
+    total = partial.groupBy("class", "leader", "fragment").agg(F.max("part").alias("part")).groupBy("class", "leader").agg(F.sum("part").alias("shared"))
+    return dealt.drop("chunk").join(total, ["class", "leader"])
 
 
-def _possible(pairs: DataFrame, shared_prefix: DataFrame) -> DataFrame:
-    """The pairs whose overlap can reach the threshold, by the shingles that their prefixes share."""
-    behind = lambda n: F.ceil(F.col(n) * PERCENT / 100) - 1
-    left = shared_prefix.select(F.col("class").alias("a"), F.col("shingles").alias("of_a"))
-    right = shared_prefix.select(F.col("class").alias("b"), F.col("shingles").alias("of_b"))
-    most = F.size(F.array_intersect("of_a", "of_b")) + F.greatest(behind("n_a"), behind("n_b"))
-    return pairs.join(left, "a").join(right, "b").filter(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT).select("a", "b", "n_a", "n_b")
+def _bands(n: str) -> Column:
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / PERCENT))).cast("int")
 
 
-def linked_classes(texts: DataFrame, hot_least: int = HOT_LEAST, hot_most: int = HOT_SHINGLES) -> DataFrame:
-    """(node, component) of the classes that have a link."""
+def _candidates(state: DataFrame, most: int, n_hot: int) -> DataFrame:
+    """class, leader, own_l, n, n_l, component, component_l: members and the first ``most`` short members of a bucket and size band."""
+    place = Window.partitionBy("bucket", "band").orderBy("own", "class")
+    short = state.filter(_is_short("n", "rest")).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    leaders = short.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= most).select(
+        "bucket", "hot", "band", F.col("class").alias("leader"), F.col("n").alias("n_l"), F.col("rest").alias("rest_l"), F.col("own").alias("own_l"), F.col("component").alias("component_l")
+    )
+    least = F.least("rest", "rest_l").cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("n_l")).cast("long") * PERCENT
+    fits = (F.col("component") != F.col("component_l")) & (F.least("n", "n_l") * 100 >= F.greatest("n", "n_l") * PERCENT) & least
+
+    def met(members: DataFrame, led: DataFrame) -> DataFrame:
+        m, d = members.alias("m"), led.drop("hot").alias("d")
+        on = (F.col("m.bucket") == F.col("d.bucket")) & (F.col("m.band") == F.col("d.band")) & fits
+        return m.join(d, on).select("class", "leader", "own_l", "n", "n_l", "component", "component_l")
+
+    out = met(state.filter("not hot"), leaders.filter("not hot"))
+    if n_hot:
+        out = out.unionByName(met(state.filter("hot"), checked_broadcast(leaders.filter("hot"), 3 * n_hot)))
+    return out.distinct()
+
+
+def _first_per_class(candidates: DataFrame, tested: DataFrame | None, pairs: int | None) -> DataFrame:
+    """The first ``pairs`` untested candidates of every class in leader order (None: all), each pair once."""
+    if tested is not None:
+        for a, b in (("class", "leader"), ("leader", "class")):
+            done = tested.select(F.col(a).alias("class"), F.col(b).alias("leader"))
+            candidates = candidates.join(done, ["class", "leader"], "left_anti")
+    order = Window.partitionBy("class").orderBy("own_l", "leader")
+    first = candidates.drop("own_l") if pairs is None else candidates.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pairs).drop("nth", "own_l")
+    # two classes may have chosen each other
+    back = first.select(F.col("leader").alias("class"), F.col("class").alias("leader"))
+    return first.filter("class < leader").unionByName(first.filter("class > leader").join(back.filter("class > leader"), ["class", "leader"], "left_anti"))
+
+
+def _unsettled(state: DataFrame) -> DataFrame:
+    """``state`` without the buckets that lie in one component."""
+    mixed = state.groupBy("bucket", "hot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket", "hot")
+    cold = state.filter("not hot").join(mixed.filter("not hot").select("bucket"), "bucket", "left_semi")
+    # at most HOT_SHINGLES rows
+    return cold.unionByName(state.filter("hot").join(F.broadcast(mixed.filter("hot").select("bucket")), "bucket", "left_semi"))
+
+
+def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST, hot_most: int = HOT_SHINGLES) -> DataFrame:
+    """(node, component) of the classes that share a bucket; ``rows`` is ``describe(texts)``."""
     hot = hot_shingles(texts, hot_least, hot_most)
-    met = materialize(buckets(texts, hot), "op9-met")
-    shared_prefix = materialize(met.groupBy("class").agg(F.collect_set("shingle").alias("shingles")), "op9-prefixes")
-    members = materialize(numbered(met, shared_prefix), "op9-buckets")
-    largest = members.agg(F.max(F.col("size") * F.when(F.col("hot"), SALTS).otherwise(1))).first()[0] or 0
-    sets = links = labels = tested = None
-    first, last = 1, FIRST_BAND
-    while first <= largest:
-        rest = members.filter((F.col("size") > first) | F.col("hot"))
-        if labels is None:
-            rest = rest.withColumn("component", F.col("class"))
-        else:
-            rest = rest.join(labels, rest["class"] == labels["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-        pairs = _possible(_band_pairs(rest, first, last), shared_prefix)
+    members = materialize(buckets(texts, hot), "op9-members")
+    labels = materialize(members.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
+    n_wanted = labels.count()
+    if not n_wanted:
+        return labels
+    n_members, n_hot = members.agg(F.count(F.lit(1)), F.count_if("hot")).first()
+    one = rows.groupBy("class").agg(F.min("row_key").alias("row_key"))
+    wanted = materialize(labels.select(F.col("node").alias("class")).join(one, "class"), "op9-wanted")
+    sets = materialize(fragments(texts, hot, wanted, n_wanted), "op9-sets")
+    state = materialize(members.withColumn("band", _bands("n")).withColumn("component", F.col("class")), "op9-state")
+    tested, leaders, pairs, last = None, FIRST_LEADERS, 1, False
+    while True:
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "op9-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("class"), "class", "left_anti")
-        wanted = materialize(wanted, "op9-wanted")
-        n_wanted = wanted.count()
-        if n_wanted:
-            more = materialize(fragments(texts, hot, wanted, n_wanted), "op9-sets")
-            sets = more if sets is None else sets.unionByName(more)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        if sets is not None:
-            new = materialize(verified(pairs, sets), "op9-links")
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                labels = materialize(components(links), "op9-labels")
-        first, last = last + 1, BAND_GROWTH * last
-    if labels is None:
-        return members.sparkSession.createDataFrame([], "node long, component long")
-    return labels
+            sizes = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(_is_short("n", "rest")).alias("short"))
+            largest, work = sizes.agg(F.max("short"), F.sum(F.col("size") * F.col("short"))).first()
+            if not largest:
+                return labels
+            # few comparisons are left, in proportion to the members: all of them in one round
+            last = work <= n_members
+            if last:
+                leaders, pairs = largest, None
+        chosen = materialize(_first_per_class(_candidates(state, leaders, n_hot), tested, pairs), "op9-pairs")
+        n_pairs = chosen.count()
+        if not n_pairs:
+            if last or (tested is not None and leaders >= largest):
+                return labels
+            leaders, tested = leaders * MORE_LEADERS, chosen.select("class", "leader") if tested is None else tested
+            continue
+        counted = overlaps(chosen, n_pairs, sets)
+        enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
+        links = materialize(counted.filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b")).distinct(), "op9-links")
+        done = chosen.select("class", "leader")
+        tested = done if tested is None else tested.unionByName(done)
+        if not last:
+            pairs *= MORE_PAIRS
+        if not links.isEmpty():
+            joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+            labels = materialize(
+                skew_safe_join(labels, joined, "component").select("node", F.coalesce("joined", "component").alias("component")), "op9-labels"
+            )
+            if last:
+                return labels
+            state = state.drop("component").join(labels, state["class"] == labels["node"]).drop("node")
+            state = materialize(_unsettled(state), "op9-state")
+        elif last:
+            return labels
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -314,8 +371,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, **order) -> DataFrame:
     """doc_id, row_key, n_shingles, component (null without shingles) of every row."""
     texts = _texts(docs, id_col, text_col)
     rows = materialize(describe(texts), "op9-rows")
-    labels = linked_classes(texts, **order)
-    return rows.join(labels, rows["class"] == labels["node"], "left").select(
+    labels = linked_classes(texts, rows, **order).withColumnRenamed("node", "class")
+    return skew_safe_join(rows, labels, "class").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component")
     )
 
@@ -324,7 +381,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, row_key, n_shingles, component_id of every row."""
     placed = _placed(docs, id_col, text_col, **order)
     lowest = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return placed.join(lowest, "component", "left").select(
+    return skew_safe_join(placed, lowest, "component").select(
         "doc_id", "row_key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
     )
 
@@ -336,7 +393,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays = placed.groupBy("component").agg(F.min(rank).alias("first")).select("component", F.col("first.row_key").alias("stays"))
     counted = placed.groupBy("component", "row_key").agg(F.count(F.lit(1)).alias("rows"))
     odd = materialize(
-        counted.join(stays, "component").filter("row_key != stays or rows > 1")
+        skew_safe_join(counted, stays, "component").filter("row_key != stays or rows > 1")
         .select(F.col("row_key").alias("__odd"), (F.col("row_key") == F.col("stays")).alias("__stays")),
         "op9-gone",
     )

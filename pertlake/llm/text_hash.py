@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # bytes hashed at a time: bounds the scratch arrays (about 40 bytes per text byte)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)

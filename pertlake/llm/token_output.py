@@ -10,7 +10,8 @@ places. Files are written under attempt names and renamed, with the same content
 attempt, so a lost executor leaves nothing wrong.
 
 Defined results: a null or empty text has the end id only; rows with a null doc_id come
-first; repeated doc_ids stay next to each other, each a document of its own; an empty
+first; repeated doc_ids stay next to each other in the order of a hash of their texts, each a
+document of its own; very long texts are whole; only the id and text columns are read; an empty
 table gives no file and no rows. Ids are stored in 16 bits if the vocabulary allows it.
 """
 
@@ -142,7 +143,11 @@ class ShardReader:
         b = self.batch(i // BATCH_SEQUENCES)
         k = i % BATCH_SEQUENCES * self._length
         ids = b.column("ids").values.slice(k, self._length).to_numpy(zero_copy_only=True)
-        return ids, b.column("mask").values.slice(k, self._length).to_numpy(zero_copy_only=False)
+        return ids, self.mask(i).to_numpy(zero_copy_only=False)
+
+    def mask(self, i: int) -> pa.BooleanArray:
+        """The mask of sequence i, a view of the file's bits (one bit a token)."""
+        return self.batch(i // BATCH_SEQUENCES).column("mask").values.slice(i % BATCH_SEQUENCES * self._length, self._length)
 
     def tokens(self, start: int, length: int) -> np.ndarray:
         """Ids start .. start + length of the shard's stream."""
@@ -204,11 +209,10 @@ def write_tokens(
                 names=["shard", "first_id", "documents", "tokens", "ids_file", "docs_file", "first_batch", "batch_bytes"],
             )
 
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-    )
+    # equal and null ids have an order too, so every attempt writes the same, and many of them take several ranges
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(shard, MANIFEST).write.parquet(manifest)
     return docs.sparkSession.read.schema(MANIFEST).parquet(manifest)

@@ -119,20 +119,17 @@ def runs(w, k):
 
 
 def brute_leaks(docs, items):
-    """(doc_id, item_id) whose best item-sized window holds enough of the item's weighted shingles."""
+    """(doc_id, item_id) whose best item-sized window holds enough of the item's shingles."""
     plain = [(i, words(t)) for i, t in items if words(t)]
-    df = Counter(s for _, w in plain for s in set(runs(w, min(5, len(w)))))
-    weight = lambda s: math.log(1 + len(plain) / df[s]) if s in df else math.log(1 + len(plain))
     out = {}
     for d, text in docs:
         w = words(text)
         for i, item in plain:
             k = min(5, len(item))
             own = Counter(runs(item, k))
-            total = sum(n * weight(s) for s, n in own.items())
             for start in range(-len(item) + 1, len(w)):
                 window = Counter(runs(w[max(start, 0) : start + len(item)], k))
-                share = sum(min(n, window[s]) * weight(s) for s, n in own.items()) / total
+                share = sum(min(n, window[s]) for s, n in own.items()) / sum(own.values())
                 if share >= 0.75 - 1e-9:
                     out[d, i] = max(out.get((d, i), 0), share)
     return out
@@ -163,34 +160,43 @@ def test_leaks_equal_brute_force(spark, docs_of):
     check_leaks(decontamination.leaks(docs_of(rows), bench).collect(), rows, ITEMS)
     docs = docs_of(rows)
     kept = decontamination.clean(docs, bench)
-    gone = {d for d, _ in brute_leaks(rows, ITEMS)}
+    # by row: a clean row that repeats a leaking id, or has no id like a leaking row, stays
+    gone = [bool(brute_leaks([row], ITEMS)) for row in rows]
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in rows if d not in gone)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(row for row, g in zip(rows, gone, strict=True) if not g)
+    assert (20, "again") in [(r["doc_id"], r["text"]) for r in kept.collect()] and (None, "no id") in [tuple(r)[:2] for r in kept.collect()]
     assert decontamination.leaks(docs_of([]), bench).collect() == []
     assert decontamination.leaks(docs, bench.limit(0)).collect() == []
 
 
-def test_leaks_beyond_the_radius_and_between_the_starts(spark, docs_of):
-    rnd = random.Random(11)
+def altered_items(seed, n_items, most):
+    """Items, one of them copied to most of the benchmark, and documents that hold altered passages of them."""
+    rnd = random.Random(seed)
     fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
-    hot, rare = fresh(16), [fresh(24) for _ in range(12)]
-    # one item copied to most of the benchmark
-    items = [(i, " ".join(hot if i % 5 else rare[i // 2])) for i in range(24)]
+    hot = fresh(30)
+    items = [(i, " ".join(hot if i % 5 else fresh(rnd.randrange(24, 60)))) for i in range(n_items)]
     rows = []
-    for i, text in items[:9]:
+    for i, text in items[:most]:
         w = text.split()
-        for cut in (3, 4, 5):
+        for cut in (3, 4, 5, len(w) // 4):
             rows.append((100 * i + cut, " ".join(w[:-cut] + ["same"] * (cut + 9))))  # the end is one repeated word
-            rows.append((100 * i + 10 + cut, " ".join(fresh(5) + w[:-cut] + fresh(cut + 3))))
+            rows.append((100 * i + 20 + cut, " ".join(fresh(5) + w[:-cut] + fresh(cut + 3))))
         # the head replaced and words put in: the best window begins between the two starts
-        rows.append((100 * i + 30, " ".join(fresh(3) + w[3:13] + fresh(4) + w[13:] + fresh(9))))
-        rows.append((100 * i + 31, " ".join(fresh(2) + w[2:9] + ["in"] * 2 + w[9:] + fresh(9))))
+        rows.append((100 * i + 50, " ".join(fresh(3) + w[3:13] + fresh(4) + w[13:] + fresh(9))))
+        rows.append((100 * i + 51, " ".join(fresh(2) + w[2:9] + ["in"] * 2 + w[9:] + fresh(9))))
+    return items, rows
+
+
+def test_recall_of_the_radius(spark, docs_of):
+    items, rows = altered_items(11, 60, 40)
     bench = spark.createDataFrame([(i, t, 0, "h") for i, t in items], "item_id long, text string, item int, hash string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(docs_of(rows), bench).collect()}
     want = brute_leaks(rows, items)
-    assert set(got) == set(want)
-    assert all(got[k]["similarity"] == pytest.approx(want[k], abs=1e-5) for k in want)
-    assert max(r["distance"] for r in got.values()) > decontamination.RADIUS
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 500
+    assert all(r["similarity"] <= want[k] + 1e-5 and r["distance"] <= decontamination.RADIUS for k, r in got.items())
+    # the radius decides: fewer fingerprints lie within a smaller one
+    near = decontamination.leaks(docs_of(rows), bench, radius=9).collect()
+    assert all(r["distance"] <= 9 for r in near) and 0 < len(near) < len(got)
 
 
 def test_leak_query_on_the_given_table(spark, sf_docs):

@@ -18,7 +18,6 @@ CASES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 
 def whole(path):
     t = Tokenizer.from_file(public_tokenizers.path(path))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +29,7 @@ def crc(ids):
 def test_chunked_encoding_equals_whole_texts(path, keep_space, sf_docs):
     rnd = random.Random(5)
     texts = [t for _, t in ODD_TEXTS] + list(sf_docs.values())
+    texts += ["see <|endoftext|> here", "<|startoftext|>a b", "x<|endoftext|>y  z", "<|endoftext|>" * 3, "a <|ENDOFTEXT|>", "<|endof text|>", "plain <|endoftext", "|> text"]
     texts += ["".join(rnd.choice(" \n\taéΣs'L,.1 —") for _ in range(rnd.randrange(25))) for _ in range(1500)]
     coder, plain = ChunkEncoder(public_tokenizers.path(path), keep_space, cache_chunks=500), whole(path)
     got = list(coder.documents(pa.array(texts), 9))
