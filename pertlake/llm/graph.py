@@ -36,12 +36,11 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links"
     )
-    state = None
     while True:
-        now = materialize(_star(_star(now, True), False), "links")
-        row = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(row) == state:
+        new = materialize(_star(_star(now, True), False), "links")
+        shape = [x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first() for x in (now, new)]
+        now = new
+        if shape[0] == shape[1]:
             break
-        state = tuple(row)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -21,8 +21,8 @@ Rounds. All pairs of a bucket aren't needed, only its components. In a round eve
 compared with one leader (later with 4, 16, ...): the first in leader order among the first
 short members of its buckets that lie in another component, fit its size and weren't compared
 with it. Linked components are contracted, and buckets within one component go. When no class
-has a candidate, more members of each bucket may lead, until all may. So every pair that could
-link two components is compared in the end, and a group of copies costs about one pair each.
+has a candidate, more members of each bucket may lead, until all may; where what is left is in
+proportion to the members, all of it is compared in one round. So every pair that could link two components is compared in the end, and a group of copies costs about one pair each.
 Leader order puts texts first of whose prefix the fewest shingles are theirs alone: the text
 that others were copied from. Leaders and members meet by bucket and size band; bands differ by
 one at most where the sizes allow a link.
@@ -65,6 +65,7 @@ SALTS = 16
 
 FIRST_LEADERS, MORE_LEADERS = 2, 8  # of a bucket
 MORE_PAIRS = 4  # per class, from one round to the next
+WORK = 64  # comparisons of narrow rows per member that count as few
 LEADER_CHUNK = 256
 
 
@@ -289,12 +290,16 @@ def _candidates(state: DataFrame, most: int, n_hot: int) -> DataFrame:
     return out.distinct()
 
 
-def _first_per_class(candidates: DataFrame, tested: DataFrame | None, pairs: int | None) -> DataFrame:
-    """The first ``pairs`` untested candidates of every class in leader order (None: all), each pair once."""
+def _untested(candidates: DataFrame, tested: DataFrame | None) -> DataFrame:
     if tested is not None:
         for a, b in (("class", "leader"), ("leader", "class")):
             done = tested.select(F.col(a).alias("class"), F.col(b).alias("leader"))
             candidates = candidates.join(done, ["class", "leader"], "left_anti")
+    return candidates
+
+
+def _first_per_class(candidates: DataFrame, pairs: int | None) -> DataFrame:
+    """The first ``pairs`` candidates of every class in leader order (None: all), each pair once."""
     order = Window.partitionBy("class").orderBy("own_l", "leader")
     first = candidates.drop("own_l") if pairs is None else candidates.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pairs).drop("nth", "own_l")
     # two classes may have chosen each other
@@ -323,42 +328,40 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
     wanted = materialize(labels.select(F.col("node").alias("class")).join(one, "class"), "op9-wanted")
     sets = materialize(fragments(texts, hot, wanted, n_wanted), "op9-sets")
     state = materialize(members.withColumn("band", _bands("n")).withColumn("component", F.col("class")), "op9-state")
-    tested, leaders, pairs, last = None, FIRST_LEADERS, 1, False
+    tested, leaders, pairs = None, FIRST_LEADERS, 1
     while True:
-        if tested is not None:
-            sizes = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(_is_short("n", "rest")).alias("short"))
-            largest, work = sizes.agg(F.max("short"), F.sum(F.col("size") * F.col("short"))).first()
-            if not largest:
-                return labels
-            # few comparisons are left, in proportion to the members: all of them in one round
-            last = work <= n_members
-            if last:
-                leaders, pairs = largest, None
-        chosen = materialize(_first_per_class(_candidates(state, leaders, n_hot), tested, pairs), "op9-pairs")
-        n_pairs = chosen.count()
-        if not n_pairs:
-            if last or (tested is not None and leaders >= largest):
+        sizes = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(_is_short("n", "rest")).alias("short"))
+        largest, work = sizes.agg(F.max("short"), F.sum(F.col("size") * F.col("short"))).first()
+        if not largest:
+            return labels
+        # where the buckets are small, in proportion to the members, all short members lead at once
+        every = work <= WORK * n_members
+        found = materialize(_untested(_candidates(state, largest if every else leaders, n_hot), tested), "op9-found")
+        n_found = found.count()
+        if not n_found:
+            if every or leaders >= largest:
                 return labels
-            leaders, tested = leaders * MORE_LEADERS, chosen.select("class", "leader") if tested is None else tested
+            leaders *= MORE_LEADERS
             continue
-        counted = overlaps(chosen, n_pairs, sets)
+        # all that are left, if they are about as many as the classes (most are found from both sides)
+        last = every and n_found <= 2 * n_wanted
+        chosen = materialize(_first_per_class(found, None if last else pairs), "op9-pairs")
+        counted = overlaps(chosen, chosen.count(), sets)
         enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
         links = materialize(counted.filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b")).distinct(), "op9-links")
-        done = chosen.select("class", "leader")
-        tested = done if tested is None else tested.unionByName(done)
-        if not last:
-            pairs *= MORE_PAIRS
         if not links.isEmpty():
             joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
             labels = materialize(
                 skew_safe_join(labels, joined, "component").select("node", F.coalesce("joined", "component").alias("component")), "op9-labels"
             )
-            if last:
-                return labels
+        if last:
+            return labels
+        done = chosen.select("class", "leader")
+        tested = done if tested is None else tested.unionByName(done)
+        pairs *= MORE_PAIRS
+        if not links.isEmpty():
             state = state.drop("component").join(labels, state["class"] == labels["node"]).drop("node")
             state = materialize(_unsettled(state), "op9-state")
-        elif last:
-            return labels
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
