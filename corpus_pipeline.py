@@ -4,6 +4,12 @@
 the next stage's documents, so a stage works on exactly what its predecessor kept. All
 stages but the last return rows of ``documents`` with its columns; the last returns the
 pieces of the packed sequences.
+
+Defined results: a stage keeps or drops whole rows. Null and empty texts are classified like any
+text; those kept are exact copies of each other, of which one row stays, hold no shingle and no
+benchmark item, and give one end token. Repeated rows are exact copies; rows without an id, or
+with an id of several texts, are documents of their own. Very long texts are read whole by every
+stage. Extra columns are carried along, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations

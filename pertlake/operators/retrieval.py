@@ -82,42 +82,54 @@ def retrieve_context(
     id_col: str = "query_id",
     text_col: str = "question",
     with_text: bool = False,
+    fallback: DataFrame | None = None,
 ) -> DataFrame:
     """Retrieval slots per question.
 
     Name hits first, one slot per known mention in text order (a repeated mention
     takes two slots). Questions without a name hit get the k nearest neighbours of
     the index centroid. Columns: query_id, rank, label, vec_id, score (NULL for
-    name hits), source_kind ('name' | 'similarity'). ``index`` needs label,
-    vec_id and embedding.
+    name hits), source_kind ('name' | 'similarity'). ``index`` needs label, vec_id
+    and embedding; without embeddings pass ``fallback`` (rank, label, vec_id, score;
+    at most k rows). It is read several times, so pass a written table.
+
+    The questions are read once: a question's candidate names are exploded (one empty row
+    where there is none), joined with the catalogue and collected per question.
 
     ``with_text`` adds the document text of the first k slots (``index.text``): name
     hits join it on ``vec_id``; the k fallback texts ride along in the scalar, so the
     many questions without a name hit do not meet on k hot keys.
     """
-    mentions = entity_mentions(questions, id_col, text_col)
-    cat = catalog_by_name(index.select("label", "vec_id"))
-    w = Window.partitionBy("query_id").orderBy("pos")
-    named = mentions.join(cat, mentions["mention"] == cat["name_key"]).select(
-        "query_id", F.row_number().over(w).cast("long").alias("rank"), "label", F.col("vec_id").cast("long").alias("vec_id")
-    )
-    fb = fallback_hits(index, k)
+    names = F.filter(entity_words(F.col(text_col)), is_entity)
+    asked = questions.select(F.col(id_col).alias("query_id"), F.posexplode_outer(names).alias("pos", "mention"))
+    cat = catalog_by_name(index.select("label", F.col("vec_id").cast("long").alias("vec_id"))).withColumnRenamed("name_key", "mention")
+    found = asked.join(cat, "mention", "left")
+    slots = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("pos", "label", "vec_id"))))
+    per_question = found.groupBy("query_id").agg(slots.alias("slots"))
+
+    fb = fallback_hits(index, k) if fallback is None else fallback.filter(F.col("rank") <= k)
+    extra = []
     if with_text:
         texts = index.select(F.col("vec_id").cast("long").alias("vec_id"), "text")
-        named = named.join(
-            texts.select(F.col("vec_id").alias("_v"), "text"), (F.col("vec_id") == F.col("_v")) & (F.col("rank") <= k), "left"
-        ).drop("_v")
         fb = fb.join(texts, "vec_id")
-    extra = ["text"] if with_text else []
+        extra = [F.lit(None).cast("string").alias("text")]
     # The fallback has at most k rows: it rides along as one scalar array.
     fields = F.struct(
-        F.col("rank").cast("long").alias("rank"), "label", "vec_id", "score", F.lit("similarity").alias("source_kind"), *extra
+        F.col("rank").cast("long").alias("rank"), "label", F.col("vec_id").cast("long").alias("vec_id"), F.col("score").cast("double").alias("score"),
+        F.lit("similarity").alias("source_kind"), *(["text"] if with_text else []),
     )
-    fallback = fb.agg(F.array_sort(F.collect_list(fields)).alias("a")).scalar()
-    slot = F.struct("rank", "label", "vec_id", F.lit(None).cast("double").alias("score"), F.lit("name").alias("source_kind"), *extra)
-    joined = questions.select(F.col(id_col).alias("query_id")).join(named, "query_id", "left")
-    slots = joined.select("query_id", F.explode(F.when(F.col("rank").isNull(), fallback).otherwise(F.array(slot))).alias("h"))
-    return slots.select("query_id", "h.*")
+    near = fb.agg(F.array_sort(F.collect_list(fields)).alias("a")).scalar()
+    named = F.transform("slots", lambda x, i: F.struct(
+        (i + 1).cast("long").alias("rank"), x["label"].alias("label"), x["vec_id"].alias("vec_id"), F.lit(None).cast("double").alias("score"),
+        F.lit("name").alias("source_kind"), *extra,
+    ))
+    hits = per_question.select("query_id", F.explode(F.when(F.size("slots") > 0, named).otherwise(near)).alias("h")).select("query_id", "h.*")
+    if not with_text:
+        return hits
+    by_name = (F.col("source_kind") == "name") & (F.col("rank") <= k)
+    key = F.when(by_name, F.col("vec_id"))
+    joined = hits.join(texts.select(F.col("vec_id").alias("_v"), F.col("text").alias("_t")), key == F.col("_v"), "left")
+    return joined.withColumn("text", F.coalesce("text", "_t")).drop("_v", "_t")
 
 
 def _part(label: str = "label", text: str = "text") -> Column:
@@ -190,10 +202,12 @@ def question_from_template(requests: DataFrame, name_col: str = "perturbation",
     return F.replace(chosen, F.lit("{p}"), F.col(name_col))
 
 
-def structured_requests(requests: DataFrame, index: DataFrame, k: int = DEFAULT_K, completions: DataFrame | None = None) -> DataFrame:
+def structured_requests(
+    requests: DataFrame, index: DataFrame, k: int = DEFAULT_K, completions: DataFrame | None = None, fallback: DataFrame | None = None,
+) -> DataFrame:
     """O48 (+O30, O45): template -> retrieval -> prompt -> message list -> metadata.
 
-    ``index`` needs label, vec_id, embedding, text and metadata. The system message is
+    ``index`` needs label, vec_id, embedding (or ``fallback``), text and metadata. The system message is
     referred to (its content is the table of :func:`system_text`), not copied into every
     row. ``completions`` (request_id, answer) is optional; the answer is NULL without it.
     Metadata comes from a case-insensitive lookup of the requested name; no match
@@ -201,7 +215,7 @@ def structured_requests(requests: DataFrame, index: DataFrame, k: int = DEFAULT_
     """
     req = requests.withColumn("question", question_from_template(requests))
     qs = req.select(F.col("request_id").alias("query_id"), "question")
-    prompts = augmented_prompt(qs, retrieve_context(qs, index, k, with_text=True), k)
+    prompts = augmented_prompt(qs, retrieve_context(qs, index, k, with_text=True, fallback=fallback), k)
     msgs = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(None).cast("string").alias("content")),
         F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),

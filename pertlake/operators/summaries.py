@@ -219,17 +219,7 @@ def documents(
     Every group gets a document, also one with no significant row (its lists read
     "(none)" and its strongest effect is "none").
     """
-    ranked = _ranked(effects, top_n, threshold, group_cols, tiebreak)
-    summary = _join_keys(_counts(effects, threshold, top_n, group_cols), _strongest(ranked, group_cols, tiebreak), group_cols)
-    lists = top_gene_lists(ranked.filter(F.col("direction") != "zero"), group_cols)
-    d = _join_keys(summary, lists, group_cols)
-    if "cell_type" in effects.columns:
-        d = _join_keys(d, cell_type_phrase(effects, threshold, group_cols, tiebreak), group_cols)
-    else:
-        d = d.withColumn("cell_types", F.lit(None).cast("array<string>")).withColumn(
-            "cell_type_phrase", F.lit(None).cast("string")
-        )
-    return render_documents(d, threshold, group_cols)
+    return documents_from_state(document_state(effects, top_n, threshold, group_cols, tiebreak), top_n, threshold, group_cols)
 
 
 def render_documents(d: DataFrame, threshold: float = DEFAULT_THRESHOLD, group_cols: Sequence[str] = GROUP) -> DataFrame:
@@ -329,9 +319,9 @@ def document_state(
     Columns: group keys, n_significant, n_upregulated, n_downregulated (BIGINT),
     max_sig/min_sig (NULL without significant rows), ``up``/``down``/``zero``
     (arrays of struct(o, effect_gene, log2fc, padj, score), ascending ``o`` =
-    strongest first, at most top_n / top_n / 1 entries) and ``cells`` (array of
-    struct(o, cell_type): first appearance of each cell type). Same plan shape as
-    the batch documents: a hash aggregate and partial-limited windows.
+strongest first, at most top_n / top_n / 1 entries) and ``cells`` (array of
+    struct(o, cell_type): first appearance of each cell type). Two scans of ``effects``:
+    a hash aggregate over all rows, and one partial-limited window over the significant ones.
     """
     if "cell_type" not in effects.columns:
         effects = effects.withColumn("cell_type", F.lit(None).cast("string"))
@@ -343,22 +333,19 @@ def document_state(
         F.max(F.when(sig, F.col("log2fc"))).alias("max_sig"),
         F.min(F.when(sig, F.col("log2fc"))).alias("min_sig"),
     )
-    ranked = _ranked(effects, top_n, threshold, group_cols, tiebreak)
+    # the rows that any part of the state needs: the first top_n per group, direction and cell
+    # type hold the first top_n per direction and the first row of every cell type
+    ranked = _ranked(effects, top_n, threshold, [*group_cols, "cell_type"], tiebreak)
     entry = _entry(tiebreak)
+    named = F.when((F.col("rank") == 1) & F.col("cell_type").isNotNull(), F.struct(entry["o"].alias("o"), "cell_type"))
     lists = ranked.groupBy(*group_cols).agg(
         *[
-            F.array_sort(F.collect_list(F.when((F.col("direction") == d) & (F.col("rank") <= n), entry))).alias(d)
+            F.slice(F.array_sort(F.collect_list(F.when(F.col("direction") == d, entry))), 1, n).alias(d)
             for d, n in (("up", top_n), ("down", top_n), ("zero", 1))
-        ]
-    )
-    first = (
-        significant_effects(effects, threshold)
-        .filter(F.col("cell_type").isNotNull())
-        .groupBy(*group_cols, "cell_type")
-        .agg(F.min(effect_order_struct(tiebreak)).alias("o"))
+        ],
+        F.array_sort(F.collect_list(named)).alias("cells"),
     )
-    cells = first.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct("o", "cell_type"))).alias("cells"))
-    st = _join_keys(_join_keys(counts, lists, group_cols), cells, group_cols)
+    st = _join_keys(counts, lists.withColumn("cells", _first_per_cell(F.col("cells"))), group_cols)
     empty = F.array()
     return st.select(
         *group_cols, "n_significant", "n_upregulated", "n_downregulated", "max_sig", "min_sig",

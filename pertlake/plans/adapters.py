@@ -68,8 +68,10 @@ def effects(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (), below
     )
 
 
-def effects_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def effects_sparse(spark: SparkSession, sf_dir: str, below: float | None = None) -> DataFrame:
     li = _li(spark, sf_dir)
+    if below is not None:
+        li = li.filter((F.col("l_linenumber") != 7) & (F.col("l_discount") < below))
     return li.select(
         F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("perturbation"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("effect_gene"),
@@ -105,16 +107,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUEST_TYPES = (*QUESTION_TEMPLATES, "other")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = index(spark, sf_dir).select("label")
+def _numbered_requests(names: DataFrame) -> DataFrame:
+    req = names.withColumn("t", F.explode(F.array(*[F.lit(t) for t in REQUEST_TYPES])))
+    numbered = global_row_number(req, [F.col("p").asc_nulls_first(), F.col("t").asc_nulls_first()], "request_id")
+    return numbered.select("request_id", F.col("p").alias("perturbation"), F.col("t").alias("question_type"))
+
+
+def requests(spark: SparkSession, index: DataFrame) -> DataFrame:
     names = (
-        labels.select(F.explode(F.array(F.col("label"), F.lower("label"))).alias("p"))
+        index.select(F.explode(F.array(F.col("label"), F.lower("label"))).alias("p"))
         .unionByName(spark.range(1).select(F.lit("ZZ").alias("p")))
         .distinct()
     )
-    req = names.withColumn("t", F.explode(F.array(*[F.lit(t) for t in REQUEST_TYPES])))
-    numbered = global_row_number(req, [F.col("p").asc_nulls_first(), F.col("t").asc_nulls_first()], "request_id")
-    return numbered.select("request_id", F.col("p").alias("perturbation"), F.col("t").alias("question_type"))
+    return _numbered_requests(names)
+
+
+def effect_requests(documents: DataFrame) -> DataFrame:
+    """Every perturbation with a document, and an unknown one, x all types and an unknown one."""
+    unknown = documents.sparkSession.range(1).select(F.lit("ZZ").alias("p"))
+    return _numbered_requests(documents.select(F.col("perturbation").alias("p")).unionByName(unknown))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,7 +231,8 @@ left join cells c on s.perturbation = c.perturbation"""
 
 # ---------------------------------------------------------------- profiles
 
-PROFILE = f"""{EFFECTS},
+def _profile(effects_cte: str) -> str:
+    return f"""{effects_cte},
 profile as (select perturbation, effect_gene, avg(log2fc) as value from effects
             where padj < 0.05 and perturbation is not null and effect_gene is not null group by all),
 norms as (select perturbation, sqrt(sum(value * value)) as norm from profile group by all),
@@ -243,6 +244,9 @@ kept as (select effect_gene, importance,
                 cast(row_number() over (order by effect_gene) - 1 as bigint) as gene_index from (
            select * from importance order by round(importance, 10) desc, effect_gene asc limit 32) t)"""
 
+
+PROFILE = _profile(EFFECTS)
+
 ORACLE["profile_long"] = f"with {PROFILE} select perturbation, effect_gene, round(value, 6) as value from profile"
 ORACLE["profile_unit"] = f"with {PROFILE} select perturbation, effect_gene, round(value, 6) as value from unit"
 ORACLE["gene_importance"] = f"with {PROFILE} select effect_gene, round(importance, 6) as importance from importance"
@@ -435,6 +439,48 @@ select r.request_id, m.label as matched_label, i.lang, i.source, i.n_chars
 from rq r left join catfirst m on upper(r.perturbation) = m.name_key left join idx i on i.vec_id = m.vec_id"""
 
 
+EFFECT_ANSWERS = f"""docs as materialized ({ORACLE["documents_sparse"]}),
+unit as materialized (with {_profile(EFFECTS_SPARSE)} select * from unit),
+idx as materialized (
+  select row_number() over (order by perturbation) as vec_id, perturbation as label, text
+  from docs where perturbation in (select perturbation from unit)),
+catfirst as (select upper(label) as name_key, label, vec_id from idx),
+mean as (select effect_gene, sum(value) / (select count(*) from idx) as m from unit group by 1),
+fb as (select label, vec_id, score, row_number() over (order by score desc, vec_id) as rank from (
+         select i.label, i.vec_id, round(sum(u.value * m.m) / (case when sqrt(sum(u.value * u.value)) < 1e-8 then 1 else sqrt(sum(u.value * u.value)) end) / (select sqrt(sum(m * m)) from mean), 9) as score
+         from unit u join idx i on i.label = u.perturbation join mean m on m.effect_gene = u.effect_gene group by all) s
+       order by score desc, vec_id limit 3),
+requests as (
+  select cast(row_number() over (order by p, t) as bigint) as request_id, p as perturbation, t as question_type
+  from (select perturbation as p from docs union all select 'ZZ') a cross join ({_TYPES}) b),
+rq as (
+  select *, replace(case question_type {_WORDING} else '{DEFAULT_TEMPLATE}' end, '{{p}}', perturbation) as question
+  from requests),
+meta as materialized ({ORACLE["summary_sparse"]}),
+names as (with {EFFECTS_SPARSE}, {_top(ORDER_SPARSE)}
+  select perturbation,
+    coalesce(string_agg(effect_gene, '|' order by rank) filter (where direction = 'up' and rank <= 10), '') as top_up_genes,
+    coalesce(string_agg(effect_gene, '|' order by rank) filter (where direction = 'down' and rank <= 10), '') as top_down_genes
+  from top group by perturbation)"""
+ORACLE["effects_structured"] = f"""with {EFFECT_ANSWERS}, {_mentions("select request_id as query_id, question from rq")}, {HITS}, {PROMPT}
+select r.request_id, r.perturbation, r.question_type, r.question, p.prompt, p.sources, c.label as matched_label,
+       n_significant, n_upregulated, n_downregulated, n_up_shown, n_down_shown,
+       case when c.label is not null then coalesce(n.top_up_genes, '') end as top_up_genes,
+       case when c.label is not null then coalesce(n.top_down_genes, '') end as top_down_genes,
+       max_log2fc, min_log2fc, strongest_gene, strongest_log2fc
+from rq r left join prompts p on r.request_id = p.query_id left join catfirst c on upper(r.perturbation) = c.name_key
+left join meta m on m.perturbation = c.label left join names n on n.perturbation = c.label"""
+
+ORACLE["search_documents"] = f"""with {CATALOG},
+units as (select vec_id, label, text, lang,
+                 list_transform(embedding, lambda x: cast(x as double) / (case when n > 1e-8 then n else 1.0 end)) as qv,
+                 list_transform(embedding, lambda x: cast(x as double) / (case when n < 1e-8 then 1.0 else n end)) as xv
+          from (select i.*, sqrt(list_sum(list_transform(i.embedding, lambda x: cast(x as double) * cast(x as double)))) as n from idx i) t),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, id) as bigint) as rank from (
+             select q.vec_id as query_id, x.vec_id as id, list_inner_product(q.qv, x.xv) as score from units q, units x) s)
+select query_id, rank, i.label, round(score, 6) as score, i.text, i.lang from ranked join idx i on i.vec_id = ranked.id where rank <= 3"""
+
+
 # ---------------------------------------------------------------- dialogue
 
 MESSAGES = """messages as (
@@ -547,3 +593,60 @@ ORACLE["documents_json"] = f"""with m as ({ORACLE["document_metadata"]}), d as (
 select m.perturbation, d.text, n_significant, n_upregulated, n_downregulated, n_up_shown, n_down_shown,
        top_up_genes, top_down_genes, cell_types, max_log2fc, min_log2fc, strongest_gene, strongest_log2fc
 from m join d on m.perturbation = d.perturbation"""
+
+
+# ---------------------------------------------------------------- embedding: quantities that no rotation changes
+
+CENTRED = f"""{PROFILE},
+split as materialized (
+  select perturbation, case when row_number() over (order by md5('42:' || perturbation), perturbation) <= ceil(count(*) over () * 0.2) then 'val' else 'train' end as split
+  from (select distinct perturbation from profile) k),
+mu as (select g.effect_gene, sum(coalesce(u.value, 0)) / (select count(*) from split where split = 'train') as m
+       from (select distinct effect_gene from unit) g
+       left join (select unit.* from unit join split using (perturbation) where split = 'train') u using (effect_gene) group by all),
+centred as materialized (
+  select s.perturbation, s.split, mu.effect_gene, coalesce(u.value, 0) - mu.m as v
+  from split s cross join mu left join unit u on u.perturbation = s.perturbation and u.effect_gene = mu.effect_gene)"""
+
+# at full width the projection keeps lengths and dot products
+_VECTORS = f"""with {CENTRED},
+first as (select effect_gene, v from centred where perturbation = (select min(perturbation) from split))
+select c.perturbation, cast(count(*) as bigint) as n_dims, round(sqrt(sum(c.v * c.v)), 6) as norm, round(sum(c.v * f.v), 6) as dot_first
+from centred c join first f using (effect_gene) group by all"""
+ORACLE["profile_embedding"] = _VECTORS
+ORACLE["embedding_export"] = _VECTORS
+
+
+def _captured(components: int, squarings: int = 14) -> str:
+    """Sums of squares that the leading components hold per split: each from repeated squaring of
+    the training rows' Gram matrix, which then loses that component."""
+    out = ["""gram as materialized (select a.perturbation as i, b.perturbation as j, a.split as si, b.split as sj, sum(a.v * b.v) as v
+  from centred a join centred b using (effect_gene) group by all),
+k1 as materialized (select i, j, v from gram where si = 'train' and sj = 'train')"""]
+    for c in range(1, components + 1):
+        out.append(f"p{c}_0 as materialized (select i, j, v / (select sum(v) from k{c} where i = j) as v from k{c})")
+        for s in range(squarings):
+            out.append(f"""q{c}_{s} as materialized (select a.i, b.j, sum(a.v * b.v) as v from p{c}_{s} a join p{c}_{s} b on a.j = b.i group by all),
+p{c}_{s + 1} as materialized (select i, j, v / (select sum(v) from q{c}_{s} where i = j) as v from q{c}_{s})""")
+        last = f"p{c}_{squarings}"
+        out.append(f"""u{c} as materialized (select i, v / (select sqrt(max(v)) from {last} where i = j) as v from {last}
+  where j = (select arg_max(i, v) from {last} where i = j)),
+l{c} as materialized (select sum(a.v * k.v * b.v) as l from k{c} k join u{c} a on a.i = k.i join u{c} b on b.i = k.j),
+k{c + 1} as materialized (select k.i, k.j, k.v - (select l from l{c}) * a.v * b.v as v from k{c} k join u{c} a on a.i = k.i join u{c} b on b.i = k.j),
+z{c} as (select si as split, sum(z * z) / (select l from l{c}) as s from (
+  select g.i, g.si, sum(g.v * u.v) as z from gram g join u{c} u on u.i = g.j group by all) t group by si)""")
+    held = " union all ".join(f"select {c} as c, * from z{c}" for c in range(1, components + 1))
+    out.append(f"""held as materialized ({held}),
+whole as (select si as split, count(*) as n, sum(v) as s from gram where i = j group by si),
+genes as (select count(*) as g from mu),
+mse as (select w.split, cast(k.k as bigint) as k,
+               greatest(0, (w.s - (select sum(h.s) from held h where h.split = w.split and h.c <= k.k)) / (w.n * (select g from genes))) as mse
+        from whole w cross join (select unnest([1, 2, 4]) as k) k)""")
+    return ",\n".join(out)
+
+
+ORACLE["reconstruction_mse"] = f"with {CENTRED}, {_captured(4)} select split, k, round(mse, 9) as mse from mse"
+ORACLE["embedding_sweep"] = f"""with {CENTRED}, {_captured(4)}
+select k, round(max(mse) filter (where split = 'train'), 9) as train_mse, round(max(mse) filter (where split = 'val'), 9) as val_mse, false as is_best
+from mse group by k
+union all select cast(g as bigint), cast(0 as double), cast(0 as double), true from genes"""

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertlake.functions.columns import DEFAULT_THRESHOLD
 from pertlake.functions.ranking import global_row_number
 from pertlake.operators import dialogue as dlg
+from pertlake.operators import effect_index as eidx
 from pertlake.operators import effects as eff
 from pertlake.operators import embedding as emb
 from pertlake.operators import index as idx
@@ -23,7 +23,7 @@ from pertlake.operators import profiles as prof
 from pertlake.operators import retrieval as ret
 from pertlake.operators import summaries as summ
 from pertlake.plans import adapters as ad
-from pertlake.session import scratch_path
+from pertlake.session import scratch_path, written
 from pertlake.sources import store
 from pertlake.sources.tables import read_table
 
@@ -167,6 +167,11 @@ def _unit(spark, sf):
     return prof.profile_unit(prof.profile_long(_significant(spark, sf)))
 
 
+def _written_unit(spark, sf):
+    # read several times by its users: written once instead of scanning the effects for each
+    return written(_unit(spark, sf), "unit")
+
+
 def _kept(unit):
     return prof.top_genes(prof.gene_importance(unit), GENES_KEPT)
 
@@ -184,18 +189,18 @@ def q_profile_unit(spark, sf):
 
 @register("gene_importance")
 def q_gene_importance(spark, sf):
-    imp = prof.gene_importance(_unit(spark, sf))
+    imp = prof.gene_importance(_written_unit(spark, sf))
     return imp.select("effect_gene", F.round("importance", 6).alias("importance"))
 
 
 @register("top_genes")
 def q_top_genes(spark, sf):
-    return _kept(_unit(spark, sf)).select("effect_gene", "gene_index", F.round("importance", 6).alias("importance"))
+    return _kept(_written_unit(spark, sf)).select("effect_gene", "gene_index", F.round("importance", 6).alias("importance"))
 
 
 @register("catalog_genes")
 def q_catalog_genes(spark, sf):
-    unit = _unit(spark, sf)
+    unit = _written_unit(spark, sf)
     return prof.catalog_genes(unit, _kept(unit))
 
 
@@ -240,11 +245,10 @@ def q_documents_json(spark, sf):
 
 @register("profile_wide")
 def q_profile_wide(spark, sf):
-    wide = prof.profile_wide(_unit(spark, sf))
-    # the array holds every gene; its zeros are checked by their number
-    entries = wide.select("perturbation", F.size("values").cast("long").alias("n_genes"), F.posexplode("values").alias("place", "value"))
-    return entries.filter("value != 0").select(
-        "perturbation", "n_genes", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value")
+    wide = prof.profile_wide(_written_unit(spark, sf), block=64)
+    entries = wide.select("perturbation", "n_genes", "block", F.explode(F.arrays_zip("places", "values")).alias("e"))
+    return entries.filter("e.values != 0").select(
+        "perturbation", "n_genes", (F.col("block") * 64 + F.col("e.places")).alias("place"), F.round("e.values", 6).alias("value")
     )
 
 
@@ -319,6 +323,14 @@ def q_knn(spark, sf):
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+@register("search_documents")
+def q_search_documents(spark, sf):
+    # the hits of the index's own vectors, with the label and document of each
+    index = _index(spark, sf)
+    hits = idx.search_documents(idx.knn_cosine(index, index, 3, query_id="vec_id"), index)
+    return hits.select("query_id", "rank", "label", F.round("score", 6).alias("score"), "text", F.col("metadata.lang").alias("lang"))
+
+
 @register("self_retrieval")
 def q_self_retrieval(spark, sf):
     return idx.self_retrieval(_aligned(spark, sf))
@@ -366,8 +378,13 @@ def q_index_roundtrip(spark, sf):
 # ---------------------------------------------------------------- retrieval
 
 
+def _index(spark, sf):
+    # every text is tokenised for its label once; the users read it several times
+    return written(ad.index(spark, sf), "index")
+
+
 def _hits(spark, sf, with_text=False):
-    return ret.retrieve_context(ad.questions(spark, sf), ad.index(spark, sf), with_text=with_text)
+    return ret.retrieve_context(ad.questions(spark, sf), _index(spark, sf), with_text=with_text)
 
 
 @register("entity_mentions")
@@ -382,8 +399,9 @@ def q_known_entities(spark, sf):
 
 @register("lookup_by_name")
 def q_lookup_by_name(spark, sf):
-    names = ad.requests(spark, sf).select("request_id", F.col("perturbation").alias("name"))
-    cat = ad.index(spark, sf).select("label", "vec_id")
+    index = _index(spark, sf)
+    names = ad.requests(spark, index).select("request_id", F.col("perturbation").alias("name"))
+    cat = index.select("label", "vec_id")
     return ret.lookup_by_name(names, cat).select("request_id", "name", "label", "vec_id")
 
 
@@ -406,12 +424,12 @@ def q_augmented_prompt(spark, sf):
 
 @register("system_text")
 def q_system_text(spark, sf):
-    return ret.system_text(ad.index(spark, sf))
+    return ret.system_text(written(ad.index(spark, sf).select("label").distinct(), "labels"))
 
 
 @register("question_templates")
 def q_question_templates(spark, sf):
-    r = ad.requests(spark, sf)
+    r = ad.requests(spark, ad.index(spark, sf))
     return r.select("request_id", ret.question_from_template(r).alias("question"))
 
 
@@ -424,8 +442,8 @@ def _completions(spark, sf):
 
 def _structured(spark, sf):
     # requests and index are written once: both feed several branches of the plan
-    index = prof.materialize(ad.index(spark, sf))
-    return ret.structured_requests(prof.materialize(ad.requests(spark, sf)), index, completions=_completions(spark, sf))
+    index = _index(spark, sf)
+    return ret.structured_requests(written(ad.requests(spark, index), "requests"), index, completions=_completions(spark, sf))
 
 
 @register("structured_requests")
@@ -440,14 +458,33 @@ def q_structured_requests(spark, sf):
 
 @register("structured_metadata")
 def q_structured_metadata(spark, sf):
-    requests = ad.requests(spark, sf).select("request_id", F.col("perturbation").alias("name"))
-    s = ret.lookup_by_name(requests, ad.index(spark, sf).select("label", "metadata", "vec_id"))
+    index = _index(spark, sf)
+    requests = ad.requests(spark, index).select("request_id", F.col("perturbation").alias("name"))
+    s = ret.lookup_by_name(requests, index.select("label", "metadata", "vec_id"))
     m = F.col("metadata")
     return s.select(
         "request_id", F.col("label").alias("matched_label"), m["lang"].alias("lang"), m["source"].alias("source"), m["n_chars"].alias("n_chars")
     )
 
 
+@register("effects_structured")
+def q_effects_structured(spark, sf):
+    # the whole chain: effects -> documents and profiles -> index -> retrieval -> prompt, with the documents' metadata
+    e = eff.clean_effects(ad.effects_sparse(spark, sf))
+    documents = written(summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK), "effect-documents")
+    significant = eff.clean_effects(ad.effects_sparse(spark, sf, below=DEFAULT_THRESHOLD))
+    unit = written(prof.profile_unit(prof.profile_long(significant)), "effect-profiles")
+    requests = written(ad.effect_requests(documents), "effect-requests")
+    s = eidx.answer_requests(requests, documents, unit)
+    m = F.col("metadata")
+    return s.select(
+        "request_id", "perturbation", "question_type", "question", "prompt", "sources", "matched_label",
+        *[m[c].alias(c) for c in ("n_significant", "n_upregulated", "n_downregulated", "n_up_shown", "n_down_shown")],
+        *[F.array_join(m[c], "|").alias(c) for c in ("top_up_genes", "top_down_genes")],
+        *[m[c].alias(c) for c in ("max_log2fc", "min_log2fc", "strongest_gene", "strongest_log2fc")],
+    )
+
+
 # ---------------------------------------------------------------- dialogue
 
 
@@ -483,7 +520,7 @@ def q_message_list(spark, sf):
     users = msgs.filter(F.col("role") == "user").select(
         F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("question")
     )
-    hits = ret.retrieve_context(users, ad.index(spark, sf), with_text=True)
+    hits = ret.retrieve_context(users, _index(spark, sf), with_text=True)
     prompts = ret.augmented_prompt(users, hits).select(
         F.col("query_id.conv_id").alias("conv_id"), F.col("query_id.turn").alias("turn"), "prompt"
     )
@@ -506,33 +543,42 @@ def q_best_epoch(spark, sf):
     return dlg.best_epoch(ad.metrics(spark, sf))
 
 
-# ---------------------------------------------------------------- embedding (O52-O54): rows-only checks
+# ---------------------------------------------------------------- embedding (O52-O54): compared by what no rotation changes
 
+SWEPT = (1, 2, 4, emb.DEFAULT_EMBED_DIM)
 
-def _unit_all_kept(spark, sf):
-    # The embedding fits read the profile several times (gene ranking, vectors,
-    # split): write it once to the shared checkpoint folder instead of re-running
-    # the effects joins for every read.
-    unit = prof.materialize(_unit(spark, sf))
-    return unit, prof.top_genes(prof.gene_importance(unit), prof.DEFAULT_MAX_GENES)
+
+def _vector_digest(vectors):
+    """Width, norm and the dot product with the vector of the first perturbation."""
+    first = vectors.orderBy("perturbation").limit(1).select("embedding").scalar()
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = vectors.withColumn("_first", first)
+    return both.select(
+        "perturbation", F.size("embedding").cast("long").alias("n_dims"),
+        F.round(F.sqrt(dot("embedding", "embedding")), 6).alias("norm"), F.round(dot("embedding", "_first"), 6).alias("dot_first"),
+    )
 
 
 @register("profile_embedding")
 def q_profile_embedding(spark, sf):
-    unit, kept = _unit_all_kept(spark, sf)
-    return emb.profile_embedding(unit, kept)
+    return _vector_digest(written(emb.profile_embedding(_written_unit(spark, sf)), "embedding"))
+
+
+@register("embedding_export")
+def q_embedding_export(spark, sf):
+    return _vector_digest(written(emb.export_embeddings(_written_unit(spark, sf)), "export"))
 
 
 @register("reconstruction_mse")
 def q_reconstruction_mse(spark, sf):
-    unit, kept = _unit_all_kept(spark, sf)
-    return emb.reconstruction_mse(unit, kept, 16)
+    mse = emb.reconstruction_mse(_written_unit(spark, sf), dims=SWEPT[:3])
+    return mse.select("split", "k", F.round("mse", 9).alias("mse"))
 
 
 @register("embedding_sweep")
 def q_embedding_sweep(spark, sf):
-    unit, kept = _unit_all_kept(spark, sf)
-    return emb.reconstruction_sweep(unit, kept)
+    s = emb.reconstruction_sweep(_written_unit(spark, sf), dims=SWEPT)
+    return s.select("k", F.round("train_mse", 9).alias("train_mse"), F.round("val_mse", 9).alias("val_mse"), "is_best")
 
 
 # ---------------------------------------------------------------- extensions (X1-X3) and streams
@@ -564,19 +610,14 @@ def q_multi_dataset_summary(spark, sf):
 def q_incremental_refresh(spark, sf):
     from pertlake.streaming import refresh
 
-    e = eff.clean_effects(ad.effects(spark, sf, extra=("l_shipdate",)))
     base = scratch_path(spark, "refresh")
     src = f"{base}/source"
-    # rows arrive by ship date in three waves that together hold every row; the
-    # joined rows are kept (memory, then disk) while the three waves are written
+    # rows arrive by ship date in three waves that together hold every row
+    e = written(eff.clean_effects(ad.effects(spark, sf, extra=("l_shipdate",))), "refresh-rows")
     year = F.year("l_shipdate")
     waves = [year < 1995, (year >= 1995) & (year < 1997), (year >= 1997) | year.isNull()]
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for wave in waves:
-            e.filter(wave).write.mode("append").parquet(src)
-    finally:
-        e.unpersist()
+    for wave in waves:
+        e.filter(wave).write.mode("append").parquet(src)
     docs = refresh.incremental_refresh(
         spark, src, e.schema, f"{base}/effects", f"{base}/documents", f"{base}/_checkpoint", tiebreak=T
     )

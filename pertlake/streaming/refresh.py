@@ -1,47 +1,46 @@
-"""Incremental document refresh with Structured Streaming.
+"""Incremental document refresh with Structured Streaming, by delta state.
 
 New effect rows arrive as files. Each micro-batch (``foreachBatch``):
 
-1. appends its rows to the effects log, partitioned by batch_id. The write
-   overwrites only the partition of this batch id, so a replayed batch replaces
-   its own rows instead of duplicating them;
-2. summarises its own rows into the mergeable document state (one row per
-   perturbation: counts, max/min, top-N lists, first cell types — see
-   :func:`pertlake.operators.summaries.document_state`). This is a distributed
-   aggregate with partial aggregation and partial top-N, so a perturbation that
-   holds a third of the batch costs one partial row per map task;
-3. merges it with the previous state snapshot of each touched bucket
-   (``bucket = pmod(xxhash64(perturbation), n_buckets)``; one row
-   per perturbation on each side; one exchange on the bucket) and writes the new
-   snapshot under ``state/data/batch_id=<id>/bucket=<b>``;
-4. renders the documents of the touched buckets from that snapshot and replaces
-   exactly those bucket partitions of the documents table (dynamic partition
-   overwrite); the documents table is never read while it is written;
-5. commits the manifest: the full map bucket -> latest snapshot (at most
-   ``n_buckets`` rows), read by the next batch.
-
-The cost of a batch grows with its own rows and with the state of the buckets
-it touches (bounded by the number of perturbations there x (2 top_n + 1)), never
-with the effect rows seen before. A replayed batch id reads only snapshots of
-earlier batch ids and overwrites its own partitions, so replays are idempotent.
-After any sequence of batches the documents table equals a batch rebuild over
-all rows. Old snapshots can be deleted by a retention job once a later snapshot
-of the same bucket is listed in the manifest.
+1. writes its rows to the effects log under its batch id and reads them back from there
+   (a replayed batch replaces its own rows);
+2. summarises them into the mergeable document state: one row per perturbation of the batch,
+   a distributed aggregate with partial aggregation and partial top-N, so a perturbation that
+   holds a third of the batch costs a partial row per map task
+   (:func:`pertlake.operators.summaries.document_state`);
+3. merges those rows with the current state of the same perturbations, read from the live
+   versions in the touched buckets, and writes one new state row per touched perturbation;
+4. renders the documents of those rows, one new document per touched perturbation;
+5. commits the list of live batches and deletes versions that no reader needs any more.
+
+State and documents are versioned delta tables (:mod:`pertlake.streaming.deltas`): a batch that
+touches one perturbation writes one state row and one document, whatever the number of
+perturbations seen before; the current rows are merged on read, and a compacting batch every
+``COMPACT_AFTER`` batches writes all of them. After any sequence of batches
+:func:`read_documents` equals a batch rebuild over all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pertlake.functions.columns import DEFAULT_THRESHOLD, DEFAULT_TOP_N
 from pertlake.operators.summaries import document_state, documents_from_state, merge_document_state
+from pertlake.streaming import deltas
 from pertlake.streaming import snapshots as snap
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = 16
+KEY = "perturbation"
+
+
+def _write(rows: DataFrame, path: str, batch_id: int, n_buckets: int) -> DataFrame:
+    """Write this batch's version of ``rows`` and read it back."""
+    out = rows.withColumn("bucket", snap.bucket_of(KEY, n_buckets)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    snap.overwrite(out, path, "batch_id", "bucket")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch_id={batch_id}")
 
 
 def refresh_batch(
@@ -54,40 +53,47 @@ def refresh_batch(
     threshold: float = DEFAULT_THRESHOLD,
     tiebreak: tuple[str, ...] = (),
     state_path: str | None = None,
+    compact_after: int = deltas.COMPACT_AFTER,
 ) -> None:
     spark = batch.sparkSession
     state_path = (state_path or documents_path.rstrip("/") + "_state").rstrip("/")
     bid = int(batch_id)
 
-    rows = batch.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+    snap.overwrite(batch.withColumn("batch_id", F.lit(bid).cast("long")), effects_path, "batch_id", rebalance=False)
+    live = deltas.live_batches(spark, state_path, bid)
     try:
-        # The effect log is only appended to (documents never re-read it): one file per
-        # task under this batch id, no shuffle.
-        snap.overwrite(rows.drop("bucket").withColumn("batch_id", F.lit(bid).cast("long")), effects_path, "batch_id",
-                       rebalance=False)
-        touched = snap.touched_buckets(rows)
-        prev = snap.previous_map(spark, state_path, bid)
-        if not touched:
-            snap.commit(spark, state_path, bid, prev, [])
-            return
-        new = document_state(rows.drop("bucket"), top_n, threshold, ("perturbation",), tiebreak)
-        old = snap.read_previous(spark, state_path, prev, touched)
-        parts = new if old is None else old.unionByName(new)
-        # One exchange on the bucket serves both the merge (grouping by bucket and
-        # perturbation) and the write: each bucket's rows sit in one task, so one
-        # file per bucket. A state row is one perturbation, so buckets stay even.
-        parts = snap.by_bucket(parts, "perturbation", n_buckets)
-        merged = merge_document_state(parts, top_n, ("bucket", "perturbation"))
-        snap.write_snapshot(merged, state_path, bid, "perturbation", n_buckets, partitioned=True)
-        # Render from the snapshot just written (no second evaluation of the merge).
-        # Rendering is per row and every snapshot file holds one bucket: no shuffle.
-        written = snap.read_snapshot(spark, state_path, [(b, bid) for b in touched])
-        docs = documents_from_state(written, top_n, threshold)
-        snap.overwrite(docs.withColumn("bucket", snap.bucket_of("perturbation", n_buckets)), documents_path, "bucket",
-                       rebalance=False)
-        snap.commit(spark, state_path, bid, prev, touched)
-    finally:
-        rows.unpersist()
+        rows = spark.read.schema(batch.schema).parquet(f"{effects_path}/batch_id={bid}")
+        new = document_state(rows, top_n, threshold, (KEY,), tiebreak)
+        keys = rows.select(KEY).filter(f"{KEY} is not null").distinct().withColumn("bucket", snap.bucket_of(KEY, n_buckets))
+        touched = snap.touched_buckets(keys)
+    except snap.AnalysisException:  # an empty batch wrote no partition
+        touched = []
+    if not touched:
+        deltas.commit(spark, state_path, bid, live)
+        return
+    compact = len(live) >= compact_after
+    old = deltas.read_live(spark, state_path, live, None if compact else touched)
+    parts = new.filter(f"{KEY} is not null")
+    if old is not None:
+        before = deltas.current(old, KEY)
+        if not compact:
+            before = before.join(keys.select(KEY), KEY, "left_semi")
+        parts = before.unionByName(parts)
+    state = _write(merge_document_state(parts, top_n), state_path, bid, n_buckets)
+    _write(documents_from_state(state, top_n, threshold), documents_path, bid, n_buckets)
+    now = [bid] if compact else [*(b for b in live if b != bid), bid]
+    deltas.commit(spark, state_path, bid, now)
+    for path in (state_path, documents_path):
+        deltas.retire(spark, path, {*live, *now})
+
+
+def read_documents(spark: SparkSession, documents_path: str, state_path: str | None = None) -> DataFrame:
+    """The current document of every perturbation (merge on read over the live batches)."""
+    state_path = (state_path or documents_path.rstrip("/") + "_state").rstrip("/")
+    live = deltas.live_batches(spark, state_path, 1 << 62)
+    if not live:
+        raise FileNotFoundError(f"no batch is committed under {state_path}")
+    return deltas.current(deltas.read_live(spark, documents_path, live), KEY)
 
 
 def incremental_refresh(
@@ -102,7 +108,7 @@ def incremental_refresh(
     tiebreak: Sequence[str] = (),
     state_path: str | None = None,
 ) -> DataFrame:
-    """Run the refresh stream over all files available now; return the documents table."""
+    """Run the refresh stream over all files available now; return the current documents."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     q = (
         stream.writeStream.foreachBatch(
@@ -115,4 +121,4 @@ def incremental_refresh(
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(documents_path)
+    return read_documents(spark, documents_path, state_path)

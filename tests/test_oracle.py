@@ -11,11 +11,12 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import rows_of, spark_type  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
+from pertlake.plans.oracle import ORACLE  # noqa: E402
+from pertlake.plans.queries import REGISTRY  # noqa: E402
 from pertlake.sources.tables import TABLES  # noqa: E402
 
-KEYS = sorted(entry.queries())
-SQL = entry.oracle_sql()
-ROWS_ONLY = {"profile_embedding", "reconstruction_mse", "embedding_sweep"}
+KEYS = sorted(REGISTRY)
+SQL = ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -33,13 +34,14 @@ def test_entry_smoke(spark):
     assert df.columns == ["perturbation", "text"]
 
 
-def test_every_query_has_sql_or_is_rows_only():
-    assert set(KEYS) - set(SQL) == ROWS_ONLY
+def test_every_query_has_sql_and_is_registered():
+    assert set(KEYS) == set(SQL)
+    assert set(KEYS) <= set(entry.queries()) and set(KEYS) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("key", [k for k in KEYS if k in SQL])
+@pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, duck, key):
-    df = entry.queries()[key](spark, SF_SMALL)
+    df = REGISTRY[key](spark, SF_SMALL)
     sp_types = {f.name: spark_type(f.dataType) for f in df.schema.fields}
     sp_rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
     rel = duck.execute(SQL[key])
@@ -51,7 +53,3 @@ def test_query_matches_oracle(spark, duck, key):
     assert len(sp_rows) == len(dk_rows)
     assert sp_rows == dk_rows
 
-
-@pytest.mark.parametrize("key", sorted(ROWS_ONLY))
-def test_rows_only_queries_run(spark, key):
-    assert entry.queries()[key](spark, SF_SMALL).count() > 0

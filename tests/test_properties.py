@@ -39,24 +39,65 @@ def test_self_retrieval_finds_itself(spark):
     assert r["n_queries"] == e.count() and r["n_self_first"] == r["n_queries"]
 
 
-def test_block_knn_equals_single_block(spark):
-    e = read_table(spark, SF_SMALL, "embeddings")
-    a = idx.knn_cosine(e, e, k=4, query_id="vec_id", block_rows=64).collect()
-    b = idx.knn_cosine(e, e, k=4, query_id="vec_id", block_rows=1 << 20).collect()
-    key = lambda r: (r["query_id"], r["rank"])
-    assert [(r["id"], round(r["score"], 9)) for r in sorted(a, key=key)] == [
-        (r["id"], round(r["score"], 9)) for r in sorted(b, key=key)
-    ]
+@pytest.mark.parametrize("block_bytes, pivots, query_rows", [(20_000, 1024, 1 << 20), (3_000, 7, 50), (1 << 26, 2, 1)])
+def test_pruned_knn_equals_plain_numpy(spark, block_bytes, pivots, query_rows):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 12))
+    x = (centres[rng.integers(0, 9, 500)] + rng.normal(0, 0.15, (500, 12))).astype(np.float32)
+    x[7] = x[30] = x[31]  # ties
+    x[50] = 0.0  # no direction
+    q = np.vstack((x[:40], -x[:5], rng.normal(size=(5, 12)).astype(np.float32), np.zeros((1, 12), np.float32)))
+    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(4)
+    hits = idx.knn_cosine(frame(q), frame(x), 5, query_id="vec_id", block_bytes=block_bytes, pivots=pivots, query_rows=query_rows).collect()
+    unit = lambda m: m.astype(float) / np.where(np.linalg.norm(m.astype(float), axis=1) < 1e-8, 1, np.linalg.norm(m.astype(float), axis=1))[:, None]
+    scores = unit(q) @ unit(x).T
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in hits}
+    assert len(got) == len(hits) == 5 * len(q)
+    for i in range(len(q)):
+        want = np.sort(scores[i])[::-1][:5]
+        assert np.allclose([got[i, j + 1][1] for j in range(5)], want, atol=1e-12)
+        ids = [got[i, j + 1][0] for j in range(5)]
+        assert len(set(ids)) == 5 and np.allclose(scores[i, ids], want, atol=1e-12)
+        assert all(a < b or abs(scores[i, a] - scores[i, b]) > 1e-15 for a, b in zip(ids, ids[1:]))
+
+
+def test_cells_that_cannot_hold_a_hit_are_skipped(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = np.eye(16)[:8]
+    x = centres[np.arange(800) % 8] + rng.normal(0, 0.01, (800, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    from pertlake.functions.columns import array_unit
+
+    unit = frame.select("id", array_unit(F.col("v"), "identity").alias("v"))
+    pivots = np.array([r["v"] for r in unit.filter("id < 64").orderBy("id").collect()])
+    cells = idx._cells(unit, pivots)
+    ranges = {r["cell"]: (r["a"], r["b"]) for r in cells.groupBy("cell").agg(F.min("angle").alias("a"), F.max("angle").alias("b")).collect()}
+    routed = idx._routed(unit.select(F.col("id").alias("query_id"), "v"), pivots, ranges, 3).collect()
+    assert max(len(r["cells"]) for r in routed) <= 8 < len(ranges)  # of 64 cells, those of the query's own centre
+
+
+def test_rows_without_a_certificate_are_searched(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    r = idx.self_retrieval(e.filter("vec_id != 3")).collect()[0]
+    assert (r["n_queries"], r["n_self_first"]) == (3, 3)
+    assert idx.self_retrieval(e).collect()[0]["n_queries"] == 4
+    assert idx.self_retrieval(e.limit(0)).collect()[0]["n_queries"] == 0
 
 
 def test_wide_rows_hold_every_gene_and_value(spark):
     unit = prof.profile_unit(prof.profile_long(_effects(spark)))
     genes = sorted({r["effect_gene"] for r in unit.select("effect_gene").distinct().collect()})
-    wide = {r["perturbation"]: r["values"] for r in prof.profile_wide(unit).collect()}
+    blocks = prof.profile_wide(unit, block=16).collect()
     long = {(r["perturbation"], r["effect_gene"]): r["value"] for r in unit.collect()}
-    assert set(wide) == {p for p, _ in long}
-    for p, values in wide.items():
-        assert values == [long.get((p, g), 0.0) for g in genes]
+    got = {(r["perturbation"], genes[16 * r["block"] + p]): v for r in blocks for p, v in zip(r["places"], r["values"], strict=True)}
+    assert got == long
+    # as many entries as there are non-zero ones, in ascending places, no row beyond its block
+    assert sum(len(r["places"]) for r in blocks) == len(long)
+    assert all(r["n_genes"] == len(genes) and r["places"] == sorted(set(r["places"])) and r["places"][-1] < 16 for r in blocks)
 
 
 def test_pca_error_non_increasing_in_k(spark):
@@ -129,7 +170,7 @@ def test_refresh_batch_replay_is_idempotent(spark):
         refresh.refresh_batch(batch, 7, f"{base}/eff", f"{base}/docs", n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
     assert spark.read.parquet(f"{base}/eff").count() == batch.count()
     want = summ.documents(batch, tiebreak=ad.EFFECT_TIEBREAK).select("perturbation", "text")
-    got = spark.read.parquet(f"{base}/docs").select("perturbation", "text")
+    got = refresh.read_documents(spark, f"{base}/docs").select("perturbation", "text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -163,7 +204,7 @@ def test_refresh_replay_after_merge_is_idempotent(spark):
     for _ in range(2):  # batch 1 replayed: it must merge with batch 0's snapshot only
         refresh.refresh_batch(second, 1, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
     want = summ.documents(e, tiebreak=ad.EFFECT_TIEBREAK)
-    got = spark.read.parquet(f"{base}/docs")
+    got = refresh.read_documents(spark, f"{base}/docs")
     assert _doc_rows(got) == _doc_rows(want)
     assert spark.read.parquet(f"{base}/eff").count() == e.count()
 
@@ -184,7 +225,7 @@ def test_history_stream_turn_by_turn_with_replay(spark):
         hist.history_batch(batch, t, out, state, n_buckets=4)
         if t == 3:  # a replayed batch id must not change anything
             hist.history_batch(batch, t, out, state, n_buckets=4)
-    got = _flat_history(spark.read.parquet(out).collect())
+    got = _flat_history(hist.read_history(spark, out).collect())
     want = _flat_history(hist.history_rows(chat_history(m)).collect())
     assert got == want
 
@@ -200,13 +241,13 @@ def test_refresh_sparse_batches_equal_batch_rebuild(spark):
         refresh.refresh_batch(e.filter(part == b), b, f"{base}/eff", f"{base}/docs", n_buckets=8,
                               tiebreak=ad.SPARSE_TIEBREAK)
     want = summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK)
-    assert _doc_rows(spark.read.parquet(f"{base}/docs")) == _doc_rows(want)
+    assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(want)
 
 
 def test_refresh_failure_before_commit_then_replay(spark, monkeypatch):
     # batch 1 writes its state snapshot and documents, then fails before the manifest
     # lists it; the replay must read batch 0's snapshot again and give the same documents
-    from pertlake.streaming import snapshots
+    from pertlake.streaming import deltas as snapshots
 
     e = _effects(spark)
     base = scratch_path(spark, "test-refresh-fail")
@@ -223,7 +264,7 @@ def test_refresh_failure_before_commit_then_replay(spark, monkeypatch):
         refresh.refresh_batch(second, 1, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
     monkeypatch.undo()
     refresh.refresh_batch(second, 1, *args, n_buckets=4, tiebreak=ad.EFFECT_TIEBREAK)
-    assert _doc_rows(spark.read.parquet(f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.EFFECT_TIEBREAK))
+    assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.EFFECT_TIEBREAK))
 
 
 def test_history_failure_before_commit_then_replay(spark, monkeypatch):
@@ -244,7 +285,7 @@ def test_history_failure_before_commit_then_replay(spark, monkeypatch):
         hist.history_batch(late, 1, out, state, n_buckets=4)
     monkeypatch.undo()
     hist.history_batch(late, 1, out, state, n_buckets=4)
-    got = _flat_history(spark.read.parquet(out).collect())
+    got = _flat_history(hist.read_history(spark, out).collect())
     assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
 
 
@@ -260,7 +301,7 @@ def test_history_batch_without_turns_carries_the_map(spark):
     hist.history_batch(m.filter(~system & (F.col("turn") < 3)), 0, out, state, n_buckets=4)
     hist.history_batch(m.filter(system), 1, out, state, n_buckets=4)
     hist.history_batch(m.filter(~system & (F.col("turn") >= 3)), 2, out, state, n_buckets=4)
-    got = _flat_history(spark.read.parquet(out).collect())
+    got = _flat_history(hist.read_history(spark, out).collect())
     assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
 
 
@@ -271,3 +312,122 @@ def test_significance_reaches_the_scan(spark, key, capsys):
     plan = capsys.readouterr().out
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line and "l_discount" in line]
     assert pushed and all("LessThan(l_discount" in line for line in pushed)
+
+
+def test_refresh_of_one_perturbation_writes_one_row(spark):
+    from pertlake.operators.effects import clean_effects
+
+    e = clean_effects(ad.effects_sparse(spark, SF_SMALL))
+    base = scratch_path(spark, "test-refresh-delta")
+    one = e.select("perturbation").orderBy("perturbation").first()[0]
+    few = (F.col("perturbation") == one) & (F.col("l_linenumber") % 2 == 0)
+    args = {"n_buckets": 8, "tiebreak": ad.SPARSE_TIEBREAK}
+    refresh.refresh_batch(e.filter(~few), 0, f"{base}/eff", f"{base}/docs", **args)
+    refresh.refresh_batch(e.filter(few), 1, f"{base}/eff", f"{base}/docs", **args)
+    for table in ("docs", "docs_state"):
+        assert [r["perturbation"] for r in spark.read.parquet(f"{base}/{table}/batch_id=1").collect()] == [one]
+    assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK))
+
+
+def test_refresh_compaction_and_retention(spark):
+    import os
+
+    from pertlake.operators.effects import clean_effects
+
+    e = clean_effects(ad.effects_sparse(spark, SF_SMALL)).filter("l_orderkey < 200")
+    base = scratch_path(spark, "test-refresh-compact").removeprefix("file:")
+    wave = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(6))
+    kw = {"n_buckets": 4, "tiebreak": ad.SPARSE_TIEBREAK, "compact_after": 2}
+    for b in range(6):
+        for _ in range(2):  # every batch is replayed once
+            refresh.refresh_batch(e.filter(wave == b), b, f"{base}/eff", f"{base}/docs", **kw)
+        seen = e.filter(wave <= b)
+        assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(summ.documents(seen, tiebreak=ad.SPARSE_TIEBREAK))
+    refresh.refresh_batch(e.limit(0), 6, f"{base}/eff", f"{base}/docs", **kw)  # an empty batch passes the list on
+    assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK))
+    left = {d for d in os.listdir(f"{base}/docs_state") if d.startswith("batch_id=")}
+    assert len(left) <= 4  # superseded versions are deleted
+
+
+@pytest.mark.parametrize("replay", [False, True])
+def test_history_with_late_turns_equals_batch(spark, replay):
+    from pertlake.operators.dialogue import chat_history
+
+    m = ad.messages(spark, SF_SMALL)
+    base = scratch_path(spark, "test-history-late")
+    out, state = f"{base}/out", f"{base}/state"
+    late = (F.col("turn") >= 1) & (F.col("turn") <= 2) & (F.pmod(F.xxhash64("conv_id"), F.lit(3)) == 0)
+    waves = [~late & (F.col("turn") < 4), late & (F.col("turn") == 2), ~late & (F.col("turn") >= 4), late & (F.col("turn") == 1)]
+    for b, cond in enumerate(waves):
+        for _ in range(1 + replay):
+            hist.history_batch(m.filter(cond), b, out, state, n_buckets=4)
+    assert spark.read.parquet(f"{state}/late").count() > 0
+    # conversations without a late turn are not emitted again
+    versions = spark.read.parquet(out).groupBy("conv_id", "turn").count().filter("count > 1").select("conv_id").distinct()
+    assert versions.filter(F.pmod(F.xxhash64("conv_id"), F.lit(3)) != 0).count() == 0
+    got = _flat_history(hist.read_history(spark, out).collect())
+    assert got == _flat_history(hist.history_rows(chat_history(m)).collect())
+
+
+def test_embedding_equals_a_dense_decomposition(spark):
+    """Subspace iteration over sparse rows against numpy's SVD of the dense centred matrix."""
+    import numpy as np
+
+    from pertlake.operators.effects import clean_effects
+
+    unit = prof.profile_unit(prof.profile_long(clean_effects(ad.effects_sparse(spark, SF_SMALL))))
+    rows, n_genes = emb.sparse_rows(unit)
+    dense = np.zeros((rows.count(), n_genes))
+    for i, r in enumerate(rows.collect()):
+        dense[i, r["places"]] = r["values"]
+    dense -= dense.mean(axis=0)
+    s, v = np.linalg.svd(dense, full_matrices=False)[1:]
+    k = 6
+    f = emb.fit(rows, n_genes, k)
+    assert np.allclose(f.variance, s[:k] ** 2, rtol=1e-6)
+    assert np.allclose(f.basis.T @ f.basis, np.eye(k), atol=1e-9)
+    gaps = np.abs(np.diff(s[: k + 1])) > 1e-3 * s[0]
+    for j in range(k):
+        if gaps[j] and (j == 0 or gaps[j - 1]):
+            assert abs(f.basis[:, j] @ v[j]) > 1 - 1e-4
+
+
+def test_export_reads_the_best_width_from_the_factor_table(spark):
+    unit = prof.profile_unit(prof.profile_long(_effects(spark)))
+    out = emb.export_embeddings(unit, dims=(1, 3, 7)).collect()
+    direct = {r["perturbation"]: r["embedding"] for r in emb.profile_embedding(unit, None, 7).collect()}
+    assert all(r["k"] == 7 and max(abs(a - b) for a, b in zip(r["embedding"], direct[r["perturbation"]], strict=True)) < 1e-6 for r in out)
+    assert len(out) == len(direct)
+
+
+def test_answers_from_effects_to_prompt(spark):
+    """Index, fallback and metadata of the chain against plain Python."""
+    import numpy as np
+
+    from pertlake.operators import effect_index as eidx
+    from pertlake.session import written
+
+    docs = spark.createDataFrame([(p, f"text {p}", p.lower()) for p in ("A1", "B2", "C3", "D4", "E5")], "perturbation string, text string, note string")
+    docs = written(docs.select("perturbation", "text", F.struct("note").alias("metadata")), "t-docs")
+    values = {"A1": {"x": 1.0}, "B2": {"x": 0.6, "y": 0.8}, "C3": {"y": -1.0}, "D4": {"z": 1.0}, "Q9": {"x": 1.0}}
+    unit = written(spark.createDataFrame([(p, g, v) for p, e in values.items() for g, v in e.items()], "perturbation string, effect_gene string, value double"), "t-unit")
+    index = {r["label"]: r["vec_id"] for r in eidx.effect_index(docs, unit).collect()}
+    assert index == {"A1": 1, "B2": 2, "C3": 3, "D4": 4}
+    assert {(r["perturbation"], r["side"]) for r in eidx.without_vector(docs, unit).collect()} == {("E5", "no_embedding"), ("Q9", "no_document")}
+    dense = np.array([[values[p].get(g, 0.0) for g in "xyz"] for p in "A1 B2 C3 D4".split()])
+    c = dense.mean(axis=0)
+    score = dense @ c / np.linalg.norm(c)
+    near = eidx.nearest_to_centroid(unit, written(eidx.effect_index(docs, unit), "t-index"), 3).collect()
+    best = sorted(range(4), key=lambda i: (-round(score[i], 9), i))[:3]
+    assert [(r["rank"], r["vec_id"]) for r in sorted(near)] == [(i + 1, b + 1) for i, b in enumerate(best)]
+    req = spark.createDataFrame([(1, "B2", "mechanism"), (2, "E5", "mechanism"), (3, "d4", "other")], "request_id long, perturbation string, question_type string")
+    got = {r["request_id"]: r for r in eidx.answer_requests(written(req, "t-req"), docs, unit).collect()}
+    assert "[B2]\ntext B2" in got[1]["prompt"] and got[1]["metadata"]["note"] == "b2" and got[1]["sources"] == "B2"
+    assert got[2]["metadata"] is None and got[2]["sources"] == ", ".join("A1 B2 C3 D4".split()[b] for b in best)
+    assert got[3]["metadata"]["note"] == "d4" and got[3]["sources"] == got[2]["sources"]
+
+
+@pytest.mark.parametrize("key, most", [("documents_text", 2), ("document_metadata", 2), ("documents_sparse", 2), ("profile_unit", 1)])
+def test_scans_of_lineitem(spark, key, most):
+    plan = REGISTRY[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= most
