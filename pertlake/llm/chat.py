@@ -13,8 +13,8 @@ are, in order, the first turns of a longer one (or all turns of another) is drop
 
 Defined results: turns are ordered by turn, role, text; rows that repeat all four columns
 count once; a null role or text counts as empty, a null turn comes first; rows with a null
-conv_id form one conversation; empty texts are turns like others; an empty table gives no
-rows.
+conv_id form one conversation; empty texts are turns like others and very long ones are whole;
+other columns aren't read, so their names may clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

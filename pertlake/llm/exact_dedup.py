@@ -12,7 +12,9 @@ only narrows the search):
 Defined results: a null text counts as empty; empty texts are equal to each other;
 texts are compared after lower-casing A-Z only; the largest doc_id of a group stays;
 of repeated rows with that same doc_id exactly one stays; rows with a null doc_id stay
-only if their whole group has none (then one of them); an empty table gives no rows.
+only if their whole group has none (then one of them); very long texts are compared whole;
+extra columns are kept by ``deduplicate`` and not read otherwise, so their names may clash;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -39,7 +39,9 @@ class or component go through ``skew_safe_join``.
 Defined results: a document without words (null, empty, white space) has no shingles and is
 alone; one with fewer than five words has its whole word sequence as one shingle; rows with
 a null doc_id link like others, and a component of such rows only has a null component_id;
-repeated rows are in one class; an empty table gives no rows.
+repeated rows are in one class; very long texts and words are whole; extra columns are kept by
+``one_of_each`` and not read otherwise, so their names may clash; an empty table gives no rows.
+Words, shingles and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the corpus) and then dealt out to the pieces by their rank within their length:
    ranges of each length belong to one pattern of the plan, which gives sequence and place.
 
 Defined results: null and empty texts are one end id; an empty table gives no rows;
-repeated doc_ids are documents of their own; very long texts are cut at the capacity.
+repeated doc_ids are documents of their own; very long texts are encoded whole and cut at the
+capacity; only the id and text columns are read, so others may clash.
 """
 
 from __future__ import annotations

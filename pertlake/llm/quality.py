@@ -8,7 +8,9 @@ batch of rows. Spark computes the statistics of the sample and scores every row
 
 Defined results: null and empty texts have all-zero statistics and are scored like any
 row; without labels of both kinds the score is the share of label 1 (0.5 without labels);
-repeated rows are scored alike; an empty table gives no rows.
+repeated rows are scored alike; very long texts are described whole; only the id, text and label
+columns are read, so others may clash (``accepted`` gives all columns back); an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -187,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "qualit
     rows = (
         texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
         .mapInArrow(describe, "doc_id long, label int, x array<double>")
-        .dropDuplicates(["doc_id"])  # repeated rows of a document count once
+        # rows of one id count once: of several texts the one with the smallest statistics, in every run the same
+        .groupBy("doc_id", "label").agg(F.min("x").alias("x"))
         .collect()
     )
     rows.sort(key=lambda r: r["doc_id"])

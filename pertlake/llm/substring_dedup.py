@@ -32,8 +32,9 @@ the joins marked by ``checked_broadcast``. The result doesn't depend on it.
 
 Defined results: words are runs of characters other than space and 0x09-0x0D, unchanged; a
 null text has no words; documents shorter than the window keep all words; rows that repeat a
-doc_id or a text are places of their own, so long repeated texts go entirely; an empty
-table gives no rows.
+doc_id or a text are places of their own, so long repeated texts go entirely; very long texts
+and words are whole; only the id and text columns are read, so others may clash; an empty table
+gives no rows. Rows, places and contents are known by 64-bit hashes.
 """
 
 from __future__ import annotations

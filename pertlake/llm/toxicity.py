@@ -20,7 +20,8 @@ taken in overlapping windows; distinct words are scored once per batch of text.
 
 Defined results: null and empty texts have no words and score as texts without any insult;
 without labels of both kinds the score is the share of label 1 (0.5 without labels);
-repeated rows are scored alike; an empty table gives no rows.
+repeated rows are scored alike; very long texts and words are scored whole, ``ROWS`` windows at
+a time; only the columns named here are read, so others may clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ POSITIVE_WORDS, NEGATIVE_WORDS, LANDMARKS, ROUNDS = 1_500, 5_000, 512, 3
 MARGINS = (0.0, 0.5)
 LEAST_SUPPORT, LEAST_NEGATIVE = 3, 0.02
 SPAN, DECAY, WIDTH, OVERLAP = 5, 0.5, 24, 6
+ROWS = 8_192  # windows scored at a time
 HARD_WORDS = 1_500  # that landmarks are chosen from
 COST = 20_000.0  # of all positive, and of all negative, words together
 SYMBOLS = 64
@@ -60,21 +62,29 @@ _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>|*#$%&/\\-_=+~^`@"]] = True
 _PLACES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def symbol_rows(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols in rows of WIDTH + 1 with the start mark, owning word): long words take several rows."""
-    if not len(starts):
-        return np.zeros((0, WIDTH + 1), np.int32), np.empty(0, np.int64)
+def window_places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owning word, first byte, is it the word's first window) of every window; long words have several."""
     step = WIDTH - OVERLAP
     rows = np.maximum(1, -(-(ends - starts - OVERLAP) // step))
     owner = np.repeat(np.arange(len(starts)), rows)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(rows) - rows, rows)
-    at = starts[owner] + nth * step
-    place = at[:, None] + np.arange(WIDTH)
-    symbols = np.zeros((len(owner), WIDTH + 1), np.int32)
-    inside = place < ends[owner][:, None]
-    symbols[:, 1:] = np.where(inside, _SYMBOL[body[np.minimum(place, len(body) - 1)]], 0)
-    symbols[:, 0] = nth == 0
-    return symbols, owner
+    return owner, starts[owner] + nth * step, nth == 0
+
+
+def symbols_at(body: np.ndarray, at: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Symbols of the windows at ``at``, a row each, after the start mark of a word's first window."""
+    symbols = np.zeros((len(at), WIDTH + 1), np.int32)
+    if len(at):
+        place = at[:, None] + np.arange(WIDTH)
+        symbols[:, 1:] = np.where(place < ends[:, None], _SYMBOL[body[np.minimum(place, len(body) - 1)]], 0)
+        symbols[:, 0] = first
+    return symbols
+
+
+def symbol_rows(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols in rows of WIDTH + 1 with the start mark, owning word): long words take several rows."""
+    owner, at, first = window_places(starts, ends)
+    return symbols_at(body, at, ends[owner], first), owner
 
 
 def subsequences(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +119,14 @@ class Model:
     def word_margins(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The SVM margin of each word (its best window), -1 - |bias| for words without subsequences."""
         out = np.full(len(starts), -1.0 - abs(self.bias))
-        for a in range(0, len(starts), 8192):
-            symbols, owner = symbol_rows(body, starts[a : a + 8192], ends[a : a + 8192])
-            codes, weights = subsequences(symbols)
+        owner, at, first = window_places(starts, ends)
+        for a in range(0, len(owner), ROWS):  # windows, not words: a word may be as long as a text
+            mine = owner[a : a + ROWS]
+            codes, weights = subsequences(symbols_at(body, at[a : a + ROWS], ends[mine], first[a : a + ROWS]))
             norm = np.sqrt(self_kernel(codes, weights))
             value = (self.weight[codes] * weights).sum(1) / np.maximum(norm, 1e-12) + self.bias
             value[norm == 0] = -1.0 - abs(self.bias)
-            np.maximum.at(out[a : a + 8192], owner, value)
+            np.maximum.at(out, mine, value)
         return out
 
     def document_features(self, column: pa.Array) -> np.ndarray:
@@ -315,7 +326,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, target: str = "toxic"
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.record_batch([batch.column(0), batch.column(1), lists], names=["doc_id", "label", "x"])
 
-    rows = texts.mapInArrow(describe, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"]).collect()
+    # of several texts under one id the one with the smallest features counts, in every run the same
+    rows = texts.mapInArrow(describe, "doc_id long, label int, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     beta = _logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float))
     return Model(weight, bias, tuple(float(b) for b in beta))

@@ -13,11 +13,13 @@ every length and interpolates from the shortest context to the longest; contexts
 seen add nothing, which makes the order variable. Digits are one character class.
 
 Hot urls and hosts: texts are made distinct (with their multiplicity) before n-grams are
-cut, and every n-gram table is aggregated before it is joined.
+cut, every n-gram table is aggregated before it is joined, and the rows of a url that fills any
+share of the table (all nulls are one text) get their score from a broadcast.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no
 rule; it is scored like any text (null as the empty text). Repeated rows and page_ids
-give one result each. Without urls decided either way all scores are 0 and the verdict
+give one result each. Very long urls are scored whole, in time in proportion to their length; only the
+id and url columns are read, so others may clash. Without urls decided either way all scores are 0 and the verdict
 is ``allow``. An empty table gives no rows.
 """
 
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pertlake.llm.common import LOWER, UPPER, checked_broadcast, materialize
+from pertlake.llm.common import LOWER, UPPER, checked_broadcast, materialize, skew_safe_join
 
 ORDER = 4  # characters of context at most
 ALPHABET = 128.0  # the uniform model under the shortest one
@@ -89,12 +91,20 @@ def judge_by_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: st
     )
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text in the n-gram tables."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second half"), text).alias("b"))
+
+
 def _grams(texts: DataFrame, *keep: str) -> DataFrame:
-    """One row per character after the padding: the n-gram of ``ORDER + 1`` characters that it ends."""
-    places = F.sequence(F.lit(1), F.length("text") - ORDER)
-    return texts.select(*keep, "text", F.explode(places).alias("at")).select(
-        *keep, F.substring(F.col("text"), F.col("at"), F.lit(ORDER + 1)).alias("gram")
-    )
+    """One row per character after the padding: the n-gram of ``ORDER + 1`` characters that it ends.
+
+    The text is cut into characters once, so the work grows with its length, and the rows carry
+    the columns ``keep``, never the text.
+    """
+    chars = texts.select(*keep, F.split("text", "").alias("chars"))
+    gram = lambda i: F.concat(*[F.get("chars", i + j) for j in range(ORDER + 1)])
+    return chars.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("chars") - ORDER - 1), gram)).alias("gram"))
 
 
 def _suffixes(grams: DataFrame) -> DataFrame:
@@ -173,9 +183,9 @@ def calibrate(scored: DataFrame) -> float:
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score of every row."""
-    judged = judge_by_rules(pages, rules, id_col, url_col)
+    judged = judge_by_rules(pages, rules, id_col, url_col).withColumn("key", text_key(F.col("text")))
     texts = materialize(
-        judged.groupBy("text").agg(
+        judged.groupBy("key", "text").agg(
             F.sum((F.coalesce(F.col("ruled"), F.lit("")) == "allow").cast("long")).alias("accepted"),
             F.sum((F.coalesce(F.col("ruled"), F.lit("")) == "block").cast("long")).alias("rejected"),
         ),
@@ -185,15 +195,15 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     scores = materialize(gram_scores(_grams(texts).distinct(), counts, contexts), "op3-scores")
     side = checked_broadcast(scores, scores.count())
     scored = materialize(
-        _grams(texts.select("text", "accepted", "rejected", F.col("text").alias("whole")), "whole", "accepted", "rejected")
+        # a text's equal n-grams are counted before they are looked up
+        _grams(texts, "key", "accepted", "rejected").groupBy("key", "accepted", "rejected", "gram").agg(F.count(F.lit(1)).alias("n"))
         .join(side, "gram")
-        .groupBy("whole").agg(F.avg("gain").alias("score"), F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected"))
-        .withColumnRenamed("whole", "text"),
+        .groupBy("key", "accepted", "rejected").agg((F.sum(F.col("gain") * F.col("n")) / F.sum("n")).alias("score")),
         "op3-scored",
     )
     threshold = calibrate(scored)
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block"))
     return (
-        judged.join(scored.select("text", "score"), "text")
+        skew_safe_join(judged.drop("text"), scored.select("key", "score"), "key")
         .select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
     )

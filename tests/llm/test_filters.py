@@ -98,6 +98,12 @@ def test_url_filter_equals_brute_force(spark):
     check_urls(url_filter.filter_urls(df).collect(), URLS)
 
 
+def test_long_urls_are_scored_whole(spark):
+    rnd = random.Random(2)
+    rows = [(1, "https://a.org/fr/" + "".join(rnd.choice("abc/") for _ in range(1_000_000))), (2, "https://b.de/" + "".join(rnd.choice("xyz-") for _ in range(300_000))), (3, "https://c.net/q")]
+    check_urls(url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect(), rows)
+
+
 def test_url_filter_without_rows_or_decided_urls(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(empty).collect() == []

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pertlake.llm import queries
 from pertlake.llm.common import materialize
 
-from .conftest import SF
+from .conftest import ODD_TEXTS, SF
 from .test_exact_dedup import brute as brute_copies
 from .test_filters import brute_leaks, runs, words
 from .test_ngram_join import brute as brute_near
@@ -45,3 +45,20 @@ def test_query_runs_all_stages(spark):
     out = queries.REGISTRY["pipeline"](spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, docs_of):
+    docs = docs_of(ODD_TEXTS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, docs, SF), f"odd-{name}")
+        assert kept.columns == docs.columns
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+        # the classifier may reject rows of this kind; the other stages see them all
+        docs = docs if name == "quality_classifier" else kept
+    texts = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    # null and empty texts are exact copies of each other, and repeated rows of themselves
+    assert sum(not t for _, t in texts) == 1 and sum(t == "no id" for _, t in texts) == 1
+    check_packing(texts, corpus_pipeline.best_fit_packing(spark, docs, SF).collect())
+    empty = docs_of([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == []
