@@ -15,7 +15,9 @@ Candidates. Under one order, two sets that link share a shingle in a short prefi
 the first shingle they share has at least ``share = 75 / 175`` of both sizes summed at or behind
 it in each set. So the smaller set has it in an even shorter prefix (it is ``short`` there). A
 bucket holds the classes with a shingle in their prefix; buckets of a single class, or without a
-short member, make no link. Buckets with the same members count once.
+short member, make no link. Buckets with the same members count once. A pair is compared only if
+it can link: what its prefixes share (all of it lies in buckets) and what is left behind the
+prefix that ends first reach the threshold together.
 
 Rounds. All pairs of a bucket aren't needed, only its components. In a round every class is
 compared with one leader (later with 4, 16, ...): the first in leader order among the first
@@ -28,7 +30,7 @@ that others were copied from. Leaders and members meet by bucket and size band;
 one at most where the sizes allow a link.
 
 Vertical partitioning. The global order is cut into ``FRAGMENTS``; a set becomes one sorted
-array per fragment, written once for the classes of the buckets. Each (pair, fragment) counts its
+array per fragment, written once for the classes of the pairs. Each (pair, fragment) counts its
 partial overlap on its own, and the partial counts are summed per pair and compared with the
 threshold exactly. A leader's fragments are sent once per ``LEADER_CHUNK`` of its classes.
 
@@ -69,6 +71,7 @@ FIRST_LEADERS, MORE_LEADERS = 2, 8  # of a bucket
 MORE_PAIRS = 4  # per class, from one round to the next
 WORK = 64  # comparisons of narrow rows per member that count as few
 LEADER_CHUNK = 256
+_MANY = (1 << 20) - 1
 
 
 def prefix_length(n: int) -> int:
@@ -164,27 +167,32 @@ def _ranks(hot: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def _members(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """shingle, hot, class, n, rest (shingles at or behind it): the prefixes of the classes of every task."""
+    """shingle, hot, class, n, rest (shingles at or behind it), end (the place of the prefix's last shingle in
+    the global order): the prefixes of the classes of every task."""
 
     def prefixes(batches):
         rank, seen = _ranks(hot), set()
         for _, sets in _sets(batches):
             places, keys = _first_of_class(sets, seen)
-            out, cold = [], []
+            out, cold, ends = [], [], []
             for i in places:
                 r = rank(sets[i])
                 is_hot = r >= 0
                 ordered = np.concatenate([sets[i][~is_hot], sets[i][is_hot][np.argsort(r[is_hot])]])
+                n_cold = int((~is_hot).sum())
                 out.append(ordered[: prefix_length(len(ordered))])
-                cold.append(int((~is_hot).sum()))
+                cold.append(n_cold)
+                # cold shingles in the order of their hash, as a signed number, then the hot ones
+                last = len(out[-1]) - 1
+                ends.append(int(out[-1][-1]) - 2**63 if last < n_cold else 2**63 - 1 - len(hot) + int(np.sort(r[is_hot])[last - n_cold]))
             yield pa.record_batch(
-                [_long(keys), pa.array([len(sets[i]) for i in places], pa.int32()), pa.array(cold, pa.int32()), _lists(out)],
-                names=["class", "n", "cold", "shingles"],
+                [_long(keys), pa.array([len(sets[i]) for i in places], pa.int32()), pa.array(cold, pa.int32()), pa.array(ends, pa.int64()), _lists(out)],
+                names=["class", "n", "cold", "end", "shingles"],
             )
 
-    rows = texts.mapInArrow(prefixes, "class long, n int, cold int, shingles array<long>")
-    return rows.select("class", "n", "cold", F.posexplode("shingles").alias("place", "shingle")).select(
-        "shingle", (F.col("place") >= F.col("cold")).alias("hot"), "class", "n", (F.col("n") - F.col("place")).alias("rest")
+    rows = texts.mapInArrow(prefixes, "class long, n int, cold int, end long, shingles array<long>")
+    return rows.select("class", "n", "cold", "end", F.posexplode("shingles").alias("place", "shingle")).select(
+        "shingle", (F.col("place") >= F.col("cold")).alias("hot"), "class", "n", (F.col("n") - F.col("place")).alias("rest"), "end"
     )
 
 
@@ -193,31 +201,31 @@ def _is_short(n: str, rest: str) -> Column:
 
 
 def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """bucket, hot, class, n, rest, own: the members of the buckets that can make a link.
+    """bucket, able, hot, class, n, end, rest, shingles, shared: the members of the buckets of two classes or more.
 
-    ``rest`` belongs to the first shingle of a bucket; ``own`` counts the prefix shingles that no
-    bucket holds.
+    A bucket stands for the ``shingles`` that the same classes hold; ``rest`` belongs to the first
+    of them. Only ``able`` buckets, with a short member, can be the first that a linked pair shares.
+    ``shared`` counts the class's prefix shingles that are in a bucket.
     """
     members = _members(texts, hot).withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("class"), F.lit(SALTS))).otherwise(0).cast("int"))
     part = Window.partitionBy("shingle", "salt")
-    met = members.withColumn("low", F.min("class").over(part)).withColumn("high", F.max("class").over(part)).withColumn(
-        "able", F.max(_is_short("n", "rest")).over(part)
-    )
+    met = members.withColumn("low", F.min("class").over(part)).withColumn("high", F.max("class").over(part))
     # of a class, every input task may have sent one row
-    met = materialize(met.filter("hot or (low != high and able)").drop("low", "high", "able").distinct(), "op9-met")
+    met = materialize(met.filter("hot or low != high").drop("low", "high").distinct(), "op9-met")
     # hot ones, at most HOT_SHINGLES, over all their salts
-    able = (
-        met.filter("hot").groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(_is_short("n", "rest")).alias("able"))
-        .filter("low != high and able").select("shingle")
+    short = _is_short("n", "rest")
+    many = (
+        met.filter("hot").groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(short).alias("able"))
+        .filter("low != high").select("shingle", "able")
+    )
+    same = F.xxhash64(*[F.bit_xor(F.xxhash64(F.lit(seed), "class")).over(part) for seed in (1, 2)])
+    cold = met.filter("not hot").select(same.alias("bucket"), F.max(short).over(part).alias("able"), "hot", "class", "n", "end", "rest")
+    spread = met.filter("hot").join(F.broadcast(many), "shingle").select(F.xxhash64("shingle").alias("bucket"), "able", "hot", "class", "n", "end", "rest")
+    kept = cold.unionByName(spread).groupBy("bucket", "hot", "class", "n", "end").agg(
+        F.max("able").alias("able"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("shingles")
     )
-    same = F.concat_ws(",", *[F.bit_xor(F.xxhash64(F.lit(seed), "class")).over(part) for seed in (1, 2)])
-    cold = met.filter("not hot").select(same.alias("bucket"), "hot", "class", "n", "rest")
-    kept = cold.unionByName(met.filter("hot").join(F.broadcast(able), "shingle", "left_semi").select(F.col("shingle").cast("string").alias("bucket"), "hot", "class", "n", "rest"))
-    kept = kept.groupBy("bucket", "hot", "class", "n").agg(F.max("rest").alias("rest"), F.count(F.lit(1)).alias("shingles"))
     kept = materialize(kept, "op9-buckets")
-    shared = kept.groupBy("class").agg(F.sum("shingles").alias("shared"))
-    own = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")
-    return kept.drop("shingles").join(shared, "class").withColumn("own", own.cast("int")).drop("shared")
+    return kept.join(kept.groupBy("class").agg(F.sum("shingles").alias("shared")), "class")
 
 
 def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -271,20 +279,43 @@ def _bands(n: str) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / PERCENT))).cast("int")
 
 
+def _enough(most: Column) -> Column:
+    """Can an overlap of ``most`` reach the threshold for sizes n and n_l?"""
+    return most.cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("n_l")).cast("long") * PERCENT
+
+
+def _behind_first() -> Column:
+    """The number of shingles behind the prefix that ends first in the global order.
+
+    What a pair shares up to there lies in both prefixes; what it shares behind, in this rest.
+    """
+    behind = lambda n: F.ceil(F.col(n) * PERCENT / 100) - 1
+    return F.when(F.col("end") < F.col("end_l"), behind("n")).when(F.col("end") > F.col("end_l"), behind("n_l")).otherwise(F.least(behind("n"), behind("n_l")))
+
+
+def _possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs whose overlap can reach the threshold, by all the shingles that their prefixes share."""
+    left = lists.select("class", F.col("buckets").alias("of_class"))
+    right = lists.select(F.col("class").alias("leader"), F.col("buckets").alias("of_leader"))
+    number = lambda x: F.when(x.bitwiseAND(F.lit(_MANY)) == _MANY, F.lit(1 << 40)).otherwise(x.bitwiseAND(F.lit(_MANY)))
+    shared = F.aggregate(F.array_intersect("of_class", "of_leader"), F.lit(0).cast("long"), lambda a, x: a + number(x).cast("long"))
+    return pairs.join(left, "class").join(right, "leader").filter(_enough(shared + _behind_first())).drop("of_class", "of_leader", "end", "end_l")
+
+
 def _candidates(state: DataFrame, most: int, n_hot: int) -> DataFrame:
-    """class, leader, own_l, n, n_l, component, component_l: members and the first ``most`` short members of a bucket and size band."""
+    """class, leader, own_l, n, n_l, end, end_l, component, component_l: members and the first ``most`` short members of a bucket and size band."""
     place = Window.partitionBy("bucket", "band").orderBy("own", "class")
     short = state.filter(_is_short("n", "rest")).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
     leaders = short.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= most).select(
-        "bucket", "hot", "band", F.col("class").alias("leader"), F.col("n").alias("n_l"), F.col("rest").alias("rest_l"), F.col("own").alias("own_l"), F.col("component").alias("component_l")
+        "bucket", "hot", "band", F.col("class").alias("leader"), *[F.col(c).alias(f"{c}_l") for c in ("n", "end", "rest", "shared", "own", "component")]
     )
-    least = F.least("rest", "rest_l").cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("n_l")).cast("long") * PERCENT
-    fits = (F.col("component") != F.col("component_l")) & (F.least("n", "n_l") * 100 >= F.greatest("n", "n_l") * PERCENT) & least
+    fits = (F.col("component") != F.col("component_l")) & (F.least("n", "n_l") * 100 >= F.greatest("n", "n_l") * PERCENT)
+    fits = fits & _enough(F.least("rest", "rest_l")) & _enough(F.least("shared", "shared_l") + _behind_first())
 
     def met(members: DataFrame, led: DataFrame) -> DataFrame:
         m, d = members.alias("m"), led.drop("hot").alias("d")
         on = (F.col("m.bucket") == F.col("d.bucket")) & (F.col("m.band") == F.col("d.band")) & fits
-        return m.join(d, on).select("class", "leader", "own_l", "n", "n_l", "component", "component_l")
+        return m.join(d, on).select("class", "leader", "own_l", "n", "n_l", "end", "end_l", "component", "component_l")
 
     out = met(state.filter("not hot"), leaders.filter("not hot"))
     if n_hot:
@@ -321,15 +352,18 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
     """(node, component) of the classes that share a bucket; ``rows`` is ``describe(texts)``."""
     hot = hot_shingles(texts, hot_least, hot_most)
     members = materialize(buckets(texts, hot), "op9-members")
-    labels = materialize(members.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
+    able = members.filter("able").withColumn("own", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")).cast("int"))
+    labels = materialize(able.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
     n_wanted = labels.count()
     if not n_wanted:
         return labels
     n_members, n_hot = members.agg(F.count(F.lit(1)), F.count_if("hot")).first()
+    # a bucket and its number of shingles as one number; a number beyond 20 bits counts as more than any set has
+    packed = F.col("bucket").bitwiseAND(F.lit(~_MANY)).bitwiseOR(F.least("shingles", F.lit(_MANY)))
+    lists = materialize(members.groupBy("class").agg(F.collect_list(packed).alias("buckets")), "op9-lists")
     one = rows.groupBy("class").agg(F.min("row_key").alias("row_key"))
-    wanted = materialize(labels.select(F.col("node").alias("class")).join(one, "class"), "op9-wanted")
-    sets = materialize(fragments(texts, hot, wanted, n_wanted), "op9-sets")
-    state = materialize(members.withColumn("band", _bands("n")).withColumn("component", F.col("class")), "op9-state")
+    sets = None
+    state = materialize(able.drop("able", "shingles").withColumn("band", _bands("n")).withColumn("component", F.col("class")), "op9-state")
     tested, leaders, pairs = None, FIRST_LEADERS, 1
     while True:
         sizes = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(_is_short("n", "rest")).alias("short"))
@@ -338,7 +372,7 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
             return labels
         # where the buckets are small, in proportion to the members, all short members lead at once
         every = work <= WORK * n_members
-        found = materialize(_untested(_candidates(state, largest if every else leaders, n_hot), tested), "op9-found")
+        found = materialize(_possible(_untested(_candidates(state, largest if every else leaders, n_hot), tested), lists), "op9-found")
         n_found = found.count()
         if not n_found:
             if every or leaders >= largest:
@@ -348,7 +382,14 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
         # all that are left, if they are about as many as the classes (most are found from both sides)
         last = every and n_found <= 2 * n_wanted
         chosen = materialize(_first_per_class(found, None if last else pairs), "op9-pairs")
-        counted = overlaps(chosen, chosen.count(), sets)
+        n_pairs = chosen.count()
+        wanted = chosen.select("class").unionByName(chosen.select(F.col("leader").alias("class"))).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("class").distinct(), "class", "left_anti")
+        wanted = materialize(wanted.join(one, "class"), "op9-wanted")
+        more = materialize(fragments(texts, hot, wanted, wanted.count()), "op9-sets")
+        sets = more if sets is None else sets.unionByName(more)
+        counted = overlaps(chosen, n_pairs, sets)
         enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
         links = materialize(counted.filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b")).distinct(), "op9-links")
         if not links.isEmpty():
