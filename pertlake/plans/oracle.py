@@ -255,7 +255,10 @@ ORACLE["catalog_genes"] = f"""with {PROFILE}
 select g.effect_gene, k.effect_gene is not null as kept
 from (select distinct effect_gene from profile) g left join kept k on g.effect_gene = k.effect_gene"""
 ORACLE["catalog_counts"] = f"""with {PROFILE}
-select cast(count(distinct effect_gene) as bigint) as n_genes, cast(count(distinct perturbation) as bigint) as n_perturbations
+select cast(count(distinct effect_gene) as bigint) as n_genes, cast(count(distinct perturbation) as bigint) as n_perturbations,
+       cast(count(distinct effect_gene) as bigint) as gene_rows, min(effect_gene) as first_gene, max(effect_gene) as last_gene,
+       cast(count(distinct perturbation) as bigint) as perturbation_rows, min(perturbation) as first_perturbation,
+       cast(2048 as bigint) as max_genes, cast(256 as bigint) as embed_dim, cast(least(count(distinct effect_gene), 2048) as bigint) as genes_kept
 from profile"""
 ORACLE["profile_wide"] = f"""with {PROFILE},
 places as (select effect_gene, row_number() over (order by effect_gene) - 1 as place from (select distinct effect_gene from unit) g)
@@ -326,6 +329,8 @@ select cast(count(*) as bigint) as n_queries,
        cast(count_if(top1.id = top1.query_id or top1.score <= selfs.self_score + 1e-6) as bigint) as n_self_first
 from top1 join selfs on top1.query_id = selfs.query_id"""
 ORACLE["catalog_labels"] = f"with {VEC} select vec_id, (select cast(count(*) as bigint) from aligned) as n_documents from aligned"
+ORACLE["embedding_object"] = """select vec_id, cast(i - 1 as bigint) as dim, round(cast(embedding[i] as double), 6) as value
+from (select vec_id, embedding, generate_subscripts(embedding, 1) as i from embeddings) t"""
 VSUM = """select vec_id, cast(len(embedding) as bigint) as n_dims,
        round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as norm
 from embeddings"""

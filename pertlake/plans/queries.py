@@ -206,14 +206,31 @@ def q_catalog_genes(spark, sf):
 
 @register("catalog_counts")
 def q_catalog_counts(spark, sf):
-    # The catalogue is written as tables and the counts are read back
-    profile = prof.profile_long(_significant(spark, sf))
+    # The catalogue is written as tables with its configuration, and all of them are read back
+    profile = written(prof.profile_long(_significant(spark, sf)), "profile")
     path = scratch_path(spark, "catalog")
+    counts = prof.catalog_counts(profile)
+    n_genes = counts.first()["n_genes"]
     store.save_catalog(
-        profile.select("effect_gene").distinct(), profile.select("perturbation").distinct(),
-        prof.catalog_counts(profile), path,
+        profile.select("effect_gene").distinct(), profile.select("perturbation").distinct(), counts, path,
+        config={"max_genes": prof.DEFAULT_MAX_GENES, "embed_dim": emb.DEFAULT_EMBED_DIM, "genes_kept": min(n_genes, prof.DEFAULT_MAX_GENES)},
+    )
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    genes = read("genes").agg(F.count(F.lit(1)).alias("gene_rows"), F.min("effect_gene").alias("first_gene"), F.max("effect_gene").alias("last_gene"))
+    perts = read("perturbations").agg(F.count(F.lit(1)).alias("perturbation_rows"), F.min("perturbation").alias("first_perturbation"))
+    # one row each
+    return read("counts").join(F.broadcast(genes)).join(F.broadcast(perts)).join(F.broadcast(read("config")))
+
+
+@register("embedding_object")
+def q_embedding_object(spark, sf):
+    # O04/O05 in the source's form: one JSON object, written and read back by byte ranges
+    path = scratch_path(spark, "embedding_object")
+    store.write_embedding_object(_emb(spark, sf), path, label="vec_id")
+    back = store.read_embedding_object(spark, path, split_bytes=1 << 16)
+    return back.select(F.col("label").cast("long").alias("vec_id"), F.posexplode("embedding").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value")
     )
-    return spark.read.parquet(f"{path}/counts")
 
 
 @register("read_effects")

@@ -1,9 +1,9 @@
 """Sources and sinks: effects CSV, embedding maps, the index and catalogue tables,
 documents JSON (O01, O04-O09).
 
-Parquet is the canonical storage. The source's single JSON object per file does
-not scale, so embedding maps are written and read as JSON *lines* whose objects
-map labels to vectors (any number of entries per line).
+Parquet is the canonical storage. Embedding maps are written and read as JSON *lines* whose
+objects map labels to vectors (any number of entries per line); the source's own form, one
+object or one array a file, is read by byte ranges (:mod:`pertlake.sources.json_entries`).
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pertlake.functions.ranking import global_row_number
 from pertlake.operators.index import embedding_unit
+from pertlake.sources.json_entries import SPLIT_BYTES, read_entries
 
 # Column names of the source CSV and the snake_case names we use.
 CSV_COLUMNS = {
@@ -119,6 +121,31 @@ def read_embedding_map(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode(m).alias("label", "embedding"))
 
 
+def write_embedding_object(emb: DataFrame, path: str, label: str = "label", vec: str = "embedding") -> None:
+    """O05 (the source's form): one JSON object of labels and vectors in one file.
+
+    One file is written by one task, which streams lines that Spark made and ordered.
+    """
+    numbered = global_row_number(emb, [F.col(label).asc()], "_rn")
+    n = emb.agg(F.count(F.lit(1))).scalar()
+    name = F.regexp_extract(F.to_json(F.struct(F.col(label).cast("string").alias("k"))), r'^\{"k":(.*)\}$', 1)
+    line = F.concat(
+        F.when(F.col("_rn") == 1, "{").otherwise(""), name, F.lit(": "), F.to_json(vec), F.when(F.col("_rn") == n, "}").otherwise(",")
+    )
+    numbered.withColumn("value", line).select("_rn", "value").repartition(1).sortWithinPartitions("_rn").select("value").write.mode("overwrite").text(path)
+
+
+def read_embedding_object(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """O04 in the source's form: rows (label, embedding) of one JSON object, read by byte ranges."""
+    entries = read_entries(spark, path, "map", split_bytes)
+    return entries.select(F.col("key").alias("label"), F.from_json("value", "array<float>").alias("embedding"))
+
+
+def read_documents_array(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, schema: T.StructType = DOCUMENT_SCHEMA) -> DataFrame:
+    """O09 in the source's form: documents of one JSON array, read by byte ranges."""
+    return read_entries(spark, path, "array", split_bytes).select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
 def write_embeddings(emb: DataFrame, path: str) -> None:
     """O05 (canonical form): Parquet."""
     emb.write.mode("overwrite").parquet(path)
@@ -141,13 +168,20 @@ def load_index(spark: SparkSession, path: str, vec: str = "embedding") -> tuple[
     return index, manifest
 
 
-def save_catalog(genes: DataFrame, perturbations: DataFrame, counts: DataFrame, path: str) -> None:
-    """The catalogue as three Parquet tables."""
+def save_catalog(genes: DataFrame, perturbations: DataFrame, counts: DataFrame, path: str, config: dict[str, int] | None = None) -> None:
+    """The catalogue as three Parquet tables and one row of configuration (width, gene limit, genes kept, ...)."""
+    if config:
+        row = spark_row(genes.sparkSession, config)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
     genes.write.mode("overwrite").parquet(f"{path}/genes")
     perturbations.write.mode("overwrite").parquet(f"{path}/perturbations")
     counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
 
 
+def spark_row(spark: SparkSession, values: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([tuple(int(v) for v in values.values())], ", ".join(f"{c} long" for c in values))
+
+
 def write_documents_json(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").json(path)
 

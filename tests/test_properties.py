@@ -319,7 +319,7 @@ def test_refresh_of_one_perturbation_writes_one_row(spark):
 
     e = clean_effects(ad.effects_sparse(spark, SF_SMALL))
     base = scratch_path(spark, "test-refresh-delta")
-    one = e.select("perturbation").orderBy("perturbation").first()[0]
+    one = e.filter("l_linenumber = 2").agg(F.min("perturbation")).first()[0]
     few = (F.col("perturbation") == one) & (F.col("l_linenumber") % 2 == 0)
     args = {"n_buckets": 8, "tiebreak": ad.SPARSE_TIEBREAK}
     refresh.refresh_batch(e.filter(~few), 0, f"{base}/eff", f"{base}/docs", **args)
@@ -431,3 +431,54 @@ def test_answers_from_effects_to_prompt(spark):
 def test_scans_of_lineitem(spark, key, most):
     plan = REGISTRY[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") <= most
+
+
+def _odd_documents():
+    texts = ['plain', 'a }, { "perturbation": "x" } text', '},{', 'quote " and \\ backslash \\"', 'é 中文 👩', '{}', ']}', '', 'long ' * 3000]
+    return [{"perturbation": f"P{i}, {{", "text": t, "metadata": {"n_significant": i, "top_up_genes": ["},{", "]", t[:20]], "max_log2fc": 1.5e-3}} for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("step", [1, 7, 50, 10**6])
+def test_entries_of_every_byte_range(indent, step):
+    import json
+
+    from pertlake.sources.json_entries import entries
+
+    docs = _odd_documents()
+    cases = [("array", docs), ("array", []), ("map", {d["perturbation"] + d["text"][:30]: [1.0, -2.5e-3, i] for i, d in enumerate(docs)}), ("map", {}), ("map", {"k": []})]
+    for kind, value in cases:
+        if step == 1 and kind == "array":
+            value = value[:4]
+        raw = json.dumps(value, indent=indent, ensure_ascii=False).encode()
+        ends = [*range(0, len(raw), step), len(raw)]
+        got = [e for a, b in zip(ends[:-1], ends[1:]) for e in entries(lambda at, n: raw[at : at + n], len(raw), a, b, kind)]
+        want = [(None, d) for d in value] if kind == "array" else list(value.items())
+        assert [(k, json.loads(v)) for k, v in got] == want
+
+
+def test_documents_array_is_read_in_several_tasks(spark, tmp_path):
+    import json
+
+    from pertlake.sources import store
+
+    docs = _odd_documents()
+    path = tmp_path / "documents.json"
+    path.write_text(json.dumps(docs, indent=2))
+    df = store.read_documents_array(spark, str(path), split_bytes=2000)
+    assert df.rdd.getNumPartitions() > 5
+    got = {r["perturbation"]: r for r in df.collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r = got[d["perturbation"]]
+        assert r["text"] == d["text"] and r["metadata"]["top_up_genes"] == d["metadata"]["top_up_genes"] and r["metadata"]["n_significant"] == d["metadata"]["n_significant"]
+
+
+@pytest.mark.parametrize("n, few, digits", [(1, 4096, 4), (777, 3, 1), (1000, 5, 2), (1001, 5, 2), (0, 5, 2)])
+def test_nth_smallest_hash(spark, n, few, digits):
+    import hashlib
+
+    keys = [f"k{i}" for i in range(1000)]
+    rows = spark.createDataFrame([(k, hashlib.md5(k.encode()).hexdigest()) for k in keys], "k string, h string")
+    want = sorted((hashlib.md5(k.encode()).hexdigest(), k) for k in keys)
+    assert prof.nth_smallest(rows, "h", "k", n, digits, few) == (want[n - 1] if 0 < n <= 1000 else None)
