@@ -17,7 +17,8 @@ it in each set. So the smaller set has it in an even shorter prefix (it is ``sho
 bucket holds the classes with a shingle in their prefix; buckets of a single class, or without a
 short member, make no link. Buckets with the same members count once. A pair is compared only if
 it can link: what its prefixes share (all of it lies in buckets) and what is left behind the
-prefix that ends first reach the threshold together.
+prefix that ends first reach the threshold together, and if what other candidates hold of each
+of the two does.
 
 Rounds. All pairs of a bucket aren't needed, only its components. In a round every class is
 compared with one leader (later with 4, 16, ...): the first in leader order among the first
@@ -70,6 +71,7 @@ SALTS = 16
 FIRST_LEADERS, MORE_LEADERS = 2, 8  # of a bucket
 MORE_PAIRS = 4  # per class, from one round to the next
 WORK = 64  # comparisons of narrow rows per member that count as few
+VOLUME = 3  # shingles to compare, as a multiple of those of all classes in buckets, that count as few
 LEADER_CHUNK = 256
 _MANY = (1 << 20) - 1
 
@@ -331,6 +333,22 @@ def _untested(candidates: DataFrame, tested: DataFrame | None) -> DataFrame:
     return candidates
 
 
+def _linkable(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that can link although no other class of ``found`` holds some of their shingles.
+
+    A shingle that one class alone holds lies in no overlap, so an overlap is at most what a class
+    shares with any of the others. Near copies beyond the threshold mostly go here: every word
+    changed in one of them makes shingles that are its own.
+    """
+    classes = found.select("class").unionByName(found.select(F.col("leader").alias("class"))).distinct()
+    rows = sets.join(classes, "class", "left_semi").select("class", F.explode("shingles").alias("shingle"))
+    alone = rows.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("high")).filter(F.col("class") == F.col("high"))
+    counts = materialize(alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone")), "op9-alone")
+    of_leader = counts.select(F.col("class").alias("leader"), F.col("alone").alias("alone_l"))
+    most = F.least(F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n_l") - F.coalesce("alone_l", F.lit(0)))
+    return found.join(counts, "class", "left").join(of_leader, "leader", "left").filter(_enough(most)).drop("alone", "alone_l")
+
+
 def _first_per_class(candidates: DataFrame, pairs: int | None) -> DataFrame:
     """The first ``pairs`` candidates of every class in leader order (None: all), each pair once."""
     order = Window.partitionBy("class").orderBy("own_l", "leader")
@@ -354,10 +372,10 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
     members = materialize(buckets(texts, hot), "op9-members")
     able = members.filter("able").withColumn("own", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")).cast("int"))
     labels = materialize(able.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
-    n_wanted = labels.count()
-    if not n_wanted:
+    if labels.isEmpty():
         return labels
     n_members, n_hot = members.agg(F.count(F.lit(1)), F.count_if("hot")).first()
+    n_shingles = able.select("class", "n").distinct().agg(F.sum("n")).first()[0]
     # a bucket and its number of shingles as one number; a number beyond 20 bits counts as more than any set has
     packed = F.col("bucket").bitwiseAND(F.lit(~_MANY)).bitwiseOR(F.least("shingles", F.lit(_MANY)))
     lists = materialize(members.groupBy("class").agg(F.collect_list(packed).alias("buckets")), "op9-lists")
@@ -370,8 +388,8 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
         largest, work = sizes.agg(F.max("short"), F.sum(F.col("size") * F.col("short"))).first()
         if not largest:
             return labels
-        # where the buckets are small, in proportion to the members, all short members lead at once
-        every = work <= WORK * n_members
+        # after the first round, where the buckets are small in proportion to the members, all short members lead at once
+        every = pairs > 1 and work <= WORK * n_members
         found = materialize(_possible(_untested(_candidates(state, largest if every else leaders, n_hot), tested), lists), "op9-found")
         n_found = found.count()
         if not n_found:
@@ -379,16 +397,29 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
                 return labels
             leaders *= MORE_LEADERS
             continue
-        # all that are left, if they are about as many as the classes (most are found from both sides)
-        last = every and n_found <= 2 * n_wanted
-        chosen = materialize(_first_per_class(found, None if last else pairs), "op9-pairs")
-        n_pairs = chosen.count()
-        wanted = chosen.select("class").unionByName(chosen.select(F.col("leader").alias("class"))).distinct()
+        wanted = found.select("class").unionByName(found.select(F.col("leader").alias("class"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("class").distinct(), "class", "left_anti")
         wanted = materialize(wanted.join(one, "class"), "op9-wanted")
-        more = materialize(fragments(texts, hot, wanted, wanted.count()), "op9-sets")
-        sets = more if sets is None else sets.unionByName(more)
+        n_new = wanted.count()
+        if n_new:
+            more = materialize(fragments(texts, hot, wanted, n_new), "op9-sets")
+            sets = more if sets is None else sets.unionByName(more)
+        left = materialize(_linkable(found, sets), "op9-left")
+        # all that are left after the first round, if few (most are found from both sides)
+        volume = left.agg(F.sum("n")).first()[0] or 0
+        last = every and volume <= 2 * VOLUME * n_shingles
+        chosen = materialize(_first_per_class(left, None if last else pairs), "op9-pairs")
+        n_pairs = chosen.count()
+        # what cannot link is settled, like what is compared now
+        done = found.select("class", "leader").join(left, ["class", "leader"], "left_anti").unionByName(chosen.select("class", "leader"))
+        done = materialize(done, "op9-tested")
+        tested = done if tested is None else tested.unionByName(done)
+        if not n_pairs:
+            if last or leaders >= largest:
+                return labels
+            leaders *= MORE_LEADERS
+            continue
         counted = overlaps(chosen, n_pairs, sets)
         enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
         links = materialize(counted.filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b")).distinct(), "op9-links")
@@ -399,8 +430,6 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
             )
         if last:
             return labels
-        done = chosen.select("class", "leader")
-        tested = done if tested is None else tested.unionByName(done)
         pairs *= MORE_PAIRS
         if not links.isEmpty():
             state = state.drop("component").join(labels, state["class"] == labels["node"]).drop("node")

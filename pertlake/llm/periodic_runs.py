@@ -247,7 +247,9 @@ def _fragments(tiles: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_a", "text_b", "period", "start", "stop"])
 
-    dealt = tiles.select("doc_id", "text_a", "text_b", "octave", "base", "centers", "words").repartition("doc_id", "text_a", "octave", "base")
+    # little data and much work: a number of partitions of its own keeps them from being merged by size
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.select("doc_id", "text_a", "text_b", "octave", "base", "centers", "words").repartition(n, "doc_id", "text_a", "octave", "base")
     return dealt.mapInArrow(solve, "doc_id long, text_a long, text_b long, period long, start long, stop long")
 
 
