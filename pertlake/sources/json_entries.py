@@ -98,11 +98,13 @@ def entries(read, size: int, start: int, stop: int, kind: str) -> Iterator[tuple
     # a border may lie across the range's start: look back over its white space
     base = max(0, start - 64)
     body = read(base, min(size, stop) - base)
-    if start == 0:
+    if start == 0:  # the first entry belongs to the first range, wherever it starts
+        body = read(0, min(size, stop + _MORE))
         opening = re.compile(rb"\s*[\[{]\s*").match(body)
         if opening is None:
             raise ValueError("the file holds no object or array")
         starts = iter([opening.end()]) if body[opening.end() : opening.end() + 1] not in (b"", b"}", b"]") else iter([])
+        stop = max(stop, opening.end() + 1)
     else:
         starts = (m.end() for m in _BORDER[kind].finditer(body) if base + m.end() >= start)
     for first in starts:
