@@ -171,8 +171,9 @@ def _kernel_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and normalised weights of whole words (their first window)."""
     raw = [w.encode()[:WIDTH] for w in words]
     body = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    symbols, owner = symbol_rows(body, ends - [len(r) for r in raw], ends)
+    lengths = np.array([len(r) for r in raw], np.int64)  # of no words too
+    ends = np.cumsum(lengths)
+    symbols, owner = symbol_rows(body, ends - lengths, ends)
     codes, weights = subsequences(symbols)
     return codes, weights / np.sqrt(np.maximum(self_kernel(codes, weights), 1e-12))[:, None]
 

@@ -89,6 +89,13 @@ def test_subsequence_kernel():
     assert got[0, 1] > 0.5 > got[0, 3]
 
 
+def test_no_hard_words():
+    """The first round knows no hard words: the kernel of no words has no rows."""
+    codes, weights = toxicity._kernel_rows([])
+    assert len(codes) == len(weights) == 0
+    assert toxicity._unlike([], 5) == []
+
+
 @pytest.fixture(scope="module")
 def toxic_rows():
     rnd = np.random.default_rng(4)
