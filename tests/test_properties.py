@@ -482,3 +482,28 @@ def test_nth_smallest_hash(spark, n, few, digits):
     rows = spark.createDataFrame([(k, hashlib.md5(k.encode()).hexdigest()) for k in keys], "k string, h string")
     want = sorted((hashlib.md5(k.encode()).hexdigest(), k) for k in keys)
     assert prof.nth_smallest(rows, "h", "k", n, digits, few) == (want[n - 1] if 0 < n <= 1000 else None)
+
+
+def _peak(call):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_profile_entries_are_multiplied_in_bounded_blocks():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    to, at = np.sort(rnd.integers(0, 500, 100_000)), rnd.integers(0, 300, 100_000)
+    value, table = rnd.standard_normal(len(to)), rnd.standard_normal((300, 64))
+    want, got = np.ones((500, 64)), np.ones((500, 64))
+    np.add.at(want, to, value[:, None] * table[at])  # 51 MB at once
+    _, peak = _peak(lambda: emb._add_rows(got, to, value, table, at))
+    assert np.abs(got - want).max() < 1e-9
+    assert peak < 4 * emb.ENTRIES * 64 * 8
+    emb._add_rows(got, to[:0], value[:0], table, at[:0])
+    assert np.abs(got - want).max() < 1e-9
