@@ -26,6 +26,7 @@ from pertlake.session import written
 
 DEFAULT_K = 3
 BLOCK_BYTES = 64 << 20
+SCORE_BYTES = 16 << 20  # of the scores a task computes at a time
 PIVOTS = 1024
 QUERY_ROWS = 1 << 20  # of one copy of a block
 SLACK = 1e-9  # of a bound, against rounding
@@ -126,8 +127,10 @@ class Block:
     """Index rows of a task: ids in ascending order and their vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        if (ids[1:] < ids[:-1]).any():
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids, vectors
 
     def best(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the first k rows per query under (score desc, id asc)."""
@@ -150,7 +153,7 @@ _HITS = "query_id long, id long, score double"
 
 
 def _hits(query_ids: np.ndarray, block: Block, queries: np.ndarray, k: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    rows = max(1, min(rows, (BLOCK_BYTES // 8) // max(1, len(block.ids))))
+    rows = max(1, min(rows, (SCORE_BYTES // 8) // max(1, len(block.ids))))
     for a in range(0, len(queries) if len(block.ids) else 0, rows):
         ids, scores = block.best(queries[a : a + rows], k)
         yield pa.record_batch(
@@ -158,6 +161,14 @@ def _hits(query_ids: np.ndarray, block: Block, queries: np.ndarray, k: int, rows
         )
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], scores: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows that ``scores`` a row take SCORE_BYTES."""
+    rows = max(1, (SCORE_BYTES // 8) // max(1, scores))
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _search_one_block(q: DataFrame, block: Block, k: int) -> DataFrame:
     held = q.sparkSession.sparkContext.broadcast(block)
 
@@ -178,16 +189,15 @@ def _cells(x: DataFrame, pivots: np.ndarray) -> DataFrame:
     held = x.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = _matrix(batch.column(1))
-                angle = _angles(v, held.value)
-                cell = angle.argmin(axis=1)
-                unit = np.abs((v * v).sum(axis=1) - 1.0) < 1e-6
-                yield pa.record_batch(
-                    [pa.array(np.where(unit, cell, -1)), pa.array(angle[np.arange(len(v)), cell]), batch.column(0), batch.column(1)],
-                    names=["cell", "angle", "id", "v"],
-                )
+        for batch in _few_rows(batches, len(held.value)):
+            v = _matrix(batch.column(1))
+            angle = _angles(v, held.value)
+            cell = angle.argmin(axis=1)
+            unit = np.abs((v * v).sum(axis=1) - 1.0) < 1e-6
+            yield pa.record_batch(
+                [pa.array(np.where(unit, cell, -1)), pa.array(angle[np.arange(len(v)), cell]), batch.column(0), batch.column(1)],
+                names=["cell", "angle", "id", "v"],
+            )
 
     return x.mapInArrow(assign, "cell long, angle double, id long, v array<double>")
 
@@ -200,9 +210,7 @@ def _routed(q: DataFrame, pivots: np.ndarray, cells: dict[int, tuple[float, floa
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, names, low, high, loose = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _few_rows(batches, len(pivots)):
             v = _matrix(batch.column(1))
             scores = v @ pivots.T
             reach = np.full(len(v), -np.inf) if len(pivots) < k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
@@ -238,9 +246,10 @@ def _stream_blocks(k: int):
                 if kind[a] == 0:
                     ids.append(some)
                     vectors.append(m)
-                elif ids:
+                elif ids or block is not None:
                     if block is None:
                         block = Block(np.concatenate(ids), np.vstack(vectors))
+                        ids, vectors = [], []  # held once
                     yield from _hits(some, block, m, k)
 
     return search
@@ -262,7 +271,7 @@ def _search_cells(q: DataFrame, x: DataFrame, k: int, n: int, row_bytes: int, bl
     queries = routed.select(F.explode("cells").alias("cell"), "query_id", "v").select(
         "cell", F.explode(upto(table(parts))).alias("part"), F.pmod(F.xxhash64("query_id"), table(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v"
     )
-    dealt = blocks.unionByName(queries).repartition("cell", "part", "copy").sortWithinPartitions("cell", "part", "copy", "kind")
+    dealt = blocks.unionByName(queries).repartition("cell", "part", "copy").sortWithinPartitions("cell", "part", "copy", "kind", "id")
     return dealt.mapInArrow(_stream_blocks(k), _HITS)
 
 

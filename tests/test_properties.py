@@ -507,3 +507,15 @@ def test_profile_entries_are_multiplied_in_bounded_blocks():
     assert peak < 4 * emb.ENTRIES * 64 * 8
     emb._add_rows(got, to[:0], value[:0], table, at[:0])
     assert np.abs(got - want).max() < 1e-9
+
+
+def test_search_holds_few_scores_at_a_time():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    block = idx.Block(rnd.permutation(20_000), rnd.standard_normal((20_000, 4)))
+    queries = rnd.standard_normal((500, 4))
+    hits, peak = _peak(lambda: list(idx._hits(np.arange(500), block, queries, 3)))  # 80 MB of scores
+    assert peak < 5 * idx.SCORE_BYTES
+    best = np.argsort(-(queries @ block.vectors.T), axis=1, kind="stable")[:, :3]
+    assert np.concatenate([h.column("id").to_numpy() for h in hits]).tolist() == block.ids[best].ravel().tolist()
