@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pertlake.functions.columns import entity_words, is_entity
 from pertlake.functions.ranking import global_row_number
 from pertlake.operators.index import centroid_vector, knn_single
+from pertlake.session import written
 
 DEFAULT_K = 3
 
@@ -136,8 +137,59 @@ def _part(label: str = "label", text: str = "text") -> Column:
     return F.concat(F.lit("["), F.col(label), F.lit("]\n"), F.col(text))
 
 
-def context_block(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """The first k retrieved documents per question, each under its label (``hits`` with text)."""
+def question_slots(hits: DataFrame) -> DataFrame:
+    """query_id, _slots (label, vec_id of its name hits in slot order; empty if all its hits are similar ones), written."""
+    named = F.when(F.col("source_kind") == "name", F.struct("rank", "label", "vec_id"))
+    slots = F.transform(F.array_sort(F.collect_list(named)), lambda x: F.struct(x["label"].alias("label"), x["vec_id"].alias("vec_id")))
+    return written(hits.groupBy("query_id").agg(slots.alias("_slots")), "question-slots")
+
+
+def _shown(text: str, place: str) -> Column:
+    return F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(place, _part("label", text).alias("p")))))
+
+
+def _joined(parts: str) -> Column:
+    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda x: x["p"]), "\n\n"))
+
+
+def named_contexts(named: DataFrame, slots: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """``named`` (rows with ``_slots``, not empty) with n_shown, context, sources.
+
+    A context is built once per distinct list of first k slots, so a document's text is moved
+    once per such list and not once per question that asks for it.
+    """
+    texts = index.select(F.col("vec_id").cast("long").alias("vec_id"), "text")
+    lists = slots.filter(F.size("_slots") > 0).select(F.slice("_slots", 1, k).alias("_list")).distinct()
+    placed = lists.select("_list", F.posexplode("_list").alias("_place", "_slot")).select("_list", "_place", "_slot.label", "_slot.vec_id")
+    built = placed.join(texts, "vec_id", "left").groupBy("_list").agg(_shown("text", "_place").alias("_ctx"), F.array_sort(F.collect_list("_place")).alias("_places"))
+    contexts = built.select("_list", F.size("_ctx").alias("n_shown"), _joined("_ctx").alias("context"), "_places")
+    # a slot is listed once per row of the index with its id, as its text is shown
+    first = F.transform("_places", lambda i: F.get("_slots", i)["label"])
+    rest = F.transform(F.filter("_slots", lambda x, i: i >= k), lambda x: x["label"])
+    out = named.withColumn("_list", F.slice("_slots", 1, k)).join(contexts, "_list")
+    return out.withColumn("sources", F.array_join(F.concat(first, rest), ", ")).drop("_list", "_places")
+
+
+def near_context(index: DataFrame, fallback: DataFrame, k: int = DEFAULT_K) -> Column:
+    """n_shown, context, sources of every question without a name hit: one scalar struct."""
+    texts = index.select(F.col("vec_id").cast("long").alias("vec_id"), "text")
+    near = fallback.filter(F.col("rank") <= k).withColumn("vec_id", F.col("vec_id").cast("long")).join(texts, "vec_id")
+    one = near.agg(_shown("text", "rank").alias("_ctx"), F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("_src"))
+    sources = F.array_join(F.transform("_src", lambda x: x["label"]), ", ")
+    return one.select(F.struct(F.size("_ctx").alias("n_shown"), _joined("_ctx").alias("context"), sources.alias("sources"))).scalar()
+
+
+def context_block(hits: DataFrame, k: int = DEFAULT_K, index: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
+    """The first k retrieved documents per question, each under its label.
+
+    ``hits`` with text; or without, with the written ``index`` and ``fallback`` that they come
+    from: no text is then moved per question (see :func:`named_contexts`).
+    """
+    if index is not None:
+        slots = question_slots(hits.filter(F.col("rank") <= k))
+        named = named_contexts(slots.filter(F.size("_slots") > 0), slots, index, k).select("query_id", "context")
+        rest = slots.filter(F.size("_slots") == 0).select("query_id", near_context(index, fallback, k)["context"].alias("context"))
+        return named.unionByName(rest).filter(F.col("context").isNotNull())
     top = hits.filter((F.col("rank") <= k) & F.col("text").isNotNull())
     return top.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", _part().alias("p")))), lambda x: x["p"]), "\n\n").alias("context")
@@ -159,11 +211,29 @@ def _context_and_sources(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _questions_in_context(questions: DataFrame, hits: DataFrame, index: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
+    """``questions`` (with query_id, and any other columns) with n_shown, context, sources."""
+    slots = question_slots(hits)
+    found = slots.filter(F.size("_slots") > 0)
+    named = named_contexts(questions.join(found, "query_id"), slots, index, k).drop("_slots")
+    # null ids match nothing; without fallback rows there is no context either
+    rest = questions.join(found.select("query_id"), "query_id", "left_anti").withColumn("_near", near_context(index, fallback, k))
+    known = lambda c: F.when(F.col("query_id").isNotNull(), F.col("_near")[c]).alias(c)
+    return named.unionByName(rest.select(*questions.columns, *[known(c) for c in ("n_shown", "context", "sources")]))
+
+
 def augmented_prompt(questions: DataFrame, hits: DataFrame, k: int = DEFAULT_K,
-                     id_col: str = "query_id", text_col: str = "question") -> DataFrame:
-    """The user message: the question, then the retrieved documents and their labels (``hits`` with text)."""
+                     id_col: str = "query_id", text_col: str = "question",
+                     index: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
+    """The user message: the question, then the retrieved documents and their labels.
+
+    ``hits`` with text; or without, with the written ``index`` and ``fallback`` that they come
+    from."""
     q = questions.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("question"))
-    j = q.join(_context_and_sources(hits, k), "query_id", "left")
+    if index is not None:
+        j = _questions_in_context(q, hits, index, fallback, k)
+    else:
+        j = q.join(_context_and_sources(hits, k), "query_id", "left")
     sources = F.when(F.coalesce(F.length("sources"), F.lit(0)) > 0, F.col("sources")).otherwise(F.lit(NO_SOURCES))
     prompt = F.concat(
         F.lit("QUESTION\n"), F.col("question"),

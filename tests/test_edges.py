@@ -262,3 +262,18 @@ def test_written_index_holds_text_and_metadata(spark, monkeypatch):
         for r in rows:
             d = docs[r["vec_id"]]
             assert (r["text"], *r["metadata"]) == (d["text"], d["lang"], d["source"], d["n_chars"])
+
+
+def test_contexts_from_the_index_equal_those_of_hits_with_text(spark):
+    """Texts are moved once per list of slots, with the same results for repeated and null ids, repeated index rows and lists longer than k."""
+    rows = [(1, "AB1", "one", [1.0, 0.0]), (2, "CD2", None, [0.9, 0.1]), (3, "EF3", "three", [0.5, 0.5]), (3, "EF3", "three", [0.5, 0.5]), (4, "GH4", "four", [0.0, 1.0])]
+    index = spark.createDataFrame(rows, "vec_id long, label string, text string, embedding array<double>")
+    asked = [(1, "of AB1"), (2, "none"), (3, "EF3 AB1 EF3 GH4 CD2"), (3, "and GH4"), (4, "CD2"), (5, "CD2"), (6, None), (None, "AB1"), (None, "no"), (7, "of AB1")]
+    qs = spark.createDataFrame(asked, "query_id long, question string")
+    order = lambda df: sorted(map(str, df.collect()))
+    for near in (ret.fallback_hits(index, 3), ret.fallback_hits(index, 3).limit(0)):
+        full = ret.retrieve_context(qs, index, 3, with_text=True, fallback=near)
+        plain = ret.retrieve_context(qs, index, 3, fallback=near)
+        at = {"index": index, "fallback": near}
+        assert order(ret.context_block(plain, 3, **at)) == order(ret.context_block(full, 3))
+        assert order(ret.augmented_prompt(qs, plain, 3, **at)) == order(ret.augmented_prompt(qs, full, 3))
