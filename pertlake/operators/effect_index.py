@@ -25,9 +25,10 @@ SCORE_DIGITS = 9  # scores are compared after rounding, so that the order of a s
 def effect_index(documents: DataFrame, unit: DataFrame) -> DataFrame:
     """vec_id, label, text, metadata of every perturbation that has a document and a profile."""
     profiled = unit.select("perturbation").distinct()
-    both = documents.join(profiled, "perturbation", "left_semi")
-    numbered = global_row_number(both, [F.col("perturbation").asc()], "vec_id")
-    return numbered.select("vec_id", F.col("perturbation").alias("label"), "text", "metadata")
+    names = documents.select("perturbation").join(profiled, "perturbation", "left_semi")
+    # only names are sorted; a document is moved once, to its number
+    numbered = global_row_number(names, [F.col("perturbation").asc()], "vec_id")
+    return numbered.join(documents, "perturbation").select("vec_id", F.col("perturbation").alias("label"), "text", "metadata")
 
 
 def without_vector(documents: DataFrame, unit: DataFrame) -> DataFrame:

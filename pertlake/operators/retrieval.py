@@ -234,13 +234,18 @@ def augmented_prompt(questions: DataFrame, hits: DataFrame, k: int = DEFAULT_K,
         j = _questions_in_context(q, hits, index, fallback, k)
     else:
         j = q.join(_context_and_sources(hits, k), "query_id", "left")
+    return _with_prompt(j).select("query_id", "question", "prompt", "sources")
+
+
+def _with_prompt(rows: DataFrame) -> DataFrame:
+    """``rows`` (question, n_shown, context, sources, ...) with prompt; without labels, sources say so."""
     sources = F.when(F.coalesce(F.length("sources"), F.lit(0)) > 0, F.col("sources")).otherwise(F.lit(NO_SOURCES))
     prompt = F.concat(
         F.lit("QUESTION\n"), F.col("question"),
         F.lit("\n\nINDEX DOCUMENTS ("), F.coalesce(F.col("n_shown"), F.lit(0)).cast("string"), F.lit(")\n"), F.coalesce(F.col("context"), F.lit("")),
         F.lit("\n\nLABELS\n"), sources,
     )
-    return j.select("query_id", "question", prompt.alias("prompt"), sources.alias("sources"))
+    return rows.withColumns({"prompt": prompt, "sources": sources})
 
 
 def system_text(catalog: DataFrame, label: str = "label", per_part: int = LABELS_PER_PART) -> DataFrame:
@@ -272,6 +277,22 @@ def question_from_template(requests: DataFrame, name_col: str = "perturbation",
     return F.replace(chosen, F.lit("{p}"), F.col(name_col))
 
 
+def _catalog_texts(index: DataFrame) -> DataFrame:
+    """name_key, matched_label, metadata, _copies, _texts: per name its first row, with the texts of all rows of its vec_id."""
+    cat = catalog_by_name(index.select("label", "vec_id", "metadata", "text")).withColumnRenamed("label", "matched_label")
+    shown = F.when(F.col("vec_id").isNotNull() & F.col("text").isNotNull(), F.array("text")).otherwise(F.array().cast("array<string>"))
+    cat = cat.withColumn("_copies", F.lit(1).cast("long")).withColumn("_texts", shown).drop("text")
+    repeated = written(index.groupBy("vec_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and vec_id is not null"), "repeated-ids")
+    if not repeated.isEmpty():
+        texts = index.select("vec_id", "text").join(repeated, "vec_id").groupBy("vec_id").agg(
+            F.first("_n").alias("_n"), F.array_sort(F.collect_list("text")).alias("_all")
+        )
+        cat = cat.join(texts, "vec_id", "left").withColumns(
+            {"_copies": F.coalesce("_n", "_copies"), "_texts": F.coalesce("_all", "_texts")}
+        )
+    return cat.select("name_key", "matched_label", "metadata", "_copies", "_texts")
+
+
 def structured_requests(
     requests: DataFrame, index: DataFrame, k: int = DEFAULT_K, completions: DataFrame | None = None, fallback: DataFrame | None = None,
 ) -> DataFrame:
@@ -281,20 +302,49 @@ def structured_requests(
     referred to (its content is the table of :func:`system_text`), not copied into every
     row. ``completions`` (request_id, answer) is optional; the answer is NULL without it.
     Metadata comes from a case-insensitive lookup of the requested name; no match
-    gives an empty metadata struct (all fields NULL).
+    gives an empty metadata struct (all fields NULL). A request_id stands for one request.
+
+    A question that names nothing but its own perturbation is answered by the row of that
+    lookup, or by the fallback: one join of the requests with the catalogue gives context and
+    metadata, and prompts are built behind it, so a text is moved once and not once per request.
+    Questions that hold other names go through :func:`retrieve_context`.
     """
+    near = written(fallback_hits(index, k), "fallback") if fallback is None else fallback
     req = requests.withColumn("question", question_from_template(requests))
-    qs = req.select(F.col("request_id").alias("query_id"), "question")
-    prompts = augmented_prompt(qs, retrieve_context(qs, index, k, with_text=True, fallback=fallback), k)
+    names = F.coalesce(F.filter(entity_words(F.col("question")), is_entity), F.array().cast("array<string>"))
+    name = F.upper("perturbation")
+    others = F.exists(names, lambda m: m != name)
+    if completions is None:
+        asked = req.withColumn("answer", F.lit(None).cast("string"))
+    else:
+        asked = req.join(completions.select("request_id", "answer"), "request_id", "left")
+    cat = _catalog_texts(index)
+
+    # one slot per mention; the texts of the first k are shown, each with all rows of its vec_id
+    plain = asked.filter(~others).withColumn("_n", F.size(names)).drop("question")
+    found = plain.join(cat, name == cat["name_key"], "left").withColumn("question", question_from_template(plain))
+    found = found.withColumn("_near", near_context(index, near, k)).withColumn("_shown", F.least("_n", F.lit(k)))
+    hit = (F.col("_n") > 0) & F.col("matched_label").isNotNull()
+    parts = F.transform("_texts", lambda t: F.concat(F.lit("["), F.col("matched_label"), F.lit("]\n"), t))
+    n_shown = F.size("_texts") * F.col("_shown")
+    listed = (F.col("_copies") * F.col("_shown") + F.col("_n") - F.col("_shown")).cast("int")
+    own = {
+        "n_shown": n_shown,
+        "context": F.when(n_shown > 0, F.array_join(F.flatten(F.array_repeat(parts, F.col("_shown"))), "\n\n")),
+        "sources": F.array_join(F.array_repeat("matched_label", listed), ", "),
+    }
+    out = _with_prompt(found.withColumns({c: F.when(hit, own[c]).otherwise(F.col("_near")[c]) for c in own}))
+    fields = [*asked.columns, "prompt", "sources", "matched_label", "metadata"]
+    out = out.select(*fields)
+    rest = req.filter(others)
+    if not rest.isEmpty():
+        qs = rest.select(F.col("request_id").alias("query_id"), "question")
+        prompts = augmented_prompt(qs, retrieve_context(qs, index, k, fallback=near), k, index=index, fallback=near)
+        prompts = prompts.select(F.col("query_id").alias("request_id"), "prompt", "sources")
+        more = asked.filter(others).join(prompts, "request_id", "left").join(cat, name == cat["name_key"], "left")
+        out = out.unionByName(more.select(*fields))
     msgs = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(None).cast("string").alias("content")),
         F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
     )
-    out = req.join(prompts.select(F.col("query_id").alias("request_id"), "prompt", "sources"), "request_id", "left")
-    meta = lookup_by_name(
-        req.select("request_id", F.col("perturbation").alias("name")), index.select("label", "metadata", "vec_id")
-    ).select("request_id", F.col("label").alias("matched_label"), "metadata")
-    out = out.join(meta, "request_id", "left").withColumn("messages", msgs)
-    if completions is not None:
-        return out.join(completions.select("request_id", "answer"), "request_id", "left")
-    return out.withColumn("answer", F.lit(None).cast("string"))
+    return out.withColumn("messages", msgs)

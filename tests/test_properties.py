@@ -427,6 +427,36 @@ def test_answers_from_effects_to_prompt(spark):
     assert got[3]["metadata"]["note"] == "d4" and got[3]["sources"] == got[2]["sources"]
 
 
+def test_requests_for_one_name_move_no_text_per_request(spark, capsys):
+    from pertlake.operators import retrieval as ret
+    from pertlake.session import written
+
+    rows = [(1, "A1", "one"), (2, "B2", "two"), (2, "B2", "two again"), (3, "c3", None), (4, "a1", "later"), (5, "D4", "four")]
+    index = spark.createDataFrame(rows, "vec_id long, label string, text string").withColumn("metadata", F.struct(F.length("label").alias("n"), "label"))
+    index = written(index, "t-index")
+    near = written(spark.createDataFrame([(1, "D4", 5, 0.5), (2, "B2", 2, 0.25)], "rank long, label string, vec_id long, score double"), "t-near")
+    names = ["A1", "a1", "B2", "C3", "c3", "ZZ", "B2 or D4", "D4 D4", "B2, B2, B2 and A1", "b2 B2", "", None]
+    rows = [(2 * i + j, p, t) for i, p in enumerate(names) for j, t in enumerate(("mechanism", "unknown"))]
+    req = written(spark.createDataFrame(rows, "request_id long, perturbation string, question_type string"), "t-req")
+    answers = spark.createDataFrame([(0, "yes"), (5, "no"), (99, "none")], "request_id long, answer string")
+    q = req.select(F.col("request_id").alias("query_id"), ret.question_from_template(req).alias("question"))
+    for k in (1, 2, 3):
+        want = ret.augmented_prompt(q, ret.retrieve_context(q, index, k, with_text=True, fallback=near), k)
+        want = want.join(answers, F.col("query_id") == F.col("request_id"), "left").select("query_id", "question", "prompt", "sources", "answer")
+        got = ret.structured_requests(req, index, k, answers, fallback=near)
+        assert sorted(map(repr, got.select(F.col("request_id").alias("query_id"), "question", "prompt", "sources", "answer").collect())) == sorted(map(repr, want.collect()))
+        found = {r["perturbation"]: r["matched_label"] for r in got.collect()}
+        assert found == {"A1": "A1", "a1": "A1", "B2": "B2", "C3": "c3", "c3": "c3", "ZZ": None, "": None, None: None,
+                         **{n: None for n in names if n and " " in n}}
+    plain = written(req.filter("perturbation not like '% %'"), "t-plain")
+    capsys.readouterr()
+    ret.structured_requests(plain, index, 3, fallback=near).explain("formatted")
+    inputs = [line for line in capsys.readouterr().out.split("Exchange\n")[1:] if line.startswith("Input")]
+    moved = [{c.strip().split("#")[0] for c in line.split("\n")[0].split("[", 2)[-1].rstrip("]").split(",")} for line in inputs]
+    assert moved and not any(m & {"query_id"} for m in moved)
+    assert all(m <= {"request_id", "perturbation", "question_type", "_n", "answer"} for m in moved if "request_id" in m)
+
+
 @pytest.mark.parametrize("key, most", [("documents_text", 2), ("document_metadata", 2), ("documents_sparse", 2), ("profile_unit", 1)])
 def test_scans_of_lineitem(spark, key, most):
     plan = REGISTRY[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
