@@ -340,10 +340,10 @@ strongest first, at most top_n / top_n / 1 entries) and ``cells`` (array of
     named = F.when((F.col("rank") == 1) & F.col("cell_type").isNotNull(), F.struct(entry["o"].alias("o"), "cell_type"))
     lists = ranked.groupBy(*group_cols).agg(
         *[
-            F.slice(F.array_sort(F.collect_list(F.when(F.col("direction") == d, entry))), 1, n).alias(d)
+            F.slice(F.sort_array(F.collect_list(F.when(F.col("direction") == d, entry))), 1, n).alias(d)
             for d, n in (("up", top_n), ("down", top_n), ("zero", 1))
         ],
-        F.array_sort(F.collect_list(named)).alias("cells"),
+        F.sort_array(F.collect_list(named)).alias("cells"),
     )
     st = _join_keys(counts, lists.withColumn("cells", _first_per_cell(F.col("cells"))), group_cols)
     empty = F.array()
@@ -368,7 +368,7 @@ def merge_document_state(states: DataFrame, top_n: int = DEFAULT_TOP_N, group_co
         F.sum("n_downregulated").cast("long").alias("n_downregulated"),
         F.max("max_sig").alias("max_sig"),
         F.min("min_sig").alias("min_sig"),
-        *[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("up", "down", "zero", "cells")],
+        *[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("up", "down", "zero", "cells")],
     )
     return g.select(
         *group_cols, "n_significant", "n_upregulated", "n_downregulated", "max_sig", "min_sig",

@@ -2,9 +2,11 @@
 
 A table holds rows per key under ``batch_id=<b>/bucket=<k>``. A batch writes only the rows of the
 keys it touched, as a new version; the current row of a key is the one of the latest live batch
-(merge on read). The manifest of batch b lists the live batches. After ``COMPACT_AFTER`` live
-batches the next one writes every current row and is the only live batch, so a read never merges
-more than ``COMPACT_AFTER + 1`` versions and a key's row is rewritten once per that many batches.
+(merge on read). The manifest of batch b lists the live batches. When those after the first hold as
+many rows as the first (:func:`outgrown`), or after ``COMPACT_AFTER`` live batches, the next one
+writes every current row and is the only live batch. So a read never merges more than
+``COMPACT_AFTER + 1`` versions, and batches that touch most keys leave two of them, not that many;
+the rows that a compacting batch writes again are paid for by as many written before.
 
 A batch reads what the manifest *before* it lists and overwrites only its own partition, so a
 replayed batch id gives the same result. Retention deletes batches that neither the manifest
@@ -53,6 +55,15 @@ def read_live(spark: SparkSession, path: str, live: list[int], buckets: list[int
     return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
 
+def outgrown(spark: SparkSession, path: str, live: list[int]) -> bool:
+    """Do the live batches after the first, the last that held every current row, hold as many rows as it?"""
+    if len(live) < 2:
+        return False
+    rows = {int(b): n for b, n in read_live(spark, path, live).groupBy("batch_id").count().collect()}  # at most COMPACT_AFTER + 1
+    first = rows.pop(min(live), 0)
+    return sum(rows.values()) >= first
+
+
 def current(versions: DataFrame, key: str) -> DataFrame:
     """The latest version of every key, without batch_id and bucket."""
     newest = Window.partitionBy(key).orderBy(F.col("batch_id").desc())

@@ -15,8 +15,8 @@ New effect rows arrive as files. Each micro-batch (``foreachBatch``):
 
 State and documents are versioned delta tables (:mod:`pertlake.streaming.deltas`): a batch that
 touches one perturbation writes one state row and one document, whatever the number of
-perturbations seen before; the current rows are merged on read, and a compacting batch every
-``COMPACT_AFTER`` batches writes all of them. After any sequence of batches
+perturbations seen before; the current rows are merged on read, and a compacting batch writes all of
+them once the later versions are as many as the perturbations, or after ``COMPACT_AFTER`` batches. After any sequence of batches
 :func:`read_documents` equals a batch rebuild over all rows.
 """
 
@@ -64,20 +64,20 @@ def refresh_batch(
     try:
         rows = spark.read.schema(batch.schema).parquet(f"{effects_path}/batch_id={bid}")
         new = document_state(rows, top_n, threshold, (KEY,), tiebreak)
-        keys = rows.select(KEY).filter(f"{KEY} is not null").distinct().withColumn("bucket", snap.bucket_of(KEY, n_buckets))
-        touched = snap.touched_buckets(keys)
+        keys = rows.select(KEY).filter(f"{KEY} is not null").distinct()
+        touched = snap.touched_buckets(rows.filter(f"{KEY} is not null").select(snap.bucket_of(KEY, n_buckets).alias("bucket")))
     except snap.AnalysisException:  # an empty batch wrote no partition
         touched = []
     if not touched:
         deltas.commit(spark, state_path, bid, live)
         return
-    compact = len(live) >= compact_after
+    compact = len(live) >= compact_after or deltas.outgrown(spark, state_path, live)
     old = deltas.read_live(spark, state_path, live, None if compact else touched)
     parts = new.filter(f"{KEY} is not null")
     if old is not None:
         before = deltas.current(old, KEY)
         if not compact:
-            before = before.join(keys.select(KEY), KEY, "left_semi")
+            before = before.join(keys, KEY, "left_semi")
         parts = before.unionByName(parts)
     state = _write(merge_document_state(parts, top_n), state_path, bid, n_buckets)
     _write(documents_from_state(state, top_n, threshold), documents_path, bid, n_buckets)

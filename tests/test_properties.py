@@ -329,6 +329,18 @@ def test_refresh_of_one_perturbation_writes_one_row(spark):
     assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=ad.SPARSE_TIEBREAK))
 
 
+def test_refresh_of_all_perturbations_keeps_few_versions(spark):
+    from pertlake.streaming import deltas
+
+    rows = [(p, f"G{g}", g / 4 - 1, 0.01, (g * 7 + b) % 5 - 2.0, "c", b) for b in range(3) for p in "PQRS" for g in range(6)]
+    e = spark.createDataFrame(rows, "perturbation string, effect_gene string, log2fc double, padj double, score double, cell_type string, b int")
+    base = scratch_path(spark, "test-refresh-versions")
+    for b in range(3):  # every batch touches every perturbation: the third writes the only live version
+        refresh.refresh_batch(e.filter(F.col("b") == b), b, f"{base}/eff", f"{base}/docs", n_buckets=4, tiebreak=("b",))
+    assert deltas.live_batches(spark, f"{base}/docs_state", 3) == [2]
+    assert _doc_rows(refresh.read_documents(spark, f"{base}/docs")) == _doc_rows(summ.documents(e, tiebreak=("b",)))
+
+
 def test_refresh_compaction_and_retention(spark):
     import os
 
