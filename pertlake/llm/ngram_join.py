@@ -11,14 +11,22 @@ parameter.
 
 Classes. Documents with equal sets form a class; all further work is on classes.
 
+Likely classes. A shingle that one class alone holds lies in no overlap, and two sets that link
+share at least ``PERCENT`` of either. So a class goes on only if other classes hold that much of
+it, counted over all of its shingles: ``held_counts`` packs them by hash range, in four bytes and an
+owner each, and a range finds those met twice. (Two shingles of one range and equal four bytes
+count as met twice, which lets a class through at most.) Only likely classes have buckets, and what
+others hold of them is counted again among themselves. Texts that merely share lines or phrases with
+others, whose number of pairs grows with the square of the corpus, end here.
+
 Candidates. Under one order, two sets that link share a shingle in a short prefix of each, and
 the first shingle they share has at least ``share = 75 / 175`` of both sizes summed at or behind
 it in each set. So the smaller set has it in an even shorter prefix (it is ``short`` there). A
 bucket holds the classes with a shingle in their prefix; buckets of a single class, or without a
 short member, make no link. Buckets with the same members count once. A pair is compared only if
 it can link: what its prefixes share (all of it lies in buckets) and what is left behind the
-prefix that ends first reach the threshold together, and if what other candidates hold of each
-of the two does.
+prefix that ends first reach the threshold together, and if what others hold of the two does: each
+of both numbers is a bound on the overlap, and what they don't hold is part of the difference.
 
 Rounds. All pairs of a bucket aren't needed, only its components. In a round every class is
 compared with one leader (later with 4, 16, ...): the first in leader order among the first
@@ -54,6 +62,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +82,8 @@ MORE_PAIRS = 4  # per class, from one round to the next
 WORK = 64  # comparisons of narrow rows per member that count as few
 VOLUME = 3  # shingles to compare, as a multiple of those of all classes in buckets, that count as few
 LEADER_CHUNK = 256
+PACKED = 1 << 20  # shingles packed at a time, and of a hash range on average
+_NO_OWNER = (1 << 16) - 1
 _MANY = (1 << 20) - 1
 
 
@@ -154,6 +165,102 @@ def hot_shingles(texts: DataFrame, least: int, most: int) -> np.ndarray:
     return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+def _packed(keys: list[int], sets: list[np.ndarray], chunk: int, parts: int) -> pa.RecordBatch:
+    """part, chunk, prints, owners, sizes: the shingles of a chunk of classes by hash range.
+
+    A shingle of several classes of the chunk is sent once and without an owner. The row of the
+    chunk itself (part ``parts`` or more) holds the class keys, how many shingles of each are such, and their sizes.
+    """
+    size = np.array([len(s) for s in sets], np.int32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.append(True, flat[1:] != flat[:-1])
+    single = first & np.append(first[1:], True)
+    met = np.bincount(owner[~single], minlength=len(sets)).astype(np.int32)
+    flat, owner = flat[first], np.where(single, owner, np.uint16(_NO_OWNER))[first]
+    part = ((flat >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    prints = flat.astype(np.uint32)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pa.record_batch(
+        [
+            pa.array([int(part[a]) for a, _ in spans] + [parts + chunk % parts], pa.int32()),
+            pa.array([chunk] * (len(spans) + 1), pa.int64()),
+            pa.array([prints[a:b].tobytes() for a, b in spans] + [np.array(keys, np.uint64).tobytes()], pa.binary()),
+            pa.array([owner[a:b].tobytes() for a, b in spans] + [met.tobytes()], pa.binary()),
+            pa.array([None] * len(spans) + [size.tobytes()], pa.binary()),
+        ],
+        names=["part", "chunk", "prints", "owners", "sizes"],
+    )
+
+
+def held_counts(texts: DataFrame, n_shingles: int) -> DataFrame:
+    """class, n, held (how many of its shingles other classes hold too, or more) of every class."""
+    parts = n_shingles // PACKED + 1
+    packed_schema = "part int, chunk long, prints binary, owners binary, sizes binary"
+
+    def pack(batches):
+        seen: set[int] = set()
+        chunk, keys, sets, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for _, found in _sets(batches):
+            for place, key in zip(*_first_of_class(found, seen), strict=True):
+                keys.append(key)
+                sets.append(found[place])
+                size += len(found[place])
+                if size >= PACKED or len(sets) == _NO_OWNER:
+                    yield _packed(keys, sets, chunk, parts)
+                    chunk, keys, sets, size = chunk + 1, [], [], 0
+        if sets:
+            yield _packed(keys, sets, chunk, parts)
+
+    def meet(group: pa.Table) -> pa.Table:
+        """The rows of chunks as they are; of a hash range, the owners of the shingles met twice."""
+        group = group.combine_chunks()
+        if group["part"][0].as_py() >= parts:
+            return group
+        prints = [np.frombuffer(x.as_buffer(), np.uint32) for x in group["prints"]]
+        flat = np.concatenate(prints)
+        order = np.argsort(flat)
+        same = flat[order][1:] == flat[order][:-1]
+        met = np.zeros(len(flat), bool)
+        met[order[1:][same]] = True
+        met[order[:-1][same]] = True
+        ends, owners = np.cumsum([0, *map(len, prints)]), []
+        for a, b, x in zip(ends[:-1], ends[1:], group["owners"], strict=True):
+            owner = np.frombuffer(x.as_buffer(), np.uint16)[met[a:b]]
+            owners.append(owner[owner != _NO_OWNER].tobytes())
+        none = pa.nulls(len(group), pa.binary())
+        out = pa.table([group["part"], group["chunk"], none, pa.array(owners, pa.binary()), none], names=group.column_names)
+        return out.filter(pa.array([len(x) > 0 for x in owners]))
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = size = met = None
+        owners = []
+        for row in group.select(["prints", "owners", "sizes"]).to_pylist():
+            if row["sizes"] is None:
+                owners.append(np.frombuffer(row["owners"], np.uint16))
+            else:
+                keys, met, size = np.frombuffer(row["prints"], np.int64), np.frombuffer(row["owners"], np.int32), np.frombuffer(row["sizes"], np.int32)
+        held = met + np.bincount(np.concatenate([np.empty(0, np.uint16), *owners]), minlength=len(keys)).astype(np.int32)
+        return pa.table([pa.array(keys), pa.array(size), pa.array(held)], names=["class", "n", "held"])
+
+    met = texts.mapInArrow(pack, packed_schema).groupBy("part").applyInArrow(meet, packed_schema)
+    counts = met.groupBy("chunk").applyInArrow(count, "class long, n int, held int")
+    # a class may be there once per input task
+    return counts.groupBy("class").agg(F.max("n").alias("n"), F.max("held").alias("held"))
+
+
+def likely_classes(texts: DataFrame, one: DataFrame, n_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The texts (one of each class, with its copies in id and text) of the classes that can link, and class, held of those."""
+    enough = F.col("held").cast("long") * 100 >= F.col("n").cast("long") * PERCENT
+    first = materialize(held_counts(texts, n_shingles).filter(enough).join(one, "class"), "op9-first")
+    n_first, n_left = first.agg(F.count(F.lit(1)), F.sum("n")).first()
+    side = checked_broadcast(first.select("row_key"), n_first)
+    texts = materialize(texts.join(side, "row_key", "left_semi").select(*texts.columns), "op9-texts")
+    return texts, materialize(held_counts(texts, n_left or 0).filter(enough).select("class", "held"), "op9-likely")
+
+
 def _ranks(hot: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """shingles -> place among the hot ones (-1: not hot)."""
     order = np.argsort(hot)
@@ -202,14 +309,16 @@ def _is_short(n: str, rest: str) -> Column:
     return F.col(rest).cast("long") * (100 + PERCENT) >= F.col(n).cast("long") * (2 * PERCENT)
 
 
-def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """bucket, able, hot, class, n, end, rest, shingles, shared: the members of the buckets of two classes or more.
+def buckets(texts: DataFrame, hot: np.ndarray, likely: DataFrame) -> DataFrame:
+    """bucket, able, hot, class, n, end, rest, shingles, shared, held: the members of the buckets of two ``likely`` classes or more.
 
     A bucket stands for the ``shingles`` that the same classes hold; ``rest`` belongs to the first
     of them. Only ``able`` buckets, with a short member, can be the first that a linked pair shares.
     ``shared`` counts the class's prefix shingles that are in a bucket.
     """
-    members = _members(texts, hot).withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("class"), F.lit(SALTS))).otherwise(0).cast("int"))
+    n_likely = likely.count()
+    members = _members(texts, hot).join(checked_broadcast(likely.select("class"), n_likely), "class", "left_semi")
+    members = members.withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("class"), F.lit(SALTS))).otherwise(0).cast("int"))
     part = Window.partitionBy("shingle", "salt")
     met = members.withColumn("low", F.min("class").over(part)).withColumn("high", F.max("class").over(part))
     # of a class, every input task may have sent one row
@@ -227,7 +336,8 @@ def buckets(texts: DataFrame, hot: np.ndarray) -> DataFrame:
         F.max("able").alias("able"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("shingles")
     )
     kept = materialize(kept, "op9-buckets")
-    return kept.join(kept.groupBy("class").agg(F.sum("shingles").alias("shared")), "class")
+    shared = kept.groupBy("class").agg(F.sum("shingles").alias("shared")).join(checked_broadcast(likely, n_likely), "class")
+    return kept.join(shared, "class")
 
 
 def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -286,6 +396,12 @@ def _enough(most: Column) -> Column:
     return most.cast("long") * (100 + PERCENT) >= (F.col("n") + F.col("n_l")).cast("long") * PERCENT
 
 
+def _near_enough() -> Column:
+    """Does what no other class holds of the two leave their symmetric difference small enough?"""
+    both = (F.col("n") + F.col("n_l")).cast("long")
+    return (both - F.col("held") - F.col("held_l")) * (100 + PERCENT) <= both * (100 - PERCENT)
+
+
 def _behind_first() -> Column:
     """The number of shingles behind the prefix that ends first in the global order.
 
@@ -309,9 +425,10 @@ def _candidates(state: DataFrame, most: int, n_hot: int) -> DataFrame:
     place = Window.partitionBy("bucket", "band").orderBy("own", "class")
     short = state.filter(_is_short("n", "rest")).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
     leaders = short.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= most).select(
-        "bucket", "hot", "band", F.col("class").alias("leader"), *[F.col(c).alias(f"{c}_l") for c in ("n", "end", "rest", "shared", "own", "component")]
+        "bucket", "hot", "band", F.col("class").alias("leader"), *[F.col(c).alias(f"{c}_l") for c in ("n", "end", "rest", "shared", "held", "own", "component")]
     )
     fits = (F.col("component") != F.col("component_l")) & (F.least("n", "n_l") * 100 >= F.greatest("n", "n_l") * PERCENT)
+    fits = fits & _enough(F.least("held", "held_l")) & _near_enough()
     fits = fits & _enough(F.least("rest", "rest_l")) & _enough(F.least("shared", "shared_l") + _behind_first())
 
     def met(members: DataFrame, led: DataFrame) -> DataFrame:
@@ -333,22 +450,6 @@ def _untested(candidates: DataFrame, tested: DataFrame | None) -> DataFrame:
     return candidates
 
 
-def _linkable(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that can link although no other class of ``found`` holds some of their shingles.
-
-    A shingle that one class alone holds lies in no overlap, so an overlap is at most what a class
-    shares with any of the others. Near copies beyond the threshold mostly go here: every word
-    changed in one of them makes shingles that are its own.
-    """
-    classes = found.select("class").unionByName(found.select(F.col("leader").alias("class"))).distinct()
-    rows = sets.join(classes, "class", "left_semi").select("class", F.explode("shingles").alias("shingle"))
-    alone = rows.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("high")).filter(F.col("class") == F.col("high"))
-    counts = materialize(alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone")), "op9-alone")
-    of_leader = counts.select(F.col("class").alias("leader"), F.col("alone").alias("alone_l"))
-    most = F.least(F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n_l") - F.coalesce("alone_l", F.lit(0)))
-    return found.join(counts, "class", "left").join(of_leader, "leader", "left").filter(_enough(most)).drop("alone", "alone_l")
-
-
 def _first_per_class(candidates: DataFrame, pairs: int | None) -> DataFrame:
     """The first ``pairs`` candidates of every class in leader order (None: all), each pair once."""
     order = Window.partitionBy("class").orderBy("own_l", "leader")
@@ -368,8 +469,10 @@ def _unsettled(state: DataFrame) -> DataFrame:
 
 def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST, hot_most: int = HOT_SHINGLES) -> DataFrame:
     """(node, component) of the classes that share a bucket; ``rows`` is ``describe(texts)``."""
+    one = rows.filter("class is not null").groupBy("class").agg(F.min("row_key").alias("row_key"))
+    texts, likely = likely_classes(texts, one, rows.agg(F.sum("n")).first()[0] or 0)
     hot = hot_shingles(texts, hot_least, hot_most)
-    members = materialize(buckets(texts, hot), "op9-members")
+    members = materialize(buckets(texts, hot, likely), "op9-members")
     able = members.filter("able").withColumn("own", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")).cast("int"))
     labels = materialize(able.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
     if labels.isEmpty():
@@ -379,7 +482,6 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
     # a bucket and its number of shingles as one number; a number beyond 20 bits counts as more than any set has
     packed = F.col("bucket").bitwiseAND(F.lit(~_MANY)).bitwiseOR(F.least("shingles", F.lit(_MANY)))
     lists = materialize(members.groupBy("class").agg(F.collect_list(packed).alias("buckets")), "op9-lists")
-    one = rows.groupBy("class").agg(F.min("row_key").alias("row_key"))
     sets = None
     state = materialize(able.drop("able", "shingles").withColumn("band", _bands("n")).withColumn("component", F.col("class")), "op9-state")
     tested, leaders, pairs = None, FIRST_LEADERS, 1
@@ -405,21 +507,13 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
         if n_new:
             more = materialize(fragments(texts, hot, wanted, n_new), "op9-sets")
             sets = more if sets is None else sets.unionByName(more)
-        left = materialize(_linkable(found, sets), "op9-left")
         # all that are left after the first round, if few (most are found from both sides)
-        volume = left.agg(F.sum("n")).first()[0] or 0
+        volume = found.agg(F.sum("n")).first()[0]
         last = every and volume <= 2 * VOLUME * n_shingles
-        chosen = materialize(_first_per_class(left, None if last else pairs), "op9-pairs")
+        chosen = materialize(_first_per_class(found, None if last else pairs), "op9-pairs")
         n_pairs = chosen.count()
-        # what cannot link is settled, like what is compared now
-        done = found.select("class", "leader").join(left, ["class", "leader"], "left_anti").unionByName(chosen.select("class", "leader"))
-        done = materialize(done, "op9-tested")
+        done = chosen.select("class", "leader")
         tested = done if tested is None else tested.unionByName(done)
-        if not n_pairs:
-            if last or leaders >= largest:
-                return labels
-            leaders *= MORE_LEADERS
-            continue
         counted = overlaps(chosen, n_pairs, sets)
         enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
         links = materialize(counted.filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b")).distinct(), "op9-links")

@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pertlake.llm import ngram_join, queries
 from pertlake.llm.graph import components
@@ -102,6 +104,36 @@ def test_one_of_each_keeps_one_row_where_ids_are_odd(docs_of):
     assert sorted(out, key=str) == sorted([None, 7, 9, None, None, 10], key=str)
 
 
+def test_texts_that_share_too_little_have_no_buckets(docs_of, monkeypatch):
+    rnd = random.Random(4)
+    line = [f"s{i}" for i in range(14)]
+    rows = [(i, " ".join([f"u{rnd.randrange(10**9)}" for _ in range(40)] + line)) for i in range(60)] + copies(6, 40)
+    rows += [(500 + i, rows[i][1]) for i in range(0, 80, 7)]
+    docs = docs_of(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    holders = Counter(s for distinct in set(sets.values()) for s in distinct)
+    for packed in (1 << 20, 50):  # one chunk a task and one range; many of both
+        monkeypatch.setattr(ngram_join, "PACKED", packed)
+        texts = ngram_join._texts(docs, "doc_id", "text")
+        described = ngram_join.describe(texts)
+        total = sum(map(len, sets.values()))
+        counted = {r["class"]: (r["n"], r["held"]) for r in ngram_join.held_counts(texts, total).collect()}
+        class_of = {r["doc_id"]: r["class"] for r in described.collect()}
+        for i, s in sets.items():
+            n, held = counted[class_of[i]]
+            exact = sum(holders[x] > 1 for x in s)
+            # the copies of a class in other input tasks may count as another class
+            assert n == len(s) and exact <= held <= n
+        one = described.groupBy("class").agg(F.min("row_key").alias("row_key"))
+        near, likely = ngram_join.likely_classes(texts, one, total)
+        kept = {r["class"] for r in likely.collect()}
+        # whatever links goes on; texts that share a line only don't
+        linked = {i for i, s in sets.items() if any(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in sets.values())}
+        assert linked and {class_of[i] for i in linked} <= kept
+        assert not {class_of[i] for i in range(60)} & kept
+        assert near.count() < len(rows) - 40
+
+
 def test_query_on_the_given_table(spark, sf_docs):
     check(queries.REGISTRY["op9_ngram_join"](spark, SF), list(sf_docs.items()))
 
