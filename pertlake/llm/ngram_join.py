@@ -314,7 +314,8 @@ def buckets(texts: DataFrame, hot: np.ndarray, likely: DataFrame) -> DataFrame:
 
     A bucket stands for the ``shingles`` that the same classes hold; ``rest`` belongs to the first
     of them. Only ``able`` buckets, with a short member, can be the first that a linked pair shares.
-    ``shared`` counts the class's prefix shingles that are in a bucket.
+    ``shared`` counts the class's prefix shingles that are in a bucket. ``held`` is what others hold of the class
+    without its shingles in buckets ahead of this one: if this is the first bucket of a pair, they lie in no overlap.
     """
     n_likely = likely.count()
     members = _members(texts, hot).join(checked_broadcast(likely.select("class"), n_likely), "class", "left_semi")
@@ -332,12 +333,13 @@ def buckets(texts: DataFrame, hot: np.ndarray, likely: DataFrame) -> DataFrame:
     same = F.xxhash64(*[F.bit_xor(F.xxhash64(F.lit(seed), "class")).over(part) for seed in (1, 2)])
     cold = met.filter("not hot").select(same.alias("bucket"), F.max(short).over(part).alias("able"), "hot", "class", "n", "end", "rest")
     spread = met.filter("hot").join(F.broadcast(many), "shingle").select(F.xxhash64("shingle").alias("bucket"), "able", "hot", "class", "n", "end", "rest")
-    kept = cold.unionByName(spread).groupBy("bucket", "hot", "class", "n", "end").agg(
-        F.max("able").alias("able"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("shingles")
+    ahead = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("rest"))) - 1
+    kept = cold.unionByName(spread).withColumn("ahead", ahead).groupBy("bucket", "hot", "class", "n", "end").agg(
+        F.max("able").alias("able"), F.max("rest").alias("rest"), F.min("ahead").alias("ahead"), F.count(F.lit(1)).alias("shingles")
     )
     kept = materialize(kept, "op9-buckets")
     shared = kept.groupBy("class").agg(F.sum("shingles").alias("shared")).join(checked_broadcast(likely, n_likely), "class")
-    return kept.join(shared, "class")
+    return kept.join(shared, "class").withColumn("held", F.col("held") - F.col("ahead")).drop("ahead")
 
 
 def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
@@ -473,7 +475,8 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
     texts, likely = likely_classes(texts, one, rows.agg(F.sum("n")).first()[0] or 0)
     hot = hot_shingles(texts, hot_least, hot_most)
     members = materialize(buckets(texts, hot, likely), "op9-members")
-    able = members.filter("able").withColumn("own", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")).cast("int"))
+    able = members.filter("able").filter(F.col("held") * 100 >= F.col("n").cast("long") * PERCENT)
+    able = able.withColumn("own", (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("shared")).cast("int"))
     labels = materialize(able.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
     if labels.isEmpty():
         return labels
