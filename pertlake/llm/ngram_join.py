@@ -28,20 +28,26 @@ it can link: what its prefixes share (all of it lies in buckets) and what is lef
 prefix that ends first reach the threshold together, and if what others hold of the two does: each
 of both numbers is a bound on the overlap, and what they don't hold is part of the difference.
 
-Rounds. All pairs of a bucket aren't needed, only its components. In a round every class is
-compared with one leader (later with 4, 16, ...): the first in leader order among the first
-short members of its buckets that lie in another component, fit its size and weren't compared
-with it. Linked components are contracted, and buckets within one component go. When no class
-has a candidate, more members of each bucket may lead, until all may; where what is left is in
-proportion to the members, all of it is compared in one round. So every pair that could link two components is compared in the end, and a group of copies costs about one pair each.
-Leader order puts texts first of whose prefix the fewest shingles are theirs alone: the text
-that others were copied from. Leaders and members meet by bucket and size band; bands differ by
-one at most where the sizes allow a link.
+Leaders. All pairs of a bucket aren't needed, only its components. First every class is compared
+with one leader: the first in leader order among the first short members of its buckets that fit its
+size and can link with it. Linked components are contracted, and buckets within one component go; a
+group of copies costs about one pair each. Leader order puts texts first of whose prefix the fewest
+shingles are theirs alone: the text that others were copied from. Leaders and members meet by bucket
+and size band; bands differ by one at most where the sizes allow a link.
+
+The rest. What is left of a bucket of at most ``SMALL`` classes is compared pair by pair, which is in
+proportion to the members. Larger buckets with the same leader are one cluster, so a large group
+makes a few of them. Of a cluster, the classes outside its largest component are compared with all others
+in blocks of at most ``BLOCK`` classes, of neighbouring bands: a block pair counts the overlaps of
+all its pairs at once, a fragment at a time, as a product of 0/1 matrices (rare shingles one by one),
+and returns a spanning forest of the links. No row is made per pair, so members of a large
+group whose similarities lie just below the threshold cost a product each. So every pair that could
+link two components is compared.
 
 Vertical partitioning. The global order is cut into ``FRAGMENTS``; a set becomes one sorted
 array per fragment, written once for the classes of the pairs. Each (pair, fragment) counts its
 partial overlap on its own, and the partial counts are summed per pair and compared with the
-threshold exactly. A leader's fragments are sent once per ``LEADER_CHUNK`` of its classes.
+threshold exactly; blocks do the same with whole matrices. A leader's fragments are sent once per ``LEADER_CHUNK`` of its classes.
 
 Skew. The bucket of a hot shingle is spread by class (``SALTS``) and its leaders are broadcast (at
 most HOT_SHINGLES buckets exist); any other bucket holds fewer rows than each hot one. Joins on a
@@ -77,10 +83,10 @@ HOT_SHINGLES = 1 << 17
 HOT_LEAST = 32  # documents
 SALTS = 16
 
-FIRST_LEADERS, MORE_LEADERS = 2, 8  # of a bucket
-MORE_PAIRS = 4  # per class, from one round to the next
-WORK = 64  # comparisons of narrow rows per member that count as few
-VOLUME = 3  # shingles to compare, as a multiple of those of all classes in buckets, that count as few
+FIRST_LEADERS = 2  # of a bucket
+SMALL = 32  # classes of a bucket that are compared pair by pair
+BLOCK = 1024  # classes of a block
+BLOCK_SHINGLES = 1 << 20  # of a block, on average at most
 LEADER_CHUNK = 256
 PACKED = 1 << 20  # shingles packed at a time, and of a hash range on average
 _NO_OWNER = (1 << 16) - 1
@@ -342,8 +348,8 @@ def buckets(texts: DataFrame, hot: np.ndarray, likely: DataFrame) -> DataFrame:
     return kept.join(shared, "class").withColumn("held", F.col("held") - F.col("ahead")).drop("ahead")
 
 
-def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """class, fragment, shingles (sorted array) of the wanted classes, each from its ``row_key``."""
+def set_parts(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """class, parts (a sorted array per fragment) of the wanted classes, each from its ``row_key``."""
 
     def cut(batches):
         rank = _ranks(hot)
@@ -363,8 +369,12 @@ def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: in
                 yield pa.record_batch([_long(keys[places[a : a + 256]]), key, pa.ListArray.from_arrays(offsets, _lists(flat))], names=["class", "row_key", "parts"])
 
     rows = texts.mapInArrow(cut, "class long, row_key long, parts array<array<long>>")
-    kept = rows.join(checked_broadcast(wanted, n_wanted), ["class", "row_key"], "left_semi")
-    return kept.select("class", F.posexplode("parts").alias("fragment", "shingles"))
+    return rows.join(checked_broadcast(wanted, n_wanted), ["class", "row_key"], "left_semi").select("class", "parts")
+
+
+def fragments(texts: DataFrame, hot: np.ndarray, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """class, fragment, shingles (sorted array) of the wanted classes, each from its ``row_key``."""
+    return set_parts(texts, hot, wanted, n_wanted).select("class", F.posexplode("parts").alias("fragment", "shingles"))
 
 
 def overlaps(pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
@@ -469,6 +479,125 @@ def _unsettled(state: DataFrame) -> DataFrame:
     return cold.unionByName(state.filter("hot").join(F.broadcast(mixed.filter("hot").select("bucket")), "bucket", "left_semi"))
 
 
+def clusters(state: DataFrame, large: DataFrame) -> DataFrame:
+    """cluster, band, query, chunk, class, n, component: the classes of the ``large`` buckets, dealt to blocks.
+
+    A cluster is named by the leader of its buckets. Classes outside its largest component are its queries.
+    """
+    met = materialize(state.join(large, "bucket").select("cluster", "band", "class", "n", "component").distinct(), "op9-met")
+    counted = met.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("classes"))
+    main = counted.groupBy("cluster").agg(
+        F.max_by("component", F.struct("classes", "component")).alias("main"), F.max("classes").alias("most"), F.sum("classes").alias("classes")
+    )
+    main = materialize(main.filter("most < classes").select("cluster", "main"), "op9-main")
+    met = met.join(checked_broadcast(main, main.count()), "cluster").withColumn("query", F.col("component") != F.col("main")).drop("main")
+    blocks = met.groupBy("cluster", "band", "query").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("long").alias("blocks")
+    )
+    blocks = materialize(blocks, "op9-blocks")
+    dealt = met.join(checked_broadcast(blocks, blocks.count()), ["cluster", "band", "query"])
+    return dealt.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def block_pairs(dealt: DataFrame) -> DataFrame:
+    """cluster, band, chunk (of queries), query_r, band_r, chunk_r: the blocks to compare, each two once."""
+    blocks = materialize(dealt.groupBy("cluster", "band", "query", "chunk").agg(F.count(F.lit(1)).alias("classes")), "op9-blocks")
+    right = blocks.select("cluster", *[F.col(c).alias(f"{c}_r") for c in ("query", "band", "chunk")])
+    left = blocks.filter("query").select("cluster", "band", "chunk", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band_r"))
+    once = ~F.col("query_r") | (F.struct("band", "chunk") <= F.struct(F.col("band_r").alias("band"), F.col("chunk_r").alias("chunk")))
+    return left.join(right, ["cluster", "band_r"]).filter(once)
+
+
+def _partial_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sets share: (left, right)."""
+    n_left, n_right = len(left), len(right)
+    out = np.zeros(n_left * n_right, np.int32)
+    both, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = sum(map(len, left))
+    sides = []
+    for sets, at in ((left, place[:cut]), (right, place[cut:])):
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], np.bincount(at, minlength=len(both))))
+    (at_l, own_l, count_l), (at_r, own_r, count_r) = sides
+    # a column of the product costs as much as about n_left * n_right / 256 pairs one by one
+    pairs = count_l * count_r
+    dense = pairs * 256 > n_left * n_right
+    column = np.cumsum(dense) - 1
+    is_l, is_r = dense[at_l], dense[at_r]
+    col_l, col_r = column[at_l[is_l]], column[at_r[is_r]]
+    for a in range(0, int(dense.sum()), 1024):
+        x, y = np.zeros((n_left, 1024), np.float32), np.zeros((n_right, 1024), np.float32)
+        for m, own, col in ((x, own_l[is_l], col_l), (y, own_r[is_r], col_r)):
+            part = slice(*np.searchsorted(col, [a, a + 1024]))
+            m[own[part], col[part] - a] = 1
+        out += (x @ y.T).astype(np.int32).ravel()
+    rare = ~is_l & (count_r[at_l] > 0)
+    at, own = at_l[rare], own_l[rare]
+    starts, sizes = (np.cumsum(count_r) - count_r)[at], count_r[at]
+    ends = np.cumsum(sizes)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+        # the pairs numbered from a on, each with its row of the left side
+        number = np.arange(a, min(a + (1 << 20), int(ends[-1])))
+        row = np.searchsorted(ends, number, "right")
+        out += np.bincount(own[row] * n_right + own_r[starts[row] + number - (ends - sizes)[row]], minlength=len(out)).astype(np.int32)
+    return out.reshape(n_left, n_right)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) of a spanning forest of the links between rows and columns."""
+    out, new = [], (np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool))
+    for row in np.flatnonzero(linked.any(axis=1)).tolist():
+        if not new[0][row]:
+            continue
+        new[0][row] = False
+        open_nodes = [(0, row)]
+        while open_nodes:
+            side, x = open_nodes.pop()
+            found = np.flatnonzero((linked[:, x] if side else linked[x]) & new[1 - side])
+            new[1 - side][found] = False
+            out += [(y, x) if side else (x, y) for y in found.tolist()]
+            open_nodes += [(1 - side, y) for y in found.tolist()]
+    return out
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """a, b: a spanning forest of the links between the components of two blocks."""
+    group = group.combine_chunks()
+    # a class may be there twice (repeated rows)
+    at = np.unique(np.stack([group["side"].to_numpy(), group["class"].to_numpy()]), axis=1, return_index=True)[1]
+    side, n, component = (group[c].to_numpy()[at] for c in ("side", "n", "component"))
+    parts = group["parts"].combine_chunks()
+    parts = parts.chunk(0) if isinstance(parts, pa.ChunkedArray) else parts
+    inner = parts.values
+    first, ends, flat = parts.offsets.to_numpy()[at], inner.offsets.to_numpy(), inner.values.to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(right):  # a block with itself
+        right = left
+    shared = np.zeros((len(left), len(right)), np.int64)
+    for fragment in range(FRAGMENTS):
+        of = lambda rows: [flat[ends[k] : ends[k + 1]] for k in (first[rows] + fragment).tolist()]  # noqa: B023, E731
+        shared += _partial_overlaps(of(left), of(right))
+    linked = (shared * 100 >= (n[left][:, None] + n[right][None, :] - shared) * PERCENT) & (component[left][:, None] != component[right][None, :])
+    found = _forest(linked)
+    return pa.table([pa.array([int(component[left[i]]) for i, _ in found], pa.int64()), pa.array([int(component[right[j]]) for _, j in found], pa.int64())], names=["a", "b"])
+
+
+def cluster_links(state: DataFrame, large: DataFrame, texts: DataFrame, hot: np.ndarray, one: DataFrame) -> DataFrame:
+    """a, b: links that join the components of all classes of ``large`` buckets that link."""
+    dealt = materialize(clusters(state, large), "op9-clusters")
+    pairs = materialize(block_pairs(dealt), "op9-block-pairs")
+    side = checked_broadcast(pairs, pairs.count())
+    key, columns = ["cluster", "band", "chunk", "query_r", "band_r", "chunk_r"], ["class", F.col("n").cast("long").alias("n"), "component"]
+    mine = dealt.filter("query").drop("query").join(side, ["cluster", "band", "chunk"]).select(*key, F.lit(0).cast("long").alias("side"), *columns)
+    theirs = dealt.select("cluster", *[F.col(c).alias(f"{c}_r") for c in ("query", "band", "chunk")], "class", "n", "component")
+    theirs = theirs.join(side, ["cluster", "query_r", "band_r", "chunk_r"]).filter("not query_r or band != band_r or chunk != chunk_r")
+    met = materialize(mine.unionByName(theirs.select(*key, F.lit(1).cast("long").alias("side"), *columns)), "op9-sides")
+    wanted = materialize(met.select("class").distinct().join(one, "class"), "op9-wanted")
+    parts = materialize(set_parts(texts, hot, wanted, wanted.count()), "op9-parts")
+    blocks = parts.join(checked_broadcast(met, met.count()), "class").groupBy(*key)
+    return blocks.applyInArrow(_block_links, "a long, b long").distinct()
+
+
 def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST, hot_most: int = HOT_SHINGLES) -> DataFrame:
     """(node, component) of the classes that share a bucket; ``rows`` is ``describe(texts)``."""
     one = rows.filter("class is not null").groupBy("class").agg(F.min("row_key").alias("row_key"))
@@ -480,57 +609,44 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
     labels = materialize(able.select(F.col("class").alias("node"), F.col("class").alias("component")).distinct(), "op9-labels")
     if labels.isEmpty():
         return labels
-    n_members, n_hot = members.agg(F.count(F.lit(1)), F.count_if("hot")).first()
-    n_shingles = able.select("class", "n").distinct().agg(F.sum("n")).first()[0]
+    n_hot = members.filter("hot").count()
     # a bucket and its number of shingles as one number; a number beyond 20 bits counts as more than any set has
     packed = F.col("bucket").bitwiseAND(F.lit(~_MANY)).bitwiseOR(F.least("shingles", F.lit(_MANY)))
     lists = materialize(members.groupBy("class").agg(F.collect_list(packed).alias("buckets")), "op9-lists")
-    sets = None
     state = materialize(able.drop("able", "shingles").withColumn("band", _bands("n")).withColumn("component", F.col("class")), "op9-state")
-    tested, leaders, pairs = None, FIRST_LEADERS, 1
-    while True:
-        sizes = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(_is_short("n", "rest")).alias("short"))
-        largest, work = sizes.agg(F.max("short"), F.sum(F.col("size") * F.col("short"))).first()
-        if not largest:
-            return labels
-        # after the first round, where the buckets are small in proportion to the members, all short members lead at once
-        every = pairs > 1 and work <= WORK * n_members
-        found = materialize(_possible(_untested(_candidates(state, largest if every else leaders, n_hot), tested), lists), "op9-found")
-        n_found = found.count()
-        if not n_found:
-            if every or leaders >= largest:
-                return labels
-            leaders *= MORE_LEADERS
-            continue
-        wanted = found.select("class").unionByName(found.select(F.col("leader").alias("class"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("class").distinct(), "class", "left_anti")
-        wanted = materialize(wanted.join(one, "class"), "op9-wanted")
-        n_new = wanted.count()
-        if n_new:
-            more = materialize(fragments(texts, hot, wanted, n_new), "op9-sets")
-            sets = more if sets is None else sets.unionByName(more)
-        # all that are left after the first round, if few (most are found from both sides)
-        volume = found.agg(F.sum("n")).first()[0]
-        last = every and volume <= 2 * VOLUME * n_shingles
-        chosen = materialize(_first_per_class(found, None if last else pairs), "op9-pairs")
+
+    def compared(state: DataFrame, leaders: int, pairs: int | None, tested: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """The pairs compared, and a, b: the links among them (None: no pair)."""
+        found = materialize(_possible(_untested(_candidates(state, leaders, n_hot), tested), lists), "op9-found")
+        chosen = materialize(_first_per_class(found, pairs), "op9-pairs")
         n_pairs = chosen.count()
-        done = chosen.select("class", "leader")
-        tested = done if tested is None else tested.unionByName(done)
-        counted = overlaps(chosen, n_pairs, sets)
+        if not n_pairs:
+            return chosen, None
+        wanted = chosen.select("class").unionByName(chosen.select(F.col("leader").alias("class"))).distinct()
+        wanted = materialize(wanted.join(one, "class"), "op9-wanted")
+        sets = materialize(fragments(texts, hot, wanted, wanted.count()), "op9-sets")
         enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
-        links = materialize(counted.filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b")).distinct(), "op9-links")
-        if not links.isEmpty():
-            joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-            labels = materialize(
-                skew_safe_join(labels, joined, "component").select("node", F.coalesce("joined", "component").alias("component")), "op9-labels"
-            )
-        if last:
-            return labels
-        pairs *= MORE_PAIRS
-        if not links.isEmpty():
-            state = state.drop("component").join(labels, state["class"] == labels["node"]).drop("node")
-            state = materialize(_unsettled(state), "op9-state")
+        links = overlaps(chosen, n_pairs, sets).filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b"))
+        return chosen, materialize(links.distinct(), "op9-links")
+
+    def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+        joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        return materialize(skew_safe_join(labels, joined, "component").select("node", F.coalesce("joined", "component").alias("component")), "op9-labels")
+
+    tested, links = compared(state, FIRST_LEADERS, 1, None)
+    if links is not None and not links.isEmpty():
+        labels = contracted(labels, links)
+        state = state.drop("component").join(labels, state["class"] == labels["node"]).drop("node")
+        state = materialize(_unsettled(state), "op9-state")
+    sizes = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "class")).alias("leader"))
+    large = materialize(sizes.filter(F.col("size") > SMALL).select("bucket", F.col("leader.class").alias("cluster")), "op9-large")
+    n_large = large.count()
+    side = checked_broadcast(large, n_large)
+    _, links = compared(state.join(side.select("bucket"), "bucket", "left_anti") if n_large else state, SMALL, None, tested)
+    if n_large:
+        met = materialize(cluster_links(state, side, texts, hot, one), "op9-links")
+        links = met if links is None else links.unionByName(met)
+    return labels if links is None or links.isEmpty() else contracted(labels, links)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

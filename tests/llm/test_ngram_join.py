@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,74 @@ def test_texts_that_share_too_little_have_no_buckets(docs_of, monkeypatch):
         assert near.count() < len(rows) - 40
 
 
+def just_below(seed, n, words=100, tag="g"):
+    """Copies of one text with two words exchanged, so most pairs are just below the threshold; of some only one word is."""
+    rnd = random.Random(seed)
+    base = [f"{tag}{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for at in rnd.sample(range(10, words - 10), 1 if i % 40 == 0 else 2):
+            text[at] = f"{tag}x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_pairs_compared_grow_with_the_classes_of_a_group(docs_of, monkeypatch):
+    # no bound settles these pairs: half of all 19,900 would be compared one by one
+    rows = just_below(7, 200)
+    compared = []
+    overlaps = ngram_join.overlaps
+
+    def counted(pairs, n_pairs, sets):
+        compared.append(n_pairs)
+        return overlaps(pairs, n_pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "overlaps", counted)
+    check(ngram_join.near_duplicates(docs_of(rows)), rows)
+    assert sum(compared) < 10 * len(rows)
+
+
+@pytest.mark.parametrize(("small", "block", "shingles"), [(2, 7, 1 << 20), (1, 1024, 300)])
+def test_blocks_of_large_buckets_equal_brute_force(docs_of, monkeypatch, small, block, shingles):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    rows = copies(8) + just_below(9, 60, 60) + [(i, t + " " + " ".join(f"e{j}" for j in range(i % 5))) for i, t in just_below(10, 30, 40, "h")]
+    rows += [rows[3], rows[3], (None, rows[140][1]), (None, rows[150][1] + " more"), (4000, None), (4001, "")]
+    check(ngram_join.near_duplicates(docs_of(rows), hot_least=8, hot_most=40), rows)
+
+
+def test_partial_overlaps_and_their_forest():
+    rnd = np.random.default_rng(11)
+    side = lambda n: [np.unique(rnd.integers(0, 400, rnd.integers(0, 90))).astype(np.int64) * 2**54 for _ in range(n)]
+    for a, b in ((1, 1), (40, 25), (300, 7)):
+        left, right = side(a), side(b)
+        exact = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+        assert ngram_join._partial_overlaps(left, right).tolist() == exact
+        linked = np.array(exact) >= 12
+        forest = ngram_join._forest(linked)
+        assert all(linked[i, j] for i, j in forest) and len(set(forest)) == len(forest)
+        # as many links as nodes less components
+        parent = list(range(a + b))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in zip(*np.nonzero(linked)):
+            parent[root(int(i))] = root(a + int(j))
+        assert len(forest) == a + b - sum(parent[i] == i for i in range(a + b))
+        for i in range(a + b):
+            parent[i] = root(i)
+        whole = list(parent)
+        parent[:] = range(a + b)
+        for i, j in forest:
+            parent[root(i)] = root(a + j)
+        assert len({(whole[i], root(i)) for i in range(a + b)}) == len(set(whole))
+
+
 def test_query_on_the_given_table(spark, sf_docs):
     check(queries.REGISTRY["op9_ngram_join"](spark, SF), list(sf_docs.items()))
 
