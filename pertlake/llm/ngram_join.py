@@ -595,7 +595,7 @@ def cluster_links(state: DataFrame, large: DataFrame, texts: DataFrame, hot: np.
     wanted = materialize(met.select("class").distinct().join(one, "class"), "op9-wanted")
     parts = materialize(set_parts(texts, hot, wanted, wanted.count()), "op9-parts")
     blocks = parts.join(checked_broadcast(met, met.count()), "class").groupBy(*key)
-    return blocks.applyInArrow(_block_links, "a long, b long").distinct()
+    return blocks.applyInArrow(_block_links, "a long, b long")
 
 
 def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST, hot_most: int = HOT_SHINGLES) -> DataFrame:
@@ -627,7 +627,7 @@ def linked_classes(texts: DataFrame, rows: DataFrame, hot_least: int = HOT_LEAST
         sets = materialize(fragments(texts, hot, wanted, wanted.count()), "op9-sets")
         enough = F.col("shared") * 100 >= PERCENT * (F.col("n") + F.col("n_l") - F.col("shared"))
         links = overlaps(chosen, n_pairs, sets).filter(enough).select(F.col("component").alias("a"), F.col("component_l").alias("b"))
-        return chosen, materialize(links.distinct(), "op9-links")
+        return chosen, materialize(links, "op9-links")
 
     def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
         joined = components(links).select(F.col("node").alias("component"), F.col("component").alias("joined"))

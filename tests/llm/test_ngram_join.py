@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pertlake.llm import ngram_join, queries
+from pertlake.llm import graph, ngram_join, queries
 from pertlake.llm.graph import components
 
 from .conftest import ODD_TEXTS, SF
@@ -230,3 +230,19 @@ def test_components_of_random_links(spark):
 
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(x, root(x)) for x in parent}
+
+
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_LINKS", local)
+    rnd = random.Random(12)
+    links = [(i, i + 1) for i in range(-30, 30)] + [(1000 + i, 1000 + (i * 7 + 3) % 90) for i in range(90)] + [(2**62, -(2**62)), (500, 500), (501, 500), (501, 500)]
+    rnd.shuffle(links)
+    lowest = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    out = components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted((r["node"], r["component"]) for r in out.collect()) == sorted(lowest.items())
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
